@@ -2,4 +2,68 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from weftline.llm.quality import SYMBOLS, Rules
+
+_RULES = Rules()
+_SPACES = r"[\x20\x09-\x0D]"
+
+_BASE = rf"""
+docs AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, unnest(v) AS word, unnest(range(1, len(v) + 1)) AS k
+      FROM (SELECT r, list_filter(regexp_split_to_array(text, '{_SPACES}+'), lambda x: x <> '') AS v FROM docs)),
+tri AS (SELECT r, k, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS t FROM w WINDOW o AS (PARTITION BY r ORDER BY k)),
+twice AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, t) AS n FROM tri WHERE t IS NOT NULL) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT k + d) AS n FROM twice, (VALUES (0), (1), (2)) AS s(d) GROUP BY r),
+nw AS (SELECT r, count(*) AS n, sum(length(word)) AS c FROM w GROUP BY r),
+li AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT l) AS d
+       FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM docs) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT docs.r, doc_id, lang, source, coalesce(nw.n, 0)::BIGINT AS n_words, coalesce(nw.c, 0)::BIGINT AS word_chars,
+             (length(text) - length(translate(text, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
+             coalesce(li.d, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(li.n, 0)::BIGINT AS n_lines
+      FROM docs LEFT JOIN nw USING (r) LEFT JOIN li USING (r) LEFT JOIN rep USING (r)),
+b AS (SELECT *, n_words < {_RULES.least_words} OR 100 * n_repeat_words > {_RULES.most_repeated_percent} * n_words AS base_failed,
+             100 * word_chars // greatest(n_words, 1) AS word_length, 1000 * n_symbols // greatest(n_words, 1) AS symbol_rate,
+             1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_rate, 1000 * n_repeat_words // greatest(n_words, 1) AS repeat_rate FROM m)
+"""
+
+_SLACK = " ".join(f"WHEN '{name}' THEN {slack}" for name, slack, _ in _RULES.slack)
+_SIDES = " OR ".join(f"(measure = '{n}' AND (v > high{' OR v < low' if both else ''}))" for n, _, both in _RULES.slack)
+
+OP1 = rf"""
+WITH {_BASE},
+each AS (SELECT r, lang, source, base_failed, measure, v, 16 * greatest(length(bin(v)) - 5, 0) + (v >> greatest(length(bin(v)) - 5, 0)) AS bin
+         FROM (SELECT r, lang, source, base_failed, unnest(['word_length', 'symbol_rate', 'dup_line_rate', 'repeat_rate']) AS measure,
+                      unnest([word_length, symbol_rate, dup_line_rate, repeat_rate])::BIGINT AS v FROM b)),
+sk AS (SELECT l AS level, CASE WHEN l < 2 THEN lang END AS lang, CASE WHEN l = 0 THEN source END AS source, measure, bin, count(*) AS n
+       FROM each, (VALUES (0), (1), (2)) AS s(l) WHERE NOT base_failed GROUP BY ALL),
+run AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM sk),
+q AS (SELECT level, lang, source, measure, max(total) AS n, min(CASE WHEN 100 * upto >= 25 * total THEN bin END) AS b25, min(CASE WHEN 100 * upto >= 50 * total THEN bin END) AS b50
+      FROM run GROUP BY ALL),
+qv AS (SELECT level, lang, source, measure, n, (b25 - 16 * greatest(b25 // 16 - 1, 0)) << greatest(b25 // 16 - 1, 0)::INT AS quarter,
+              (b50 - 16 * greatest(b50 // 16 - 1, 0)) << greatest(b50 // 16 - 1, 0)::INT AS median FROM q),
+bo AS (SELECT level, lang, source, measure, n, median - reach AS low, median + reach AS high
+       FROM (SELECT *, greatest({_RULES.spread} * (median - quarter), CASE measure {_SLACK} END) AS reach FROM qv)),
+pick AS (SELECT each.*, CASE WHEN g.n >= {_RULES.least_group} THEN 0 WHEN l.n >= {_RULES.least_group} THEN 1 ELSE 2 END AS lvl,
+                g.low AS g_low, g.high AS g_high, l.low AS l_low, l.high AS l_high, e.low AS e_low, e.high AS e_high
+         FROM each LEFT JOIN bo g ON g.level = 0 AND g.measure = each.measure AND g.lang IS NOT DISTINCT FROM each.lang AND g.source IS NOT DISTINCT FROM each.source
+                   LEFT JOIN bo l ON l.level = 1 AND l.measure = each.measure AND l.lang IS NOT DISTINCT FROM each.lang
+                   LEFT JOIN bo e ON e.level = 2 AND e.measure = each.measure WHERE NOT base_failed),
+far AS (SELECT r FROM (SELECT r, measure, v, CASE lvl WHEN 0 THEN g_low WHEN 1 THEN l_low ELSE e_low END AS low, CASE lvl WHEN 0 THEN g_high WHEN 1 THEN l_high ELSE e_high END AS high FROM pick)
+        WHERE {_SIDES})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM far) AS kept FROM b
+"""
+
+_ESCAPED = r"replace(replace(replace({}, '\', '\\'), '<|im_start|>', '<\|im_start|>'), '<|im_end|>', '<\|im_end|>')"
+
+OP9 = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>') + length(role) + 1 + length({_ESCAPED.format('text')}) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_quality": OP1, "op9_chat": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import pieces, simhash
+from weftline.llm import chat, pieces, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document and whether it is kept."""
+    got = quality.quality(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
@@ -23,6 +29,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back; conversation -1 says nothing but control strings."""
+    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    own = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.lit(r).alias("role")) for k, r in enumerate(("user", "assistant"))))).alias("t"))
+    talks = table(spark, sf_dir, "conversations")
+    kind = talks.schema["conv_id"].dataType, talks.schema["turn"].dataType
+    own = own.select(F.lit(-1).cast(kind[0]).alias("conv_id"), F.col("t.turn").cast(kind[1]).alias("turn"), F.col("t.role").alias("role"), said.alias("text"))
+    told = chat.digests(chat.format_conversations(talks.select("conv_id", "turn", "role", "text").unionByName(own)))
+    return told.select(F.col("id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and of the decoded text of every document."""
     import public_tokenizers
@@ -34,6 +51,8 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op4_simhash": op4_simhash,
+    "op9_chat": op9_chat,
     "op10_pieces": op10_pieces,
 }
