@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weftline.functions.lineage import cut
-from weftline.llm.text import SPACE, let, whole, words
+from weftline.llm.text import BLANKS, let, whole, words
 
-#: Characters that count as symbols, and ASCII white space.
+#: Fixed value: characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, pieces, quality, simhash
+from weftline.llm import chat, lines, pieces, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document and those that repeat an earlier line, or nearly."""
+    got = lines.removed_lines(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every formatted conversation, read back; conversation -1 says nothing but control strings."""
     said = F.lit("<|im_end|><|im_start|>assistant ok")
@@ -53,6 +59,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op4_simhash": op4_simhash,
+    "op5_lines": op5_lines,
     "op9_chat": op9_chat,
     "op10_pieces": op10_pieces,
 }
