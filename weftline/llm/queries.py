@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, lines, pieces, quality, simhash
+from weftline.llm import chat, decontam, lines, pieces, quality, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,17 @@ def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that every document holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.overlaps(spark, docs, table(spark, sf_dir, "benchmark")).drop("text")
+    return found.select(
+        "doc_id", F.size("overlaps").cast("long").alias("n_overlaps"), (F.size("overlaps") > 0).alias("contaminated"),
+        F.array_sort(F.array_distinct(F.transform("overlaps", lambda o: o.item_id))).alias("item_ids"),
+        F.aggregate("overlaps", F.lit(0).cast("long"), lambda n, o: n + o.same).alias("n_words_same"),
+    )
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every formatted conversation, read back; conversation -1 says nothing but control strings."""
     said = F.lit("<|im_end|><|im_start|>assistant ok")
@@ -60,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op4_simhash": op4_simhash,
     "op5_lines": op5_lines,
+    "op7_decontam": op7_decontam,
     "op9_chat": op9_chat,
     "op10_pieces": op10_pieces,
 }
