@@ -1,18 +1,68 @@
-"""A corpus pipeline over ``documents``: each stage calls one operator of ``weftline.llm``."""
+"""A corpus pipeline over ``documents``: each stage calls one operator of ``weftline.llm``.
+
+Every function takes ``(spark, docs, sf_dir)``. All stages but the last return the columns of
+``documents``; what a stage removes is gone for the next.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions.lineage import settle
+from weftline.llm import decontam, lines, pieces, quality, simhash
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the bounds of their language and source."""
+    kept = quality.quality(docs).where("kept").select(F.col("id").alias("__id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat an earlier one, or nearly."""
+    left = lines.without_lines(docs, lines.removed_lines(docs))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near copies."""
+    first = simhash.near_duplicates(docs).where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct()
+    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontam.overlaps(spark, docs, benchmark, found_col="__found").where(F.size("__found") == 0).drop("__found")
+
+
+def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens of each document and digests of its ids and of the text they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = pieces.encode(spark, docs, model).drop("text")
+    told = pieces.token_digests(pieces.decode(spark, ids, model))
+    return told.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids_sha256", "decoded_sha256")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("SentencePiece encoding and decoding", tokenization),
+]
 
-#: The last stage is not expressible in SQL.
+#: Tokenization is not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, from ``documents``."""
+    """All stages, one after the other, from ``documents``; each result is written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = settle(docs, f"stage-{k}")
     return docs
