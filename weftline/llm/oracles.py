@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from weftline.llm.quality import SYMBOLS, Rules
+from weftline.llm.queries import URL_RULES
+from weftline.llm.urls import DAMPING, LINK, LOWER, MASS, ROUNDS, UPPER
 
 _RULES = Rules()
 _SPACES = r"[\x20\x09-\x0D]"
@@ -66,4 +68,34 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM t GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_quality": OP1, "op9_chat": OP9}
+
+def _op8() -> str:
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    rounds, now = "", "seed"
+    for k in range(ROUNDS):
+        rounds += f"""
+r{k} AS (SELECT kind, host, sum(base)::BIGINT + (sum(part)::BIGINT * {DAMPING}) // 100 AS score FROM (
+      SELECT w.kind, w.dst AS host, 0::BIGINT AS base, r.score // w.n AS part FROM ways w JOIN {now} r ON r.kind = w.kind AND r.host = w.src
+      UNION ALL SELECT kind, host, score * {100 - DAMPING} // 100, 0 FROM seed) GROUP BY 1, 2 HAVING score > 0),"""
+        now = f"r{k}"
+    return rf"""
+WITH u AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+named AS (SELECT row_number() OVER () AS k, page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(v, h, p) AS (VALUES {rules}),
+ruled AS (SELECT named.*, r.h || r.p AS rule, r.v FROM named LEFT JOIN LATERAL (
+      SELECT * FROM rules WHERE (named.host = h OR ends_with(named.host, '.' || h)) AND starts_with(named.path, p) ORDER BY length(h || p) DESC, length(h) DESC LIMIT 1) r ON true),
+lean AS (SELECT CASE WHEN s > 0 THEN 'trust' ELSE 'distrust' END AS kind, host FROM (
+      SELECT host, sum(CASE v WHEN 'allow' THEN 1 WHEN 'block' THEN -1 ELSE 0 END) AS s FROM ruled GROUP BY host) WHERE s <> 0 AND host <> ''),
+seed AS (SELECT kind, host, {MASS} // count(*) OVER (PARTITION BY kind) AS score FROM lean),
+hosts AS (SELECT DISTINCT host FROM named),
+far AS (SELECT DISTINCT host AS src, translate(regexp_extract(substr(l, instr(l, '://') + 3), '^[^/?#]*'), '{UPPER}', '{LOWER}') AS dst
+      FROM (SELECT host, unnest(regexp_extract_all(coalesce(html, ''), '{LINK.replace("'", "''")}', 1)) AS l FROM named)),
+up AS (SELECT a.host AS lo, b.host AS hi, row_number() OVER (PARTITION BY a.host ORDER BY length(b.host) DESC) AS k FROM hosts a JOIN hosts b ON ends_with(a.host, '.' || b.host) AND b.host <> ''),
+edge AS (SELECT DISTINCT * FROM (SELECT src, dst FROM far SEMI JOIN hosts ON hosts.host = far.dst UNION ALL SELECT lo, hi FROM up WHERE k = 1 UNION ALL SELECT hi, lo FROM up WHERE k = 1) WHERE src <> dst),
+ways AS (SELECT kind, src, dst, count(*) OVER (PARTITION BY kind, src) AS n FROM (SELECT 'trust' AS kind, src, dst FROM edge UNION ALL SELECT 'distrust', dst, src FROM edge)),{rounds}
+bad AS (SELECT host FROM {now} GROUP BY host HAVING sum(CASE kind WHEN 'distrust' THEN score ELSE 0 END) > sum(CASE kind WHEN 'trust' THEN score ELSE 0 END))
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
+"""
+
+
+ORACLES: dict[str, str] = {"op1_quality": OP1, "op8_urls": _op8(), "op9_chat": OP9}

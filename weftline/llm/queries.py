@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontam, lines, pieces, quality, simhash
+from weftline.llm import chat, decontam, lines, pieces, quality, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,21 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Verdict, host and path of the rules for pages.
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every formatted conversation, read back; conversation -1 says nothing but control strings."""
     said = F.lit("<|im_end|><|im_start|>assistant ok")
@@ -72,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_lines": op5_lines,
     "op7_decontam": op7_decontam,
+    "op8_urls": op8_urls,
     "op9_chat": op9_chat,
     "op10_pieces": op10_pieces,
 }
