@@ -68,6 +68,15 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM t GROUP BY conv_id
 """
 
+OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+q AS (SELECT page_id, strlen(t)::BIGINT AS n, sha256(t) AS d FROM p),
+f AS (SELECT d, min(page_id) AS first FROM q WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, q.d AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM q LEFT JOIN f ON f.d = q.d
+"""
+
 
 def _op8() -> str:
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
@@ -98,4 +107,4 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FRO
 """
 
 
-ORACLES: dict[str, str] = {"op1_quality": OP1, "op8_urls": _op8(), "op9_chat": OP9}
+ORACLES: dict[str, str] = {"op1_quality": OP1, "op6_warc": OP6, "op8_urls": _op8(), "op9_chat": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontam, lines, pieces, quality, simhash, urls
+from weftline.llm import chat, decontam, lines, pieces, quality, simhash, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,13 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives, found again by the index and read back."""
+    _, directory, folder = warc.archive(table(spark, sf_dir, "pages"))
+    got = warc.read_records(warc.read_index(directory, folder), folder)
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 #: Verdict, host and path of the rules for pages.
 URL_RULES = (
     ("allow", "org", "/"),
@@ -86,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op4_simhash": op4_simhash,
     "op5_lines": op5_lines,
+    "op6_warc": op6_warc,
     "op7_decontam": op7_decontam,
     "op8_urls": op8_urls,
     "op9_chat": op9_chat,
