@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontam, lines, pieces, quality, simhash, urls, warc
+from weftline.llm import chat, decontam, lines, pieces, pii, quality, simhash, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    got = pii.personal_data(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
+    return got.select(
+        F.col("id").alias("doc_id"), *(count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)),
+        F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
@@ -91,6 +101,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_lines": op5_lines,
     "op6_warc": op6_warc,
