@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 _NEVER = 1 << 60
-#: Entries that a worker keeps of encoded segments and of compared pairs.
-_KEEP = 400_000
+#: Entries that a worker keeps of compared pairs, and twice of encoded segments.
+_KEEP = 300_000
 
 
 @dataclass
@@ -91,6 +91,23 @@ def merged(text: str, ranks: dict[str, int]) -> list[str]:
     return parts
 
 
+def _segments(ranks: dict[str, int]) -> str:
+    """A pattern for stretches of text that merges stay within.
+
+    Merges never cross two characters that no piece holds side by side. Vocabularies mostly
+    have no piece in which a space follows anything else, nor one in which anything but a
+    letter follows a letter; the letters for which one does are exceptions.
+    """
+    letter = re.compile(r"[^\W\d_]").match
+    beside = {x for p in ranks for x in zip(p, p[1:], strict=False)}
+    if any(b == SPACE != a for a, b in beside):
+        return "(?s).+"
+    odd = "".join(sorted(re.escape(a) for a in {a for a, b in beside if letter(a) and not letter(b)}))
+    other = f"(?:[^\\w{SPACE}]|[\\d_])"
+    goes_on = f"|(?<=[{odd}]){other}+" if odd else ""
+    return f"{SPACE}*{other}*(?:[^\\W\\d_]{goes_on})+|{SPACE}*{other}+|{SPACE}+"
+
+
 class Encoder:
     """Encodes texts with one vocabulary; made once in each worker."""
 
@@ -98,15 +115,14 @@ class Encoder:
         self.v, self.ranks = vocabulary, vocabulary.ranks
         self.automaton = ahocorasick.Automaton()
         for piece in vocabulary.ids:
-            self.automaton.add_word(piece, len(piece))
+            self.automaton.add_word(piece, len(piece) - 1)
         self.automaton.make_automaton()
         self.sides: dict[str, tuple] = {}
         self.shorter: dict[str, str | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
-        # merges never cross from a visible character to a space if no piece does
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ranks)
-        self.segments = re.compile(r"(?s).+" if inner else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.segments = re.compile(_segments(self.ranks)).findall
 
     def _sides(self, piece: str) -> tuple[bool, list, list]:
         """Whether merging makes the piece from its characters; what stands at its left and right end
@@ -131,67 +147,69 @@ class Encoder:
 
     def _may_follow(self, left: str, right: str) -> bool:
         """Whether merging the joint text again gives these two pieces; or the right one, if there is none before."""
-        got = self.pairs.get((left, right))
-        if got is None:
-            (fine, _, x), (good, y, _) = self._sides(left), self._sides(right)
-            got, i, j = fine and good, 0, 0
-            while got and left:
-                crossing = self.ranks.get(x[i][0] + y[j][0], _NEVER)
-                if crossing < x[i][1] and crossing <= y[j][1] and crossing != _NEVER:
-                    got = False
-                elif x[i][1] == y[j][1] == _NEVER:
-                    break
-                elif x[i][1] <= y[j][1]:
-                    i += 1
-                else:
-                    j += 1
-            if len(self.pairs) >= _KEEP:
-                self.pairs.clear()
-            self.pairs[left, right] = got
+        (fine, _, x), (good, y, _) = self._sides(left), self._sides(right)
+        got, i, j, rank = fine and good, 0, 0, self.ranks.get
+        while got and left:
+            (a, ends_a), (b, ends_b) = x[i], y[j]
+            crossing = rank(a + b, _NEVER)
+            if crossing < ends_a and crossing <= ends_b and crossing != _NEVER:
+                got = False
+            elif ends_a == ends_b == _NEVER:
+                break
+            elif ends_a <= ends_b:
+                i += 1
+            else:
+                j += 1
+        if len(self.pairs) >= _KEEP:
+            self.pairs.clear()
+        self.pairs[left, right] = got
         return got
 
     def _shorter(self, piece: str) -> str | None:
         """The longest shorter piece that the piece begins with."""
-        if piece not in self.shorter:
-            self.shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.v.ids), None)
-        return self.shorter[piece]
+        got = self.shorter.get(piece, "")
+        if got == "":
+            got = self.shorter[piece] = next((piece[:n] for n in range(len(piece) - 1, 0, -1) if piece[:n] in self.v.ids), None)
+        return got
 
-    def _run(self, text: str, longest: list[int]) -> list[str]:
-        """Pieces of a stretch in which every character is a piece."""
+    def _run(self, text: str, longest: list[int]) -> list[int]:
+        """Ids of a stretch in which every character is a piece."""
         out: list[str] = []
-        failed, at, end, before = 0, 0, len(text), ""
+        ids, pairs, failed, at, end, before = self.v.ids, self.pairs, 0, 0, len(text), ""
         piece: str | None = text[: longest[0]]
-        while at < end:
-            while piece is not None:
-                to = at + len(piece)
-                if not failed >> to & 1 and self._may_follow(before, piece):
-                    break
-                piece = self._shorter(piece)
-            if piece is not None:
-                out.append(piece)
-                before, at = piece, to
-                piece = text[at : at + longest[at]] if at < end else None
-            else:
+        while True:
+            to = at + len(piece)
+            if not failed >> to & 1:
+                fits = pairs.get((before, piece))
+                if fits or fits is None and self._may_follow(before, piece):
+                    out.append(piece)
+                    if to == end:
+                        return [ids[p] for p in out]
+                    before, at = piece, to
+                    piece = text[at : at + longest[at]]
+                    continue
+            piece = self._shorter(piece)
+            while piece is None:  # nothing leads on from here
                 failed |= 1 << at
-                piece = out.pop()
-                at -= len(piece)
+                last = out.pop()
+                at -= len(last)
                 before = out[-1] if out else ""
-        return out
+                piece = self._shorter(last)
 
     def segment(self, text: str) -> list[int]:
         """Ids of a stretch that merges don't cross."""
         longest = [0] * len(text)
         for last, size in self.automaton.iter(text):  # ends ascend, so the longest comes last
-            longest[last - size + 1] = size
+            longest[last - size] = size + 1
         if 0 not in longest:
-            return [*map(self.v.ids.__getitem__, self._run(text, longest))]
+            return self._run(text, longest)
         ids, at, n = [], 0, len(text)
         while at < n:
             to = at
             while to < n and longest[to]:
                 to += 1
             if to > at:
-                ids += map(self.v.ids.__getitem__, self._run(text[at:to], longest[at:to]))
+                ids += self._run(text[at:to], longest[at:to])
             if to < n:
                 ids += [self.v.bytes_[b] for b in text[to].encode()]
             at = to + 1
@@ -203,9 +221,10 @@ class Encoder:
         for part in self.segments(SPACE + text.replace(" ", SPACE)) if text else ():
             got = known.get(part)
             if got is None:
-                got = self.segment(part)
-                if len(known) >= _KEEP:
-                    known.clear()
+                got = self.older.get(part) or tuple(self.segment(part))
+                if len(known) >= _KEEP:  # what is still met moves on to the new table
+                    self.older, self.known = known, {}
+                    known = self.known
                 if len(part) <= 64:
                     known[part] = got
             ids += got
@@ -297,7 +316,13 @@ def decode(spark: SparkSession, df: DataFrame, model: str, ids_col: str = "ids",
 
     def make():
         v = shared.value
-        return lambda rows: pa.array([decode_ids(r.as_py() or [], v) for r in rows], pa.string())
+
+        def work(rows: pa.ListArray) -> pa.Array:
+            ends = np.cumsum(rows.value_lengths().fill_null(0).to_numpy()).tolist()
+            values = rows.flatten().to_numpy()
+            return pa.array([decode_ids(values[a:b].tolist(), v) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.string())
+
+        return work
 
     return _with_column(df, ids_col, text_col, T.StringType(), make)
 
