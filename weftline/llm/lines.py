@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weftline.functions.lineage import cut
 from weftline.llm.text import BLANKS, let, whole
@@ -33,37 +34,31 @@ def _tokens(line: Column) -> Column:
     return F.split(F.translate(line, BLANKS, " " * len(BLANKS)), " ")
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row with a byte for each cell: 33 plus the doublings in how often its words occur in all texts."""
-    counted = docs.select(F.explode(_tokens(whole(text_col))).alias("t")).where("t <> ''").groupBy(_cell(F.xxhash64("t")).alias("cell")).agg(F.count("*").alias("n"))
-    low = (1 << _ROW_BITS) - 1
-    level = F.char(F.lit(32) + F.least(F.length(F.bin("n")), F.lit(60)))
-    rows = counted.select(F.call_function("shiftright", "cell", F.lit(_ROW_BITS)).alias("row"), F.col("cell").bitwiseAND(low).alias("at"), level.alias("c")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("m"))
-    # a row's cells in order, with blanks for those no word falls into
-    packed = rows.select("row", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(F.lpad(F.hex(e.key), 3, "0"), e.value))), "").alias("s"))
-    return cut(packed)
+def _dense(cells: Column, width: int) -> Column:
+    """Text of the pairs ``(at, s)`` in order, each ``s`` of ``width`` at its place and blanks between them."""
+    blank = lambda n: F.repeat(F.lit("!"), n * width)
+    size = 1 << (_CELL_BITS - _ROW_BITS if width > 1 else _ROW_BITS)
 
+    def fill(a: Column) -> Column:
+        parts = F.transform(a, lambda e, k: F.concat(blank(e.at - F.coalesce(F.get(a, k - 1).at, F.lit(-1)) - 1), e.s))
+        return F.concat(F.array_join(parts, ""), blank(size - 1 - F.coalesce(F.element_at(a, -1).at, F.lit(-1))))
 
-def _table(rows: DataFrame) -> bytes:
-    """The rows put together; 2^22 bytes at most."""
-    out = bytearray(b"!" * (1 << _CELL_BITS))
-    for r in rows.toLocalIterator():
-        base, s = r["row"] << _ROW_BITS, r["s"]
-        for k in range(0, len(s), 4):
-            out[base + int(s[k : k + 3], 16)] = ord(s[k + 3])
-    return bytes(out)
+    return let(F.array_sort(cells), fill)
 
 
-def _ordered(line: Column, table: Column) -> Column:
-    """The set of words of a line as integers, rarest first: doublings of the count above a hash."""
-    mask = (1 << _HASH_BITS) - 1
+def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: a table with a byte for each cell, 32 plus the doublings in how often its words occur in all texts."""
+    counted = docs.select(F.explode(_tokens(whole(text_col))).alias("t")).where("t <> ''").groupBy(_cell(F.xxhash64("t")).alias("cell")).agg(F.count("*").alias("n"))
+    level = F.char(F.lit(32) + F.least(F.length(F.bin("n")), F.lit(60)))
+    cells = counted.select(F.call_function("shiftright", "cell", F.lit(_ROW_BITS)).alias("row"), F.struct(F.col("cell").bitwiseAND((1 << _ROW_BITS) - 1).alias("at"), level.alias("s")).alias("c"))
+    rows = cells.groupBy("row").agg(_dense(F.collect_list("c"), 1).alias("s"))
+    whole_table = rows.agg(_dense(F.collect_list(F.struct(F.col("row").alias("at"), "s")), 1 << _ROW_BITS).alias("s"))
+    return cut(whole_table.select(F.encode("s", "UTF-8").alias("table")))
 
-    def ranked(h: Column) -> Column:
-        level = F.ascii(F.substring(table, _cell(h) + 1, F.lit(1)).cast("string")) - 32
-        return F.call_function("shiftleft", level.cast("long"), F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(mask))
 
-    hashes = F.array_distinct(F.transform(F.filter(_tokens(line), lambda t: t != ""), lambda t: F.xxhash64(t)))
-    return F.sort_array(F.transform(hashes, ranked))
+def _set(line: Column) -> Column:
+    """The set of words of a line, hashed."""
+    return F.array_distinct(F.transform(F.filter(_tokens(line), lambda t: t != ""), lambda t: F.xxhash64(t)))
 
 
 def _pack(line_no: Column, n: Column, at: Column) -> Column:
@@ -86,16 +81,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     keyed = lines.where("line <> ''").select(F.xxhash64("line").alias("k"), "id", "line_no", "line")
-    table = F.lit(_table(rarity(texts)))
+    table = rarity(texts).scalar()
     # one class for each text, with its earliest place
     classes = keyed.groupBy("k").agg(F.min(F.struct("id", "line_no", "line")).alias("first"), F.count("*").alias("copies"))
     ranked = classes.select("k", "first.id", "first.line_no", F.col("first.line").alias("line"), "copies")
-    sets = ranked.select("k", "id", "line_no", "copies", F.xxhash64(F.lit(1), "line").alias("check"), F.size(F.filter(_tokens(F.col("line")), lambda t: t != "")).alias("n_words"), _ordered(F.col("line"), table).alias("s"))
+    sets = ranked.select("k", "id", "line_no", "copies", F.xxhash64(F.lit(1), "line").alias("check"), F.size(F.filter(_tokens(F.col("line")), lambda t: t != "")).alias("n_words"), _set(F.col("line")).alias("s"))
     sets = sets.where(F.col("n_words") >= least_words)
-    n = F.size("s")
-    reach = n - F.ceil(n * p / q).cast("int") + 1
-    spread = sets.select("k", "id", "line_no", n.alias("n"), F.posexplode(F.slice("s", F.lit(1), reach)).alias("at", "token"))
-    lists = spread.select("token", "k", "id", _pack(F.col("line_no"), F.col("n"), F.col("at")).alias("p")).repartition("token")
+    spread = sets.select("k", "id", "line_no", F.size("s").alias("n"), F.explode("s").alias("token"))
+    # rarest words first: doublings of the count above a hash
+    level = (F.ascii(F.substring(table, _cell(F.col("token")) + 1, F.lit(1)).cast("string")) - 32).cast("long")
+    ordered = spread.withColumn("o", F.call_function("shiftleft", level, F.lit(_HASH_BITS)).bitwiseOR(F.col("token").bitwiseAND((1 << _HASH_BITS) - 1)))
+    placed = ordered.withColumn("at", F.row_number().over(W.partitionBy("k").orderBy("o")) - 1)
+    prefix = placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * p / q).cast("int"))
+    lists = prefix.select("token", "k", "id", _pack(F.col("line_no"), F.col("n"), F.col("at")).alias("p")).repartition("token")
     return _judge(spark, lists, sets, keyed, lines, similarity)
 
 
