@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontam, lines, pieces, pii, quality, simhash, urls, warc
+from weftline.llm import chat, decontam, lines, pieces, pii, quality, simhash, suffixes, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a repeated string of 400 bytes."""
+    got = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s.b - s.a))
+    return got.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     got = pii.personal_data(table(spark, sf_dir, "documents"))
@@ -101,6 +108,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_suffixes": op2_suffixes,
     "op3_pii": op3_pii,
     "op4_simhash": op4_simhash,
     "op5_lines": op5_lines,
