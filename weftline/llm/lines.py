@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftline.functions.lineage import cut
+from weftline.functions.lineage import cut, settle
 from weftline.llm.text import BLANKS, let, whole
 
 #: Similarity of 0.8 as a fraction.
@@ -46,9 +46,9 @@ def _dense(cells: Column, width: int) -> Column:
     return let(F.array_sort(cells), fill)
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row: a table with a byte for each cell, 32 plus the doublings in how often its words occur in all texts."""
-    counted = docs.select(F.explode(_tokens(whole(text_col))).alias("t")).where("t <> ''").groupBy(_cell(F.xxhash64("t")).alias("cell")).agg(F.count("*").alias("n"))
+def _tally(hashes: DataFrame) -> DataFrame:
+    """One row: a table with a byte for each cell, 32 plus the doublings in how many of ``hashes (h)`` fall into it."""
+    counted = hashes.groupBy(_cell(F.col("h")).alias("cell")).agg(F.count("*").alias("n"))
     level = F.char(F.lit(32) + F.least(F.length(F.bin("n")), F.lit(60)))
     cells = counted.select(F.call_function("shiftright", "cell", F.lit(_ROW_BITS)).alias("row"), F.struct(F.col("cell").bitwiseAND((1 << _ROW_BITS) - 1).alias("at"), level.alias("s")).alias("c"))
     rows = cells.groupBy("row").agg(_dense(F.collect_list("c"), 1).alias("s"))
@@ -56,14 +56,25 @@ def rarity(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return cut(whole_table.select(F.encode("s", "UTF-8").alias("table")))
 
 
+def _level(table: Column, h: Column) -> Column:
+    """What a table says of a hash: 0 for a cell that nothing falls into, 1 for one thing, then doublings."""
+    return F.ascii(F.substring(table, _cell(h) + 1, F.lit(1)).cast("string")) - 32
+
+
 def _set(line: Column) -> Column:
     """The set of words of a line, hashed."""
     return F.array_distinct(F.transform(F.filter(_tokens(line), lambda t: t != ""), lambda t: F.xxhash64(t)))
 
 
-def _pack(line_no: Column, n: Column, at: Column) -> Column:
-    left = lambda c, k: F.call_function("shiftleft", c.cast("long"), F.lit(k))
-    return left(line_no, 32).bitwiseOR(left(F.least(n, F.lit(65535)), 16)).bitwiseOR(F.least(at, F.lit(65535)).cast("long"))
+def _rarest_first(words: Column, table: Column) -> Column:
+    """Hashed words in order of doublings of their count, then of the hash."""
+    mask = (1 << _HASH_BITS) - 1
+    ranked = lambda h: F.call_function("shiftleft", _level(table, h).cast("long"), F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(mask))
+    return F.sort_array(F.transform(words, ranked))
+
+
+def _pack(n: Column, at: Column) -> Column:
+    return F.call_function("shiftleft", F.least(n, F.lit(65535)), F.lit(16)).bitwiseOR(F.least(at, F.lit(65535)))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY, least_words: int = 5) -> DataFrame:
@@ -75,65 +86,76 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     under ``least_words`` words stay. A null or empty text has one empty line. Rows that repeat
     an id are one document: a line number goes if it goes in any of them; a null id is an id of
     its own and comes first. An empty table gives an empty result.
+
+    Equal lines are one class, named by a 64-bit hash of the text; a line whose hash meets
+    that of another text stays. A hot line is added up before the shuffle.
     """
     p, q = similarity
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     keyed = lines.where("line <> ''").select(F.xxhash64("line").alias("k"), "id", "line_no", "line")
-    table = rarity(texts).scalar()
-    # one class for each text, with its earliest place
-    classes = keyed.groupBy("k").agg(F.min(F.struct("id", "line_no", "line")).alias("first"), F.count("*").alias("copies"))
-    ranked = classes.select("k", "first.id", "first.line_no", F.col("first.line").alias("line"), "copies")
-    sets = ranked.select("k", "id", "line_no", "copies", F.xxhash64(F.lit(1), "line").alias("check"), F.size(F.filter(_tokens(F.col("line")), lambda t: t != "")).alias("n_words"), _set(F.col("line")).alias("s"))
-    sets = sets.where(F.col("n_words") >= least_words)
-    spread = sets.select("k", "id", "line_no", F.size("s").alias("n"), F.explode("s").alias("token"))
-    # rarest words first: doublings of the count above a hash
-    level = (F.ascii(F.substring(table, _cell(F.col("token")) + 1, F.lit(1)).cast("string")) - 32).cast("long")
-    ordered = spread.withColumn("o", F.call_function("shiftleft", level, F.lit(_HASH_BITS)).bitwiseOR(F.col("token").bitwiseAND((1 << _HASH_BITS) - 1)))
-    placed = ordered.withColumn("at", F.row_number().over(W.partitionBy("k").orderBy("o")) - 1)
-    prefix = placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * p / q).cast("int"))
-    lists = prefix.select("token", "k", "id", _pack(F.col("line_no"), F.col("n"), F.col("at")).alias("p")).repartition("token")
-    return _judge(spark, lists, sets, keyed, lines, similarity)
-
-
-def _judge(spark, lists: DataFrame, sets: DataFrame, keyed: DataFrame, lines: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    words = texts.select(F.explode(_tokens(F.col("text"))).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("h"))
+    # a subquery may not be written inside a function over arrays, so the table is named in a column first; it
+    # is used once, and so are the words, for the two projections to become one and the column to vanish
+    sets = keyed.select("k", "id", _set(F.col("line")).alias("s"), F.size(F.filter(_tokens(F.col("line")), lambda t: t != "")).alias("n_words"))
+    sets = sets.where(F.col("n_words") >= least_words).select("k", "id", "s").withColumn("table", _tally(words).scalar())
+    ordered = sets.select("k", "id", _rarest_first(F.col("s"), F.col("table")).alias("o")).select("k", "id", "o", F.size("o").alias("n"))
+    prefix = ordered.select("k", "id", "n", F.posexplode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * p / q).cast("int") + 1)).alias("at", "token"))
+    # a word that occurs once leads to no other line
+    shareable = prefix.where(F.call_function("shiftright", "token", F.lit(_HASH_BITS)) > 1)
+    lists = shareable.groupBy("token", "k").agg(F.min("id").alias("id"), F.min(_pack(F.col("n"), F.col("at"))).alias("p"))
+    alike = W.partitionBy("token")
+    head = F.min(F.struct("id", "k", "p")).over(alike)
+    shared = settle(lists.select("*", F.count("*").over(alike).alias("together"), head.alias("head")).where("together > 1").select("token", "k", "id", "p", F.col("head.k").alias("head_k"), F.col("head.p").alias("head_p")), "shared-words")
+    similar = _similar(shared, keyed, similarity)
+    classes = _classes(keyed, least_words)
+    verdict = classes.join(similar.withColumn("similar", F.lit(True)), "k", "left").where((F.col("copies") > 1) | F.col("similar"))
+    judged = keyed.select("k", "id", "line_no", F.xxhash64(F.lit(1), "line").alias("check")).join(verdict, ["k", "check"])
+    later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no")))
+    gone = judged.where(F.coalesce("similar", F.lit(False)) | later).select("id", "line_no")
+    counted = lines.groupBy("id").agg((F.max("line_no") + 1).cast("long").alias("n_lines"))
+    by_doc = gone.groupBy("id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")).withColumnRenamed("id", "gone_id")
+    none = F.array().cast("array<int>")
+    return counted.join(by_doc, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("id", "n_lines", F.coalesce("removed", none).alias("removed"))
+
+
+def _classes(keyed: DataFrame, least_words: int) -> DataFrame:
+    """``(k, first, copies, check)`` of equal lines with enough words: the earliest place, how many, and a second hash of its text."""
+    n_words = F.size(F.filter(_tokens(F.col("line")), lambda t: t != ""))
+    long = keyed.where((F.length("line") >= 2 * least_words - 1) & (n_words >= least_words))
+    return long.groupBy("k").agg(F.min(F.struct("id", "line_no", F.xxhash64(F.lit(1), "line").alias("check"))).alias("f"), F.count("*").alias("copies")).select("k", F.struct("f.id", "f.line_no").alias("first"), "copies", "f.check")
+
+
+def _similar(shared: DataFrame, keyed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """``(k)`` of the classes that are similar to an earlier one; ``shared`` are places in lists of lines with a common prefix word."""
     p, q = similarity
-    place = F.struct("id", "p")
-    heads = lists.groupBy("token").agg(F.min(F.struct("id", "p", "k")).alias("head"), F.count("*").alias("together")).where("together > 1")
-    shared = lists.join(heads, "token")
+    listed = _tally(shared.select("k").distinct().select(F.col("k").alias("h"))).scalar()
+    near = keyed.where(_level(listed, F.col("k")) > 0).groupBy("k").agg(F.min(F.struct("id", "line_no", "line")).alias("f"))
+    sets = near.select("k", F.struct("f.id", "f.line_no").alias("place"), _set(F.col("f.line")).alias("s"))
     part = lambda c, shift: F.call_function("shiftright", c, F.lit(shift)).bitwiseAND(65535)
 
     def may_match(a: Column, b: Column) -> Column:
         """Length and position filters on two packed places of a shared word."""
-        n_a, n_b, at_a, at_b = part(a, 16), part(b, 16), a.bitwiseAND(65535), b.bitwiseAND(65535)
-        bound = 1 + F.least(n_a - at_a - 1, n_b - at_b - 1)
+        n_a, n_b, at_a, at_b = part(a, 16), part(b, 16), part(a, 0), part(b, 0)
+        bound = F.least(n_a - at_a, n_b - at_b)
         long = F.greatest(n_a, n_b) == 65535  # packed sizes end here
         return long | ((q * n_b >= p * n_a) & (q * n_a >= p * n_b) & ((p + q) * bound >= p * (n_a + n_b)))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Keys of the later lines of the pairs ``(x, y)`` that are similar."""
-        x, y = (sets.select(F.col("k").alias(c), F.col("s").alias(f"s_{c}")) for c in "xy")
+    def later_of(pairs: DataFrame) -> DataFrame:
+        """Keys of the later line of each of the pairs ``(x, y)`` that are similar."""
+        x, y = (sets.select(F.col("k").alias(c), F.col("place").alias(f"at_{c}"), F.col("s").alias(f"s_{c}")) for c in "xy")
         both = pairs.join(x, "x").join(y, "y")
-        common = F.size(F.array_intersect("s_x", "s_y"))
-        return both.where((p + q) * common >= p * (F.size("s_x") + F.size("s_y"))).select("x").distinct()
-
-    first_pairs = shared.where((F.col("k") != F.col("head.k")) & may_match(F.col("p"), F.col("head.p"))).select(F.col("k").alias("x"), F.col("head.k").alias("y")).distinct()
-    settled = cut(verified(first_pairs))
-    open_ = shared.join(settled, F.col("k") == F.col("x"), "left_anti").where(F.col("k") != F.col("head.k")).select("token", F.col("k").alias("x"), place.alias("at_x"))
-    earlier = shared.where(F.col("k") != F.col("head.k")).select("token", F.col("k").alias("y"), place.alias("at_y"))
-    rest = open_.join(earlier, "token").where((F.col("at_y") < F.col("at_x")) & (F.col("x") != F.col("y")) & may_match(F.col("at_x.p"), F.col("at_y.p")))
-    late = verified(rest.select("x", "y").distinct())
-    similar = settled.unionByName(late).distinct()
-    verdict = sets.select("k", F.col("id").alias("first_id"), F.col("line_no").alias("first_line"), "copies", "check").join(similar.withColumnRenamed("x", "k").withColumn("similar", F.lit(True)), "k", "left")
-    verdict = verdict.where((F.col("copies") > 1) | F.col("similar"))
-    judged = keyed.select("k", "id", "line_no", F.xxhash64(F.lit(1), "line").alias("check")).join(verdict, ["k", "check"])
-    later = ~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("line_no") == F.col("first_line")))
-    gone = judged.where(F.coalesce("similar", F.lit(False)) | later).select("id", "line_no")
-    counted = lines.groupBy("id").agg((F.max("line_no") + 1).cast("long").alias("n_lines"))
-    by_doc = gone.groupBy("id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")).withColumnRenamed("id", "gone_id")
-    none = F.array().cast("array<int>")
-    return counted.join(by_doc, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("id", "n_lines", F.coalesce("removed", none).alias("removed"))
+        alike = both.where((p + q) * F.size(F.array_intersect("s_x", "s_y")) >= p * (F.size("s_x") + F.size("s_y")))
+        return alike.select(F.when(F.col("at_x") > F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("k")).distinct()
+
+    with_head = shared.where("k <> head_k")
+    settled = cut(later_of(with_head.where(may_match(F.col("p"), F.col("head_p"))).select(F.col("k").alias("x"), F.col("head_k").alias("y")).distinct()))
+    open_ = with_head.join(settled, "k", "left_anti").select("token", F.col("k").alias("x"), F.col("id").alias("id_x"), F.col("p").alias("p_x"))
+    earlier = with_head.select("token", F.col("k").alias("y"), F.col("id").alias("id_y"), F.col("p").alias("p_y"))
+    # ids decide the order but for two lines of one document
+    in_order = (F.coalesce(F.col("id_y") < F.col("id_x"), F.col("id_y").isNull())) | (F.col("id_y").eqNullSafe(F.col("id_x")))
+    rest = open_.join(earlier, "token").where(in_order & (F.col("x") != F.col("y")) & may_match(F.col("p_x"), F.col("p_y")))
+    return settled.unionByName(later_of(rest.select("x", "y").distinct())).distinct()
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
