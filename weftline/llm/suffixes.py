@@ -26,7 +26,7 @@ from weftline.llm.text import whole
 
 LENGTH, GRAM = 400, 32
 #: Contexts of one anchor that go to one shard; a shard is sorted when it holds so many bytes.
-SPLIT, SHARD_BYTES = 4096, 1 << 21
+SPLIT, SHARD_BYTES = 4096, 1 << 20
 _CHUNK = 1 << 20
 #: Fixed odd multipliers of the rolling hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -94,20 +94,21 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for k in range(7):  # nine bits to a byte
         key = key << np.uint64(9) | padded[k : k + n]
-    order = np.argsort(key)
-    sorted_ = key[order]
-    head = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
-    rank = np.empty(n + 1, np.int64)
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    head = np.concatenate(([True], key[1:] != key[:-1]))
+    del padded, key
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
     place = np.flatnonzero(head)
     rank[order] = place[np.cumsum(head) - 1]
     known = 7
     size = np.diff(np.concatenate((place, [n])))
-    todo = np.flatnonzero(np.repeat(size > 1, size))  # places in order whose group is not yet single
+    todo = np.flatnonzero(np.repeat(size > 1, size)).astype(np.int32)  # places in order whose group is not yet single
     while len(todo) and known < depth:
         who = order[todo]
         group = rank[who]
-        after = rank[np.minimum(who + known, n)] + 1
+        after = rank[np.minimum(who + np.int32(known), n)] + 1
         sort = np.argsort(group * np.int64(n + 1) + after)
         who, group, after = who[sort], group[sort], after[sort]
         order[todo] = who
@@ -294,19 +295,20 @@ def _hashes(text: Column) -> list[Column]:
 
 
 def removed_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, split: int = SPLIT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``(t1, t2, spans)`` for each distinct text of which bytes go: runs ``(a, b)`` of its UTF-8 bytes, unmerged.
+    """``(t1, t2, spans)`` for each distinct text of which bytes go: runs ``(a, b)`` of its UTF-8 bytes, in no order and unmerged.
 
     Texts are named by two hashes. ``split`` and ``shard_bytes`` bound a shard: contexts of one
     anchor are dealt to a further shard for each ``split`` of them.
     """
     texts = docs.select(whole(text_col).alias("text"))
     dealt = texts.select(*_hashes(F.col("text")), "text").where(F.octet_length("text") >= length).mapInArrow(_occurrences(length), "t1 bigint, t2 bigint, s int, e int, key bigint, c1 bigint, c2 bigint, n bigint").repartition("key")
-    about = dealt.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("rows"), (F.min("c1") < F.max("c1")).alias("mixed")).where("total > 1")
+    about = dealt.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
     places = settle(dealt.join(about.drop("total"), "key"), "places")
-    first = [F.first(c).alias(c) for c in ("t1", "t2", "s", "e", "rows", "mixed")]
+    first = [F.first(c).alias(c) for c in ("t1", "t2", "s", "e")]
     kinds = settle(places.groupBy("key", "c1", "c2").agg(F.sum("n").alias("n"), *first), "contexts")
     whole_ones = kinds.where("n > 1").select("c1", "c2", F.array(F.struct(F.lit(0).alias("a"), (F.col("e") - F.col("s")).alias("b"))).alias("ranges"))
-    wanted = kinds.where("mixed").select("t1", "t2", F.struct("s", "e", "key", F.pmod("c1", F.ceil(F.col("rows") / split)).cast("int").alias("sub"), (F.col("rows") > split).alias("split"), "c1", "c2").alias("w"))
+    several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    wanted = kinds.join(several, "key").select("t1", "t2", F.struct("s", "e", "key", F.pmod("c1", F.ceil(F.col("kinds") / split)).cast("int").alias("sub"), (F.col("kinds") > split).alias("split"), "c1", "c2").alias("w"))
     by_text = wanted.groupBy("t1", "t2").agg(F.collect_list("w").alias("wanted"))
     distinct = texts.select(*_hashes(F.col("text")), "text").where(F.octet_length("text") >= length).groupBy("t1", "t2").agg(F.first("text").alias("text"))
     cut_out = distinct.join(by_text, ["t1", "t2"]).select("text", "wanted").mapInArrow(_extract, "key bigint, sub int, split boolean, c1 bigint, c2 bigint, data binary")
@@ -316,7 +318,7 @@ def removed_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     merged = windows.mapInArrow(_merge_shards(length), "c1 bigint, c2 bigint, at int").groupBy("c1", "c2").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b"))).alias("ranges"))
     verdict = whole_ones.unionByName(found.where("ranges is not null").select("c1", "c2", "ranges")).unionByName(merged)
     moved = places.select("t1", "t2", "s", "c1", "c2").join(verdict, ["c1", "c2"]).select("t1", "t2", F.transform("ranges", lambda r: F.struct((r.a + F.col("s")).alias("a"), (r.b + F.col("s")).alias("b"))).alias("r"))
-    return moved.groupBy("t1", "t2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("r")))).alias("spans"))
+    return moved.groupBy("t1", "t2").agg(F.flatten(F.collect_list("r")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, split: int = SPLIT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -337,7 +339,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sizes, gone, kept = [], [], []
             for text, spans in zip(batch.column(1), batch.column(2), strict=True):
                 data, runs = text.as_py().encode(), []
-                for r in spans.as_py() or ():
+                for r in sorted(spans.as_py() or (), key=lambda r: r["a"]):
                     if runs and r["a"] <= runs[-1]["b"]:
                         runs[-1]["b"] = max(runs[-1]["b"], r["b"])
                     else:
