@@ -102,10 +102,11 @@ def _segments(ranks: dict[str, int]) -> str:
     beside = {x for p in ranks for x in zip(p, p[1:], strict=False)}
     if any(b == SPACE != a for a, b in beside):
         return "(?s).+"
-    odd = "".join(sorted(re.escape(a) for a in {a for a, b in beside if letter(a) and not letter(b)}))
     other = f"(?:[^\\w{SPACE}]|[\\d_])"
+    odd = "".join(sorted(re.escape(a) for a in {a for a, b in beside if letter(a) and not letter(b)}))
     goes_on = f"|(?<=[{odd}]){other}+" if odd else ""
-    return f"{SPACE}*{other}*(?:[^\\W\\d_]{goes_on})+|{SPACE}*{other}+|{SPACE}+"
+    plain = f"{SPACE}[^\\W\\d_{odd}]++" + (f"(?![{odd}])" if odd else "")  # most stretches
+    return f"{plain}|{SPACE}*{other}*(?:[^\\W\\d_]{goes_on})+|{SPACE}*{other}+|{SPACE}+"
 
 
 class Encoder:
@@ -232,10 +233,10 @@ class Encoder:
         return ids
 
 
-def decode_ids(ids: list[int], v: Vocabulary) -> str:
+def decode_ids(ids: list[int], v: Vocabulary, parted: bool = True) -> str:
     """Text of the ids; control ids say nothing, a byte that is part of no character becomes U+FFFD."""
     try:
-        if not v.control.isdisjoint(ids[:-1]):  # they part runs of bytes
+        if parted:  # control ids part runs of bytes
             raise ValueError
         text = b"".join(map(v.texts.__getitem__, ids)).decode()
     except ValueError:
@@ -320,7 +321,10 @@ def decode(spark: SparkSession, df: DataFrame, model: str, ids_col: str = "ids",
         def work(rows: pa.ListArray) -> pa.Array:
             ends = np.cumsum(rows.value_lengths().fill_null(0).to_numpy()).tolist()
             values = rows.flatten().to_numpy()
-            return pa.array([decode_ids(values[a:b].tolist(), v) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.string())
+            # places of control ids; one at the end of a row is the usual one
+            inner = np.zeros(len(values) + 1, np.int64)
+            np.cumsum(np.isin(values, list(v.control)), out=inner[1:])
+            return pa.array([decode_ids(values[a:b].tolist(), v, inner[max(a, b - 1)] > inner[a]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.string())
 
         return work
 
