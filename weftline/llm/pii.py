@@ -139,7 +139,7 @@ def confident(mentioned: DataFrame, docs: DataFrame, text_col: str = "text", rul
     of_kind = pairs.where("kind is not null").groupBy("cue", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= rules.support)
     patterns = of_kind.select("cue").distinct()
     split = F.split(F.translate(F.lower(whole(text_col)), BLANKS + "=:\"'<>,;()[]{}|", " " * (len(BLANKS) + 16)), " ")
-    often = docs.select(F.explode(split).alias("cue")).join(patterns, "cue", "left_semi").groupBy("cue").agg(F.count("*").alias("often"))
+    often = docs.select(F.explode(split).alias("cue")).where("cue <> ''").groupBy("cue").agg(F.count("*").alias("often")).join(patterns, "cue", "left_semi")
     weighed = cut(of_kind.join(often, "cue"))
     around = cut(pairs.where("kind is null").select("cue", "instance").join(patterns, "cue", "left_semi"))
     likely = None
