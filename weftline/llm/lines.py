@@ -23,6 +23,7 @@ SIMILARITY = (4, 5)
 #: Words are counted in 2^22 cells; a cell is one byte of a table of 4 MB, however many words there are.
 _CELL_BITS, _ROW_BITS = 22, 12
 _HASH_BITS = 56
+_MOST = (1 << 15) - 1
 
 
 def _cell(h: Column) -> Column:
@@ -74,7 +75,7 @@ def _rarest_first(words: Column, table: Column) -> Column:
 
 
 def _pack(n: Column, at: Column) -> Column:
-    return F.call_function("shiftleft", F.least(n, F.lit(65535)), F.lit(16)).bitwiseOR(F.least(at, F.lit(65535)))
+    return F.call_function("shiftleft", F.least(n, F.lit(_MOST)), F.lit(16)).bitwiseOR(F.least(at, F.lit(_MOST)))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY, least_words: int = 5) -> DataFrame:
@@ -101,9 +102,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sets = sets.where(F.col("n_words") >= least_words).select("k", "id", "s").withColumn("table", _tally(words).scalar())
     ordered = sets.select("k", "id", _rarest_first(F.col("s"), F.col("table")).alias("o")).select("k", "id", "o", F.size("o").alias("n"))
     prefix = ordered.select("k", "id", "n", F.posexplode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * p / q).cast("int") + 1)).alias("at", "token"))
-    # a word that occurs once leads to no other line
+    # a word that occurs once leads to no other line; 32 bits of the hash are enough to meet, as what meets is verified
     shareable = prefix.where(F.call_function("shiftright", "token", F.lit(_HASH_BITS)) > 1)
-    lists = shareable.groupBy("token", "k").agg(F.min("id").alias("id"), F.min(_pack(F.col("n"), F.col("at"))).alias("p"))
+    short = F.call_function("shiftright", F.call_function("shiftleft", "token", F.lit(32)), F.lit(32)).cast("int")
+    dealt = shareable.select(short.alias("token"), _pack(F.col("n"), F.col("at")).cast("int").alias("p"), "k", "id").repartition("token")
+    lists = dealt.groupBy("token", "k", "p").agg(F.min("id").alias("id"))
     alike = W.partitionBy("token")
     head = F.min(F.struct("id", "k", "p")).over(alike)
     shared = settle(lists.select("*", F.count("*").over(alike).alias("together"), head.alias("head")).where("together > 1").select("token", "k", "id", "p", F.col("head.k").alias("head_k"), F.col("head.p").alias("head_p")), "shared-words")
@@ -138,7 +141,7 @@ def _similar(shared: DataFrame, keyed: DataFrame, similarity: tuple[int, int]) -
         """Length and position filters on two packed places of a shared word."""
         n_a, n_b, at_a, at_b = part(a, 16), part(b, 16), part(a, 0), part(b, 0)
         bound = F.least(n_a - at_a, n_b - at_b)
-        long = F.greatest(n_a, n_b) == 65535  # packed sizes end here
+        long = F.greatest(n_a, n_b) == _MOST  # packed sizes end here
         return long | ((q * n_b >= p * n_a) & (q * n_a >= p * n_b) & ((p + q) * bound >= p * (n_a + n_b)))
 
     def later_of(pairs: DataFrame) -> DataFrame:
