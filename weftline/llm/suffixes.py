@@ -20,13 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weftline.functions.lineage import settle
 from weftline.llm.text import whole
 
 LENGTH, GRAM = 400, 32
-#: Contexts of one anchor that go to one shard; a shard is sorted when it holds so many bytes.
-SPLIT, SHARD_BYTES = 4096, 1 << 20
+#: Contexts of one anchor that go to one shard; a shard is sorted when it holds so many bytes; shards of one
+#: anchor that one task merges.
+SPLIT, SHARD_BYTES, TASK_SHARDS = 4096, 1 << 20, 16
 _CHUNK = 1 << 20
 #: Fixed odd multipliers of the rolling hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -235,31 +237,61 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_CONTEXT, rows)
 
 
-def _sort_shards(length: int, shard_bytes: int):
-    def shard(group: list[tuple]) -> list[tuple]:
-        """Found ranges of each context; for contexts whose anchor fills several shards also their sorted windows."""
-        masks, owner, at, first = repeated([g[5] for g in group], length)
-        rows = [(g[3], g[4], [{"a": a, "b": b} for a, b in ranges(m, length)], None, None, None) for g, m in zip(group, masks, strict=True) if m.any()]
-        split = np.array([g[2] for g in group])[owner] & first if len(owner) else first
-        if split.any():
-            data = np.frombuffer(b"".join(g[5] for g in group), np.uint8)
-            starts = np.concatenate(([0], np.cumsum([len(g[5]) for g in group])))[owner[split]] + at[split]
-            w1, w2 = (_rolling(data, length, b)[starts].view(np.int64).tolist() for b in _BASES)
-            rows += [(group[o][3], group[o][4], None, x, y, p) for o, p, x, y in zip(owner[split].tolist(), at[split].tolist(), w1, w2, strict=True)]
-        return rows
+def _many(w: np.ndarray) -> np.ndarray:
+    """Which rows of the sorted pairs occur more than once, by binary search."""
+    pairs = np.ascontiguousarray(w).view([("x", np.int64), ("y", np.int64)]).ravel()
+    return np.searchsorted(pairs, pairs, "right") - np.searchsorted(pairs, pairs, "left") > 1
+
+
+def _sort_shards(length: int, split: int, shard_bytes: int):
+    def windows(shard: list[tuple], owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        data = np.frombuffer(b"".join(g[5] for g in shard), np.uint8)
+        starts = np.concatenate(([0], np.cumsum([len(g[5]) for g in shard])))[owner] + at
+        return np.stack([_rolling(data, length, b)[starts].view(np.int64) for b in _BASES], axis=1)
+
+    def settle_group(group: list[tuple]) -> list[tuple]:
+        """Found ranges of each context. If the contexts of one anchor fill several shards, the sorted windows of
+        these are merged; if they fill several tasks, their windows are given as well."""
+        masks, own, at, sums = [], [], [], []
+        several = len(group) > split and group[0][:2] == group[-1][:2]
+        for k in range(0, len(group), split if several else len(group)):
+            shard = group[k : k + split] if several else group
+            found, owner, place, first = repeated([g[5] for g in shard], length)
+            masks += [m.copy() for m in found]
+            if several or any(g[2] for g in shard):
+                pick = first if several else first & np.array([g[2] for g in shard])[owner]
+                own.append(owner[pick] + k)
+                at.append(place[pick])
+                sums.append(windows(shard, owner[pick], place[pick]))
+        rows = []
+        if sums:
+            o, p, w = np.concatenate(own), np.concatenate(at), np.concatenate(sums)
+            if several:
+                order = np.lexsort((w[:, 1], w[:, 0]))
+                o, p, w = o[order], p[order], w[order]
+                for c, q in zip(o[many := _many(w)].tolist(), p[many].tolist(), strict=True):
+                    masks[c][q] = True
+            rows = [(group[c][3], group[c][4], None, x, y, q) for c, q, (x, y) in zip(o.tolist(), p.tolist(), w.tolist(), strict=True) if group[c][2]]
+        return [(g[3], g[4], [{"a": a, "b": b} for a, b in ranges(m, length)], None, None, None) for g, m in zip(group, masks, strict=True) if m.any()] + rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, size = [], 0
+        group, size, start = [], 0, 0  # start: where the contexts of the last anchor begin
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and row[:2] != group[-1][:2] and size >= shard_bytes:
-                    yield _batch(_FOUND, shard(group))
-                    group, size = [], 0
+                if group and row[:2] != group[-1][:2]:
+                    if size >= shard_bytes or len(group) - start > split:
+                        # a large anchor stands alone
+                        for part in (group[:start], group[start:]) if len(group) - start > split else (group,):
+                            if part:
+                                yield _batch(_FOUND, settle_group(part))
+                        group, size = [], 0
+                    start = len(group)
                 if not group or row[:5] != group[-1][:5]:
                     group.append(row)
                     size += len(row[5])
-        if group:
-            yield _batch(_FOUND, shard(group))
+        for part in (group[:start], group[start:]):
+            if part:
+                yield _batch(_FOUND, settle_group(part))
 
     return run
 
@@ -269,9 +301,7 @@ def _merge_shards(length: int):
     schema = pa.schema([("c1", _L), ("c2", _L), ("at", _I)])
 
     def settled(w: np.ndarray, rest: pa.RecordBatch) -> pa.RecordBatch:
-        pairs = np.ascontiguousarray(w).view([("x", np.int64), ("y", np.int64)]).ravel()
-        many = np.searchsorted(pairs, pairs, "right") - np.searchsorted(pairs, pairs, "left") > 1
-        return rest.filter(pa.array(many))
+        return rest.filter(pa.array(_many(w)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -294,25 +324,27 @@ def _hashes(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
 
 
-def removed_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, split: int = SPLIT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def removed_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH, split: int = SPLIT, shard_bytes: int = SHARD_BYTES, task_shards: int = TASK_SHARDS) -> DataFrame:
     """``(t1, t2, spans)`` for each distinct text of which bytes go: runs ``(a, b)`` of its UTF-8 bytes, in no order and unmerged.
 
     Texts are named by two hashes. ``split`` and ``shard_bytes`` bound a shard: contexts of one
-    anchor are dealt to a further shard for each ``split`` of them.
+    anchor are dealt to a further shard for each ``split`` of them, and to a further task for each
+    ``task_shards`` shards.
     """
     texts = docs.select(whole(text_col).alias("text"))
     dealt = texts.select(*_hashes(F.col("text")), "text").where(F.octet_length("text") >= length).mapInArrow(_occurrences(length), "t1 bigint, t2 bigint, s int, e int, key bigint, c1 bigint, c2 bigint, n bigint").repartition("key")
-    about = dealt.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
-    places = settle(dealt.join(about.drop("total"), "key"), "places")
+    total = F.sum("n").over(W.partitionBy("key"))
+    places = settle(dealt.withColumn("total", total).where("total > 1").drop("total"), "places")
     first = [F.first(c).alias(c) for c in ("t1", "t2", "s", "e")]
     kinds = settle(places.groupBy("key", "c1", "c2").agg(F.sum("n").alias("n"), *first), "contexts")
     whole_ones = kinds.where("n > 1").select("c1", "c2", F.array(F.struct(F.lit(0).alias("a"), (F.col("e") - F.col("s")).alias("b"))).alias("ranges"))
+    in_task = split * task_shards
     several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(several, "key").select("t1", "t2", F.struct("s", "e", "key", F.pmod("c1", F.ceil(F.col("kinds") / split)).cast("int").alias("sub"), (F.col("kinds") > split).alias("split"), "c1", "c2").alias("w"))
+    wanted = kinds.join(several, "key").select("t1", "t2", F.struct("s", "e", "key", F.pmod("c1", F.ceil(F.col("kinds") / in_task)).cast("int").alias("sub"), (F.col("kinds") > in_task).alias("split"), "c1", "c2").alias("w"))
     by_text = wanted.groupBy("t1", "t2").agg(F.collect_list("w").alias("wanted"))
     distinct = texts.select(*_hashes(F.col("text")), "text").where(F.octet_length("text") >= length).groupBy("t1", "t2").agg(F.first("text").alias("text"))
     cut_out = distinct.join(by_text, ["t1", "t2"]).select("text", "wanted").mapInArrow(_extract, "key bigint, sub int, split boolean, c1 bigint, c2 bigint, data binary")
-    sorted_ = cut_out.repartition("key", "sub").sortWithinPartitions("key", "sub", "c1", "c2").mapInArrow(_sort_shards(length, shard_bytes), _FOUND_DDL)
+    sorted_ = cut_out.repartition("key", "sub").sortWithinPartitions("key", "sub", "c1", "c2").mapInArrow(_sort_shards(length, split, shard_bytes), _FOUND_DDL)
     found = settle(sorted_, "found")
     windows = found.where("w1 is not null").select("w1", "w2", "c1", "c2", "at").repartition("w1").sortWithinPartitions("w1", "w2")
     merged = windows.mapInArrow(_merge_shards(length), "c1 bigint, c2 bigint, at int").groupBy("c1", "c2").agg(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b"))).alias("ranges"))
@@ -321,14 +353,14 @@ def removed_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     return moved.groupBy("t1", "t2").agg(F.flatten(F.collect_list("r")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, split: int = SPLIT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, split: int = SPLIT, shard_bytes: int = SHARD_BYTES, task_shards: int = TASK_SHARDS) -> DataFrame:
     """``(id, n_bytes, spans, kept)``, one row per row of ``docs``: merged byte runs that go, and the bytes that stay.
 
     A byte goes if it lies in a string of ``length`` bytes that also starts anywhere else, in
     this or another row. Null and empty texts have no bytes; shorter texts stay whole; repeated
     rows are repeats of each other. Ids may be null or repeated.
     """
-    spans = removed_spans(docs, text_col, length, split, shard_bytes)
+    spans = removed_spans(docs, text_col, length, split, shard_bytes, task_shards)
     named = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     joined = named.select("id", *_hashes(F.col("text")), "text").join(spans, ["t1", "t2"], "left").select("id", "text", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
