@@ -51,8 +51,8 @@ _ROUTES = f"""pairs AS ({PAIRS}), {_D}, {_CLO},
 both_(pair_id, id) AS (SELECT pair_id, x.id FROM pairs, (SELECT DISTINCT id FROM (SELECT src AS id FROM d UNION ALL SELECT dst FROM d)) x
   WHERE (x.id = pairs.src OR (pairs.src, x.id) IN (SELECT src, dst FROM clo)) AND (x.id = pairs.dst OR (x.id, pairs.dst) IN (SELECT src, dst FROM clo))),
 near AS (SELECT a.pair_id, d.src, d.dst FROM d JOIN both_ a ON a.id = d.src JOIN both_ b ON b.id = d.dst AND b.pair_id = a.pair_id),
-walk(pair_id, at, path) AS (SELECT pair_id, src, [src] FROM pairs UNION ALL SELECT w.pair_id, n.dst, list_append(path, n.dst) FROM walk w JOIN near n ON n.pair_id = w.pair_id AND n.src = w.at WHERE NOT list_contains(path, n.dst)),
-full_ AS (SELECT w.pair_id, path, len(path) - 1 AS hops, row_number() OVER (PARTITION BY w.pair_id ORDER BY len(path), path) AS rank FROM walk w JOIN pairs p ON p.pair_id = w.pair_id AND w.at = p.dst),
+walk(pair_id, stop, path) AS (SELECT pair_id, src, [src] FROM pairs UNION ALL SELECT w.pair_id, n.dst, list_append(path, n.dst) FROM walk w JOIN near n ON n.pair_id = w.pair_id AND n.src = w.stop WHERE NOT list_contains(path, n.dst)),
+full_ AS (SELECT w.pair_id, path, len(path) - 1 AS hops, row_number() OVER (PARTITION BY w.pair_id ORDER BY len(path), path) AS rank FROM walk w JOIN pairs p ON p.pair_id = w.pair_id AND w.stop = p.dst),
 top AS (SELECT * FROM full_ WHERE rank <= 30),
 sp AS (SELECT pairs.*, path IS NOT NULL AS reachable, coalesce(path, []) AS path FROM pairs LEFT JOIN full_ ON full_.pair_id = pairs.pair_id AND rank = 1),
 nodes_on AS (SELECT pair_id, unnest(path[2:-2]) AS id, count(*) OVER (PARTITION BY pair_id) AS dummy FROM full_),
