@@ -228,9 +228,8 @@ def _cut_of(edges: dict, src, dst) -> list:
     def moves(state):
         n, out = state
         if out:
-            for b in edges.get(n, ()):
-                if ((n, 1), (b, 0)) not in flow:
-                    yield (b, 0)
+            for b in edges.get(n, ()):  # edges have no bound of their own
+                yield (b, 0)
             if n not in (src, dst) and ((n, 0), (n, 1)) in flow:
                 yield (n, 0)
         else:
