@@ -42,7 +42,7 @@ def _dense(cells: Column, width: int) -> Column:
 
     def fill(a: Column) -> Column:
         parts = F.transform(a, lambda e, k: F.concat(blank(e.at - F.coalesce(F.get(a, k - 1).at, F.lit(-1)) - 1), e.s))
-        return F.concat(F.array_join(parts, ""), blank(size - 1 - F.coalesce(F.element_at(a, -1).at, F.lit(-1))))
+        return F.concat(F.array_join(parts, ""), blank(size - 1 - F.coalesce(F.try_element_at(a, F.lit(-1)).at, F.lit(-1))))
 
     return let(F.array_sort(cells), fill)
 

@@ -218,7 +218,10 @@ def links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the code covers thresholds from 0 to {THRESHOLD}")
-    spread = prints.select("fingerprint").where("fingerprint is not null").distinct().mapInArrow(_replicate, "anchor int, fingerprint bigint")
+    # a fingerprint becomes some hundred rows, so a task is to hold few; a given number is not put together again
+    tasks = 4 * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = prints.select("fingerprint").where("fingerprint is not null").repartition(tasks, "fingerprint").distinct()
+    spread = dealt.mapInArrow(_replicate, "anchor int, fingerprint bigint")
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare(threshold), "a bigint, b bigint").distinct()
 
 
