@@ -106,7 +106,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shareable = prefix.where(F.call_function("shiftright", "token", F.lit(_HASH_BITS)) > 1)
     short = F.call_function("shiftright", F.call_function("shiftleft", "token", F.lit(32)), F.lit(32)).cast("int")
     dealt = shareable.select(short.alias("token"), _pack(F.col("n"), F.col("at")).cast("int").alias("p"), "k", "id").repartition("token")
-    lists = dealt.groupBy("token", "k", "p").agg(F.min("id").alias("id"))
+    lists = dealt.groupBy("token", "k", "p").agg(F.when(~F.max(F.col("id").isNull()), F.min("id")).alias("id"))
     alike = W.partitionBy("token")
     head = F.min(F.struct("id", "k", "p")).over(alike)
     shared = settle(lists.select("*", F.count("*").over(alike).alias("together"), head.alias("head")).where("together > 1").select("token", "k", "id", "p", F.col("head.k").alias("head_k"), F.col("head.p").alias("head_p")), "shared-words")
@@ -132,9 +132,6 @@ def _classes(keyed: DataFrame, least_words: int) -> DataFrame:
 def _similar(shared: DataFrame, keyed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``(k)`` of the classes that are similar to an earlier one; ``shared`` are places in lists of lines with a common prefix word."""
     p, q = similarity
-    listed = _tally(shared.select("k").distinct().select(F.col("k").alias("h"))).scalar()
-    near = keyed.where(_level(listed, F.col("k")) > 0).groupBy("k").agg(F.min(F.struct("id", "line_no", "line")).alias("f"))
-    sets = near.select("k", F.struct("f.id", "f.line_no").alias("place"), _set(F.col("f.line")).alias("s"))
     part = lambda c, shift: F.call_function("shiftright", c, F.lit(shift)).bitwiseAND(65535)
 
     def may_match(a: Column, b: Column) -> Column:
@@ -145,20 +142,27 @@ def _similar(shared: DataFrame, keyed: DataFrame, similarity: tuple[int, int]) -
         return long | ((q * n_b >= p * n_a) & (q * n_a >= p * n_b) & ((p + q) * bound >= p * (n_a + n_b)))
 
     def later_of(pairs: DataFrame) -> DataFrame:
-        """Keys of the later line of each of the pairs ``(x, y)`` that are similar."""
+        """Keys of the later line of each of the pairs ``(x, y)`` that are similar.
+
+        Only texts whose hash falls into a cell of the pairs' hashes are moved to meet them.
+        """
+        pairs = cut(pairs.distinct())
+        listed = _tally(pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct()).scalar()
+        near = keyed.where(_level(listed, F.col("k")) > 0).groupBy("k").agg(F.min(F.struct("id", "line_no", "line")).alias("f"))
+        sets = near.select("k", F.struct("f.id", "f.line_no").alias("place"), _set(F.col("f.line")).alias("s"))
         x, y = (sets.select(F.col("k").alias(c), F.col("place").alias(f"at_{c}"), F.col("s").alias(f"s_{c}")) for c in "xy")
         both = pairs.join(x, "x").join(y, "y")
         alike = both.where((p + q) * F.size(F.array_intersect("s_x", "s_y")) >= p * (F.size("s_x") + F.size("s_y")))
         return alike.select(F.when(F.col("at_x") > F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("k")).distinct()
 
     with_head = shared.where("k <> head_k")
-    settled = cut(later_of(with_head.where(may_match(F.col("p"), F.col("head_p"))).select(F.col("k").alias("x"), F.col("head_k").alias("y")).distinct()))
+    settled = cut(later_of(with_head.where(may_match(F.col("p"), F.col("head_p"))).select(F.col("k").alias("x"), F.col("head_k").alias("y"))))
     open_ = with_head.join(settled, "k", "left_anti").select("token", F.col("k").alias("x"), F.col("id").alias("id_x"), F.col("p").alias("p_x"))
     earlier = with_head.select("token", F.col("k").alias("y"), F.col("id").alias("id_y"), F.col("p").alias("p_y"))
     # ids decide the order but for two lines of one document
     in_order = (F.coalesce(F.col("id_y") < F.col("id_x"), F.col("id_y").isNull())) | (F.col("id_y").eqNullSafe(F.col("id_x")))
     rest = open_.join(earlier, "token").where(in_order & (F.col("x") != F.col("y")) & may_match(F.col("p_x"), F.col("p_y")))
-    return settled.unionByName(later_of(rest.select("x", "y").distinct())).distinct()
+    return settled.unionByName(later_of(rest.select("x", "y"))).distinct()
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
