@@ -76,18 +76,21 @@ def _repeated_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(windows, counted))
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rules: Rules | None = None) -> DataFrame:
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rules: Rules | None = None, with_rows: bool = False) -> DataFrame:
     """``(id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed)``, one row per row.
 
-    A null text counts as empty. ``n_lines`` counts lines that hold a word.
+    A null text counts as empty. ``n_lines`` counts lines that hold a word. ``with_rows`` adds
+    the whole row as a struct ``row``.
     """
+    row = [F.struct(*(F.col(c) for c in docs.columns)).alias("row")] if with_rows else []
+    carried = ["row"] if with_rows else []
     rules = rules or Rules()
     text = whole(text_col)
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     counted = (
-        docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), text.alias("text"))
+        docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), text.alias("text"), *row)
         .select(
-            "id", "lang", "source",
+            "id", "lang", "source", *carried,
             let(words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeated_words(w).alias("r"))).alias("w"),
             let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("l"),
             F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
@@ -95,7 +98,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         )
     )
     return counted.select(
-        "id", "lang", "source", F.col("w.n").alias("n_words"), "word_chars", "n_symbols",
+        "id", "lang", "source", *carried, F.col("w.n").alias("n_words"), "word_chars", "n_symbols",
         F.col("l.d").alias("n_dup_lines"), F.col("w.r").alias("n_repeat_words"), F.col("l.n").alias("n_lines"),
         ((F.col("w.n") < rules.least_words) | (100 * F.col("w.r") > rules.most_repeated_percent * F.col("w.n"))).alias("base_failed"),
     )
@@ -151,16 +154,18 @@ def thresholds(sketched: DataFrame, rules: Rules | None = None) -> DataFrame:
     )
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rules: Rules | None = None) -> DataFrame:
-    """:func:`measures` of every row with ``kept``.
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", rules: Rules | None = None, with_rows: bool = False) -> DataFrame:
+    """:func:`measures` of every row with ``kept``; with the whole row as ``row`` if asked for.
 
     ``kept`` is false if the base rules fail, else true unless a measure lies outside the bounds
     of the row's language and source (of its language, then of all, for groups with under
     ``least_group`` rows that pass the base). Null languages and sources are groups of their own.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Measures are kept for the second use of them; with
+    whole rows they are taken again instead, so that no text is moved to meet its verdict.
     """
     rules = rules or Rules()
-    measured = cut(measures(docs, id_col, text_col, lang_col, source_col, rules))
+    measured = measures(docs, id_col, text_col, lang_col, source_col, rules)
+    measured = measured if with_rows else cut(measured)
     bounds = cut(thresholds(sketches(measured, rules), rules))
     level = lambda k: bounds.where(F.col("level") == k)
     group = level(0).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(F.col(c).alias(f"g_{c}") for c in ("n", "low", "high")))
@@ -168,6 +173,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     every = level(2).select(F.col("low").alias("e_low"), F.col("high").alias("e_high"))
     chosen = lambda side: F.when(F.col("g_n") >= rules.least_group, F.col(f"g_{side}")).when(F.col("l_n") >= rules.least_group, F.col(f"l_{side}")).otherwise(F.col(f"e_{side}"))
     by_group = group.join(lang, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(every), F.lit(True), "left").select("g_lang", "g_source", chosen("low").alias("low"), chosen("high").alias("high"))
+    if with_rows:
+        measured = measures(docs, id_col, text_col, lang_col, source_col, rules, with_rows=True)
     rates = _rates()
     outside = F.lit(False)
     for name, _, both in rules.slack:
