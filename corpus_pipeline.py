@@ -16,8 +16,7 @@ from weftline.llm import decontam, lines, pieces, quality, simhash
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the bounds of their language and source."""
-    kept = quality.quality(docs).where("kept").select(F.col("id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    return quality.quality(docs, with_rows=True).where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
