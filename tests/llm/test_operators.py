@@ -130,6 +130,39 @@ def test_decontamination(spark):
         assert Counter((r.doc_id, tuple(sorted({o.item_id for o in r.overlaps}))) for r in got) == Counter([(1, (7,)), (2, ()), (3, ()), (3, (7,))])
 
 
+def test_substituted_passages():
+    """Partial passages and short items, against all stretches of all alignments."""
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(1 << 30)}"
+
+    def found(item, text):
+        for shift in range(-len(item) + 1, len(text)):
+            same = [0 <= k + shift < len(text) and w == text[k + shift] for k, w in enumerate(item)]
+            if 5 * sum(same) >= 4 * len(item):
+                return True
+            inside = [k for k in range(len(item)) if 0 <= k + shift < len(text)]
+            for a in inside:
+                if any(5 * sum(same[a:b]) >= 4 * (b - a) for b in range(a + 13, inside[-1] + 2)):
+                    return True
+        return False
+
+    cases = [(60, 16, [12]), (60, 13, [4, 8]), (60, 50, range(4, 50, 5)), (60, 15, [3, 7, 11]), (60, 13, [3, 6, 9]), (60, 12, [])]
+    cases += [(60, n, rnd.sample(range(n), rnd.randint(n // 6, n // 4))) for n in range(9, 40) for _ in range(6)]
+    cases += [(n, n, rnd.sample(range(n), k)) for n in range(5, 26) for k in range(n // 5 + 2) for _ in range(5)]
+    cases += [(n, n, [k]) for n in range(5, 11) for k in range(n)]
+    hits = 0
+    for n, part, differ in cases:
+        item = [word() for _ in range(n)]
+        at = rnd.randint(0, n - part)
+        copy = [word() if k in differ else w for k, w in enumerate(item[at : at + part])]
+        text = [word() for _ in range(rnd.choice((0, 9)))] + copy + [word() for _ in range(rnd.choice((0, 9)))]
+        got = decontam.Block([(7, " ".join(item))], decontam.Overlap()).find(" ".join(text))
+        assert bool(got) == found(item, text), (n, part, differ)
+        assert all(5 * same >= 4 * length for *_, length, same in got if length >= 13)
+        hits += bool(got)
+    assert 100 < hits < len(cases) - 50
+
+
 def test_pieces_match_the_library(spark, odd_texts):
     import sentencepiece
 

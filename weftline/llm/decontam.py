@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,9 @@ from pyspark.sql import types as T
 
 from weftline.functions.lineage import settle
 
-#: Places that each mask looks at. Together they meet any 13 words of which 2 differ, and most of which 3 do.
-MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 8, 10), (0, 1, 6, 7, 8, 9), (0, 2, 3, 4, 7, 8))
+#: Places that each mask looks at. Together they meet any 11 words or more of which four in five agree (tried in
+#: full for 11 to 25 words; from 26 on, one half of at least 13 agrees as well).
+MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 8, 10), (0, 1, 6, 7, 8, 9), (0, 2, 3, 4, 7, 8), (0, 1, 3, 7, 8))
 #: Fixed odd multiplier of the seed hash.
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,7 +30,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 @dataclass(frozen=True)
 class Overlap:
     """An item counts as found where at least four in five words agree, over the whole item or over
-    ``least`` words of it in a row; items under ``shortest`` words are not looked for."""
+    ``least`` or more words of it in a row; items under ``shortest`` words are not looked for."""
 
     least: int = 13
     shortest: int = 5
@@ -57,6 +59,17 @@ def _seed(ids: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return out
 
 
+def _short_masks(n: int, differ: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Masks with their places in an item of ``n`` words that meet it wherever ``differ`` of them are others.
+
+    The item is cut into two parts more than words may differ: any two parts make a mask.
+    """
+    count = min(n, differ + 2)
+    parts = [range(n * k // count, n * (k + 1) // count) for k in range(count)]
+    chosen = [sorted(at for p in some for at in p) for some in combinations(parts, count - differ)]
+    return [(c[0], tuple(at - c[0] for at in c)) for c in chosen]
+
+
 class Block:
     """Part of a benchmark, ready to be looked up: its words, and for each mask the sorted seeds with their places."""
 
@@ -72,11 +85,14 @@ class Block:
             k = len(self.items)
             self.items.append(ids)
             self.names.append(name)
-            # masks that don't fit are replaced by the whole item
-            masks = [m for m in MASKS if m[-1] < len(ids)] if len(ids) > max(m[-1] for m in MASKS) else [tuple(range(len(ids)))]
-            for m in masks:
-                h = _seed(ids, m)
-                seeds.setdefault(m, []).append((h, np.full(len(h), k), np.arange(len(h))))
+            if len(ids) > max(m[-1] for m in MASKS):
+                for m in MASKS:
+                    h = _seed(ids, m)
+                    seeds.setdefault(m, []).append((h, np.full(len(h), k, np.int32), np.arange(len(h), dtype=np.int32)))
+                continue
+            p, q = rules.agree
+            for at, m in _short_masks(len(ids), len(ids) * (q - p) // q):
+                seeds.setdefault(m, []).append((_seed(ids[at:], m)[:1], np.full(1, k, np.int32), np.full(1, at, np.int32)))
         self.seeds = {}
         for m, parts in seeds.items():
             h, item, at = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -117,11 +133,11 @@ class Block:
         p, q = rules.agree
         if q * int(same.sum()) >= p * len(item):
             return self.names[k], lo + shift, lo, hi - lo, int(same.sum())
-        # the longest-scoring stretch in which enough words agree
+        # the longest stretch in which enough words agree: for each end, the first start with no higher score
         score = np.concatenate(([0], np.cumsum(np.where(same, q - p, -p))))
-        gain = score - np.minimum.accumulate(score)
-        end = int(np.argmax(gain))
-        start = int(np.flatnonzero(score[: end + 1] == score[: end + 1].min())[0])
+        first = np.searchsorted(-np.minimum.accumulate(score), -score)
+        end = int(np.argmax(np.arange(len(score)) - first))
+        start = int(first[end])
         if end - start < rules.least:
             return None
         return self.names[k], lo + shift + start, lo + start, end - start, int(same[start:end].sum())
