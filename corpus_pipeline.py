@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.lineage import settle
+from weftline.functions.lineage import cut, settle
 from weftline.llm import decontam, lines, pieces, quality, simhash
 
 
@@ -26,9 +26,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    first = simhash.near_duplicates(docs).where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The first document of each group of near copies by SimHash, unless an earlier one of these has at least 0.8 of its shingles.
+
+    Fingerprints within four bits settle close copies; what they leave is compared by an exact
+    join of the sets of five-word shingles. Rows are ordered by id, null first; those that share
+    an id are told apart by their text, and of those that share both one stays.
+    """
+    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("text")))
+    told = simhash.near_duplicates(keyed, id_col="__key")
+    first = cut(told.where(F.col("id") == F.col("component")).groupBy(F.col("id").alias("__key")).agg(F.count("*").alias("__rows")))
+    sets = settle(simhash.shingle_sets(keyed.join(first, "__key", "left_semi"), id_col="__key"), "shingles")
+    gone = lines.removed_lines(sets, "id", least_words=1).where(F.size("removed") > 0).select(F.col("id").alias("__key"))
+    kept = cut(first.join(gone, "__key", "left_anti"))
+    once = keyed.join(kept.where("__rows = 1"), "__key", "left_semi").select(*docs.columns)
+    more = keyed.join(kept.where("__rows > 1"), "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(more.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ about 184 replicas of 12 bytes for each distinct fingerprint).
 
 from __future__ import annotations
 
+from base64 import b64encode
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -87,6 +88,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fingerprint bigint")
 
 
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, seed: int = 42) -> DataFrame:
+    """``(id, text)``: the distinct shingles of every text in order of their hash, each written as a word of 8 letters.
+
+    Texts are cut as for :func:`fingerprints`. A text without words has one shingle of its own
+    kind, so that such texts are alike; 48 bits of each hash are kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for text in batch.column(1):
+                hashes = np.unique(np.array(_hashes(text.as_py(), shingle, seed), np.uint64))
+                letters = b64encode(np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]))
+                told.append(" ".join(np.frombuffer(letters, "S8").astype(str).tolist()) or "-")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string())], names=["id", "text"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, text string")
+
+
 @cache
 def _anchors_near() -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Remainders of all messages, and by excess over the radius the errors of each syndrome: first, count, patterns."""
