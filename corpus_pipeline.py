@@ -20,8 +20,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier one, or nearly."""
-    left = lines.without_lines(docs, lines.removed_lines(docs))
+    """Documents without the lines that repeat an earlier one, or nearly, however short.
+
+    Rows that share an id are told apart by their text, so none loses a line that goes in another.
+    """
+    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("text")))
+    left = lines.without_lines(keyed, lines.removed_lines(keyed, "__key", least_words=1), "__key").drop("__key")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

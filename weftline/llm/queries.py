@@ -48,7 +48,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document and those that repeat an earlier line, or nearly."""
-    got = lines.removed_lines(table(spark, sf_dir, "documents"))
+    got = lines.removed_lines(table(spark, sf_dir, "documents"), least_words=1)
     return got.select(F.col("id").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed"))
 
 
