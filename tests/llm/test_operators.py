@@ -119,6 +119,16 @@ def test_personal_data(spark):
     assert got[21].spans == [] and got[None].spans == [] and [(s.start, s.end) for s in got[22].base] == [(0, 6)]
 
 
+def test_personal_data_bootstraps(spark):
+    texts = [(100 * c + k, f"some words staffid: u{k}x@corp.example.com and more") for k in range(9) for c in range(10)]
+    texts += [(2000 + k, f"then staffid: u7778{k}x went off; badge: u7778{k}x") for k in range(4)]
+    texts += [(3000, "the badge: q4455z here"), (3001, "u77781x stands first and so does"), (3002, "alone: q4455z")]
+    got = {r.id: r for r in pii.personal_data(docs(spark, texts)).collect()}
+    found = lambda i: {dict(texts)[i][s.start : s.end] for s in got[i].spans}
+    assert found(2000) == {"u77780x"} and len(got[2000].spans) == 2
+    assert found(3000) == found(3002) == {"q4455z"} and found(3001) == {"u77781x"}
+
+
 def test_decontamination(spark):
     rnd = random.Random(3)
     item = [f"b{rnd.randrange(50)}" for _ in range(30)]

@@ -4,7 +4,7 @@ The base entities are seeds. The words in front of them are lexical patterns; pa
 instances found behind them (any token with a digit or an at sign) form a bipartite graph that is
 scored in rounds. A pattern is worth the share of seeds, and of likely instances, in all that ever
 follows its words in the corpus; an instance is worth its best pattern. Instances behind patterns
-of high confidence are new spans.
+of high confidence are new spans, wherever they stand, and seeds of further patterns.
 """
 
 from __future__ import annotations
@@ -119,35 +119,37 @@ def _cue(before: Column) -> Column:
 
 
 def mentions(found: DataFrame, rules: Bootstrap | None = None) -> DataFrame:
-    """``(id, mark, cue, instance, kind, start, end)``: seeds with their kind, other tokens with null."""
+    """``(id, mark, cue, instance, kind, start, end)``: seeds with their kind, other tokens with null; the cue may be empty."""
     rules = rules or Bootstrap()
     seeds = F.transform("spans", lambda s: F.struct(_cue(s.before).alias("cue"), s.found.alias("instance"), s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end")))
     trimmed = F.transform("tokens", lambda t: F.struct(t.start.alias("start"), t.before.alias("before"), F.regexp_replace(t.found, r"[^A-Za-z0-9]+$", "").alias("found")))
     free = F.filter(trimmed, lambda t: (F.length(t.found) >= rules.least_length) & ~F.exists("spans", lambda s: (s.start < t.start + F.length(t.found)) & (t.start < s.end)))
     others = F.transform(free, lambda t: F.struct(_cue(t.before).alias("cue"), t.found.alias("instance"), F.lit(None).cast("int").alias("kind"), t.start.alias("start"), (t.start + F.length(t.found)).alias("end")))
-    return found.select("id", "mark", F.explode(F.concat(seeds, others)).alias("m")).select("id", "mark", "m.*").where("cue <> ''")
+    return found.select("id", "mark", F.explode(F.concat(seeds, others)).alias("m")).select("id", "mark", "m.*")
 
 
 def confident(mentioned: DataFrame, docs: DataFrame, text_col: str = "text", rules: Bootstrap | None = None) -> DataFrame:
     """``(cue, instance, kind)`` of the new instances: those behind patterns of high confidence.
 
-    All rounds are joins and sums over distinct (pattern, instance) pairs; how often a
-    pattern's word occurs at all is counted over the whole corpus.
+    All rounds are joins and sums over distinct (pattern, instance, kind) with their number of
+    mentions. A pattern's confidence is the share of its word's occurrences in the whole corpus
+    that have an instance behind them, so copies raise both sides alike. Instances above the
+    threshold are seeds of new patterns in the next round.
     """
     rules = rules or Bootstrap()
-    pairs = cut(mentioned.select("cue", "instance", "kind").distinct())
-    of_kind = pairs.where("kind is not null").groupBy("cue", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= rules.support)
-    patterns = of_kind.select("cue").distinct()
+    pairs = cut(mentioned.where("cue <> ''").groupBy("cue", "instance", "kind").agg(F.count("*").alias("times")))
+    able = pairs.groupBy("cue").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= rules.support).select("cue")
     split = F.split(F.translate(F.lower(whole(text_col)), BLANKS + "=:\"'<>,;()[]{}|", " " * (len(BLANKS) + 16)), " ")
-    often = docs.select(F.explode(split).alias("cue")).where("cue <> ''").groupBy("cue").agg(F.count("*").alias("often")).join(patterns, "cue", "left_semi")
-    weighed = cut(of_kind.join(often, "cue"))
-    around = cut(pairs.where("kind is null").select("cue", "instance").join(patterns, "cue", "left_semi"))
-    likely = None
+    often = cut(docs.select(F.explode(split).alias("cue")).where("cue <> ''").groupBy("cue").agg(F.count("*").alias("often")).join(able, "cue", "left_semi"))
+    base = pairs.where("kind is not null").select("cue", "kind", F.lit(1).alias("seeds"), (1000 * F.col("times")).alias("s"))
+    around = cut(pairs.where("kind is null").select("cue", "instance", "times").join(often.select("cue"), "cue", "left_semi"))
+    known, likely = base, None
     for _ in range(rules.rounds):
-        score = weighed.select("cue", "kind", (1000 * F.col("seeds")).alias("s"), "often")
         if likely is not None:
-            more = around.join(likely, "instance").groupBy("cue", "kind").agg(F.sum("worth").alias("more"))
-            score = score.join(more, ["cue", "kind"], "left").select("cue", "kind", (F.col("s") + F.coalesce("more", F.lit(0))).alias("s"), "often")
+            sure = likely.groupBy("instance").agg(F.max(F.struct("worth", (-F.col("kind")).alias("kind"))).alias("b")).where(F.col("b.worth") >= rules.confidence).select("instance", (-F.col("b.kind")).alias("kind"), F.lit(1).alias("seeds"))
+            more = around.join(likely.join(sure, ["instance", "kind"], "left"), "instance")
+            known = base.unionByName(more.select("cue", "kind", F.coalesce("seeds", F.lit(0)).alias("seeds"), (F.col("worth") * F.col("times")).alias("s")))
+        score = known.groupBy("cue", "kind").agg(F.sum("seeds").alias("seeds"), F.sum("s").alias("s")).where(F.col("seeds") >= rules.support).join(often, "cue")
         score = score.select("cue", "kind", F.expr("least(1000, s div greatest(often, 1))").alias("confidence"))
         likely = cut(around.join(score.where(F.col("confidence") > 0), "cue").groupBy("instance", "kind").agg(F.max("confidence").alias("worth")))
     best = likely.groupBy("instance").agg(F.max(F.struct("worth", (-F.col("kind")).alias("kind"))).alias("b"))
