@@ -1,29 +1,26 @@
 """Near-duplicate lines by an exact set-similarity join.
 
 A line is its set of words. Words are ordered by rarity, so a line can only be similar to one that
-shares a word of its prefix; length and position of the shared word rule out most of what is left,
-and the rest is verified. A line goes if an earlier one is similar.
+shares a word of its prefix; length, position of the shared word and parities of both sets rule out
+most of what is left, and the rest is verified. A line goes if an earlier one is similar.
 
-Equal lines are one class throughout. In each list of lines that share a prefix word the
-earliest line is tried first: where many lines are alike it settles almost all of them, so that
-a group costs about its size. Only lines that it does not settle meet all the earlier ones.
+Equal lines are one class throughout: words are cut and ordered once, and each class is written
+once, with its prefix only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from weftline.functions.lineage import cut, settle
-from weftline.llm.text import BLANKS, let, whole
+from weftline.llm.text import BLANKS, let, unused, whole
 
 #: Similarity of 0.8 as a fraction.
 SIMILARITY = (4, 5)
 #: Words are counted in 2^22 cells; a cell is one byte of a table of 4 MB, however many words there are.
 _CELL_BITS, _ROW_BITS = 22, 12
 _HASH_BITS = 56
-_MOST = (1 << 15) - 1
 
 
 def _cell(h: Column) -> Column:
@@ -74,8 +71,27 @@ def _rarest_first(words: Column, table: Column) -> Column:
     return F.sort_array(F.transform(words, ranked))
 
 
-def _pack(n: Column, at: Column) -> Column:
-    return F.call_function("shiftleft", F.least(n, F.lit(_MOST)), F.lit(16)).bitwiseOR(F.least(at, F.lit(_MOST)))
+def _distance_bits(words: Column) -> Column:
+    """64 parities of a set of hashed words: two sets differ in at least as many words as their parities in bits."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int"))))
+
+
+def _packed(n: Column, at: Column, settled: Column) -> Column:
+    """Size of a line, place of a word in it and whether the line is settled, in one number."""
+    left = lambda x, by: F.call_function("shiftleft", x.cast("long"), F.lit(by))
+    return left(n, 32).bitwiseOR(left(at, 1)).bitwiseOR(settled.cast("long"))
+
+
+def _may_match(x: Column, y: Column, bits_x: Column, bits_y: Column, similarity: tuple[int, int]) -> Column:
+    """Length, position and parity filters on two packed places of a shared word."""
+    p, q = similarity
+    size = lambda c: F.call_function("shiftright", c, F.lit(32))
+    at = lambda c: F.call_function("shiftright", c, F.lit(1)).bitwiseAND((1 << 31) - 1)
+    n_x, n_y = size(x), size(y)
+    in_length = (q * n_y >= p * n_x) & (q * n_x >= p * n_y)
+    in_place = (p + q) * F.least(n_x - at(x), n_y - at(y)) >= p * (n_x + n_y)
+    return in_length & in_place & ((p + q) * F.bit_count(bits_x.bitwiseXOR(bits_y)) <= (q - p) * (n_x + n_y))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY, least_words: int = 5) -> DataFrame:
@@ -84,62 +100,59 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Lines are cut at line feeds and numbered from 0; they are ordered by id, then number. A
     line goes if its words, as a set, have a Jaccard similarity of at least ``similarity`` (a
     fraction) with those of an earlier line, whether or not that one goes as well. Lines with
-    under ``least_words`` words stay. A null or empty text has one empty line. Rows that repeat
-    an id are one document: a line number goes if it goes in any of them; a null id is an id of
-    its own and comes first. An empty table gives an empty result.
+    under ``least_words`` words stay. A null or empty text has one empty line; texts are taken
+    whole, however long. Rows that repeat an id are one document: a line number goes if it goes
+    in any of them; a null id is an id of its own and comes first. Other columns are not read.
+    An empty table gives an empty result.
 
     Equal lines are one class, named by a 64-bit hash of the text; a line whose hash meets
-    that of another text stays. A hot line is added up before the shuffle.
+    that of another text stays. A hot line is added up by its hash before anything meets.
     """
-    p, q = similarity
     texts = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     keyed = lines.where("line <> ''").select(F.xxhash64("line").alias("k"), "id", "line_no", "line")
-    words = texts.select(F.explode(_tokens(F.col("text"))).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("h"))
-    # a subquery may not be written inside a function over arrays, so the table is named in a column first; it
-    # is used once, and so are the words, for the two projections to become one and the column to vanish
-    sets = keyed.select("k", "id", _set(F.col("line")).alias("s"), F.size(F.filter(_tokens(F.col("line")), lambda t: t != "")).alias("n_words"))
-    sets = sets.where(F.col("n_words") >= least_words).select("k", "id", "s").withColumn("table", _tally(words).scalar())
-    ordered = sets.select("k", "id", _rarest_first(F.col("s"), F.col("table")).alias("o")).select("k", "id", "o", F.size("o").alias("n"))
-    prefix = ordered.select("k", "id", "n", F.posexplode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * p / q).cast("int") + 1)).alias("at", "token"))
-    # a word that occurs once leads to no other line; 32 bits of the hash are enough to meet, as what meets is verified
-    shareable = prefix.where(F.call_function("shiftright", "token", F.lit(_HASH_BITS)) > 1)
-    short = F.call_function("shiftright", F.call_function("shiftleft", "token", F.lit(32)), F.lit(32)).cast("int")
-    dealt = shareable.select(short.alias("token"), _pack(F.col("n"), F.col("at")).cast("int").alias("p"), "k", "id").repartition("token")
-    lists = dealt.groupBy("token", "k", "p").agg(F.when(~F.max(F.col("id").isNull()), F.min("id")).alias("id"))
-    alike = W.partitionBy("token")
-    head = F.min(F.struct("id", "k", "p")).over(alike)
-    shared = settle(lists.select("*", F.count("*").over(alike).alias("together"), head.alias("head")).where("together > 1").select("token", "k", "id", "p", F.col("head.k").alias("head_k"), F.col("head.p").alias("head_p")), "shared-words")
-    similar = _similar(shared, keyed, similarity)
-    classes = _classes(keyed, least_words)
-    verdict = classes.join(similar.withColumn("similar", F.lit(True)), "k", "left").where((F.col("copies") > 1) | F.col("similar"))
+    classes = _classes(texts, keyed, similarity, least_words)
+    similar = _similar(classes, keyed, similarity)
+    verdict = classes.select("k", "check", "copies", F.struct("id", "line_no").alias("first")).join(similar.withColumn("similar", F.lit(True)), "k", "left").where((F.col("copies") > 1) | F.col("similar"))
     judged = keyed.select("k", "id", "line_no", F.xxhash64(F.lit(1), "line").alias("check")).join(verdict, ["k", "check"])
     later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line_no") == F.col("first.line_no")))
     gone = judged.where(F.coalesce("similar", F.lit(False)) | later).select("id", "line_no")
-    counted = lines.groupBy("id").agg((F.max("line_no") + 1).cast("long").alias("n_lines"))
+    counted = texts.groupBy("id").agg(F.max(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
     by_doc = gone.groupBy("id").agg(F.sort_array(F.collect_set("line_no")).alias("removed")).withColumnRenamed("id", "gone_id")
     none = F.array().cast("array<int>")
     return counted.join(by_doc, F.col("id").eqNullSafe(F.col("gone_id")), "left").select("id", "n_lines", F.coalesce("removed", none).alias("removed"))
 
 
-def _classes(keyed: DataFrame, least_words: int) -> DataFrame:
-    """``(k, first, copies, check)`` of equal lines with enough words: the earliest place, how many, and a second hash of its text."""
-    n_words = F.size(F.filter(_tokens(F.col("line")), lambda t: t != ""))
-    long = keyed.where((F.length("line") >= 2 * least_words - 1) & (n_words >= least_words))
-    return long.groupBy("k").agg(F.min(F.struct("id", "line_no", F.xxhash64(F.lit(1), "line").alias("check"))).alias("f"), F.count("*").alias("copies")).select("k", F.struct("f.id", "f.line_no").alias("first"), "copies", "f.check")
+def _classes(texts: DataFrame, keyed: DataFrame, similarity: tuple[int, int], least_words: int) -> DataFrame:
+    """One row per class of equal lines with enough words, written once.
 
-
-def _similar(shared: DataFrame, keyed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """``(k)`` of the classes that are similar to an earlier one; ``shared`` are places in lists of lines with a common prefix word."""
+    ``k`` and ``check`` are hashes of the text, ``copies`` its number, ``id`` and ``line_no`` its
+    earliest place, ``n`` the size of its set of words, ``bits`` its parities and ``prefix`` those
+    words of its prefix that occur twice or more; ``skipped`` ones that do not came before.
+    """
+    p, q = similarity
+    words = texts.select(F.explode(_tokens(F.col("text"))).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("h"))
+    # a subquery may not be written inside a function over arrays, so the table is named in a column first; it
+    # is used once, and so are the words, for the two projections to become one and the column to vanish
+    sets = keyed.select("k", "id", "line_no", F.xxhash64(F.lit(1), "line").alias("check"), _set(F.col("line")).alias("s"), F.size(F.filter(_tokens(F.col("line")), lambda t: t != "")).alias("n_words"))
+    sets = sets.where(F.col("n_words") >= least_words).select("k", "id", "line_no", "check", "s").withColumn("table", _tally(words).scalar())
+    ordered = sets.select("k", "id", "line_no", "check", _rarest_first(F.col("s"), F.col("table")).alias("o")).withColumn("n", F.size("o"))
+    reach = F.col("n") - F.ceil(F.col("n") * p / q).cast("int") + 1
+    # a word that occurs once leads to no other line; these come first in a line
+    shared = F.filter(F.slice("o", F.lit(1), reach), lambda w: F.call_function("shiftright", w, F.lit(_HASH_BITS)) > 1)
+    cut_off = ordered.select("k", "id", "line_no", "check", "n", _distance_bits(F.col("o")).alias("bits"), reach.alias("reach"), shared.alias("prefix"))
+    row = F.struct("id", "line_no", "check", "n", "bits", (F.col("reach") - F.size("prefix")).alias("skipped"), "prefix")
+    return settle(cut_off.groupBy("k").agg(F.min(row).alias("f"), F.count("*").alias("copies")).select("k", "copies", "f.*"), "line-classes")
+
+
+def _similar(classes: DataFrame, keyed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """``(k)`` of the classes that are similar to an earlier one.
+
+    The earliest line that shares one of its two rarest words is tried first: where many lines
+    are alike this settles almost all, so that a group costs about its size. What it does not
+    settle meets all that share a word of its prefix.
+    """
     p, q = similarity
-    part = lambda c, shift: F.call_function("shiftright", c, F.lit(shift)).bitwiseAND(65535)
-
-    def may_match(a: Column, b: Column) -> Column:
-        """Length and position filters on two packed places of a shared word."""
-        n_a, n_b, at_a, at_b = part(a, 16), part(b, 16), part(a, 0), part(b, 0)
-        bound = F.least(n_a - at_a, n_b - at_b)
-        long = F.greatest(n_a, n_b) == _MOST  # packed sizes end here
-        return long | ((q * n_b >= p * n_a) & (q * n_a >= p * n_b) & ((p + q) * bound >= p * (n_a + n_b)))
 
     def later_of(pairs: DataFrame) -> DataFrame:
         """Keys of the later line of each of the pairs ``(x, y)`` that are similar.
@@ -155,27 +168,38 @@ def _similar(shared: DataFrame, keyed: DataFrame, similarity: tuple[int, int]) -
         alike = both.where((p + q) * F.size(F.array_intersect("s_x", "s_y")) >= p * (F.size("s_x") + F.size("s_y")))
         return alike.select(F.when(F.col("at_x") > F.col("at_y"), F.col("x")).otherwise(F.col("y")).alias("k")).distinct()
 
-    with_head = shared.where("k <> head_k")
-    settled = cut(later_of(with_head.where(may_match(F.col("p"), F.col("head_p"))).select(F.col("k").alias("x"), F.col("head_k").alias("y"))))
-    open_ = with_head.join(settled, "k", "left_anti").select("token", F.col("k").alias("x"), F.col("id").alias("id_x"), F.col("p").alias("p_x"))
-    earlier = with_head.select("token", F.col("k").alias("y"), F.col("id").alias("id_y"), F.col("p").alias("p_y"))
-    # ids decide the order but for two lines of one document
-    in_order = (F.coalesce(F.col("id_y") < F.col("id_x"), F.col("id_y").isNull())) | (F.col("id_y").eqNullSafe(F.col("id_x")))
-    rest = open_.join(earlier, "token").where(in_order & (F.col("x") != F.col("y")) & may_match(F.col("p_x"), F.col("p_y")))
+    def places(of: DataFrame, words: Column, settled: Column) -> DataFrame:
+        spread = of.select("*", settled.alias("settled"), F.posexplode(words).alias("i", "token"))
+        return spread.withColumn("p", _packed(F.col("n"), F.col("skipped") + F.col("i"), F.col("settled")))
+
+    rarest = places(classes, F.slice("prefix", 1, 2), F.lit(False))
+    heads = rarest.groupBy("token").agg(F.min(F.struct("id", "line_no", "k", "p", "bits")).alias("head"), F.count("*").alias("together")).where("together > 1")
+    with_head = rarest.select("token", "k", "p", "bits").join(heads, "token").where((F.col("k") != F.col("head.k")) & _may_match(F.col("p"), F.col("head.p"), F.col("bits"), F.col("head.bits"), similarity))
+    settled = cut(later_of(with_head.select(F.col("k").alias("x"), F.col("head.k").alias("y"))))
+
+    marked = classes.select("k", "n", "skipped", "bits", "prefix").join(settled.withColumn("gone", F.lit(True)), "k", "left")
+    every = places(marked, F.col("prefix"), F.coalesce("gone", F.lit(False))).select("token", "k", "p", "bits")
+    x, y = (every.select("token", F.col("k").alias(c), F.col("p").alias(f"p_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "xy")
+    # a settled line has nothing more to find, but others may be similar to it; of two that are not, one looks for the
+    # other. That is asked of both at once, so that both sides of the join stay one exchange
+    done_x, done_y = F.col("p_x").bitwiseAND(1), F.col("p_y").bitwiseAND(1)
+    looks = (done_x < done_y) | ((done_x + done_y == 0) & (F.col("x") < F.col("y")))
+    rest = x.join(y, "token").where(looks & _may_match(F.col("p_x"), F.col("p_y"), F.col("bits_x"), F.col("bits_y"), similarity))
     return settled.unionByName(later_of(rest.select("x", "y"))).distinct()
 
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that :func:`removed_lines` names; other columns and their order stay.
 
-    A null text stays null unless a line of it goes.
+    A null text stays null unless a line of it goes. Columns may have any names.
     """
-    gone = removed.where(F.size("removed") > 0).select(F.col("id").alias("__id"), F.col("removed").alias("__removed"))
+    named, lost = unused(docs, "id", "removed")
+    gone = removed.where(F.size("removed") > 0).select(F.col("id").alias(named), F.col("removed").alias(lost))
 
     def left(parts: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__removed"))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(lost))
         return F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
 
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(let(F.split(whole(text_col), "\n"), left))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(let(F.split(whole(text_col), "\n"), left))
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(named)), "left")
     return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: a word is a run of anything but ASCII white space.
@@ -24,3 +24,14 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once per row and use it in ``body`` as often as needed."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
