@@ -21,6 +21,8 @@ SIMILARITY = (4, 5)
 #: Words are counted in 2^22 cells; a cell is one byte of a table of 4 MB, however many words there are.
 _CELL_BITS, _ROW_BITS = 22, 12
 _HASH_BITS = 56
+#: Doublings from which the lines that share a word are first held against the earliest of them. A word below occurs under 256 times.
+_OFTEN = 9
 
 
 def _cell(h: Column) -> Column:
@@ -34,7 +36,7 @@ def _tokens(line: Column) -> Column:
 
 def _dense(cells: Column, width: int) -> Column:
     """Text of the pairs ``(at, s)`` in order, each ``s`` of ``width`` at its place and blanks between them."""
-    blank = lambda n: F.repeat(F.lit("!"), n * width)
+    blank = lambda n: F.repeat(F.lit(" "), n * width)
     size = 1 << (_CELL_BITS - _ROW_BITS if width > 1 else _ROW_BITS)
 
     def fill(a: Column) -> Column:
@@ -60,15 +62,15 @@ def _level(table: Column, h: Column) -> Column:
 
 
 def _set(line: Column) -> Column:
-    """The set of words of a line, hashed."""
-    return F.array_distinct(F.transform(F.filter(_tokens(line), lambda t: t != ""), lambda t: F.xxhash64(t)))
+    """The set of words of a line."""
+    return F.array_distinct(F.filter(_tokens(line), lambda t: t != ""))
 
 
 def _rarest_first(words: Column, table: Column) -> Column:
-    """Hashed words in order of doublings of their count, then of the hash."""
+    """Words, hashed, in order of doublings of their count, then of the hash."""
     mask = (1 << _HASH_BITS) - 1
     ranked = lambda h: F.call_function("shiftleft", _level(table, h).cast("long"), F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(mask))
-    return F.sort_array(F.transform(words, ranked))
+    return F.sort_array(F.transform(words, lambda t: ranked(F.xxhash64(t))))
 
 
 def _distance_bits(words: Column) -> Column:
@@ -134,8 +136,10 @@ def _classes(texts: DataFrame, keyed: DataFrame, similarity: tuple[int, int], le
     words = texts.select(F.explode(_tokens(F.col("text"))).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("h"))
     # a subquery may not be written inside a function over arrays, so the table is named in a column first; it
     # is used once, and so are the words, for the two projections to become one and the column to vanish
-    sets = keyed.select("k", "id", "line_no", F.xxhash64(F.lit(1), "line").alias("check"), _set(F.col("line")).alias("s"), F.size(F.filter(_tokens(F.col("line")), lambda t: t != "")).alias("n_words"))
-    sets = sets.where(F.col("n_words") >= least_words).select("k", "id", "line_no", "check", "s").withColumn("table", _tally(words).scalar())
+    enough = F.translate("line", BLANKS, "") != ""
+    if least_words > 1:
+        enough = enough & (F.size(F.filter(_tokens(F.col("line")), lambda t: t != "")) >= least_words)
+    sets = keyed.where(enough).select("k", "id", "line_no", F.xxhash64(F.lit(1), "line").alias("check"), _set(F.col("line")).alias("s")).withColumn("table", _tally(words).scalar())
     ordered = sets.select("k", "id", "line_no", "check", _rarest_first(F.col("s"), F.col("table")).alias("o")).withColumn("n", F.size("o"))
     reach = F.col("n") - F.ceil(F.col("n") * p / q).cast("int") + 1
     # a word that occurs once leads to no other line; these come first in a line
@@ -148,9 +152,9 @@ def _classes(texts: DataFrame, keyed: DataFrame, similarity: tuple[int, int], le
 def _similar(classes: DataFrame, keyed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``(k)`` of the classes that are similar to an earlier one.
 
-    The earliest line that shares one of its two rarest words is tried first: where many lines
-    are alike this settles almost all, so that a group costs about its size. What it does not
-    settle meets all that share a word of its prefix.
+    For a word that occurs often, the earliest line that has it in its prefix is tried first:
+    where many lines are alike this settles almost all, so that a group costs about its size.
+    What it does not settle meets all that share a word of its prefix.
     """
     p, q = similarity
 
@@ -172,9 +176,10 @@ def _similar(classes: DataFrame, keyed: DataFrame, similarity: tuple[int, int])
         spread = of.select("*", settled.alias("settled"), F.posexplode(words).alias("i", "token"))
         return spread.withColumn("p", _packed(F.col("n"), F.col("skipped") + F.col("i"), F.col("settled")))
 
-    rarest = places(classes, F.slice("prefix", 1, 2), F.lit(False))
-    heads = rarest.groupBy("token").agg(F.min(F.struct("id", "line_no", "k", "p", "bits")).alias("head"), F.count("*").alias("together")).where("together > 1")
-    with_head = rarest.select("token", "k", "p", "bits").join(heads, "token").where((F.col("k") != F.col("head.k")) & _may_match(F.col("p"), F.col("head.p"), F.col("bits"), F.col("head.bits"), similarity))
+    often = F.filter("prefix", lambda w: F.call_function("shiftright", w, F.lit(_HASH_BITS)) >= _OFTEN)
+    among = places(classes.withColumn("skipped", F.col("skipped") + F.size("prefix") - F.size(often)), often, F.lit(False))
+    heads = among.groupBy("token").agg(F.min(F.struct("id", "line_no", "k", "p", "bits")).alias("head"), F.count("*").alias("together")).where("together > 1")
+    with_head = among.select("token", "k", "p", "bits").join(heads, "token").where((F.col("k") != F.col("head.k")) & _may_match(F.col("p"), F.col("head.p"), F.col("bits"), F.col("head.bits"), similarity))
     settled = cut(later_of(with_head.select(F.col("k").alias("x"), F.col("head.k").alias("y"))))
 
     marked = classes.select("k", "n", "skipped", "bits", "prefix").join(settled.withColumn("gone", F.lit(True)), "k", "left")
