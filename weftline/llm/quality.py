@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from weftline.functions.lineage import cut
+from weftline.functions.lineage import cut, settle
 from weftline.llm.text import BLANKS, let, whole, words
 
 #: Fixed value: characters that count as symbols.
@@ -30,6 +30,8 @@ class Rules:
     least_words: int = 50
     most_repeated_percent: int = 50
     least_group: int = 200
+    #: groups whose bounds may be broadcast; more of them are joined by a shuffle
+    most_broadcast: int = 50_000
     spread: int = 8
     #: measure: (slack, whether it may also be too low)
     slack: tuple[tuple[str, int, bool], ...] = (
@@ -160,12 +162,13 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     ``kept`` is false if the base rules fail, else true unless a measure lies outside the bounds
     of the row's language and source (of its language, then of all, for groups with under
     ``least_group`` rows that pass the base). Null languages and sources are groups of their own.
-    An empty table gives an empty result. Measures are kept for the second use of them; with
-    whole rows they are taken again instead, so that no text is moved to meet its verdict.
+    An empty table gives an empty result; very long texts are measured whole; repeated rows are
+    judged alike. Measures are written once for the second use of them, with whole rows along
+    with these. Bounds are broadcast while there are few groups, so that no text is moved.
     """
     rules = rules or Rules()
-    measured = measures(docs, id_col, text_col, lang_col, source_col, rules)
-    measured = measured if with_rows else cut(measured)
+    measured = measures(docs, id_col, text_col, lang_col, source_col, rules, with_rows)
+    measured = settle(measured, "measures") if with_rows else cut(measured)
     bounds = cut(thresholds(sketches(measured, rules), rules))
     level = lambda k: bounds.where(F.col("level") == k)
     group = level(0).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *(F.col(c).alias(f"g_{c}") for c in ("n", "low", "high")))
@@ -173,8 +176,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     every = level(2).select(F.col("low").alias("e_low"), F.col("high").alias("e_high"))
     chosen = lambda side: F.when(F.col("g_n") >= rules.least_group, F.col(f"g_{side}")).when(F.col("l_n") >= rules.least_group, F.col(f"l_{side}")).otherwise(F.col(f"e_{side}"))
     by_group = group.join(lang, F.col("g_lang").eqNullSafe(F.col("l_lang")), "left").join(F.broadcast(every), F.lit(True), "left").select("g_lang", "g_source", chosen("low").alias("low"), chosen("high").alias("high"))
-    if with_rows:
-        measured = measures(docs, id_col, text_col, lang_col, source_col, rules, with_rows=True)
+    by_group = F.broadcast(by_group) if level(0).count() <= rules.most_broadcast else by_group
     rates = _rates()
     outside = F.lit(False)
     for name, _, both in rules.slack:
