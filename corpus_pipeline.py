@@ -12,20 +12,33 @@ from pyspark.sql import functions as F
 
 from weftline.functions.lineage import cut, settle
 from weftline.llm import decontam, lines, pieces, quality, simhash
+from weftline.llm.text import unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the bounds of their language and source."""
+    """Documents that pass the base rules and the bounds of their language and source.
+
+    Null and empty texts have no words and go. Rows stay as they are, repeated ones as often as
+    they occur; null languages and sources are groups of their own.
+    """
     return quality.quality(docs, with_rows=True).where("kept").select("row.*")
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column of id and text hash, which tells rows apart that share an id, and its name."""
+    (key,) = unused(docs, "key")
+    return docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("text"))), key
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one, or nearly, however short.
 
-    Rows that share an id are told apart by their text, so none loses a line that goes in another.
+    Rows that share an id are told apart by their text, so none loses a line that goes in another;
+    rows that share both stay or lose lines alike. A text may end up empty, its row stays. Null
+    texts stay null, null ids come first, empty lines stay; ties are broken by id, then line.
     """
-    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("text")))
-    left = lines.without_lines(keyed, lines.removed_lines(keyed, "__key", least_words=1), "__key").drop("__key")
+    keyed, key = _keyed(docs)
+    left = lines.without_lines(keyed, lines.removed_lines(keyed, key, least_words=1), key).drop(key)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
@@ -34,27 +47,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Fingerprints within four bits settle close copies; what they leave is compared by an exact
     join of the sets of five-word shingles. Rows are ordered by id, null first; those that share
-    an id are told apart by their text, and of those that share both one stays.
+    an id are told apart by their text, and of those that share both one stays: the smallest by
+    all columns. Texts without words (null, empty) are copies of each other.
     """
-    keyed = docs.withColumn("__key", F.struct("doc_id", F.xxhash64("text").alias("text")))
-    told = simhash.near_duplicates(keyed, id_col="__key")
-    first = cut(told.where(F.col("id") == F.col("component")).groupBy(F.col("id").alias("__key")).agg(F.count("*").alias("__rows")))
-    sets = settle(simhash.shingle_sets(keyed.join(first, "__key", "left_semi"), id_col="__key"), "shingles")
-    gone = lines.removed_lines(sets, "id", least_words=1).where(F.size("removed") > 0).select(F.col("id").alias("__key"))
-    kept = cut(first.join(gone, "__key", "left_anti"))
-    once = keyed.join(kept.where("__rows = 1"), "__key", "left_semi").select(*docs.columns)
-    more = keyed.join(kept.where("__rows > 1"), "__key", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    keyed, key = _keyed(docs)
+    told = simhash.near_duplicates(keyed, id_col=key)
+    first = cut(told.where(F.col("id") == F.col("component")).groupBy(F.col("id").alias(key)).agg(F.count("*").alias("rows")))
+    sets = settle(simhash.shingle_sets(keyed.join(first.select(key), key, "left_semi"), id_col=key), "shingles")
+    gone = lines.removed_lines(sets, "id", least_words=1).where(F.size("removed") > 0).select(F.col("id").alias(key))
+    kept = cut(first.join(gone, key, "left_anti"))
+    once = keyed.join(kept.where("rows = 1").select(key), key, "left_semi").select(*docs.columns)
+    more = keyed.join(kept.where("rows > 1").select(key), key, "left_semi").groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("row"))
     return once.unionByName(more.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; null and empty texts hold none, repeated rows are judged alike."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontam.overlaps(spark, docs, benchmark, found_col="__found").where(F.size("__found") == 0).drop("__found")
+    (found,) = unused(docs, "found")
+    return decontam.overlaps(spark, docs, benchmark, found_col=found).where(F.size(found) == 0).drop(found)
 
 
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens of each document and digests of its ids and of the text they decode to."""
+    """Number of tokens of each document and digests of its ids and of the text they decode to, one row per row; null texts are empty."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     ids = pieces.encode(spark, docs, model).drop("text")
     told = pieces.token_digests(pieces.decode(spark, ids, model))
