@@ -1,10 +1,12 @@
 """Personal data: base patterns, and more of it by bootstrapping from their contexts.
 
-The base entities are seeds. The words in front of them are lexical patterns; patterns and the
-instances found behind them (any token with a digit or an at sign) form a bipartite graph that is
+The base entities are seeds, and so are long mixed strings of letters and digits, as keys and
+passwords are. The words next to them, in front or behind, are lexical patterns; patterns and the
+instances found at them (any token with a digit or an at sign) form a bipartite graph that is
 scored in rounds. A pattern is worth the share of seeds, and of likely instances, in all that ever
-follows its words in the corpus; an instance is worth its best pattern. Instances behind patterns
-of high confidence are new spans, wherever they stand, and seeds of further patterns.
+stands at its word in the corpus; an instance is worth its best pattern. Instances at patterns of
+high confidence are new spans, wherever they stand, and seeds of further patterns. A long string
+alone is no finding: it becomes one by standing at such a pattern.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ from weftline.functions.lineage import cut, settle
 from weftline.llm.text import BLANKS, let, whole
 
 KINDS = ("email", "ip", "card", "phone")
+#: The kind of what has no base pattern; its seeds are tokens of this form.
+SECRET = len(KINDS)
+SECRET_SEED = r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_-]{32,}$"
+NAMES = (*KINDS, "secret")
 _LOCAL = "A-Za-z0-9._%+-"
 #: The base patterns so that each place is tried once: runs are taken whole, and a run is only
 #: entered at its start or where the last match ended. They match what the plain ones match.
@@ -67,7 +73,7 @@ def _passes(kind: str, found: Column) -> Column:
 
 
 def _places(text: Column, pattern: str) -> Column:
-    """``(start, end, found, before)`` of every match, in code points; ``before`` is up to 64 of what stands between it and the last."""
+    """``(start, end, found, before, after)`` of every match, in code points; the last two are up to 64 of what stands between it and its neighbours."""
 
     def build(pieces: Column) -> Column:
         def walk(found: Column) -> Column:
@@ -76,26 +82,26 @@ def _places(text: Column, pattern: str) -> Column:
                 start = state.at + F.length(gap)
                 end = start + F.length(hit)
                 near = F.substring(gap, F.greatest(F.length(gap) - 63, F.lit(1)), F.lit(64))
-                one = F.struct(start.alias("start"), end.alias("end"), hit.alias("found"), near.alias("before"))
+                one = F.struct(start.alias("start"), end.alias("end"), hit.alias("found"), near.alias("before"), F.substring(F.get(pieces, k + 1), 1, 64).alias("after"))
                 return F.struct(end.alias("at"), F.concat(state.out, F.array(one)).alias("out"))
 
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string,before:string>>").alias("out"))
+            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string,before:string,after:string>>").alias("out"))
             return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s.out)
 
         return let(F.regexp_extract_all(text, F.lit(pattern), 0), walk)
 
-    none = F.array().cast("array<struct<start:int,end:int,found:string,before:string>>")
+    none = F.array().cast("array<struct<start:int,end:int,found:string,before:string,after:string>>")
     return let(F.split(text, pattern), lambda pieces: F.when(F.size(pieces) == 1, none).otherwise(build(pieces)))
 
 
 def _spans(text: Column, k: int) -> Column:
     """Spans of one kind with what they say and what stands before them."""
     kept = F.filter(_places(text, PATTERNS[KINDS[k]]), lambda p: _passes(KINDS[k], p.found))
-    return F.transform(kept, lambda p: F.struct(p.start.alias("start"), F.lit(k).alias("kind"), p.end.alias("end"), p.found.alias("found"), p.before.alias("before")))
+    return F.transform(kept, lambda p: F.struct(p.start.alias("start"), F.lit(k).alias("kind"), p.end.alias("end"), p.found.alias("found"), p.before.alias("before"), p.after.alias("after")))
 
 
 def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, mark, spans, tokens)``, one row per row: base spans ``(start, kind, end, found, before)`` by start, and the other tokens.
+    """``(id, mark, spans, tokens)``, one row per row: base spans ``(start, kind, end, found, before, after)`` by start, and the other tokens.
 
     ``mark`` is a hash of the text. Null texts are empty. Matches of one kind don't overlap;
     those of different kinds may, as each kind is searched on its own.
@@ -107,51 +113,59 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     for k, kind in enumerate(KINDS):
         wanted = text.contains(_NEEDS[kind]) if kind in _NEEDS else F.lit(True)
         wanted = wanted if kind == "email" else wanted & has_digit
-        found.append(F.when(wanted, _spans(text, k)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,found:string,before:string>>")))
-    tokens = F.when(has_digit | text.contains("@"), _places(text, TOKEN)).otherwise(F.array().cast("array<struct<start:int,end:int,found:string,before:string>>"))
+        found.append(F.when(wanted, _spans(text, k)).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,found:string,before:string,after:string>>")))
+    tokens = F.when(has_digit | text.contains("@"), _places(text, TOKEN)).otherwise(F.array().cast("array<struct<start:int,end:int,found:string,before:string,after:string>>"))
     return named.select("id", F.xxhash64("text").alias("mark"), F.array_sort(F.concat(*found)).alias("spans"), tokens.alias("tokens"))
 
 
-def _cue(before: Column) -> Column:
-    """The last word in front of a place, in lower case; empty where another token is next to it."""
-    tail = F.translate(F.lower(before), BLANKS + "=:\"'<>,;()[]{}|", " " * (len(BLANKS) + 16))
-    return F.regexp_extract(tail, r"([^ ]+) *$", 1)
+def _plain(text: Column) -> Column:
+    """Lower case, blanks for all that parts words."""
+    return F.translate(F.lower(text), BLANKS + "=:\"'<>,;()[]{}|", " " * (len(BLANKS) + 16))
+
+
+def _cues(before: Column, after: Column) -> Column:
+    """``(side, cue)`` of the last word in front of a place and the first behind it; none where another token is next to it."""
+    left = F.struct(F.lit(0).alias("side"), F.regexp_extract(_plain(before), r"([^ ]+) *$", 1).alias("cue"))
+    right = F.struct(F.lit(1).alias("side"), F.regexp_extract(_plain(after), r"^ +([^ ]+) ", 1).alias("cue"))
+    return F.array(left, right)
 
 
 def mentions(found: DataFrame, rules: Bootstrap | None = None) -> DataFrame:
-    """``(id, mark, cue, instance, kind, start, end)``: seeds with their kind, other tokens with null; the cue may be empty."""
+    """``(id, mark, cues, instance, kind, based, start, end)``: base spans are ``based``; other tokens have a kind if they are seeds, else null."""
     rules = rules or Bootstrap()
-    seeds = F.transform("spans", lambda s: F.struct(_cue(s.before).alias("cue"), s.found.alias("instance"), s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end")))
-    trimmed = F.transform("tokens", lambda t: F.struct(t.start.alias("start"), t.before.alias("before"), F.regexp_replace(t.found, r"[^A-Za-z0-9]+$", "").alias("found")))
+    fields = lambda x, kind, based, end: F.struct(_cues(x.before, x.after).alias("cues"), x.found.alias("instance"), kind.alias("kind"), F.lit(based).alias("based"), x.start.alias("start"), end.alias("end"))
+    seeds = F.transform("spans", lambda s: fields(s, s.kind, True, s.end))
+    trimmed = F.transform("tokens", lambda t: F.struct(t.start.alias("start"), t.before.alias("before"), t.after.alias("after"), F.regexp_replace(t.found, r"[^A-Za-z0-9]+$", "").alias("found")))
     free = F.filter(trimmed, lambda t: (F.length(t.found) >= rules.least_length) & ~F.exists("spans", lambda s: (s.start < t.start + F.length(t.found)) & (t.start < s.end)))
-    others = F.transform(free, lambda t: F.struct(_cue(t.before).alias("cue"), t.found.alias("instance"), F.lit(None).cast("int").alias("kind"), t.start.alias("start"), (t.start + F.length(t.found)).alias("end")))
+    others = F.transform(free, lambda t: fields(t, F.when(t.found.rlike(SECRET_SEED), F.lit(SECRET)), False, t.start + F.length(t.found)))
     return found.select("id", "mark", F.explode(F.concat(seeds, others)).alias("m")).select("id", "mark", "m.*")
 
 
 def confident(mentioned: DataFrame, docs: DataFrame, text_col: str = "text", rules: Bootstrap | None = None) -> DataFrame:
-    """``(cue, instance, kind)`` of the new instances: those behind patterns of high confidence.
+    """``(instance, kind)`` of the new instances: those at patterns of high confidence.
 
-    All rounds are joins and sums over distinct (pattern, instance, kind) with their number of
+    All rounds are joins and sums over distinct (side, word, instance, kind) with their number of
     mentions. A pattern's confidence is the share of its word's occurrences in the whole corpus
-    that have an instance behind them, so copies raise both sides alike. Instances above the
+    that have an instance at that side, so copies raise both sides alike. Instances above the
     threshold are seeds of new patterns in the next round.
     """
     rules = rules or Bootstrap()
-    pairs = cut(mentioned.where("cue <> ''").groupBy("cue", "instance", "kind").agg(F.count("*").alias("times")))
-    able = pairs.groupBy("cue").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= rules.support).select("cue")
-    split = F.split(F.translate(F.lower(whole(text_col)), BLANKS + "=:\"'<>,;()[]{}|", " " * (len(BLANKS) + 16)), " ")
-    often = cut(docs.select(F.explode(split).alias("cue")).where("cue <> ''").groupBy("cue").agg(F.count("*").alias("often")).join(able, "cue", "left_semi"))
-    base = pairs.where("kind is not null").select("cue", "kind", F.lit(1).alias("seeds"), (1000 * F.col("times")).alias("s"))
-    around = cut(pairs.where("kind is null").select("cue", "instance", "times").join(often.select("cue"), "cue", "left_semi"))
+    each = mentioned.select("instance", "kind", "based", F.explode("cues").alias("c")).select("c.*", "instance", "kind", "based").where("cue <> ''")
+    pairs = cut(each.groupBy("side", "cue", "instance", "kind", "based").agg(F.count("*").alias("times")))
+    able = pairs.groupBy("side", "cue").agg(F.countDistinct("instance").alias("n")).where(F.col("n") >= rules.support).select("cue").distinct()
+    often = cut(docs.select(F.explode(F.split(_plain(whole(text_col)), " ")).alias("cue")).where("cue <> ''").groupBy("cue").agg(F.count("*").alias("often")).join(able, "cue", "left_semi"))
+    base = pairs.where("kind is not null").select("side", "cue", "kind", F.lit(1).alias("seeds"), (1000 * F.col("times")).alias("s"))
+    around = cut(pairs.where("not based").select("side", "cue", "instance", "times", F.col("kind").alias("seed")).join(often.select("cue"), "cue", "left_semi"))
     known, likely = base, None
     for _ in range(rules.rounds):
         if likely is not None:
             sure = likely.groupBy("instance").agg(F.max(F.struct("worth", (-F.col("kind")).alias("kind"))).alias("b")).where(F.col("b.worth") >= rules.confidence).select("instance", (-F.col("b.kind")).alias("kind"), F.lit(1).alias("seeds"))
-            more = around.join(likely.join(sure, ["instance", "kind"], "left"), "instance")
-            known = base.unionByName(more.select("cue", "kind", F.coalesce("seeds", F.lit(0)).alias("seeds"), (F.col("worth") * F.col("times")).alias("s")))
-        score = known.groupBy("cue", "kind").agg(F.sum("seeds").alias("seeds"), F.sum("s").alias("s")).where(F.col("seeds") >= rules.support).join(often, "cue")
-        score = score.select("cue", "kind", F.expr("least(1000, s div greatest(often, 1))").alias("confidence"))
-        likely = cut(around.join(score.where(F.col("confidence") > 0), "cue").groupBy("instance", "kind").agg(F.max("confidence").alias("worth")))
+            # what is a seed of this kind counts already
+            more = around.join(likely.join(sure, ["instance", "kind"], "left"), "instance").where(~F.col("seed").eqNullSafe(F.col("kind")))
+            known = base.unionByName(more.select("side", "cue", "kind", F.coalesce("seeds", F.lit(0)).alias("seeds"), (F.col("worth") * F.col("times")).alias("s")))
+        score = known.groupBy("side", "cue", "kind").agg(F.sum("seeds").alias("seeds"), F.sum("s").alias("s")).where(F.col("seeds") >= rules.support).join(often, "cue")
+        score = score.select("side", "cue", "kind", F.expr("least(1000, s div greatest(often, 1))").alias("confidence"))
+        likely = cut(around.join(score.where(F.col("confidence") > 0), ["side", "cue"]).groupBy("instance", "kind").agg(F.max("confidence").alias("worth")))
     best = likely.groupBy("instance").agg(F.max(F.struct("worth", (-F.col("kind")).alias("kind"))).alias("b"))
     return best.where(F.col("b.worth") >= rules.confidence).select("instance", (-F.col("b.kind")).alias("kind"))
 
@@ -160,14 +174,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``(id, base, spans)``, one row per row of ``docs``: arrays of ``(start, kind, end)`` by start, kind, end.
 
     ``base`` has what the base patterns find, ``spans`` has that and what the method adds; a
-    new span has the kind of its pattern and overlaps no base span. Null and empty texts have
+    new span has the kind of its pattern (:data:`SECRET` after the others) and overlaps no base span. Null and empty texts have
     none. Rows that repeat id and text get the same spans; an empty table gives an empty result.
     """
     rules = rules or Bootstrap()
     found = settle(entities(docs, id_col, text_col), "entities")
     mentioned = mentions(found, rules)
     new = confident(mentioned, docs, text_col, rules)
-    free = mentioned.where("kind is null").select("id", "mark", "instance", "start", "end").join(new, "instance")
+    free = mentioned.where("not based").select("id", "mark", "instance", "start", "end").join(new, "instance")
     added = free.groupBy("id", "mark").agg(F.collect_set(F.struct("start", "kind", "end")).alias("more"))
     base = F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
     both = found.select(F.col("id").alias("found_id"), F.col("mark").alias("found_mark"), base.alias("base")).join(
@@ -179,5 +193,5 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def spelled(spans: str) -> Column:
     """Spans as ``kind:start:end``, joined by commas."""
-    names = F.array(*map(F.lit, KINDS))
+    names = F.array(*map(F.lit, NAMES))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s.kind), s.start.cast("string"), s.end.cast("string"))), ",")

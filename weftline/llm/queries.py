@@ -29,12 +29,13 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Personal data in every document."""
+    """Personal data in every document, and how many spans of it there are in all."""
     got = pii.personal_data(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
     return got.select(
         F.col("id").alias("doc_id"), *(count(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)),
         F.sha2(pii.spelled("base"), 256).alias("base_sha256"), pii.spelled("spans").alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"), F.size(F.filter("spans", lambda s: s.kind == pii.SECRET)).cast("long").alias("n_secret"),
     )
 
 
