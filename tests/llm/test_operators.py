@@ -109,6 +109,30 @@ def test_repeated_bytes(spark, odd_texts, split, tasks):
     assert Counter((r.id, r.n_bytes, sum(s.b - s.a for s in r.spans), bytes(r.kept)) for r in got) == want
 
 
+@pytest.mark.parametrize("words", [9, 12])
+def test_passages_of_words(spark, odd_texts, words):
+    def windows(text):
+        w = re.findall(r"[^ \t-\r]+", text or "")
+        return {tuple(w[k : k + words]) for k in range(len(w) - words + 1)}
+
+    texts = [*odd_texts, (90, "\n".join((odd_texts[6][1] or "").split()[40:90])), (91, None), (92, " ".join(f"q{k}" for k in range(60)) * 2)]
+    rows = [windows(t) for _, t in texts]
+    want = Counter((i, len((t or "").encode()), any(a & b for j, b in enumerate(rows) if j != k)) for k, (a, (i, t)) in enumerate(zip(rows, texts, strict=True)))
+    got = suffixes.without_repeats(docs(spark, texts), length=40, words=words).collect()
+    assert Counter((r.id, r.n_bytes, r.passage) for r in got) == want
+
+
+def test_text_over_a_chunk(spark):
+    rnd = random.Random(3)
+    long = " ".join(f"w{rnd.randrange(10**9)}" for _ in range(120_000))
+    assert len(long) > 1 << 20
+    cut = (1 << 20) - 800  # where the first part ends
+    texts = [(1, long), (2, "x " + long[cut - 400 : cut + 400] + " y"), (3, long[:399]), (4, "z")]
+    got = {r.id: r for r in suffixes.without_repeats(docs(spark, texts), words=51).collect()}
+    assert [(s.a, s.b) for s in got[1].spans] == [(cut - 400, cut + 400)] and [(s.a, s.b) for s in got[2].spans] == [(2, 802)]
+    assert [got[k].passage for k in (1, 2, 3, 4)] == [True, True, False, False] and not got[3].spans
+
+
 def test_personal_data(spark):
     texts = [(k, f"some words staffid: u{k}x@corp.example.com and more") for k in range(9)]
     texts += [(20, "other staffid: u77788x ok +1 (583) 555-8469, 10.0.0.256 10.0.0.1; 4111 1111 1111 1111"), (21, None), (None, "a@b"), (22, "x@y.z" * 2)]

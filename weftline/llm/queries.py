@@ -22,10 +22,13 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document that lie in a repeated string of 400 bytes."""
-    got = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    """Bytes of every document that lie in a repeated string of 400 bytes, and whether it repeats anything: such bytes, or over 50 words of another document."""
+    got = suffixes.without_repeats(table(spark, sf_dir, "documents"), words=suffixes.PASSAGE)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s.b - s.a))
-    return got.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return got.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        "passage", (F.size("spans") > 0).alias("bytes_removed"),
+    )
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,16 +20,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from weftline.functions.lineage import settle
+from weftline.functions.lineage import cut, settle
 from weftline.llm.text import whole
 
 LENGTH, GRAM = 400, 32
+#: Words of a passage: over 50.
+PASSAGE = 51
 #: Contexts of one anchor that go to one shard; a shard is sorted when it holds so many bytes; shards of one
 #: anchor that one task merges.
 SPLIT, SHARD_BYTES, TASK_SHARDS = 4096, 1 << 20, 16
 _CHUNK = 1 << 20
+#: Words of an anchor of word windows.
+_WORD_GRAM = 8
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 #: Fixed odd multipliers of the rolling hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -42,15 +46,34 @@ def _powers(base: int, bits: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(29)
+
+
+class _Hashes:
+    """Hashes of any stretches of a sequence, from sums of its values times powers of a base."""
+
+    def __init__(self, values: np.ndarray, base: int = _BASES[0]) -> None:
+        n = len(values)
+        self.bits, self.base, self.n = max(20, n.bit_length()), base, n
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * _powers(base, self.bits)[:n], out=self.sums[1:])
+
+    def rolling(self, size: int) -> np.ndarray:
+        """Of the ``size`` values from each place on."""
+        return _mixed((self.sums[size:] - self.sums[:-size]) * _powers(pow(self.base, -1, 1 << 64), self.bits)[: self.n - size + 1])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the values from each start to each end."""
+        h = (self.sums[end] - self.sums[start]) * _powers(pow(self.base, -1, 1 << 64), self.bits)[start]
+        return _mixed(h + (end - start).astype(np.uint64) * np.uint64(_BASES[1]))
+
+
 def _rolling(data: np.ndarray, size: int, base: int = _BASES[0]) -> np.ndarray:
     """Hash of the ``size`` bytes from each place on."""
-    bits = max(20, len(data).bit_length())
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(base, bits)[: len(data)], out=sums[1:])
-    out = (sums[size:] - sums[:-size]) * _powers(pow(base, -1, 1 << 64), bits)[: len(data) - size + 1]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ out >> np.uint64(29)
+    return _Hashes(data, base).rolling(size)
 
 
 def _window_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -64,24 +87,61 @@ def _window_min(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def contexts(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int]]:
-    """``(start, end, anchor)`` for each anchor of a text: its windows are those that start in the first
-    ``end - start - length + 1`` places. Every window belongs to exactly one."""
-    whole_, gram = np.frombuffer(data, np.uint8), min(GRAM, length)
-    out: list[tuple[int, int, int]] = []
-    step = _CHUNK - 2 * length
-    for at in range(0, max(1, len(data) - length + 1), step):
-        part = whole_[at : at + step + length - 1]
-        if len(part) < length:
-            break
-        hashes = _rolling(part, gram)
-        keys = (hashes & ~np.uint64(_CHUNK - 1)) | np.arange(len(hashes), dtype=np.uint64)
-        least = _window_min(keys, length - gram + 1)
-        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-        last = np.concatenate((first[1:], [len(least)]))
-        anchor = hashes[(least[first] & np.uint64(_CHUNK - 1)).astype(np.int64)].view(np.int64)
-        out += zip((first + at).tolist(), (last + at + length - 1).tolist(), anchor.tolist(), strict=True)
-    return out
+def _runs(keys: np.ndarray, width: int, room: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of ``size`` by the smallest of the ``width`` keys in each: first and last of every run, and that key.
+
+    Only places with at least ``size`` left to the end of their part (``room``) start a window.
+    """
+    at = np.flatnonzero(room[: max(0, len(room) - size + 1)] >= size)
+    if not len(at):
+        return at, at, np.zeros(0, np.uint64)
+    least = _window_min(keys, width)[at]
+    head = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+    return at[head], at[np.concatenate((head[1:], [len(at)])) - 1], least[head]
+
+
+def _room(ends: np.ndarray) -> np.ndarray:
+    """How much of its part is left from each place on."""
+    return np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(ends[-1] if len(ends) else 0)
+
+
+def contexts(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Start, end, anchor and two hashes of each context of several parts, given as bytes (2^20 at most) and the ends of parts.
+
+    The windows of a context are those that start in its first ``end - start - length + 1``
+    places. Every window that lies in one part belongs to exactly one.
+    """
+    none = np.zeros(0, np.int64)
+    if len(data) < length:
+        return none, none, none, none, none
+    gram = min(GRAM, length)
+    sums = _Hashes(data)
+    hashes = sums.rolling(gram)
+    low = np.uint64(_CHUNK - 1)
+    first, last, least = _runs((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - gram + 1, _room(ends), length)
+    anchor = hashes[(least & low).astype(np.int64)]
+    return first, last + length, anchor.view(np.int64), sums.of(first, last + length).view(np.int64), _Hashes(data, _BASES[1]).of(first, last + length).view(np.int64)
+
+
+def passages(data: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """Part, first and last window, anchor and hash of each run of word windows of several texts, then the hashes of windows of ``words`` words."""
+    none = np.zeros(0, np.int64)
+    blank = _BLANK[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[np.concatenate(([0], ends))] = True
+    solid = ~blank
+    begin = np.flatnonzero(solid & np.concatenate(([True], blank[:-1] | edge[1:-1])))
+    end = np.flatnonzero(solid & np.concatenate((blank[1:] | edge[1:-1], [True]))) + 1
+    if len(begin) < words:
+        return none, none, none, none, none, none
+    sums = _Hashes(_Hashes(data).of(begin, end))
+    last_word = np.searchsorted(begin, ends)
+    grams = sums.rolling(min(_WORD_GRAM, words))
+    # equal keys in a window would tie, so the low bits tell their place
+    low = np.uint64((1 << max(20, len(grams).bit_length())) - 1)
+    first, last, least = _runs((grams & ~low) | np.arange(len(grams), dtype=np.uint64), words - min(_WORD_GRAM, words) + 1, _room(last_word), words)
+    key = grams[(least & low).astype(np.int64)].view(np.int64)
+    return np.searchsorted(last_word, first, "right"), first, last, key, sums.of(first, last + words).view(np.int64), sums.rolling(words).view(np.int64)
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,11 +246,6 @@ def ranges(mask: np.ndarray, length: int = LENGTH) -> list[tuple[int, int]]:
     return [(int(g[0]), int(g[-1]) + length) for g in np.split(at, cut)]
 
 
-def _hash128(data: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(data, digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
 def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [()] * len(schema)
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -203,21 +258,72 @@ _FOUND = pa.schema([("c1", _L), ("c2", _L), ("ranges", pa.list_(pa.struct([("a",
 _FOUND_DDL = "c1 bigint, c2 bigint, ranges array<struct<a:int,b:int>>, w1 bigint, w2 bigint, at int"
 
 
+def _chunks(batch: pa.RecordBatch, length: int, whole_texts: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, offsets in their text, ends and bytes of parts that fill about a chunk together.
+
+    Parts of a text overlap so that each window lies in one; or texts are not cut.
+    """
+    step, got, room = _CHUNK - 2 * length, [], _CHUNK // 2
+    for row, text in enumerate(batch.column(2)):
+        data = text.as_buffer()
+        parts = [(0, len(data))] if whole_texts else [(at, min(len(data), at + step + length - 1)) for at in range(0, max(1, len(data) - length + 1), step)]
+        for a, b in parts:
+            if got and room < b - a:
+                yield _joined(got)
+                got, room = [], _CHUNK // 2
+            got.append((row, a, memoryview(data)[a:b]))
+            room -= b - a
+    if got:
+        yield _joined(got)
+
+
+def _joined(got: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rows, offsets = (np.array([g[k] for g in got], np.int64) for k in (0, 1))
+    return rows, offsets, np.cumsum([len(g[2]) for g in got]), np.frombuffer(b"".join(g[2] for g in got), np.uint8)
+
+
 def _occurrences(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            copies: dict[tuple[int, int], list] = {}
-            for t1, t2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                copies.setdefault((t1, t2), [0, text])[0] += 1
-            rows = []
-            for (t1, t2), (n, text) in copies.items():
-                data = text.as_py().encode()
-                for s, e, key in contexts(data, length):
-                    rows.append((t1, t2, s, e, key, *_hash128(data[s:e]), n))
-                if len(rows) > 100_000:
-                    yield _batch(_OCCURS, rows)
-                    rows = []
-            yield _batch(_OCCURS, rows)
+            t1, t2 = (batch.column(k).to_numpy() for k in (0, 1))
+            for rows, offsets, ends, data in _chunks(batch, length):
+                start, end, key, c1, c2 = contexts(data, ends, length)
+                part = np.searchsorted(ends, start, "right")
+                moved = offsets[part] - np.concatenate(([0], ends))[part]
+                row = rows[part]
+                columns = (t1[row], t2[row], start + moved, end + moved, key, c1, c2, np.ones(len(row), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if f.type == _I else c, f.type) for c, f in zip(columns, _OCCURS, strict=True)], schema=_OCCURS)
+
+    return run
+
+
+def _word_runs(words: int):
+    schema = pa.schema([("key", _L), ("c", _L), ("t", _L)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = batch.column(0).to_numpy()
+            for rows, _, ends, data in _chunks(batch, 0, whole_texts=True):
+                part, _, _, key, c, _ = passages(data, ends, words)
+                yield pa.RecordBatch.from_arrays([pa.array(x, _L) for x in (key, c, t[rows[part]])], schema=schema)
+
+    return run
+
+
+def _word_windows(words: int):
+    """Hashes of the word windows at the anchors that a text is asked for."""
+    schema = pa.schema([("w", _L), ("t", _L)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t, text, keys in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                _, first, last, key, _, window = passages(data, np.array([len(data)]), words)
+                asked = np.isin(key, keys.values.to_numpy())
+                first, count = first[asked], (last - first + 1)[asked]
+                at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                w = np.unique(window[at])
+                yield pa.RecordBatch.from_arrays([pa.array(w, _L), pa.array(np.full(len(w), t), _L)], schema=schema)
 
     return run
 
@@ -332,9 +438,11 @@ def removed_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     ``task_shards`` shards.
     """
     texts = docs.select(whole(text_col).alias("text"))
-    dealt = texts.select(*_hashes(F.col("text")), "text").where(F.octet_length("text") >= length).mapInArrow(_occurrences(length), "t1 bigint, t2 bigint, s int, e int, key bigint, c1 bigint, c2 bigint, n bigint").repartition("key")
-    total = F.sum("n").over(W.partitionBy("key"))
-    places = settle(dealt.withColumn("total", total).where("total > 1").drop("total"), "places")
+    every = texts.select(*_hashes(F.col("text")), "text").where(F.octet_length("text") >= length).mapInArrow(_occurrences(length), "t1 bigint, t2 bigint, s int, e int, key bigint, c1 bigint, c2 bigint, n bigint")
+    every = settle(every, "occurrences")
+    # added up before the shuffle, so a frequent anchor is one row of each task; the join is split where one is hot
+    again = every.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
+    places = settle(every.join(again, "key", "left_semi"), "places")
     first = [F.first(c).alias(c) for c in ("t1", "t2", "s", "e")]
     kinds = settle(places.groupBy("key", "c1", "c2").agg(F.sum("n").alias("n"), *first), "contexts")
     whole_ones = kinds.where("n > 1").select("c1", "c2", F.array(F.struct(F.lit(0).alias("a"), (F.col("e") - F.col("s")).alias("b"))).alias("ranges"))
@@ -353,34 +461,76 @@ def removed_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     return moved.groupBy("t1", "t2").agg(F.flatten(F.collect_list("r")).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, split: int = SPLIT, shard_bytes: int = SHARD_BYTES, task_shards: int = TASK_SHARDS) -> DataFrame:
+def in_passages(docs: DataFrame, text_col: str = "text", words: int = PASSAGE) -> DataFrame:
+    """``(t1, t2)`` of the distinct texts with a passage of ``words`` words that another row has too, whatever parts the words.
+
+    Windows of words are dealt by anchors like those of bytes. Equal runs of windows settle most
+    texts; only what they leave open, and what shares an anchor with it, is compared window by
+    window. Here texts are told apart by 64 bits.
+    """
+    texts = docs.select(whole(text_col).alias("text"))
+    named = texts.select(*_hashes(F.col("text")), "text").where(F.octet_length("text") >= 2 * words - 1)
+    runs = settle(named.mapInArrow(_word_runs(words), "key bigint, c bigint, t bigint"), "word-runs")
+    differ = lambda df, *by: df.groupBy(*by).agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select(*by)
+    shared = settle(runs.join(differ(runs, "key"), "key", "left_semi"), "shared-runs")
+    sure = shared.join(differ(shared, "key", "c"), ["key", "c"], "left_semi").select("t").distinct()
+    copies = named.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
+    long = runs.select("t").distinct()
+    sure = cut(sure.unionByName(copies.where("copies > 1").select(F.col("t1").alias("t")).join(long, "t", "left_semi")).distinct())
+    open_ = shared.join(sure, "t", "left_anti").select("key").distinct()
+    asked = shared.join(open_, "key", "left_semi").groupBy("t").agg(F.collect_set("key").alias("keys"))
+    windows = cut(named.select(F.col("t1").alias("t"), "text").join(asked, "t").select("t", "text", "keys").mapInArrow(_word_windows(words), "w bigint, t bigint").distinct())
+    found = windows.join(differ(windows, "w"), "w", "left_semi").select("t").distinct()
+    told = sure.unionByName(found).distinct()
+    return copies.join(told, F.col("t1") == F.col("t"), "left_semi").select("t1", "t2")
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, split: int = SPLIT, shard_bytes: int = SHARD_BYTES, task_shards: int = TASK_SHARDS, words: int | None = None) -> DataFrame:
     """``(id, n_bytes, spans, kept)``, one row per row of ``docs``: merged byte runs that go, and the bytes that stay.
 
     A byte goes if it lies in a string of ``length`` bytes that also starts anywhere else, in
     this or another row. Null and empty texts have no bytes; shorter texts stay whole; repeated
-    rows are repeats of each other. Ids may be null or repeated.
+    rows are repeats of each other. Ids may be null or repeated; texts are taken whole, however
+    long. With ``words``, ``passage`` tells whether the row has a passage of so many words that
+    another row has too (:func:`in_passages`); this removes nothing.
     """
     spans = removed_spans(docs, text_col, length, split, shard_bytes, task_shards)
     named = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
-    joined = named.select("id", *_hashes(F.col("text")), "text").join(spans, ["t1", "t2"], "left").select("id", "text", "spans")
+    more = []
+    if words is not None:
+        told = in_passages(docs, text_col, words).withColumn("spans", F.array().cast("array<struct<a:int,b:int>>")).withColumn("passage", F.lit(True))
+        spans = spans.withColumn("passage", F.lit(False)).unionByName(told).groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.max("passage").alias("passage"))
+        more = [F.coalesce("passage", F.lit(False)).alias("passage")]
+    joined = named.select("id", *_hashes(F.col("text")), "text").join(spans, ["t1", "t2"], "left").select("id", "text", "spans", *more)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Maximal runs that the stretches from ``a`` to ``b`` cover."""
+        order = np.argsort(a, kind="stable")
+        a, reach = a[order], np.maximum.accumulate(b[order])
+        head = np.flatnonzero(np.concatenate(([True], a[1:] > reach[:-1])))
+        return a[head], reach[np.concatenate((head[1:], [len(a)])) - 1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run_kind = pa.list_(pa.struct([("a", _I), ("b", _I)]))
         for batch in batches:
-            sizes, gone, kept = [], [], []
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                data, runs = text.as_py().encode(), []
-                for r in sorted(spans.as_py() or (), key=lambda r: r["a"]):
-                    if runs and r["a"] <= runs[-1]["b"]:
-                        runs[-1]["b"] = max(runs[-1]["b"], r["b"])
-                    else:
-                        runs.append(r)
-                ends = [0, *(r["b"] for r in runs)]
-                starts = [*(r["a"] for r in runs), len(data)]
+            sizes, kept, counts, runs = [], [], [], []
+            listed = batch.column(2)
+            offsets, flat = listed.offsets.to_numpy(), listed.values
+            a, b = (flat.field(k).to_numpy() for k in (0, 1))
+            for k, text in enumerate(batch.column(1)):
+                data = text.as_buffer().to_pybytes()
                 sizes.append(len(data))
-                gone.append(runs)
-                kept.append(b"".join(data[a:b] for a, b in zip(ends, starts, strict=True)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, _L), pa.array(gone, run_kind), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
-
-    return joined.mapInArrow(run, f"id {kind}, n_bytes bigint, spans array<struct<a:int,b:int>>, kept binary")
+                lo, hi = offsets[k], offsets[k + 1]
+                if lo == hi:
+                    counts.append(0)
+                    kept.append(data)
+                    continue
+                start, end = merged(a[lo:hi], b[lo:hi])
+                counts.append(len(start))
+                runs.append((start, end))
+                kept.append(b"".join(data[x:y] for x, y in zip([0, *end.tolist()], [*start.tolist(), len(data)], strict=True)))
+            both = [pa.array(np.concatenate([r[k] for r in runs]) if runs else np.zeros(0), _I) for k in (0, 1)]
+            gone = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), _I), pa.StructArray.from_arrays(both, names=["a", "b"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, _L), gone, pa.array(kept, pa.binary()), *batch.columns[3:]], names=["id", "n_bytes", "spans", "kept", *batch.schema.names[3:]])
+
+    return joined.mapInArrow(run, f"id {kind}, n_bytes bigint, spans array<struct<a:int,b:int>>, kept binary" + (", passage boolean" if more else ""))
