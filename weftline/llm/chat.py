@@ -20,8 +20,9 @@ from weftline.llm.text import let, whole
 class Template:
     """What stands around a turn, which roles are trained on, and which role may follow which.
 
-    ``moves`` maps a state to the roles it allows; the role is the next state. A conversation is
-    valid if every turn is allowed and the last one leaves it in a state of ``final``. Marks start
+    ``moves`` maps a state to the roles it allows; the role is the next state. A role that is not
+    allowed is a violation, after which the machine goes on from that role. A conversation is
+    valid without violations if the last turn leaves it in a state of ``final``. Marks start
     with a character that is not a backslash and have two characters at least.
     """
 
@@ -56,25 +57,44 @@ def unescape(text: Column, template: Template, name: bool = False) -> Column:
     return reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), swaps, text)
 
 
-def format_conversations(turns: DataFrame, template: Template = CHATML, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """``(id, n_turns, valid, segments)``; a segment is ``(text, loss)``, three to a turn.
+def run_machine(turns: Column, template: Template) -> Column:
+    """What the machine does at each turn: ``(state, role, text, allowed, loss)``.
+
+    It moves from ``state``, the role before it (empty at the start), to ``role``; the output of
+    the move is whether it was allowed and whether the text is trained on.
+    """
+    may = lambda state, role: reduce(lambda other, m: F.when(state == m[0], role.isin(*m[1])).otherwise(other), template.moves, F.lit(False))
+
+    def move(t: Column, k: Column) -> Column:
+        state = F.coalesce(F.get(turns, k - 1).role, F.lit(""))
+        return F.struct(state.alias("state"), t.role.alias("role"), t.text.alias("text"), may(state, t.role).alias("allowed"), t.role.isin(*template.trained).alias("loss"))
 
-    Rows are taken by turn (null first; equal turns by role, then text). A null role or text is
-    empty. A conversation's turns have to meet, as they are one output row; nothing else is
-    grouped. Invalid conversations are formatted too and say ``valid = false``.
+    return F.transform(turns, move)
+
+
+def format_conversations(turns: DataFrame, template: Template = CHATML, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """``(id, n_turns, valid, violations, segments)``; a segment is ``(text, loss)``, three to a turn.
+
+    Rows are taken by turn (null first; equal turns by role, then text); repeated rows are turns
+    of their own. A null role or text is empty, texts are taken whole, a null id is an id, an
+    empty table gives an empty result, other columns are not read. A conversation's turns have
+    to meet, as they are one output row; nothing else is grouped. Segments and their flags are
+    emitted by the machine as it moves; invalid conversations are formatted too and say so:
+    ``violations`` counts moves that are not allowed, and an end in a state that is not final.
     """
     one = F.struct(F.col(turn_col).alias("turn"), whole(role_col).alias("role"), whole(text_col).alias("text"))
     talks = turns.select(F.col(id_col).alias("id"), one.alias("t")).groupBy("id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    run = talks.select("id", run_machine(F.col("turns"), template).alias("moves"))
     segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     no = F.lit(False)
-    parts = F.flatten(F.transform("turns", lambda t: F.array(
-        segment(F.concat(F.lit(template.open), escape(t.role, template, True), F.lit(template.after_role)), no),
-        segment(escape(t.text, template), t.role.isin(*template.trained)),
+    parts = F.flatten(F.transform("moves", lambda m: F.array(
+        segment(F.concat(F.lit(template.open), escape(m.role, template, True), F.lit(template.after_role)), no),
+        segment(escape(m.text, template), m.loss),
         segment(F.lit(template.close + template.after_turn), no),
     )))
-    step = lambda state, role: reduce(lambda other, m: F.when((state == m[0]) & role.isin(*m[1]), role).otherwise(other), template.moves, F.lit("!"))
-    valid = F.aggregate("turns", F.lit(""), lambda s, t: step(s, t.role)).isin(*template.final)
-    return talks.select("id", F.size("turns").cast("long").alias("n_turns"), valid.alias("valid"), parts.alias("segments"))
+    ended = F.coalesce(F.try_element_at("moves", F.lit(-1)).role, F.lit("")).isin(*template.final)
+    wrong = F.size(F.filter("moves", lambda m: ~m.allowed)).cast("long") + F.when(ended, 0).otherwise(1)
+    return run.select("id", F.size("moves").cast("long").alias("n_turns"), (wrong == 0).alias("valid"), wrong.alias("violations"), parts.alias("segments"))
 
 
 def formatted(segments: str = "segments") -> Column:
@@ -103,10 +123,10 @@ def trained_text(segments: str = "segments", template: Template = CHATML) -> Col
 
 def digests(talks: DataFrame, template: Template = CHATML) -> DataFrame:
     """Digests of what :func:`format_conversations` gave, read back from its segments."""
-    told = talks.select("id", formatted().alias("formatted"), trained_text(template=template).alias("trained"), "valid")
+    told = talks.select("id", formatted().alias("formatted"), trained_text(template=template).alias("trained"), "valid", "violations")
     spoken = let(read_turns(F.col("formatted"), template), lambda t: F.struct(
         F.size(t).cast("long").alias("n"), F.sha2(F.array_join(F.transform(t, lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), ""), 256).alias("sha")))
     return told.select("*", spoken.alias("s")).select(
         "id", F.col("s.n").alias("n_turns"), F.col("s.sha").alias("turns_sha256"), F.length("trained").cast("long").alias("loss_chars"),
-        F.sha2("trained", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid",
+        F.sha2("trained", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid", "violations",
     )

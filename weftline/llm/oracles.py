@@ -60,12 +60,18 @@ _ESCAPED = r"replace(replace(replace({}, '\', '\\'), '<|im_start|>', '<\|im_star
 OP9 = rf"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+m AS (
+  SELECT *, coalesce(lag(role) OVER w, '') AS state, lead(role) OVER w IS NULL AS is_last FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+u AS (
+  SELECT *, CASE WHEN CASE state WHEN '' THEN role IN ('system', 'user') WHEN 'user' THEN role = 'assistant' ELSE state IN ('system', 'assistant') AND role = 'user' END THEN 0 ELSE 1 END
+    + CASE WHEN is_last AND role <> 'assistant' THEN 1 ELSE 0 END AS wrong FROM m)
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length('<|im_start|>') + length(role) + 1 + length({_ESCAPED.format('text')}) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
-FROM t GROUP BY conv_id
+       sum(length('<|im_start|>') + length(role) + 1 + length({_ESCAPED.format('text')}) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars,
+       sum(wrong) = 0 AS valid, sum(wrong)::BIGINT AS violations
+FROM u GROUP BY conv_id
 """
 
 OP6 = """
