@@ -226,6 +226,7 @@ def test_chat_round_trip(spark):
         loss = next(t or "" for c, _, r, t in rows if c == k and r == "assistant")
         assert told[k].turns_sha256 == hashlib.sha256(turns.encode()).hexdigest() and told[k].valid
         assert told[k].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+    assert [told[k].violations for k in (5, 7, 8, None)] == [0, 1, 2, 1]
     assert not told[7].valid and told[8].turns_sha256 == hashlib.sha256(b"us\ner\ny\n").hexdigest()
 
 
@@ -239,6 +240,23 @@ def test_archives(spark):
     assert {r.page_id for r in warc.lookup(keys, directory, folder).collect()} == {1, 2, 5}
 
 
+def test_lookup_over_blocks_and_files(spark):
+    rows = [(k, "http://hot.org/a" if k % 3 else f"http://h{k % 7}.org/{k}", "x" * (k % 5) * 60) for k in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    captures, _, folder = warc.archive(pages)
+    directory = warc.write_index(captures, folder, block_rows=2)
+    assert directory.count() >= 60
+    keyed = pages.select("page_id", warc.url_key(pages.url).alias("key"))
+    for some in (keyed.where("page_id % 10 = 0"), keyed.where("page_id = 1"), keyed):
+        keys = {r.key for r in some.collect()}
+        found = warc.lookup(some, directory, folder)
+        assert sorted(r.page_id for r in found.collect()) == sorted(r.page_id for r in keyed.collect() if r.key in keys)
+    assert {r.page_id: r.payload_bytes for r in warc.read_records(found, folder).collect()} == {i: len(h) for i, _, h in rows}
+    none = pages.where("false").withColumn("key", pages.url).withColumn("file", pages.url)
+    captures, directory, folder = warc.archive(none)
+    assert (captures.count(), directory.count(), warc.lookup(none, directory, folder).count()) == (0, 0, 0)
+
+
 def test_url_rules(spark):
     link = '<a href="http://bad.net/x">'
     rows = [(1, "http://WWW.Example.org/es/1", link), (2, "http://x.org", None), (3, None, None), (4, "https://good.com/fr/a?b", None), (5, "ftp://bad.net/de/", None), (6, "http://near.net/q", link)]

@@ -68,9 +68,10 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page written to WARC archives, found again by the index and read back."""
-    _, directory, folder = warc.archive(table(spark, sf_dir, "pages"))
-    got = warc.read_records(warc.read_index(directory, folder), folder)
+    """Every page written to WARC archives, looked up in the index by the key of its url and read back."""
+    pages = table(spark, sf_dir, "pages")
+    _, directory, folder = warc.archive(pages)
+    got = warc.read_records(warc.lookup(pages.select(warc.url_key(F.col("url")).alias("key")), directory, folder), folder)
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -97,7 +98,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = talks.schema["conv_id"].dataType, talks.schema["turn"].dataType
     own = own.select(F.lit(-1).cast(kind[0]).alias("conv_id"), F.col("t.turn").cast(kind[1]).alias("turn"), F.col("t.role").alias("role"), said.alias("text"))
     told = chat.digests(chat.format_conversations(talks.select("conv_id", "turn", "role", "text").unionByName(own)))
-    return told.select(F.col("id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return told.select(F.col("id").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid", "violations")
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.lineage import scratch_path, settle
@@ -35,6 +35,8 @@ IDENTICAL = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Payloads under so many bytes are always stored.
 LEAST_BYTES = 100
 BLOCK_ROWS = 3000
+#: Bytes of a file that one task reads.
+STRETCH = 1 << 23
 _CAPTURE = "key string, page_id bigint, url string, digest string, type string, file string, offset bigint, length bigint"
 _RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
@@ -184,8 +186,9 @@ def lookup(keys: DataFrame, directory: DataFrame, folder: str, key_col: str = "k
     """Captures with the given url keys.
 
     First the file is searched, by the first and last key of each index file (one entry to a
-    file, so as many as the index had partitions), then the blocks of that file, then the
-    block. Repeated keys count once, null keys find nothing.
+    file, so no more than the index had partitions, which is a setting and not a size of the
+    data), then the blocks of that file, then the block. Repeated keys count once, null keys
+    find nothing; a key with captures in several blocks or files finds all of them.
     """
     spark, out = directory.sparkSession, _schema(_CAPTURE)
     ranges = sorted((r["first"], r["last"], r["file"]) for r in directory.groupBy("file").agg(F.min("first_key").alias("first"), F.max("last_key").alias("last")).toLocalIterator())
@@ -225,13 +228,22 @@ def lookup(keys: DataFrame, directory: DataFrame, folder: str, key_col: str = "k
                     k += 1
             yield pa.RecordBatch.from_pylist(found, out)
 
-    return both.repartition("file").sortWithinPartitions("file", "kind", "key").mapInArrow(run, _CAPTURE)
+    return both.repartition(_tasks(spark), "file").sortWithinPartitions("file", "kind", "key").mapInArrow(run, _CAPTURE)
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Adaptive execution puts partitions together by their size, which here says nothing of the work; a given number stays."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def read_records(captures: DataFrame, folder: str) -> DataFrame:
-    """The records of captures, read by byte range in the order of each file; revisits have no payload of their own."""
+    """The records of captures, read by byte range in the order of each file; revisits have no payload of their own.
+
+    A task gets stretches of 8 MB of a file, so large files are read by many tasks.
+    """
     out = _schema(_RECORD)
-    places = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    stretch = F.floor(F.col("offset") / STRETCH)
+    places = captures.select("file", "offset", "length").repartition(_tasks(captures.sparkSession), "file", stretch).sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
