@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint directory exists (single-machine
-    tests) is a temporary folder made.
+    Only where neither that setting nor a checkpoint directory exists and all of Spark is on
+    one machine (tests) is a temporary folder made.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         named = "file://" + tempfile.mkdtemp(prefix="weftline-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -30,7 +38,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if (noted := _noted.get()) is not None:
+        noted.append(path)
+    return path
+
+
+@contextmanager
+def noting() -> Iterator[list[str]]:
+    """The scratch paths that are given out meanwhile, for :func:`release` once nothing is to be computed from them any more."""
+    token = _noted.set(paths := [])
+    try:
+        yield paths
+    finally:
+        _noted.reset(token)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove scratch folders and forget them."""
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, what: str) -> DataFrame:
