@@ -73,10 +73,11 @@ def _rarest_first(words: Column, table: Column) -> Column:
     return F.sort_array(F.transform(words, lambda t: ranked(F.xxhash64(t))))
 
 
-def _distance_bits(words: Column) -> Column:
-    """64 parities of a set of hashed words: two sets differ in at least as many words as their parities in bits."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(63).cast("int"))))
+def _parities(words: Column, half: int) -> Column:
+    """64 of the 128 parities of a set of hashed words: two sets differ in at least as many words as their parities in bits."""
+    mine = lambda w: F.call_function("shiftright", w, F.lit(6)).bitwiseAND(1) == half
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: F.when(mine(w), bits.bitwiseXOR(bit(w))).otherwise(bits))
 
 
 def _packed(n: Column, at: Column, settled: Column) -> Column:
@@ -85,15 +86,16 @@ def _packed(n: Column, at: Column, settled: Column) -> Column:
     return left(n, 32).bitwiseOR(left(at, 1)).bitwiseOR(settled.cast("long"))
 
 
-def _may_match(x: Column, y: Column, bits_x: Column, bits_y: Column, similarity: tuple[int, int]) -> Column:
-    """Length, position and parity filters on two packed places of a shared word."""
+def _may_match(x: Column, y: Column, bits: list[tuple[Column, Column]], similarity: tuple[int, int]) -> Column:
+    """Length, position and parity filters on two packed places of a shared word; ``bits`` are parities of both sets."""
     p, q = similarity
     size = lambda c: F.call_function("shiftright", c, F.lit(32))
     at = lambda c: F.call_function("shiftright", c, F.lit(1)).bitwiseAND((1 << 31) - 1)
     n_x, n_y = size(x), size(y)
     in_length = (q * n_y >= p * n_x) & (q * n_x >= p * n_y)
     in_place = (p + q) * F.least(n_x - at(x), n_y - at(y)) >= p * (n_x + n_y)
-    return in_length & in_place & ((p + q) * F.bit_count(bits_x.bitwiseXOR(bits_y)) <= (q - p) * (n_x + n_y))
+    differ = sum(F.bit_count(a.bitwiseXOR(b)) for a, b in bits)
+    return in_length & in_place & ((p + q) * differ <= (q - p) * (n_x + n_y))
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] = SIMILARITY, least_words: int = 5) -> DataFrame:
@@ -129,7 +131,7 @@ def _classes(texts: DataFrame, keyed: DataFrame, similarity: tuple[int, int], le
     """One row per class of equal lines with enough words, written once.
 
     ``k`` and ``check`` are hashes of the text, ``copies`` its number, ``id`` and ``line_no`` its
-    earliest place, ``n`` the size of its set of words, ``bits`` its parities and ``prefix`` those
+    earliest place, ``n`` the size of its set of words, ``bits0`` and ``bits1`` its parities and ``prefix`` those
     words of its prefix that occur twice or more; ``skipped`` ones that do not came before.
     """
     p, q = similarity
@@ -144,8 +146,8 @@ def _classes(texts: DataFrame, keyed: DataFrame, similarity: tuple[int, int], le
     reach = F.col("n") - F.ceil(F.col("n") * p / q).cast("int") + 1
     # a word that occurs once leads to no other line; these come first in a line
     shared = F.filter(F.slice("o", F.lit(1), reach), lambda w: F.call_function("shiftright", w, F.lit(_HASH_BITS)) > 1)
-    cut_off = ordered.select("k", "id", "line_no", "check", "n", _distance_bits(F.col("o")).alias("bits"), reach.alias("reach"), shared.alias("prefix"))
-    row = F.struct("id", "line_no", "check", "n", "bits", (F.col("reach") - F.size("prefix")).alias("skipped"), "prefix")
+    cut_off = ordered.select("k", "id", "line_no", "check", "n", *(_parities(F.col("o"), half).alias(f"bits{half}") for half in (0, 1)), reach.alias("reach"), shared.alias("prefix"))
+    row = F.struct("id", "line_no", "check", "n", "bits0", "bits1", (F.col("reach") - F.size("prefix")).alias("skipped"), "prefix")
     return settle(cut_off.groupBy("k").agg(F.min(row).alias("f"), F.count("*").alias("copies")).select("k", "copies", "f.*"), "line-classes")
 
 
@@ -178,18 +180,18 @@ def _similar(classes: DataFrame, keyed: DataFrame, similarity: tuple[int, int])
 
     often = F.filter("prefix", lambda w: F.call_function("shiftright", w, F.lit(_HASH_BITS)) >= _OFTEN)
     among = places(classes.withColumn("skipped", F.col("skipped") + F.size("prefix") - F.size(often)), often, F.lit(False))
-    heads = among.groupBy("token").agg(F.min(F.struct("id", "line_no", "k", "p", "bits")).alias("head"), F.count("*").alias("together")).where("together > 1")
-    with_head = among.select("token", "k", "p", "bits").join(heads, "token").where((F.col("k") != F.col("head.k")) & _may_match(F.col("p"), F.col("head.p"), F.col("bits"), F.col("head.bits"), similarity))
+    heads = among.groupBy("token").agg(F.min(F.struct("id", "line_no", "k", "p", "bits0", "bits1")).alias("head"), F.count("*").alias("together")).where("together > 1")
+    with_head = among.select("token", "k", "p", "bits0", "bits1").join(heads, "token").where((F.col("k") != F.col("head.k")) & _may_match(F.col("p"), F.col("head.p"), [(F.col(b), F.col(f"head.{b}")) for b in ("bits0", "bits1")], similarity))
     settled = cut(later_of(with_head.select(F.col("k").alias("x"), F.col("head.k").alias("y"))))
 
-    marked = classes.select("k", "n", "skipped", "bits", "prefix").join(settled.withColumn("gone", F.lit(True)), "k", "left")
-    every = places(marked, F.col("prefix"), F.coalesce("gone", F.lit(False))).select("token", "k", "p", "bits")
-    x, y = (every.select("token", F.col("k").alias(c), F.col("p").alias(f"p_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "xy")
+    marked = classes.select("k", "n", "skipped", "bits0", "bits1", "prefix").join(settled.withColumn("gone", F.lit(True)), "k", "left")
+    every = places(marked, F.col("prefix"), F.coalesce("gone", F.lit(False))).select("token", "k", "p", "bits0", "bits1")
+    x, y = (every.select("token", F.col("k").alias(c), F.col("p").alias(f"p_{c}"), F.col("bits0").alias(f"bits0_{c}"), F.col("bits1").alias(f"bits1_{c}")) for c in "xy")
     # a settled line has nothing more to find, but others may be similar to it; of two that are not, one looks for the
     # other. That is asked of both at once, so that both sides of the join stay one exchange
     done_x, done_y = F.col("p_x").bitwiseAND(1), F.col("p_y").bitwiseAND(1)
     looks = (done_x < done_y) | ((done_x + done_y == 0) & (F.col("x") < F.col("y")))
-    rest = x.join(y, "token").where(looks & _may_match(F.col("p_x"), F.col("p_y"), F.col("bits_x"), F.col("bits_y"), similarity))
+    rest = x.join(y, "token").where(looks & _may_match(F.col("p_x"), F.col("p_y"), [(F.col(f"{b}_x"), F.col(f"{b}_y")) for b in ("bits0", "bits1")], similarity))
     return settled.unionByName(later_of(rest.select("x", "y"))).distinct()
 
 
