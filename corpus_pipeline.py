@@ -1,20 +1,43 @@
 """A corpus pipeline over ``documents``: each stage calls one operator of ``weftline.llm``.
 
 Every function takes ``(spark, docs, sf_dir)``. All stages but the last return the columns of
-``documents``; what a stage removes is gone for the next.
+``documents``; what a stage removes is gone for the next. A stage's result is written before the
+next one starts, which therefore removes what the last has left in the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.lineage import cut, settle
+from weftline.functions.lineage import cut, noting, release, scratch_path, settle
 from weftline.llm import decontam, lines, pieces, quality, simhash
 from weftline.llm.text import unused
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_left: list[str] = []
+
+
+def _releasing(stage: Stage) -> Stage:
+    """Remove the scratch tables of the stage before and note those of this one."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, _left)
+        with noting() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left.extend(paths)
+        return out
+
+    return run_stage
+
+
+@_releasing
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the bounds of their language and source.
 
@@ -30,6 +53,7 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("text"))), key
 
 
+@_releasing
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier one, or nearly, however short.
 
@@ -42,6 +66,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@_releasing
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies by SimHash, unless an earlier one of these has at least 0.8 of its shingles.
 
@@ -61,6 +86,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return once.unionByName(more.select("row.*"))
 
 
+@_releasing
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark; null and empty texts hold none, repeated rows are judged alike."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -68,6 +94,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontam.overlaps(spark, docs, benchmark, found_col=found).where(F.size(found) == 0).drop(found)
 
 
+@_releasing
 def tokenization(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number of tokens of each document and digests of its ids and of the text they decode to, one row per row; null texts are empty."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -89,10 +116,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, from ``documents``; each result is written before the next reads it."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, one after the other, from ``documents``; each result is written before the next reads it, and removed after."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = settle(docs, f"stage-{k}")
+            path = scratch_path(spark, f"stage-{k}")
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
+            release(spark, before)
+            before.append(path)
     return docs
