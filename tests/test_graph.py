@@ -120,3 +120,44 @@ def test_search():
     score, ranges = search.score_label("lib/http:server", ["lib", "ser"], 4, 100, True)
     assert score == (40 + 9) + (20 + 9) + 30 + 12 + 25 + 2 + 1 + 8 and ranges == [(0, 3), (9, 12)]
     assert search.score_label("lib/http:server", ["zz"], 0, 0, False) is None
+
+
+def test_forms_of_text(spark, tmp_path):
+    files = {"a.dot": '\n \n\tdigraph g {\n\t"//x:c";\n\t"//x:a" -> "//x:b" [w=1]\n}', "b.txt": '# note\n\tm -> n\ndigraph -> x\n', "c.gv": '"p"->"q"\n"p" -> "r"', "d.txt": "\n\n", "e.md": "not -> read"}
+    for name, body in files.items():
+        (tmp_path / name).write_text(body)
+    graph = text.read_graph(spark, str(tmp_path))
+    assert sorted(map(tuple, graph.edges.collect())) == [("//x:a", "//x:b"), ("digraph", "x"), ("m", "n"), ("p", "q"), ("p", "r")]
+    assert "//x:c" in {r.id for r in graph.nodes.collect()}
+    none = text.parse_dot(spark.createDataFrame([], "value string"))
+    assert (none.edges.count(), none.nodes.count()) == (0, 0)
+
+
+def test_cuts_that_are_too_big(spark):
+    _, e = frames(spark, [(0, 1), (0, 2), (1, 3), (2, 3)])
+    pairs = spark.createDataFrame([(1, 0, 3)], "pair_id long, src long, dst long")
+    solved, refused = paths.min_vertex_cut(pairs, e).first(), paths.min_vertex_cut(pairs, e, max_edges=2).first()
+    assert (solved.cut_size, solved.cut_nodes, solved.too_big) == (2, [1, 2], False)
+    assert (refused.cut_size, refused.cut_nodes, refused.too_big) == (None, None, True)
+
+
+def test_detours_until_nothing_is_new(spark):
+    edges = [(0, 1), (1, 9), (0, 2), (2, 3), (3, 9), (0, 4), (4, 5), (5, 6), (6, 9)]
+    _, e = frames(spark, edges)
+    pairs = spark.createDataFrame([(1, 0, 9)], "pair_id long, src long, dst long")
+    got = {tuple(r.path) for r in paths.detour_paths(pairs, e, rounds=None, in_pairs=True).collect()}
+    assert got == {(0, 2, 3, 9), (0, 4, 5, 6, 9)}
+    assert {tuple(r.path) for r in paths.detour_paths(pairs, e).collect()} == {(0, 2, 3, 9)}
+
+
+def test_queries_in_blocks(spark, monkeypatch):
+    nodes = spark.createDataFrame([(f"//a/b{k}:t{k % 3}", k, k, k == 0) for k in range(12)], "id string, in_degree long, transitive_dep_count long, is_root boolean")
+    asked = spark.createDataFrame([("a",), ("b1",), ("t2 b",), ("zz",), ("",), ("a",)], "query string")
+    whole = sorted(map(tuple, search.search_topk(asked, nodes, k=4).select("query", "rank", "id", "score").collect()))
+    want = []
+    for q in ("a", "b1", "t2 b"):
+        scored = [(search.score_label(r.id[2:].lower(), q.split(), r.in_degree, r.transitive_dep_count, r.is_root), r.id) for r in nodes.collect()]
+        want += [(q, i + 1, node, s) for i, (s, node) in enumerate(sorted(((x[0], n) for x, n in scored if x), key=lambda x: (-x[0], x[1]))[:4])]
+    assert whole == sorted(want)
+    monkeypatch.setattr(search, "MAX_QUERIES", 2)
+    assert sorted(map(tuple, search.search_topk(asked, nodes, k=4).select("query", "rank", "id", "score").collect())) == whole

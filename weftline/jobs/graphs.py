@@ -30,7 +30,7 @@ lab AS (SELECT p_partkey AS k, CASE
     WHEN p_partkey % 23 = 0 THEN '//' || lower(p_type) || '/' || replace(lower(p_brand), '#', '') || ':P' || p_partkey || '.java'
     WHEN p_partkey % 31 = 0 THEN '@ext//third_party/' || lower(p_type) || ':p' || p_partkey
     ELSE '//' || lower(p_type) || '/' || replace(lower(p_brand), '#', '') || ':p' || p_partkey END AS id FROM part)
-SELECT '  "' || s.id || '" -> "' || d.id || '"' AS value
+SELECT CASE WHEN s.k % 3 = 0 THEN chr(9) ELSE '  ' END || '"' || s.id || '" -> "' || d.id || '"' AS value
 FROM e JOIN lab s ON s.k = e.src JOIN lab d ON d.k = e.dst
 """
 #: Nodes with the most distinct dependencies, and those most depended on; every such pair.

@@ -76,15 +76,18 @@ cutx AS (SELECT sp.pair_id, (sp.src, sp.dst) IN (SELECT src, dst FROM d) AS dire
 
 ORACLES: dict[str, str] = {
     "s1_parse_dot": f"WITH {_LINES} SELECT src, dst FROM e",
-    "s2_parse_arrows": rf"""WITH l AS ({X4}), t AS (SELECT trim(replace(value, '"', '')) AS value FROM l),
+    "s2_parse_arrows": rf"""WITH l AS ({X4}), t AS (SELECT trim(replace(value, '"', ''), ' ' || chr(9)) AS value FROM l),
 e AS (SELECT regexp_extract(value, '^([^\s]+)\s*->\s*([^\s]+)', 1) AS src, regexp_extract(value, '^([^\s]+)\s*->\s*([^\s]+)', 2) AS dst FROM t)
 SELECT src, dst FROM e WHERE src <> '' AND NOT regexp_matches(src, ':[^:]*\.({'|'.join(SOURCE_ENDINGS)})$') AND NOT regexp_matches(dst, ':[^:]*\.({'|'.join(SOURCE_ENDINGS)})$')""",
+    "s3_read_graph": rf"""WITH l AS ({X4}), raw AS (SELECT regexp_extract(value, '"([^"]+)" -> "([^"]+)"', 1) AS src, regexp_extract(value, '"([^"]+)" -> "([^"]+)"', 2) AS dst FROM l),
+e AS (SELECT * FROM raw WHERE NOT regexp_matches(src, ':[^:]*\.({'|'.join(SOURCE_ENDINGS)})$') AND NOT regexp_matches(dst, ':[^:]*\.({'|'.join(SOURCE_ENDINGS)})$'))
+SELECT src, dst FROM e UNION ALL SELECT src, dst FROM e""",
     "s4_json_round_trip": f"WITH {_LINES} SELECT src, dst FROM e",
     "s5_encode": f"WITH {_DOT}, k AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM v) SELECT src, a.i AS si, b.i AS di FROM e JOIN k a ON a.id = src JOIN k b ON b.id = dst",
     "s6_write_tables": f"WITH {_DOT} SELECT n.package, count(DISTINCT n.id) AS node_count, coalesce((SELECT count(*) FROM e JOIN n s ON s.id = e.src WHERE s.package = n.package), 0) AS edge_count FROM n GROUP BY n.package",
     "f1_first_target": rf"""WITH l AS ({X4}) SELECT regexp_replace(replace(value, ':p', '\nq'), '"([^"]*?)\\n[^"]*"', '"\1"', 'g') AS value FROM l""",
     "f2_exclude_noise": f"""WITH l AS ({X4}), i AS (SELECT DISTINCT regexp_extract(value, '"([^"]+)" ->', 1) AS id FROM l)
-SELECT id, {_NOISE.format('id')} AS noise, regexp_matches(id, ':[^:]*\\.({'|'.join(SOURCE_ENDINGS)})$') OR contains(id, 'brand1') OR NOT (contains(id, 'steel') OR contains(id, 'brass')) AS noise_in FROM i""",
+SELECT id, {_NOISE.format('id')} AS noise, regexp_matches(id, ':[^:]*\\.({'|'.join(SOURCE_ENDINGS)})$') OR contains(id, 'brand1') OR NOT (contains(id, 'economy') OR contains(id, 'standard')) AS noise_in FROM i""",
     "f3_package_of": f"""WITH l AS ({X4}), raw AS (SELECT regexp_extract(value, '"([^"]+)" -> "([^"]+)"', 1) AS src, regexp_extract(value, '"([^"]+)" -> "([^"]+)"', 2) AS dst FROM l),
 e AS (SELECT * FROM raw WHERE NOT regexp_matches(src, ':[^:]*\\.({'|'.join(SOURCE_ENDINGS)})$') AND NOT regexp_matches(dst, ':[^:]*\\.({'|'.join(SOURCE_ENDINGS)})$')), {_V}
 SELECT id, id AS label, {_PACKAGE.format('id')} AS package FROM v""",
@@ -93,7 +96,7 @@ CASE WHEN length({_SEARCH}) > 40 AND len(string_split({_SEARCH}, '/')) > 2 THEN
 string_split(string_split(regexp_replace(id, '^//', ''), '/')[-1], ':')[-1] AS tag FROM n""",
     "f5_filter_nodes": _with(X2, _M, then="""SELECT 'all' AS mode, id FROM m UNION ALL SELECT 'roots', id FROM m WHERE is_root UNION ALL SELECT 'leaves', id FROM m WHERE is_leaf
 UNION ALL SELECT 'bridges', id FROM m WHERE is_bridge UNION ALL SELECT 'unique', id FROM m WHERE unique_parent IS NOT NULL"""),
-    "f6_search_nodes": f"WITH {_DOT} SELECT id FROM n WHERE contains(lower(id), 'steel/brand1')",
+    "f6_search_nodes": f"WITH {_DOT} SELECT id FROM n WHERE contains(lower(id), 'economy/brand1')",
     "f7_node_kind": f"""WITH {_DOT}, {_DEG}, {_ART} SELECT id,
 CASE WHEN contains(id, 'third_party') OR starts_with(id, '@') THEN 'external' WHEN in_degree = 0 THEN 'root' WHEN out_degree = 0 THEN 'leaf' WHEN id IN (SELECT id FROM art) THEN 'bridge' ELSE 'normal' END AS canvas,
 CASE WHEN in_degree = 0 THEN 'root' WHEN out_degree = 0 THEN 'leaf' WHEN starts_with(id, '@') THEN 'external' ELSE 'normal' END AS listed FROM deg""",

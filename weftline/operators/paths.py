@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict, deque
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -154,16 +155,17 @@ def _cyclic_pairs(near: DataFrame) -> DataFrame:
     return left.select("pair_id").distinct()
 
 
-def detour_paths(pairs: DataFrame, e: DataFrame, rounds: int = 1, in_pairs: bool = False) -> DataFrame:
+def detour_paths(pairs: DataFrame, e: DataFrame, rounds: int | None = 1, in_pairs: bool = False) -> DataFrame:
     """``(pair_id, path)``: shortest paths around each inner node of the shortest path and, in further rounds, of those found.
 
     With ``in_pairs`` also around two nodes at a time, one of them on the shortest path. All
-    blocks of a round go through one loop; a block is tried once. There is no clock.
+    blocks of a round go through one loop; a block is tried once. Without a number of ``rounds``
+    it ends when no new block is left. There is no clock.
     """
     base = cut(shortest_paths(pairs, e).where("reachable").select("pair_id", "src", "dst", "path"))
     inner = lambda df: df.select("pair_id", F.explode(F.slice("path", F.lit(2), F.greatest(F.size("path") - 2, F.lit(0)))).alias("id")).distinct()
     on_shortest, tried, found, new = cut(inner(base)), None, [], cut(inner(base))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         blocks = new.select("pair_id", F.array("id").alias("block"))
         if in_pairs:
             two = new.join(on_shortest.withColumnRenamed("id", "other"), "pair_id").where("id <> other")
@@ -269,7 +271,7 @@ def min_vertex_cut(pairs: DataFrame, e: DataFrame, max_edges: int = 200_000) ->
     A direct edge gives the number of relevant nodes plus one and no nodes; a pair that is not
     linked, or one node, gives 0. Pairs with a mandatory waypoint have that as their cut; the
     others are solved one by one from their relevant edges, which is why a pair with more than
-    ``max_edges`` of these is not solved but says ``too_big``.
+    ``max_edges`` of these is not solved but says ``too_big``, with null for size and nodes.
     """
     kind = pairs.schema["src"].dataType
     near = cut(relevant_subgraph(pairs, e))
@@ -294,7 +296,7 @@ def min_vertex_cut(pairs: DataFrame, e: DataFrame, max_edges: int = 200_000) ->
     nodes_ = F.when(same | is_direct, none).when(F.size("waypoints") > 0, F.slice("waypoints", 1, 1)).otherwise(F.coalesce("cut", none))
     size = F.when(is_direct & ~same, F.col("n_nodes") + 1).otherwise(F.size(nodes_).cast("long"))
     big = (F.coalesce("n_edges", F.lit(0)) > max_edges) & ~is_direct & (F.size("waypoints") == 0) & ~same
-    return got.select("pair_id", size.alias("cut_size"), nodes_.alias("cut_nodes"), is_direct.alias("direct_edge"), big.alias("too_big"))
+    return got.select("pair_id", F.when(~big, size).alias("cut_size"), F.when(~big, nodes_).alias("cut_nodes"), is_direct.alias("direct_edge"), big.alias("too_big"))
 
 
 def group_by_divergence(paths: DataFrame, shortest: DataFrame) -> DataFrame:
@@ -306,7 +308,7 @@ def group_by_divergence(paths: DataFrame, shortest: DataFrame) -> DataFrame:
     return told.select("pair_id", "path", via.alias("via")).groupBy("pair_id", "via").agg(F.count("*").alias("n_paths"), F.min(F.struct(F.size("path").alias("n"), "path")).alias("m")).select("pair_id", "via", "n_paths", F.col("m.path").alias("representative"))
 
 
-def path_report(pairs: DataFrame, e: DataFrame, k: int = 30, rounds: int = 1) -> DataFrame:
+def path_report(pairs: DataFrame, e: DataFrame, k: int = 30, rounds: int | None = 1) -> DataFrame:
     """One row for each pair: ``pair_id, src, dst, reachable, shortest_path, hops, all_path_count, essential_count, dominators, min_cut_size, min_cut_nodes, n_groups, is_unique``."""
     pairs, e = cut(pairs), cut(e)
     shortest = cut(shortest_paths(pairs, e))
@@ -327,12 +329,13 @@ def path_report(pairs: DataFrame, e: DataFrame, k: int = 30, rounds: int = 1) ->
 def annotate_paths(paths: DataFrame, shortest: DataFrame, waypoints: DataFrame, cuts: DataFrame) -> DataFrame:
     """``(pair_id, path_no, pos, id, is_from, is_to, on_all, is_cut, is_unique_part, tag)`` for every place of every path.
 
-    ``paths (pair_id, path_no, path)``. The tag is the first that holds of from, to, cut, all, unique.
+    ``paths (pair_id, path_no, path)``. The tag is the first that holds of from, to, cut, all, unique;
+    ``is_cut`` is null where the cut was not solved.
     """
     told = paths.select("pair_id", "path_no", F.size("path").alias("n"), F.posexplode("path").alias("pos", "id"))
-    told = told.join(shortest.select("pair_id", F.col("path").alias("s")), "pair_id", "left").join(waypoints.select("pair_id", F.col("waypoints").alias("w")), "pair_id", "left").join(cuts.select("pair_id", F.col("cut_nodes").alias("c")), "pair_id", "left")
+    told = told.join(shortest.select("pair_id", F.col("path").alias("s")), "pair_id", "left").join(waypoints.select("pair_id", F.col("waypoints").alias("w")), "pair_id", "left").join(cuts.select("pair_id", F.col("cut_nodes").alias("c"), F.col("too_big").alias("big")), "pair_id", "left")
     has = lambda a: F.coalesce(F.array_contains(a, F.col("id")), F.lit(False))
-    flags: dict[str, Column] = {"is_from": F.col("pos") == 0, "is_to": F.col("pos") == F.col("n") - 1, "on_all": has("w"), "is_cut": has("c"), "is_unique_part": ~has("s")}
+    flags: dict[str, Column] = {"is_from": F.col("pos") == 0, "is_to": F.col("pos") == F.col("n") - 1, "on_all": has("w"), "is_cut": F.when(F.col("c").isNotNull() | ~F.coalesce("big", F.lit(False)), has("c")), "is_unique_part": ~has("s")}
     tag = F.when(flags["is_from"], "from").when(flags["is_to"], "to").when(flags["is_cut"], "cut").when(flags["on_all"], "all").when(flags["is_unique_part"], "unique").otherwise("")
     return told.select("pair_id", "path_no", "pos", "id", *(c.alias(n) for n, c in flags.items()), tag.alias("tag"))
 
