@@ -153,6 +153,35 @@ def test_personal_data_bootstraps(spark):
     assert found(3000) == found(3002) == {"q4455z"} and found(3001) == {"u77781x"}
 
 
+def test_secrets_behind_a_pattern(spark):
+    rnd = random.Random(8)
+    key = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40)) + "7a"
+    texts = [(k, f'some text token = "{key()}" and on') for k in range(8)]
+    texts += [(20, 'TOKEN = "shorter55" and on'), (21, f"a checksum {key()} of a file"), (22, f"words {key()} only"), (23, "the shorter55 again")]
+    got = {r.id: r for r in pii.personal_data(docs(spark, texts)).collect()}
+    found = {i: [dict(texts)[i][s.start : s.end] for s in got[i].spans if s.kind == pii.SECRET] for i, _ in texts}
+    assert all(len(found[k]) == 1 and len(found[k][0]) == 42 for k in range(8)) and found[20] == found[23] == ["shorter55"]
+    assert found[21] == found[22] == [] and not any(got[i].base for i, _ in texts)
+
+
+def test_base_patterns_are_the_plain_ones(spark):
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def luhn(d):
+        return sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+
+    def holds(kind, found):
+        d = re.sub(r"[^0-9]", "", found)
+        return {"email": True, "ip": all(int(x) <= 255 for x in found.split(".")) if kind == "ip" else True, "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]
+
+    rnd = random.Random(4)
+    bits = ["a@b.co", "x@y", "@", ".", "1.2.3.4", "10.0.0.256", "001.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (583) 555-8469", "+12", "-", " ", "9", "ü", "\U0001f600", "a.b@c.d.e@f.g", "%"]
+    texts = [(k, "".join(rnd.choice(bits) for _ in range(rnd.randrange(12)))) for k in range(400)]
+    got = {r.id: {(s.kind, s.start, s.end) for s in r.base} for r in pii.personal_data(docs(spark, texts)).collect()}
+    for i, t in texts:
+        assert got[i] == {(k, m.start(), m.end()) for k, kind in enumerate(pii.KINDS) for m in re.finditer(plain[kind], t) if holds(kind, m.group())}, t
+
+
 def test_decontamination(spark):
     rnd = random.Random(3)
     item = [f"b{rnd.randrange(50)}" for _ in range(30)]
