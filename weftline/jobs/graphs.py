@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.functions.lineage import cut
 
+#: Graphs of which only local facts are asked take all rows. X2 and X3A are what the loops and closures run on: there the
+#: larger quantities alone make an order's line, as otherwise nearly every part is linked to every other one.
 X1 = """
-WITH li AS (SELECT * FROM lineitem WHERE l_quantity >= 45)
+WITH li AS (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem)
 SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM li)
 UNION ALL SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM li
 UNION ALL SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM li
@@ -19,12 +21,14 @@ UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
 
 _NEXT = """
   SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b
-  FROM lineitem WHERE l_quantity >= {least}"""
+  FROM lineitem{where}"""
+_LINKS = "SELECT greatest(a, b) AS src, least(a, b) AS dst FROM ({next}) t WHERE b IS NOT NULL AND a <> b"
 
-X2 = f"SELECT greatest(a, b) AS src, least(a, b) AS dst FROM ({_NEXT.format(least=40)}) t WHERE b IS NOT NULL AND a <> b"
-X3A = f"SELECT a AS src, b AS dst FROM ({_NEXT.format(least=45)}) t WHERE b IS NOT NULL"
-X4 = f"""
-WITH e AS ({X2}),
+X2 = _LINKS.format(next=_NEXT.format(where=" WHERE l_quantity >= 40"))
+X2_ALL = _LINKS.format(next=_NEXT.format(where=""))
+X3A = "SELECT a AS src, b AS dst FROM ({next}) t WHERE b IS NOT NULL".format(next=_NEXT.format(where=" WHERE l_quantity >= 45"))
+_DOT_LINES = """
+WITH e AS ({links}),
 lab AS (SELECT p_partkey AS k, CASE
     WHEN p_partkey % 29 = 0 THEN '@bazel_tools//x:p' || p_partkey
     WHEN p_partkey % 23 = 0 THEN '//' || lower(p_type) || '/' || replace(lower(p_brand), '#', '') || ':P' || p_partkey || '.java'
@@ -33,6 +37,7 @@ lab AS (SELECT p_partkey AS k, CASE
 SELECT CASE WHEN s.k % 3 = 0 THEN chr(9) ELSE '  ' END || '"' || s.id || '" -> "' || d.id || '"' AS value
 FROM e JOIN lab s ON s.k = e.src JOIN lab d ON d.k = e.dst
 """
+X4, X4_SPARSE = _DOT_LINES.format(links=X2_ALL), _DOT_LINES.format(links=X2)
 #: Nodes with the most distinct dependencies, and those most depended on; every such pair.
 PAIRS = """
 WITH x AS (SELECT DISTINCT src, dst FROM ({x2}) g),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.functions.ids import DEFAULT_EXCLUDES, SOURCE_ENDINGS
-from weftline.jobs.graphs import PAIRS, X1, X2, X3A, X4
+from weftline.jobs.graphs import PAIRS, X1, X2, X2_ALL, X3A, X4
 
 _V = "v AS (SELECT DISTINCT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e))"
 _D = "d AS (SELECT DISTINCT src, dst FROM e)"
@@ -100,7 +100,7 @@ UNION ALL SELECT 'bridges', id FROM m WHERE is_bridge UNION ALL SELECT 'unique',
     "f7_node_kind": f"""WITH {_DOT}, {_DEG}, {_ART} SELECT id,
 CASE WHEN contains(id, 'third_party') OR starts_with(id, '@') THEN 'external' WHEN in_degree = 0 THEN 'root' WHEN out_degree = 0 THEN 'leaf' WHEN id IN (SELECT id FROM art) THEN 'bridge' ELSE 'normal' END AS canvas,
 CASE WHEN in_degree = 0 THEN 'root' WHEN out_degree = 0 THEN 'leaf' WHEN starts_with(id, '@') THEN 'external' ELSE 'normal' END AS listed FROM deg""",
-    "f8_sort_nodes": _with(X2, _V, _DEG, then="SELECT id, in_degree, out_degree FROM deg ORDER BY in_degree DESC, id LIMIT 50"),
+    "f8_sort_nodes": _with(X2_ALL, _V, _DEG, then="SELECT id, in_degree, out_degree FROM deg ORDER BY in_degree DESC, id LIMIT 50"),
     "a1_build_nodes": f"WITH {_DOT} SELECT * FROM n",
     "a2_degrees": _with(X1, _V, _DEG, then="SELECT id, in_degree, out_degree FROM deg"),
     "a3_node_flags": _with(X1, _V, _DEG, then="SELECT id, in_degree, out_degree, in_degree = 0 AS is_root, out_degree = 0 AS is_leaf, CASE WHEN in_degree = 1 THEN parent END AS unique_parent FROM deg"),
@@ -112,7 +112,7 @@ n_bottlenecks, CASE WHEN n_bottlenecks = 0 THEN 'good' ELSE 'bad' END AS bottlen
 FROM (SELECT (SELECT count(*) FROM v) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM bn) AS n_phases, (SELECT max(n_nodes) FROM bn) AS max_parallel, (SELECT count(*) FROM bn WHERE is_bottleneck) AS n_bottlenecks,
 (SELECT CASE WHEN max(depth) > 0 THEN max(depth) + 1 ELSE 0 END::BIGINT FROM dep) AS chain_nodes, (SELECT count(*) FROM e JOIN deg ON deg.id = dst WHERE in_degree = 1) AS n_bridge_edges)"""),
     "a8_heaviest": _with(X2, _V, _D, _CLO, _TRANS, then="SELECT id, transitive_dep_count, 100.0::DOUBLE * transitive_dep_count / greatest((SELECT max(transitive_dep_count) FROM tr), 1) AS pct FROM tr ORDER BY transitive_dep_count DESC, id LIMIT 20"),
-    "a9_pulled_in_by": _with(X2, _V, _DEG, "t AS (SELECT id FROM deg ORDER BY in_degree DESC, id LIMIT 50)", then="SELECT t.id, coalesce(array_to_string((list(src ORDER BY src) FILTER (src IS NOT NULL))[1:3], ', '), '') AS parents, greatest(count(src) - 3, 0) AS more FROM t LEFT JOIN e ON e.dst = t.id GROUP BY t.id"),
+    "a9_pulled_in_by": _with(X2_ALL, _V, _DEG, "t AS (SELECT id FROM deg ORDER BY in_degree DESC, id LIMIT 50)", then="SELECT t.id, coalesce(array_to_string((list(src ORDER BY src) FILTER (src IS NOT NULL))[1:3], ', '), '') AS parents, greatest(count(src) - 3, 0) AS more FROM t LEFT JOIN e ON e.dst = t.id GROUP BY t.id"),
     "a10_phase_table": _with(X2, _V, _D, _PHASE, then="SELECT build_phase AS phase, count(*) AS n_nodes, string_agg(id::VARCHAR, ' -> ' ORDER BY id) AS nodes FROM ph GROUP BY 1"),
     "a11_phase_bottlenecks": _with(X2, _V, _D, _PHASE, _PT, then="SELECT * FROM bn"),
     "a12_phase_timeline": _with(X2, _V, _D, _PHASE, _PT, then="SELECT phase, n_nodes, 100.0::DOUBLE * n_nodes / max(n_nodes) OVER () AS bar_pct, count(*) OVER () AS n_phases, max(n_nodes) OVER () AS max_parallel, (count(*) FILTER (is_bottleneck) OVER ())::BIGINT AS n_bottlenecks FROM bn"),

@@ -29,8 +29,8 @@ def _spelled(*columns: str):
     return lambda df: df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), " -> ") for c in columns})
 
 
-def _dot(spark: SparkSession, sf_dir: str) -> g.Graph:
-    return text.parse_dot(graphs.table(spark, sf_dir, graphs.X4), ids.DEFAULT_EXCLUDES)
+def _dot(spark: SparkSession, sf_dir: str, lines: str = graphs.X4) -> g.Graph:
+    return text.parse_dot(graphs.table(spark, sf_dir, lines), ids.DEFAULT_EXCLUDES)
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +132,7 @@ def f7_node_kind(spark, sf_dir):
 
 @query
 def f8_sort_nodes(spark, sf_dir):
-    v, e = graphs.graph(spark, sf_dir, graphs.X2)
+    v, e = graphs.graph(spark, sf_dir, graphs.X2_ALL)
     return metrics.sort_nodes(g.degrees(v, e), "in_degree", 50).select("id", "in_degree", "out_degree")
 
 
@@ -181,7 +181,7 @@ def a8_heaviest(spark, sf_dir):
 
 @query
 def a9_pulled_in_by(spark, sf_dir):
-    v, e = graphs.graph(spark, sf_dir, graphs.X2)
+    v, e = graphs.graph(spark, sf_dir, graphs.X2_ALL)
     return g.pulled_in_by(metrics.sort_nodes(g.degrees(v, e), "in_degree", 50), e)
 
 
@@ -362,7 +362,7 @@ def q1_default_suggestions(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    graph = _dot(spark, sf_dir)
+    graph = _dot(spark, sf_dir, graphs.X4_SPARSE)
     v, e = cut(graph.nodes), cut(graph.edges)
     m = g.node_flags(v, e).join(fixpoint.transitive_dep_count(v, e), "id")
     # the queries are package names that occur in the table
