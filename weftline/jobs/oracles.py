@@ -67,12 +67,38 @@ def _routes(then: str) -> str:
     return _with(X2, _ROUTES, then=then)
 
 
+# detours: the best way around each inner node of any path, alone or with one of the shortest path, taken up as paths are found
 _BLOCKED = """inner_ AS (SELECT pair_id, unnest(path[2:-2]) AS b FROM sp),
-around AS (SELECT f.pair_id, b, f.path, row_number() OVER (PARTITION BY f.pair_id, b ORDER BY len(f.path), f.path) AS k FROM full_ f JOIN inner_ i ON i.pair_id = f.pair_id AND NOT list_contains(f.path, b)),
-det AS (SELECT DISTINCT a.pair_id, a.path FROM around a JOIN sp ON sp.pair_id = a.pair_id WHERE k = 1 AND a.path <> sp.path)"""
+any_ AS (SELECT DISTINCT pair_id, id AS b FROM nodes_on),
+blk AS (SELECT pair_id, b, CASE WHEN false THEN b END AS s FROM any_ UNION ALL SELECT a.pair_id, a.b, i.b FROM any_ a JOIN inner_ i ON i.pair_id = a.pair_id AND i.b <> a.b),
+around AS (SELECT f.pair_id, blk.b, f.path, row_number() OVER (PARTITION BY f.pair_id, blk.b, blk.s ORDER BY len(f.path), f.path) AS k
+  FROM full_ f JOIN blk ON blk.pair_id = f.pair_id AND NOT list_contains(f.path, blk.b) AND (blk.s IS NULL OR NOT list_contains(f.path, blk.s))),
+det_(pair_id, path) AS (SELECT pair_id, path FROM sp WHERE reachable UNION SELECT x.pair_id, a.path FROM det_ x JOIN around a ON a.pair_id = x.pair_id AND a.k = 1 AND list_contains(x.path[2:-2], a.b)),
+det AS (SELECT x.pair_id, x.path FROM det_ x JOIN sp ON sp.pair_id = x.pair_id WHERE x.path <> sp.path)"""
 _VIA = "coalesce(list_filter(t.path[2:-2], lambda x: NOT list_contains(sp.path, x))[1], t.path[2], t.path[1])"
+# smallest cuts: sets that hit the paths one after the other, of the smallest the one that leaves the fewest nodes before it
 _CUTS = """nn AS (SELECT pair_id, count(DISTINCT id) AS n FROM (SELECT pair_id, src AS id FROM near UNION ALL SELECT pair_id, dst FROM near) GROUP BY 1),
-cutx AS (SELECT sp.pair_id, (sp.src, sp.dst) IN (SELECT src, dst FROM d) AS direct_edge, w, n FROM sp LEFT JOIN way USING (pair_id) LEFT JOIN nn USING (pair_id))"""
+direct AS (SELECT sp.pair_id FROM sp JOIN near n ON n.pair_id = sp.pair_id AND n.src = sp.src AND n.dst = sp.dst),
+hard AS (SELECT sp.pair_id FROM sp JOIN way USING (pair_id) WHERE reachable AND src <> dst AND len(coalesce(w, [])) = 0 AND sp.pair_id NOT IN (SELECT pair_id FROM direct)),
+step AS (SELECT pair_id, rank, path[2:-2] AS inside, unnest(path[2:-2]) AS x FROM full_ WHERE pair_id IN (SELECT pair_id FROM hard)),
+hit(pair_id, i, c) AS (SELECT pair_id, 0::BIGINT, path[1:0] FROM full_ WHERE rank = 1 AND pair_id IN (SELECT pair_id FROM hard)
+  UNION SELECT h.pair_id, s.rank, CASE WHEN list_has_any(h.c, s.inside) THEN h.c ELSE list_sort(list_append(h.c, s.x)) END FROM hit h JOIN step s ON s.pair_id = h.pair_id AND s.rank = h.i + 1),
+cand AS (SELECT h.pair_id, h.c FROM hit h JOIN (SELECT pair_id, max(rank) AS last FROM full_ GROUP BY 1) z ON z.pair_id = h.pair_id AND z.last = h.i),
+small AS (SELECT * FROM cand QUALIFY len(c) = min(len(c)) OVER (PARTITION BY pair_id)),
+ahead AS (SELECT small.pair_id, c, unnest(f.path[1:list_min(list_transform(c, lambda x: CASE WHEN list_contains(f.path, x) THEN list_position(f.path, x) ELSE len(f.path) END)) - 1]) AS x FROM small JOIN full_ f ON f.pair_id = small.pair_id),
+best AS (SELECT pair_id, arg_min(c, n) AS c FROM (SELECT pair_id, c, count(DISTINCT x) AS n FROM ahead GROUP BY 1, 2) GROUP BY 1),
+cuts AS (SELECT sp.pair_id, direct.pair_id IS NOT NULL AS direct_edge,
+  CASE WHEN sp.src = sp.dst OR direct.pair_id IS NOT NULL OR NOT reachable THEN sp.path[1:0] WHEN len(coalesce(w, [])) > 0 THEN w[1:1] ELSE best.c END AS c, n
+  FROM sp LEFT JOIN way ON way.pair_id = sp.pair_id LEFT JOIN nn ON nn.pair_id = sp.pair_id LEFT JOIN direct ON direct.pair_id = sp.pair_id LEFT JOIN best ON best.pair_id = sp.pair_id),
+cut AS (SELECT cuts.pair_id, direct_edge, CASE WHEN direct_edge THEN n + 1 ELSE len(c) END AS cut_size, c FROM cuts)"""
+_GROUPED = f"SELECT t.pair_id, {_VIA} AS via, count(*) AS n_paths, arg_min(t.path, [len(t.path)] || t.path) AS first_, list(t.path ORDER BY len(t.path), t.path) AS paths FROM {{0}} t JOIN sp ON sp.pair_id = t.pair_id GROUP BY 1, 2"
+_LISTED = "array_to_string(list_transform({0}, lambda p: array_to_string(p, ' -> ')), '; ')"
+_REPORT = f"""every AS (SELECT pair_id, path FROM sp WHERE reachable UNION SELECT pair_id, path FROM det UNION SELECT pair_id, path FROM top),
+ess AS (SELECT * FROM every a WHERE NOT EXISTS (SELECT 1 FROM every b WHERE b.pair_id = a.pair_id AND len(b.path) < len(a.path) AND a.path[len(a.path) - len(b.path) + 1:] = b.path)),
+gr AS ({_GROUPED.format('ess')}),
+gs AS (SELECT pair_id, count(*) AS n_groups, string_agg(via || ': ' || {_LISTED.format('paths')}, ' | ' ORDER BY len(first_), via) AS path_groups FROM gr GROUP BY 1),
+es AS (SELECT pair_id, count(*) AS n, list(path ORDER BY len(path), path) AS p FROM ess GROUP BY 1),
+al AS (SELECT pair_id, count(*) AS n FROM every GROUP BY 1)"""
 
 ORACLES: dict[str, str] = {
     "s1_parse_dot": f"WITH {_LINES} SELECT src, dst FROM e",
@@ -140,7 +166,15 @@ ch(id, k) AS ((SELECT id, depth FROM dep WHERE depth > 0 ORDER BY depth DESC, id
     "p4_merge_paths": _routes(f"SELECT pair_id, {_TEXT.format('path')} AS path, count(*) OVER (PARTITION BY pair_id) AS all_path_count FROM top"),
     "p5_suffix_dedup": _routes(f"SELECT 0::BIGINT AS pair_id, {_TEXT.format('path')} AS path FROM (SELECT DISTINCT path FROM top) a WHERE NOT EXISTS (SELECT 1 FROM top b WHERE len(b.path) < len(a.path) AND a.path[len(a.path) - len(b.path) + 1:] = b.path)"),
     "p6_mandatory_waypoints": _routes(f"SELECT pair_id, coalesce({_TEXT.format('w')}, '') AS waypoints FROM way"),
-    "p8_group_by_divergence": _routes(f"SELECT t.pair_id, {_VIA} AS via, count(*) AS n_paths, {_TEXT.format('min_by(t.path, t.rank)')} AS representative FROM top t JOIN sp USING (pair_id) GROUP BY 1, 2"),
+    "p7_min_vertex_cut": _with(X2, _ROUTES, _CUTS, then=f"SELECT pair_id, cut_size, {_TEXT.format('c')} AS cut_nodes, direct_edge, false AS too_big FROM cut"),
+    "p8_group_by_divergence": _routes(f"SELECT pair_id, via, n_paths, {_TEXT.format('first_')} AS representative, {_LISTED.format('paths')} AS paths FROM ({_GROUPED.format('top')})"),
+    "p9_path_report": _with(X2, _ROUTES, _BLOCKED, _CUTS, _REPORT, then=f"""SELECT sp.pair_id, sp.src, sp.dst, reachable, {_TEXT.format('sp.path')} AS shortest_path, greatest(len(sp.path) - 1, 0)::INT AS hops, coalesce(al.n, 0) AS all_path_count, coalesce(es.n, 0) AS essential_count,
+coalesce({_LISTED.format('es.p')}, '') AS essential_paths, coalesce({_TEXT.format('w')}, '') AS dominators, cut_size AS min_cut_size, {_TEXT.format('c')} AS min_cut_nodes, coalesce(path_groups, '') AS path_groups, coalesce(n_groups, 0) AS n_groups, coalesce(es.n, 0) = 1 AS is_unique
+FROM sp JOIN way ON way.pair_id = sp.pair_id JOIN cut ON cut.pair_id = sp.pair_id LEFT JOIN al ON al.pair_id = sp.pair_id LEFT JOIN es ON es.pair_id = sp.pair_id LEFT JOIN gs ON gs.pair_id = sp.pair_id"""),
+    "p10_annotate_paths": _with(X2, _ROUTES, _CUTS, then="""SELECT pair_id, path_no, pos, id, is_from, is_to, on_all, is_cut, is_unique_part,
+CASE WHEN is_from THEN 'from' WHEN is_to THEN 'to' WHEN is_cut THEN 'cut' WHEN on_all THEN 'all' WHEN is_unique_part THEN 'unique' ELSE '' END AS tag
+FROM (SELECT t.pair_id, t.rank::INT AS path_no, (k - 1)::INT AS pos, t.path[k] AS id, k = 1 AS is_from, k = len(t.path) AS is_to, coalesce(list_contains(w, t.path[k]), false) AS on_all, coalesce(list_contains(c, t.path[k]), false) AS is_cut, NOT list_contains(sp.path, t.path[k]) AS is_unique_part
+  FROM (SELECT *, unnest(range(1, len(path) + 1)) AS k FROM top) t JOIN sp ON sp.pair_id = t.pair_id JOIN way ON way.pair_id = t.pair_id JOIN cut ON cut.pair_id = t.pair_id)"""),
     "p11_path_dag": _routes("""SELECT x.pair_id, x.id, coalesce(c.n, 0) AS n_children, count(*) AS path_count, coalesce(c.n, 0) > 1 AS is_branch, coalesce(p.n, 0) > 1 AS is_merge
 FROM (SELECT pair_id, unnest(path) AS id FROM full_) x LEFT JOIN (SELECT pair_id, src AS id, count(*) AS n FROM near GROUP BY 1, 2) c ON c.pair_id = x.pair_id AND c.id = x.id
 LEFT JOIN (SELECT pair_id, dst AS id, count(*) AS n FROM near GROUP BY 1, 2) p ON p.pair_id = x.pair_id AND p.id = x.id GROUP BY x.pair_id, x.id, c.n, p.n"""),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import ids
@@ -29,6 +29,11 @@ def _spelled(*columns: str):
     return lambda df: df.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("string")), " -> ") for c in columns})
 
 
+def _listed(paths: Column | str) -> Column:
+    """Paths as text, one after the other."""
+    return F.array_join(F.transform(paths, lambda p: F.array_join(F.transform(p, lambda x: x.cast("string")), " -> ")), "; ")
+
+
 def _dot(spark: SparkSession, sf_dir: str, lines: str = graphs.X4) -> g.Graph:
     return text.parse_dot(graphs.table(spark, sf_dir, lines), ids.DEFAULT_EXCLUDES)
 
@@ -335,20 +340,26 @@ def p7_min_vertex_cut(spark, sf_dir):
 @query
 def p8_group_by_divergence(spark, sf_dir):
     pairs, e = _pairs(spark, sf_dir)
-    return _spelled("representative")(paths.group_by_divergence(paths.k_shortest_paths(pairs, e), cut(paths.shortest_paths(pairs, e))))
+    groups = paths.group_by_divergence(paths.k_shortest_paths(pairs, e), cut(paths.shortest_paths(pairs, e)))
+    return _spelled("representative")(groups.withColumn("paths", _listed("paths")))
 
 
 @query
 def p9_path_report(spark, sf_dir):
-    return _spelled("shortest_path", "dominators", "min_cut_nodes")(paths.path_report(*_pairs(spark, sf_dir)))
+    report = _spelled("shortest_path", "dominators", "min_cut_nodes")(paths.path_report(*_pairs(spark, sf_dir)))
+    groups = F.array_join(F.transform("path_groups", lambda g: F.concat(g.via.cast("string"), F.lit(": "), _listed(g.paths))), " | ")
+    return report.withColumns({"essential_paths": _listed("essential_paths"), "path_groups": groups})
 
 
 @query
 def p10_annotate_paths(spark, sf_dir):
     pairs, e = _pairs(spark, sf_dir)
-    found = paths.k_shortest_paths(pairs, e).withColumnRenamed("rank", "path_no")
-    shortest = cut(paths.shortest_paths(pairs, e))
-    return paths.annotate_paths(found, shortest, paths.mandatory_waypoints(pairs, e, shortest), paths.min_vertex_cut(pairs, e))
+    near = cut(paths.relevant_subgraph(pairs, e))
+    inside = cut(near.select("src", "dst").distinct())
+    shortest = cut(paths.shortest_paths(pairs, inside))
+    found = paths.k_shortest_paths(pairs, inside, near=near).withColumnRenamed("rank", "path_no")
+    way = cut(paths.mandatory_waypoints(pairs, inside, shortest, near))
+    return paths.annotate_paths(found, shortest, way, paths.min_vertex_cut(pairs, inside, near=near, waypoints=way))
 
 
 @query

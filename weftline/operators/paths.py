@@ -102,15 +102,16 @@ def _yen(edges: dict, src, dst, k: int) -> list[list]:
     return found
 
 
-def k_shortest_paths(pairs: DataFrame, e: DataFrame, k: int = 30, max_edges: int = 200_000) -> DataFrame:
+def k_shortest_paths(pairs: DataFrame, e: DataFrame, k: int = 30, max_edges: int = 200_000, near: DataFrame | None = None) -> DataFrame:
     """``(pair_id, rank, path, hops)``: up to ``k`` loopless paths of each pair, by hops, then by sequence.
 
     Where the relevant part has no cycle, only the ``k`` smallest ways of each length to each
     node are kept on the way: no other one can be part of an answer. Pairs with cycles are
     solved one by one from their own relevant edges; a pair with more than ``max_edges`` of
-    these raises an error rather than giving a partial answer.
+    these raises an error rather than giving a partial answer. ``near`` may hand in the result
+    of :func:`relevant_subgraph`.
     """
-    near = cut(relevant_subgraph(pairs, e))
+    near = near if near is not None else cut(relevant_subgraph(pairs, e))
     cyclic = cut(_cyclic_pairs(near))
     ends = cut(pairs.select("pair_id", "src", "dst"))
     plain = cut(near.join(cyclic, "pair_id", "left_anti").select("pair_id", F.col("src").alias("at"), F.col("dst").alias("to")))
@@ -155,14 +156,15 @@ def _cyclic_pairs(near: DataFrame) -> DataFrame:
     return left.select("pair_id").distinct()
 
 
-def detour_paths(pairs: DataFrame, e: DataFrame, rounds: int | None = 1, in_pairs: bool = False) -> DataFrame:
+def detour_paths(pairs: DataFrame, e: DataFrame, rounds: int | None = None, in_pairs: bool = True, shortest: DataFrame | None = None) -> DataFrame:
     """``(pair_id, path)``: shortest paths around each inner node of the shortest path and, in further rounds, of those found.
 
     With ``in_pairs`` also around two nodes at a time, one of them on the shortest path. All
     blocks of a round go through one loop; a block is tried once. Without a number of ``rounds``
-    it ends when no new block is left. There is no clock.
+    it ends when no new block is left. There is no clock. ``shortest`` may hand in the result of
+    :func:`shortest_paths`.
     """
-    base = cut(shortest_paths(pairs, e).where("reachable").select("pair_id", "src", "dst", "path"))
+    base = cut((shortest if shortest is not None else shortest_paths(pairs, e)).where("reachable").select("pair_id", "src", "dst", "path"))
     inner = lambda df: df.select("pair_id", F.explode(F.slice("path", F.lit(2), F.greatest(F.size("path") - 2, F.lit(0)))).alias("id")).distinct()
     on_shortest, tried, found, new = cut(inner(base)), None, [], cut(inner(base))
     for _ in count() if rounds is None else range(rounds):
@@ -200,10 +202,10 @@ def suffix_dedup(paths: DataFrame) -> DataFrame:
     return one.join(longer, ["pair_id", "path"], "left_anti")
 
 
-def mandatory_waypoints(pairs: DataFrame, e: DataFrame, shortest: DataFrame | None = None) -> DataFrame:
+def mandatory_waypoints(pairs: DataFrame, e: DataFrame, shortest: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
     """``(pair_id, waypoints)``: inner nodes on every path, in order of the shortest one; exact, by dominators."""
     shortest = cut((shortest if shortest is not None else shortest_paths(pairs, e)).select("pair_id", "dst", "path"))
-    near = relevant_subgraph(pairs, e)
+    near = near if near is not None else relevant_subgraph(pairs, e)
     # pairs are independent graphs: nodes carry their pair
     node = lambda c: F.struct("pair_id", F.col(c).alias("n"))
     edges = near.select(node("src").alias("src"), node("dst").alias("dst"))
@@ -265,7 +267,7 @@ def _cut_of(edges: dict, src, dst) -> list:
             y = x
 
 
-def min_vertex_cut(pairs: DataFrame, e: DataFrame, max_edges: int = 200_000) -> DataFrame:
+def min_vertex_cut(pairs: DataFrame, e: DataFrame, max_edges: int = 200_000, near: DataFrame | None = None, waypoints: DataFrame | None = None) -> DataFrame:
     """``(pair_id, cut_size, cut_nodes, direct_edge, too_big)``: the fewest inner nodes to take away to part a pair.
 
     A direct edge gives the number of relevant nodes plus one and no nodes; a pair that is not
@@ -274,11 +276,11 @@ def min_vertex_cut(pairs: DataFrame, e: DataFrame, max_edges: int = 200_000) ->
     ``max_edges`` of these is not solved but says ``too_big``, with null for size and nodes.
     """
     kind = pairs.schema["src"].dataType
-    near = cut(relevant_subgraph(pairs, e))
+    near = near if near is not None else cut(relevant_subgraph(pairs, e))
     linked = near.groupBy("pair_id").agg(F.count("*").alias("n_edges"))
     nodes = near.select("pair_id", F.explode(F.array("src", "dst")).alias("n")).distinct().groupBy("pair_id").agg(F.count("*").alias("n_nodes"))
     direct = near.join(pairs.select("pair_id", "src", "dst"), ["pair_id", "src", "dst"], "left_semi").select("pair_id", F.lit(True).alias("direct"))
-    way = mandatory_waypoints(pairs, e)
+    way = waypoints if waypoints is not None else mandatory_waypoints(pairs, near.select("src", "dst").distinct(), near=near)
     state = cut(pairs.select("pair_id", "src", "dst").join(linked, "pair_id", "left").join(nodes, "pair_id", "left").join(direct, "pair_id", "left").join(way, "pair_id", "left"))
     hard = state.where((F.col("n_edges") <= max_edges) & F.col("direct").isNull() & (F.size("waypoints") == 0) & (F.col("src") != F.col("dst"))).select("pair_id", F.col("src").alias("first_"), F.col("dst").alias("last_"))
     shape = T.StructType([T.StructField("pair_id", pairs.schema["pair_id"].dataType), T.StructField("cut", T.ArrayType(kind))])
@@ -300,29 +302,50 @@ def min_vertex_cut(pairs: DataFrame, e: DataFrame, max_edges: int = 200_000) ->
 
 
 def group_by_divergence(paths: DataFrame, shortest: DataFrame) -> DataFrame:
-    """``(pair_id, via, n_paths, representative)``: paths by the first inner node that is not on the shortest path, else by their second node."""
+    """``(pair_id, via, n_paths, representative, paths)``: paths by the first inner node that is not on the shortest path, else by their second node.
+
+    The paths of a group are ordered by length, then by sequence; the first one represents it.
+    """
     inner = F.slice("path", F.lit(2), F.greatest(F.size("path") - 2, F.lit(0)))
     off = F.get(F.filter(inner, lambda n: ~F.array_contains("shortest", n)), F.lit(0))
     told = paths.select("pair_id", "path").join(shortest.select("pair_id", F.col("path").alias("shortest")), "pair_id")
     via = F.coalesce(off, F.get("path", F.lit(1)), F.get("path", F.lit(0)))
-    return told.select("pair_id", "path", via.alias("via")).groupBy("pair_id", "via").agg(F.count("*").alias("n_paths"), F.min(F.struct(F.size("path").alias("n"), "path")).alias("m")).select("pair_id", "via", "n_paths", F.col("m.path").alias("representative"))
-
-
-def path_report(pairs: DataFrame, e: DataFrame, k: int = 30, rounds: int | None = 1) -> DataFrame:
-    """One row for each pair: ``pair_id, src, dst, reachable, shortest_path, hops, all_path_count, essential_count, dominators, min_cut_size, min_cut_nodes, n_groups, is_unique``."""
-    pairs, e = cut(pairs), cut(e)
-    shortest = cut(shortest_paths(pairs, e))
-    raw = merge_paths(shortest.where("reachable"), detour_paths(pairs, e, rounds), k_shortest_paths(pairs, e, k))
-    raw = cut(raw)
-    essential = cut(suffix_dedup(raw))
-    sizes = raw.groupBy("pair_id").agg(F.max("all_path_count").alias("all_path_count")).join(essential.groupBy("pair_id").agg(F.count("*").alias("essential_count")), "pair_id")
-    groups = group_by_divergence(essential, shortest).groupBy("pair_id").agg(F.count("*").alias("n_groups"))
-    way, least = mandatory_waypoints(pairs, e, shortest), min_vertex_cut(pairs, e)
+    grouped = told.select("pair_id", "path", via.alias("via")).groupBy("pair_id", "via").agg(F.array_sort(F.collect_list(F.struct(F.size("path").alias("n"), "path"))).alias("all"))
+    return grouped.select("pair_id", "via", F.size("all").cast("long").alias("n_paths"), F.get("all", F.lit(0)).path.alias("representative"), F.col("all.path").alias("paths"))
+
+
+def path_report(pairs: DataFrame, e: DataFrame, k: int = 30, rounds: int | None = None, in_pairs: bool = True) -> DataFrame:
+    """One row for each pair with all that is known of its routes.
+
+    ``pair_id, src, dst, reachable, shortest_path, hops, all_path_count, essential_count,
+    essential_paths, dominators, min_cut_size, min_cut_nodes, path_groups, n_groups, is_unique``.
+    Paths are ordered by length, then by sequence; groups (``via, representative, paths``) by
+    their first path's length, then by ``via``. What leads from source to target is found once
+    and every part works on that.
+    """
+    pairs = cut(pairs.select("pair_id", "src", "dst"))
+    near = cut(relevant_subgraph(pairs, e))
+    inside = cut(near.select("src", "dst").distinct())
+    # a pair whose ends are unknown is told apart from one that is not linked by the nodes of the whole graph
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    known = ends.join(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "id", "left_semi")
+    shortest = cut(shortest_paths(pairs, inside, nodes=known))
+    found = merge_paths(shortest.where("reachable"), detour_paths(pairs, inside, rounds, in_pairs, shortest), k_shortest_paths(pairs, inside, k, near=near))
+    found = cut(found)
+    essential = cut(suffix_dedup(found))
+    listed = essential.groupBy("pair_id").agg(F.count("*").alias("essential_count"), F.array_sort(F.collect_list(F.struct(F.size("path").alias("n"), "path"))).getField("path").alias("essential_paths"))
+    sizes = found.groupBy("pair_id").agg(F.max("all_path_count").alias("all_path_count")).join(listed, "pair_id")
+    one = F.struct(F.size("representative").alias("n"), "via", "representative", "paths")
+    groups = group_by_divergence(essential, shortest).groupBy("pair_id").agg(F.count("*").alias("n_groups"), F.array_sort(F.collect_list(one)).alias("g"))
+    groups = groups.select("pair_id", "n_groups", F.transform("g", lambda g: F.struct(g.via.alias("via"), g.representative.alias("representative"), g.paths.alias("paths"))).alias("path_groups"))
+    way = cut(mandatory_waypoints(pairs, inside, shortest, near))
+    least = min_vertex_cut(pairs, inside, near=near, waypoints=way)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     joined = shortest.join(sizes, "pair_id", "left").join(groups, "pair_id", "left").join(way, "pair_id", "left").join(least, "pair_id", "left")
     return joined.select(
         "pair_id", "src", "dst", "reachable", F.col("path").alias("shortest_path"), F.greatest(F.size("path") - 1, F.lit(0)).alias("hops"), zero("all_path_count"), zero("essential_count"),
-        F.col("waypoints").alias("dominators"), F.col("cut_size").alias("min_cut_size"), F.col("cut_nodes").alias("min_cut_nodes"), zero("n_groups"), F.coalesce(F.col("essential_count") == 1, F.lit(False)).alias("is_unique"),
+        F.coalesce("essential_paths", F.array().cast(listed.schema["essential_paths"].dataType)).alias("essential_paths"), F.col("waypoints").alias("dominators"), F.col("cut_size").alias("min_cut_size"),
+        F.col("cut_nodes").alias("min_cut_nodes"), F.coalesce("path_groups", F.array().cast(groups.schema["path_groups"].dataType)).alias("path_groups"), zero("n_groups"), F.coalesce(F.col("essential_count") == 1, F.lit(False)).alias("is_unique"),
     )
 
 
