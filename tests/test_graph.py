@@ -147,7 +147,23 @@ def test_detours_until_nothing_is_new(spark):
     pairs = spark.createDataFrame([(1, 0, 9)], "pair_id long, src long, dst long")
     got = {tuple(r.path) for r in paths.detour_paths(pairs, e, rounds=None, in_pairs=True).collect()}
     assert got == {(0, 2, 3, 9), (0, 4, 5, 6, 9)}
-    assert {tuple(r.path) for r in paths.detour_paths(pairs, e).collect()} == {(0, 2, 3, 9)}
+    assert {tuple(r.path) for r in paths.detour_paths(pairs, e, rounds=1, in_pairs=False).collect()} == {(0, 2, 3, 9)}
+    report = paths.path_report(pairs, e).first()
+    assert (report.all_path_count, report.n_groups, report.is_unique, report.min_cut_size, report.min_cut_nodes) == (3, 3, False, 3, [1, 2, 4])
+    assert report.essential_paths == [[0, 1, 9], [0, 2, 3, 9], [0, 4, 5, 6, 9]]
+    assert [(g.via, g.representative, g.paths) for g in report.path_groups] == [(p[1], p, [p]) for p in report.essential_paths]
+
+
+def test_many_documents(spark, tmp_path):
+    edges = [("hub", f"n{k % 7}") for k in range(60)] + [(f"n{k}", "end") for k in range(7)]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    graph = g.Graph(g.build_nodes(e, spark.createDataFrame([("alone",)], "id string")), e)
+    compact.write_json(graph, str(tmp_path / "many"), document_size=10)
+    assert len(list((tmp_path / "many").glob("*.json"))) > 1
+    back = compact.read_json(spark, str(tmp_path / "many"))
+    assert sorted(map(tuple, back.edges.collect())) == sorted(edges) and rows(back.nodes, "id") == rows(graph.nodes, "id")
+    compact.write_json(g.Graph(graph.nodes.limit(0), e.limit(0)), str(tmp_path / "none"))
+    assert compact.read_json(spark, str(tmp_path / "none")).nodes.count() == 0
 
 
 def test_queries_in_blocks(spark, monkeypatch):

@@ -26,7 +26,10 @@ _LINKS = "SELECT greatest(a, b) AS src, least(a, b) AS dst FROM ({next}) t WHERE
 
 X2 = _LINKS.format(next=_NEXT.format(where=" WHERE l_quantity >= 40"))
 X2_ALL = _LINKS.format(next=_NEXT.format(where=""))
-X3A = "SELECT a AS src, b AS dst FROM ({next}) t WHERE b IS NOT NULL".format(next=_NEXT.format(where=" WHERE l_quantity >= 45"))
+_TURNS = "SELECT a AS src, b AS dst FROM ({next}) t WHERE b IS NOT NULL"
+#: The first has few and small components, the second has one that holds most nodes.
+X3A = _TURNS.format(next=_NEXT.format(where=" WHERE l_quantity >= 45"))
+X3B = _TURNS.format(next=_NEXT.format(where=" WHERE l_quantity >= 40"))
 _DOT_LINES = """
 WITH e AS ({links}),
 lab AS (SELECT p_partkey AS k, CASE

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.functions.ids import DEFAULT_EXCLUDES, SOURCE_ENDINGS
-from weftline.jobs.graphs import PAIRS, X1, X2, X2_ALL, X3A, X4
+from weftline.jobs.graphs import PAIRS, X1, X2, X2_ALL, X3A, X3B, X4
 
 _V = "v AS (SELECT DISTINCT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e))"
 _D = "d AS (SELECT DISTINCT src, dst FROM e)"
@@ -139,7 +139,7 @@ FROM (SELECT (SELECT count(*) FROM v) AS n_nodes, (SELECT count(*) FROM e) AS n_
 (SELECT CASE WHEN max(depth) > 0 THEN max(depth) + 1 ELSE 0 END::BIGINT FROM dep) AS chain_nodes, (SELECT count(*) FROM e JOIN deg ON deg.id = dst WHERE in_degree = 1) AS n_bridge_edges)"""),
     "a8_heaviest": _with(X2, _V, _D, _CLO, _TRANS, then="SELECT id, transitive_dep_count, 100.0::DOUBLE * transitive_dep_count / greatest((SELECT max(transitive_dep_count) FROM tr), 1) AS pct FROM tr ORDER BY transitive_dep_count DESC, id LIMIT 20"),
     "a9_pulled_in_by": _with(X2_ALL, _V, _DEG, "t AS (SELECT id FROM deg ORDER BY in_degree DESC, id LIMIT 50)", then="SELECT t.id, coalesce(array_to_string((list(src ORDER BY src) FILTER (src IS NOT NULL))[1:3], ', '), '') AS parents, greatest(count(src) - 3, 0) AS more FROM t LEFT JOIN e ON e.dst = t.id GROUP BY t.id"),
-    "a10_phase_table": _with(X2, _V, _D, _PHASE, then="SELECT build_phase AS phase, count(*) AS n_nodes, string_agg(id::VARCHAR, ' -> ' ORDER BY id) AS nodes FROM ph GROUP BY 1"),
+    "a10_phase_table": _with(X2, _V, _D, _PHASE, then="SELECT build_phase AS phase, count(*) OVER (PARTITION BY build_phase) AS n_nodes, id FROM ph"),
     "a11_phase_bottlenecks": _with(X2, _V, _D, _PHASE, _PT, then="SELECT * FROM bn"),
     "a12_phase_timeline": _with(X2, _V, _D, _PHASE, _PT, then="SELECT phase, n_nodes, 100.0::DOUBLE * n_nodes / max(n_nodes) OVER () AS bar_pct, count(*) OVER () AS n_phases, max(n_nodes) OVER () AS max_parallel, (count(*) FILTER (is_bottleneck) OVER ())::BIGINT AS n_bottlenecks FROM bn"),
     "g1_scc": _with(X3A, _V, _D, _CLO, _SCC, then="SELECT * FROM scc"),
@@ -148,6 +148,8 @@ FROM (SELECT (SELECT count(*) FROM v) AS n_nodes, (SELECT count(*) FROM e) AS n_
     "g4_depth": _with(X2, _V, _D, _DEPTH, then="SELECT id, depth FROM dep"),
     "g5_build_phase": _with(X3A, _V, _D, _CLO, _SCC, "cp(id, l) AS (SELECT DISTINCT scc_id, 0 FROM scc WHERE scc_id NOT IN (SELECT src FROM con) UNION SELECT con.src, l + 1 FROM cp JOIN con ON con.dst = cp.id)", then="SELECT scc.id, max(l)::INT AS build_phase FROM scc JOIN cp ON cp.id = scc_id GROUP BY scc.id"),
     "g6_transitive_dep_count": _with(X3A, _V, _D, _CLO, _TRANS, then="SELECT * FROM tr"),
+    "g1_scc_large": _with(X3B, _V, _D, _CLO, _SCC, then="SELECT * FROM scc"),
+    "g6_transitive_dep_count_large": _with(X3B, _V, _D, _CLO, _TRANS, then="SELECT * FROM tr"),
     "g7_closure": _with(X2, _D, _CLO, then="SELECT * FROM clo WHERE src <> dst"),
     "g8_critical_chain": _with(X2, _V, _D, _DEPTH, """par AS (SELECT d.dst, min(d.src) AS src FROM d JOIN dep a ON a.id = d.src JOIN dep b ON b.id = d.dst WHERE a.depth = b.depth - 1 GROUP BY d.dst),
 ch(id, k) AS ((SELECT id, depth FROM dep WHERE depth > 0 ORDER BY depth DESC, id LIMIT 1) UNION ALL SELECT par.src, k - 1 FROM ch JOIN par ON par.dst = ch.id)""", then="SELECT k::INT AS position, id FROM ch"),

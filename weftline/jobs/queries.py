@@ -175,7 +175,8 @@ def a6_package_stats(spark, sf_dir):
 @query
 def a7_overview(spark, sf_dir):
     v, e = graphs.graph(spark, sf_dir, graphs.X2)
-    m = cut(metrics.node_metrics(v, e))
+    parts = cut(fixpoint.scc(v, e))
+    m = cut(fixpoint.depth(v, e, parts).join(fixpoint.build_phase(v, e, parts), "id"))
     return metrics.overview(e, m, metrics.phase_bottlenecks(metrics.phase_table(m)), g.bridge_edges(e))
 
 
@@ -193,7 +194,7 @@ def a9_pulled_in_by(spark, sf_dir):
 @query
 def a10_phase_table(spark, sf_dir):
     phases = fixpoint.build_phase(*graphs.graph(spark, sf_dir, graphs.X2))
-    return _spelled("nodes")(metrics.phase_table(phases, with_nodes=True))
+    return metrics.phase_table(cut(phases), with_nodes=True)
 
 
 @query
@@ -237,6 +238,16 @@ def g6_transitive_dep_count(spark, sf_dir):
     return fixpoint.transitive_dep_count(*graphs.graph(spark, sf_dir, graphs.X3A))
 
 
+@query
+def g1_scc_large(spark, sf_dir):
+    return fixpoint.scc(*graphs.graph(spark, sf_dir, graphs.X3B))
+
+
+@query
+def g6_transitive_dep_count_large(spark, sf_dir):
+    return fixpoint.transitive_dep_count(*graphs.graph(spark, sf_dir, graphs.X3B))
+
+
 @query
 def g6_approx_dep_count(spark, sf_dir):
     v, e = graphs.graph(spark, sf_dir, graphs.X2)

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.lineage import cut
+from weftline.functions.lineage import cut, scratch_path, settle
+from weftline.functions.numbers import numbered
 from weftline.operators.graph import ids_of
 
 #: Rounds after which what has been seen is put together.
@@ -145,10 +146,37 @@ def depth(v: DataFrame, e: DataFrame, parts: DataFrame | None = None) -> DataFra
     return parts.join(level, "scc_id", "left").select("id", F.coalesce("level", F.lit(0)).alias("depth"))
 
 
-def transitive_dep_count(v: DataFrame, e: DataFrame) -> DataFrame:
-    """``(id, transitive_dep_count)``: how many other nodes each one leads to."""
-    counted = closure(e).groupBy("src").agg(F.count("*").alias("n"))
-    return v.select("id").join(counted, v.id == counted.src, "left").select("id", F.coalesce("n", F.lit(0).cast("long")).alias("transitive_dep_count"))
+def transitive_dep_count(v: DataFrame, e: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """``(id, transitive_dep_count)``: how many other nodes each one leads to, others of its own component included.
+
+    No pairs are made: a component holds what it leads to as bits, in blocks of 32,768 nodes
+    of which only those that have any are rows. Components are final phase by phase, each from
+    its own bits and those of its direct dependencies, which are put together before the shuffle
+    as far as they meet in a task. Numbers follow the phases, so what is close shares blocks.
+    """
+    parts = cut(parts if parts is not None else scc(v, e))
+    dag = cut(condense(e, parts))
+    phases = cut(build_phase(v, e, parts))
+    place = numbered(parts.join(phases, "id").select("build_phase", "scc_id", "id"), "build_phase", "scc_id", "id")
+    bit = F.col("idx") + 1
+    own = place.groupBy("build_phase", F.col("scc_id").alias("id"), F.bitmap_bucket_number(bit).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    own = settle(own, "own-bits")
+    level = phases.join(parts, "id").select(F.col("scc_id").alias("src"), "build_phase").distinct()
+    dag = cut(dag.join(level, "src"))
+    folder = scratch_path(v.sparkSession, "reach-bits")
+    shape = own.select("id", "block", "bits", "build_phase").schema
+    top = phases.agg(F.max("build_phase")).first()[0]
+    for p in range(0 if top is None else top + 1):
+        here = own.where(F.col("build_phase") == p).select("id", "block", "bits")
+        if p:
+            done = v.sparkSession.read.schema(shape).parquet(folder).withColumnRenamed("id", "dst")
+            gained = dag.where(F.col("build_phase") == p).select("src", "dst").join(done, "dst").select(F.col("src").alias("id"), "block", "bits")
+            here = here.unionByName(gained).groupBy("id", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
+        here.write.parquet(f"{folder}/build_phase={p}")
+    if top is None:
+        return v.select("id", F.lit(0).cast("long").alias("transitive_dep_count"))
+    counted = v.sparkSession.read.schema(shape).parquet(folder).groupBy(F.col("id").alias("scc_id")).agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    return parts.join(counted, "scc_id").select("id", (F.col("n") - 1).alias("transitive_dep_count"))
 
 
 def approx_transitive_dep_count(v: DataFrame, e: DataFrame, phases: DataFrame, lg_k: int = 12) -> DataFrame:
