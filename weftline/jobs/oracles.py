@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.functions.ids import DEFAULT_EXCLUDES, SOURCE_ENDINGS
-from weftline.jobs.graphs import PAIRS, X1, X2, X2_ALL, X3A, X3B, X4
+from weftline.jobs.graphs import PAIRS, X1, X2, X2_ALL, X3A, X3B, X4, X4_SPARSE
 
 _V = "v AS (SELECT DISTINCT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e))"
 _D = "d AS (SELECT DISTINCT src, dst FROM e)"
@@ -196,3 +196,24 @@ UNION ALL SELECT 'radial', id, layer, 600 + 800.0::DOUBLE / (2 * (most + 2)) * (
 ORACLES["l1_layered_layout"] = _with(X2, _M, _LAYOUT, then="SELECT kind, id, layer, round(x, 6) AS x, round(y, 6) AS y FROM lay")
 ORACLES["l2_layer_bounds"] = _with(X2, _M, _LAYOUT, then="""SELECT layer, count(*) AS n, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y, round((SELECT min(x) FROM lay WHERE kind = 'phases'), 6) AS all_min_x, round((SELECT max(x) FROM lay WHERE kind = 'phases'), 6) AS all_max_x,
 round((SELECT min(y) FROM lay WHERE kind = 'phases'), 6) AS all_min_y, round((SELECT max(y) FROM lay WHERE kind = 'phases'), 6) AS all_max_y FROM lay WHERE kind = 'phases' GROUP BY layer""")
+
+# scores: words are taken one after the other; a state is where to go on, what counts so far and the ranges as text
+_SPARSE = _LINES.replace(X4, X4_SPARSE)
+_SCORES = rf"""{_V}, n AS (SELECT id, {_PACKAGE.format('id')} AS package FROM v), {_D}, {_DEG}, {_CLO}, {_TRANS},
+lab AS (SELECT id, in_degree, transitive_dep_count, lower({_SEARCH}) AS label, regexp_extract_all(lower({_SEARCH}), '[^/\-_:.@]+') AS parts FROM deg JOIN tr USING (id)),
+placed AS (SELECT *, list_filter(range(1, length(label) + 1), lambda i: NOT contains('/-_:.@', label[i]) AND (i = 1 OR contains('/-_:.@', label[i - 1]))) AS begins FROM lab),
+asked AS (SELECT DISTINCT p[-2] || ' ' || p[-1] AS query FROM (SELECT string_split_regex(regexp_replace(package, '^//', ''), '[ /]') AS p FROM n) WHERE len(p) > 1),
+w AS (SELECT query, list_filter(string_split_regex(trim(lower(query)), '\s+'), lambda t: t <> '') AS words FROM asked),
+st(query, id, k, next_, score, starts, ranges) AS (SELECT query, id, 0, 0::BIGINT, 0::DOUBLE, 0, '' FROM w JOIN placed ON len(words) > 0
+  UNION ALL SELECT query, id, k + 1, CASE WHEN s IS NULL THEN next_ ELSE s + 1 END,
+    score + CASE WHEN s IS NOT NULL THEN CASE WHEN s = next_ THEN 40 ELSE 20 END + CASE WHEN length(t) = 1 THEN 15 ELSE 0 END + least(15, 3 * length(t)) WHEN c IS NOT NULL THEN 5 + least(10, 2 * length(t)) ELSE 2 END,
+    starts + CASE WHEN s IS NULL THEN 0 ELSE 1 END, ranges || CASE WHEN k = 0 THEN '' ELSE ',' END || '{{{{"s":' || o || ',"e":' || o + length(t) || '}}}}'
+  FROM (SELECT *, CASE WHEN s IS NOT NULL THEN begins[s + 1] - 1 WHEN c IS NOT NULL THEN begins[c + 1] - 1 + strpos(parts[c + 1], t) - 1 ELSE strpos(label, t) - 1 END AS o
+    FROM (SELECT st.*, t, placed.label, placed.parts, placed.begins, list_filter(range(next_, len(parts)), lambda i: starts_with(parts[i + 1], t))[1] AS s, list_filter(range(0, len(parts)), lambda i: contains(parts[i + 1], t))[1] AS c
+      FROM (SELECT st.*, words[st.k + 1] AS t FROM st JOIN w ON w.query = st.query WHERE st.k < len(words)) st JOIN placed ON placed.id = st.id)) WHERE o >= 0),
+sc AS (SELECT query, st.id, score + CASE WHEN starts = len(words) THEN 30 ELSE 0 END + greatest(0, 15 - len(parts))
+    + list_sum(list_transform(words, lambda t: CASE WHEN starts_with(parts[-1], t) THEN 25 WHEN contains(parts[-1], t) THEN 10 ELSE 0 END))
+    + least(10, 0.5::DOUBLE * in_degree) + least(5, 0.01::DOUBLE * transitive_dep_count) + CASE WHEN in_degree = 0 THEN 8 ELSE 0 END AS score, '[' || ranges || ']' AS ranges
+  FROM st JOIN w USING (query) JOIN placed ON placed.id = st.id WHERE k = len(words))""".replace("{{", "{").replace("}}", "}")
+ORACLES["q2_score_match"] = f"WITH RECURSIVE {_SPARSE}, {_SCORES} SELECT query, id, score, ranges FROM sc"
+ORACLES["q3_search_topk"] = f"WITH RECURSIVE {_SPARSE}, {_SCORES} SELECT query, rank, id, score, ranges FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank FROM sc) WHERE rank <= 30"

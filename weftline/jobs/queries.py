@@ -383,18 +383,25 @@ def q1_default_suggestions(spark, sf_dir):
     return metrics.default_suggestions(_metrics(spark, sf_dir)).select("id", "is_root", "transitive_dep_count")
 
 
-def _hits(spark, sf_dir):
+def _asked(spark, sf_dir):
     graph = _dot(spark, sf_dir, graphs.X4_SPARSE)
     v, e = cut(graph.nodes), cut(graph.edges)
     m = g.node_flags(v, e).join(fixpoint.transitive_dep_count(v, e), "id")
     # the queries are package names that occur in the table
     asked = v.select(F.concat_ws(" ", F.slice(F.split(F.regexp_replace("package", "^//", ""), "[ /]"), -2, 2)).alias("query")).distinct()
-    return search.search_topk(asked, m)
+    return asked, m
+
+
+@query
+def q2_score_match(spark, sf_dir):
+    asked, m = _asked(spark, sf_dir)
+    # as many as there are names of packages
+    return search.all_hits(search.worded(asked), m).withColumn("ranges", F.to_json("ranges"))
 
 
 @query
 def q3_search_topk(spark, sf_dir):
-    return _hits(spark, sf_dir).withColumn("ranges", F.to_json("ranges"))
+    return search.search_topk(*_asked(spark, sf_dir)).withColumn("ranges", F.to_json("ranges"))
 
 
 @query
