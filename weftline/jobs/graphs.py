@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.functions.lineage import cut
 
 #: Graphs of which only local facts are asked take all rows. X2 and X3A are what the loops and closures run on: there the
-#: larger quantities alone make an order's line, as otherwise nearly every part is linked to every other one.
+#: larger quantities alone make links, as otherwise most parts lead to most others.
 X1 = """
 WITH li AS (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem)
 SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM li)
