@@ -1,4 +1,4 @@
-"""The ten registered queries of this subpackage: production parameters over whole tables."""
+"""The registered queries of this subpackage: production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontam, lines, pieces, pii, quality, simhash, suffixes, urls, warc
+from weftline.llm import chat, decontam, lines, neighbours, pieces, pii, quality, simhash, suffixes, urls, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,6 +111,18 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest others of every fiftieth vector."""
+    got = neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+    return got.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whitened on its first 32 components; a deviation that doesn't fit a long is null."""
+    got = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return got.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("bigint").alias("deviation"), "whitened", "explained", "identity_error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_suffixes": op2_suffixes,
@@ -122,4 +134,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urls": op8_urls,
     "op9_chat": op9_chat,
     "op10_pieces": op10_pieces,
+    "op11_neighbours": op11_neighbours,
+    "op13_whitening": op13_whitening,
 }
