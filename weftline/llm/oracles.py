@@ -113,4 +113,23 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FRO
 """
 
 
-ORACLES: dict[str, str] = {"op1_quality": OP1, "op6_warc": OP6, "op8_urls": _op8(), "op9_chat": OP9}
+OP12 = rf"""
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM t)),
+g AS (SELECT lang, s AS size, array_to_string(w[i:i + s - 1], ' ') AS phrase
+      FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS z(s))),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+k AS (SELECT c.*, k, array_to_string(w[1:k], ' ') AS first_, array_to_string(w[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c),
+s AS (SELECT k.lang, k.size, k.phrase, a, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score, k
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = first_ JOIN f y ON y.lang = k.lang AND y.phrase = rest),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT DISTINCT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, a FROM (SELECT *, unnest(range(1, size - s + 2)) AS i FROM c, (VALUES (2), (3)) AS z(s) WHERE s < size)),
+kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM longer o WHERE o.lang = low.lang AND o.phrase = low.phrase AND 100::HUGEINT * o.a >= 80::HUGEINT * low.a)),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+ORACLES: dict[str, str] = {"op1_quality": OP1, "op6_warc": OP6, "op8_urls": _op8(), "op9_chat": OP9, "op12_phrases": OP12}

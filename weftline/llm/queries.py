@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontam, lines, neighbours, pieces, pii, quality, simhash, suffixes, urls, warc, whitening
+from weftline.llm import chat, decontam, lines, neighbours, phrases, pieces, pii, quality, simhash, suffixes, urls, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +117,11 @@ def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The collocations of every language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whitened on its first 32 components; a deviation that doesn't fit a long is null."""
     got = whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -135,5 +140,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat": op9_chat,
     "op10_pieces": op10_pieces,
     "op11_neighbours": op11_neighbours,
+    "op12_phrases": op12_phrases,
     "op13_whitening": op13_whitening,
 }
