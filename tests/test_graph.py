@@ -133,12 +133,50 @@ def test_forms_of_text(spark, tmp_path):
     assert (none.edges.count(), none.nodes.count()) == (0, 0)
 
 
-def test_cuts_that_are_too_big(spark):
-    _, e = frames(spark, [(0, 1), (0, 2), (1, 3), (2, 3)])
-    pairs = spark.createDataFrame([(1, 0, 3)], "pair_id long, src long, dst long")
-    solved, refused = paths.min_vertex_cut(pairs, e).first(), paths.min_vertex_cut(pairs, e, max_edges=2).first()
-    assert (solved.cut_size, solved.cut_nodes, solved.too_big) == (2, [1, 2], False)
-    assert (refused.cut_size, refused.cut_nodes, refused.too_big) == (None, None, True)
+def nearest_cut(edges, a, b):
+    """The smallest set of inner nodes that parts a and b; of several the one that leaves a the least."""
+    inner = sorted({x for e in edges for x in e} - {a, b})
+    for n in range(len(inner) + 1):
+        parting = []
+        for c in itertools.combinations(inner, n):
+            left = reached([e for e in edges if not set(e) & set(c)], [a])
+            if b not in left:
+                parting.append((len(left), list(c)))
+        if parting:
+            return min(parting)[1]
+
+
+def test_cuts_against_every_set(spark):
+    rnd, edges, asked, want = random.Random(5), [], [], {}
+    for k in range(24):
+        # graphs of different density side by side, with cycles, as pairs of one table
+        n = rnd.randrange(6, 11)
+        own = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(rnd.randrange(2 * n, 4 * n))} - {(0, n - 1)}
+        edges += [(100 * k + a, 100 * k + b) for a, b in own]
+        asked.append((k, 100 * k, 100 * k + n - 1))
+        want[k] = [100 * k + x for x in nearest_cut(own, 0, n - 1)]
+    _, e = frames(spark, edges)
+    got = paths.min_vertex_cut(spark.createDataFrame(asked, "pair_id long, src long, dst long"), e).collect()
+    assert {r.pair_id: r.cut_nodes for r in got} == want and all(r.cut_size == len(r.cut_nodes) for r in got)
+    assert max(map(len, want.values())) > 2
+
+
+def test_flows_that_have_to_be_turned_back(spark):
+    # the only shortest way blocks both others, at two places
+    edges = [(0, 1), (1, 2), (2, 99), (0, 3), (3, 4), (4, 5), (5, 2), (1, 6), (6, 7), (7, 8), (8, 99), (0, 10), (10, 11), (11, 12), (12, 13), (13, 7), (6, 14), (14, 15), (15, 16), (16, 17), (17, 99)]
+    _, e = frames(spark, edges)
+    got = paths.min_vertex_cut(spark.createDataFrame([(1, 0, 99)], "pair_id long, src long, dst long"), e).first()
+    assert got.cut_nodes == nearest_cut(set(edges), 0, 99) and got.cut_size == 3
+
+
+def test_a_large_pair(spark):
+    n = 460
+    middle = [(a, 1000 + b) for a in range(1, n + 1) for b in range(n)]
+    edges = [(0, a) for a in range(1, n + 1)] + middle + [(1000 + b, 5000 + b % 4) for b in range(n)] + [(5000 + c, 6000 + d) for c in range(4) for d in range(30)] + [(6000 + d, 9999) for d in range(30)]
+    assert len(middle) > 200_000
+    _, e = frames(spark, edges)
+    got = paths.min_vertex_cut(spark.createDataFrame([(7, 0, 9999)], "pair_id long, src long, dst long"), e).first()
+    assert (got.cut_size, got.cut_nodes) == (4, [5000, 5001, 5002, 5003])
 
 
 def test_detours_until_nothing_is_new(spark):

@@ -168,7 +168,7 @@ ch(id, k) AS ((SELECT id, depth FROM dep WHERE depth > 0 ORDER BY depth DESC, id
     "p4_merge_paths": _routes(f"SELECT pair_id, {_TEXT.format('path')} AS path, count(*) OVER (PARTITION BY pair_id) AS all_path_count FROM top"),
     "p5_suffix_dedup": _routes(f"SELECT 0::BIGINT AS pair_id, {_TEXT.format('path')} AS path FROM (SELECT DISTINCT path FROM top) a WHERE NOT EXISTS (SELECT 1 FROM top b WHERE len(b.path) < len(a.path) AND a.path[len(a.path) - len(b.path) + 1:] = b.path)"),
     "p6_mandatory_waypoints": _routes(f"SELECT pair_id, coalesce({_TEXT.format('w')}, '') AS waypoints FROM way"),
-    "p7_min_vertex_cut": _with(X2, _ROUTES, _CUTS, then=f"SELECT pair_id, cut_size, {_TEXT.format('c')} AS cut_nodes, direct_edge, false AS too_big FROM cut"),
+    "p7_min_vertex_cut": _with(X2, _ROUTES, _CUTS, then=f"SELECT pair_id, cut_size, {_TEXT.format('c')} AS cut_nodes, direct_edge FROM cut"),
     "p8_group_by_divergence": _routes(f"SELECT pair_id, via, n_paths, {_TEXT.format('first_')} AS representative, {_LISTED.format('paths')} AS paths FROM ({_GROUPED.format('top')})"),
     "p9_path_report": _with(X2, _ROUTES, _BLOCKED, _CUTS, _REPORT, then=f"""SELECT sp.pair_id, sp.src, sp.dst, reachable, {_TEXT.format('sp.path')} AS shortest_path, greatest(len(sp.path) - 1, 0)::INT AS hops, coalesce(al.n, 0) AS all_path_count, coalesce(es.n, 0) AS essential_count,
 coalesce({_LISTED.format('es.p')}, '') AS essential_paths, coalesce({_TEXT.format('w')}, '') AS dominators, cut_size AS min_cut_size, {_TEXT.format('c')} AS min_cut_nodes, coalesce(path_groups, '') AS path_groups, coalesce(n_groups, 0) AS n_groups, coalesce(es.n, 0) = 1 AS is_unique

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from weftline.functions.lineage import cut
+from weftline.operators.cuts import smallest_cuts
 from weftline.operators.fixpoint import _union, reach, reverse
 from weftline.operators.impact import dominators
 
@@ -224,81 +225,26 @@ def common_nodes(paths: DataFrame) -> DataFrame:
     return inner.groupBy("pair_id", "id").agg(F.count("*").alias("m")).join(total, "pair_id").where("m = n").select("pair_id", "id")
 
 
-def _cut_of(edges: dict, src, dst) -> list:
-    """Smallest set of inner nodes without which ``dst`` can't be reached, nearest to ``src``; no edge joins them directly."""
-    # each inner node is an arc (node, 0) -> (node, 1) that one route may use
-    flow: set = set()
-
-    def moves(state):
-        n, out = state
-        if out:
-            for b in edges.get(n, ()):  # edges have no bound of their own
-                yield (b, 0)
-            if n not in (src, dst) and ((n, 0), (n, 1)) in flow:
-                yield (n, 0)
-        else:
-            if n in (src, dst) or ((n, 0), (n, 1)) not in flow:
-                yield (n, 1)
-            for a in back.get(n, ()):
-                if ((a, 1), (n, 0)) in flow:
-                    yield (a, 1)
-
-    back = defaultdict(list)
-    for a, bs in edges.items():
-        for b in bs:
-            back[b].append(a)
-    while True:
-        came, row = {(src, 1): None}, deque([(src, 1)])
-        while row and (dst, 0) not in came:
-            x = row.popleft()
-            for y in moves(x):
-                if y not in came:
-                    came[y] = x
-                    row.append(y)
-        if (dst, 0) not in came:
-            return sorted(n for n, out in came if not out and (n, 1) not in came)
-        y = (dst, 0)
-        while came[y] is not None:
-            x = came[y]
-            if (y, x) in flow:
-                flow.discard((y, x))
-            else:
-                flow.add((x, y))
-            y = x
-
-
-def min_vertex_cut(pairs: DataFrame, e: DataFrame, max_edges: int = 200_000, near: DataFrame | None = None, waypoints: DataFrame | None = None) -> DataFrame:
-    """``(pair_id, cut_size, cut_nodes, direct_edge, too_big)``: the fewest inner nodes to take away to part a pair.
+def min_vertex_cut(pairs: DataFrame, e: DataFrame, near: DataFrame | None = None, waypoints: DataFrame | None = None) -> DataFrame:
+    """``(pair_id, cut_size, cut_nodes, direct_edge)``: the fewest inner nodes to take away to part a pair.
 
     A direct edge gives the number of relevant nodes plus one and no nodes; a pair that is not
     linked, or one node, gives 0. Pairs with a mandatory waypoint have that as their cut; the
-    others are solved one by one from their relevant edges, which is why a pair with more than
-    ``max_edges`` of these is not solved but says ``too_big``, with null for size and nodes.
+    others get a flow (:func:`smallest_cuts`), whatever their size.
     """
     kind = pairs.schema["src"].dataType
     near = near if near is not None else cut(relevant_subgraph(pairs, e))
-    linked = near.groupBy("pair_id").agg(F.count("*").alias("n_edges"))
     nodes = near.select("pair_id", F.explode(F.array("src", "dst")).alias("n")).distinct().groupBy("pair_id").agg(F.count("*").alias("n_nodes"))
     direct = near.join(pairs.select("pair_id", "src", "dst"), ["pair_id", "src", "dst"], "left_semi").select("pair_id", F.lit(True).alias("direct"))
     way = waypoints if waypoints is not None else mandatory_waypoints(pairs, near.select("src", "dst").distinct(), near=near)
-    state = cut(pairs.select("pair_id", "src", "dst").join(linked, "pair_id", "left").join(nodes, "pair_id", "left").join(direct, "pair_id", "left").join(way, "pair_id", "left"))
-    hard = state.where((F.col("n_edges") <= max_edges) & F.col("direct").isNull() & (F.size("waypoints") == 0) & (F.col("src") != F.col("dst"))).select("pair_id", F.col("src").alias("first_"), F.col("dst").alias("last_"))
-    shape = T.StructType([T.StructField("pair_id", pairs.schema["pair_id"].dataType), T.StructField("cut", T.ArrayType(kind))])
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        edges = defaultdict(list)
-        for a, b in zip(group.src, group.dst, strict=True):
-            edges[a].append(b)
-        return pd.DataFrame({"pair_id": [group.pair_id.iloc[0]], "cut": [_cut_of(edges, group.first_.iloc[0], group.last_.iloc[0])]})
-
-    solved = near.join(hard, "pair_id").groupBy("pair_id").applyInPandas(solve, shape)
-    got = state.join(solved, "pair_id", "left")
+    state = cut(pairs.select("pair_id", "src", "dst").join(nodes, "pair_id", "left").join(direct, "pair_id", "left").join(way, "pair_id", "left"))
+    hard = state.where(F.col("n_nodes").isNotNull() & F.col("direct").isNull() & (F.size("waypoints") == 0) & (F.col("src") != F.col("dst")))
+    got = state.join(smallest_cuts(hard, near.join(hard.select("pair_id"), "pair_id", "left_semi")), "pair_id", "left")
     none, same = F.array().cast(T.ArrayType(kind)), F.col("src") == F.col("dst")
     is_direct = F.coalesce("direct", F.lit(False))
     nodes_ = F.when(same | is_direct, none).when(F.size("waypoints") > 0, F.slice("waypoints", 1, 1)).otherwise(F.coalesce("cut", none))
     size = F.when(is_direct & ~same, F.col("n_nodes") + 1).otherwise(F.size(nodes_).cast("long"))
-    big = (F.coalesce("n_edges", F.lit(0)) > max_edges) & ~is_direct & (F.size("waypoints") == 0) & ~same
-    return got.select("pair_id", F.when(~big, size).alias("cut_size"), F.when(~big, nodes_).alias("cut_nodes"), is_direct.alias("direct_edge"), big.alias("too_big"))
+    return got.select("pair_id", size.alias("cut_size"), nodes_.alias("cut_nodes"), is_direct.alias("direct_edge"))
 
 
 def group_by_divergence(paths: DataFrame, shortest: DataFrame) -> DataFrame:
@@ -352,13 +298,12 @@ def path_report(pairs: DataFrame, e: DataFrame, k: int = 30, rounds: int | None
 def annotate_paths(paths: DataFrame, shortest: DataFrame, waypoints: DataFrame, cuts: DataFrame) -> DataFrame:
     """``(pair_id, path_no, pos, id, is_from, is_to, on_all, is_cut, is_unique_part, tag)`` for every place of every path.
 
-    ``paths (pair_id, path_no, path)``. The tag is the first that holds of from, to, cut, all, unique;
-    ``is_cut`` is null where the cut was not solved.
+    ``paths (pair_id, path_no, path)``. The tag is the first that holds of from, to, cut, all, unique.
     """
     told = paths.select("pair_id", "path_no", F.size("path").alias("n"), F.posexplode("path").alias("pos", "id"))
-    told = told.join(shortest.select("pair_id", F.col("path").alias("s")), "pair_id", "left").join(waypoints.select("pair_id", F.col("waypoints").alias("w")), "pair_id", "left").join(cuts.select("pair_id", F.col("cut_nodes").alias("c"), F.col("too_big").alias("big")), "pair_id", "left")
+    told = told.join(shortest.select("pair_id", F.col("path").alias("s")), "pair_id", "left").join(waypoints.select("pair_id", F.col("waypoints").alias("w")), "pair_id", "left").join(cuts.select("pair_id", F.col("cut_nodes").alias("c")), "pair_id", "left")
     has = lambda a: F.coalesce(F.array_contains(a, F.col("id")), F.lit(False))
-    flags: dict[str, Column] = {"is_from": F.col("pos") == 0, "is_to": F.col("pos") == F.col("n") - 1, "on_all": has("w"), "is_cut": F.when(F.col("c").isNotNull() | ~F.coalesce("big", F.lit(False)), has("c")), "is_unique_part": ~has("s")}
+    flags: dict[str, Column] = {"is_from": F.col("pos") == 0, "is_to": F.col("pos") == F.col("n") - 1, "on_all": has("w"), "is_cut": has("c"), "is_unique_part": ~has("s")}
     tag = F.when(flags["is_from"], "from").when(flags["is_to"], "to").when(flags["is_cut"], "cut").when(flags["on_all"], "all").when(flags["is_unique_part"], "unique").otherwise("")
     return told.select("pair_id", "path_no", "pos", "id", *(c.alias(n) for n, c in flags.items()), tag.alias("tag"))
 
