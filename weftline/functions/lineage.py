@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +71,32 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Pile:
+    """Frames of equal columns that come one after the other, put together in steps.
+
+    ``FEW`` frames of a step become one of the next, so a row is written again only as often as
+    the logarithm of the number of frames, and a plan over all of them stays small.
+    """
+
+    FEW = 8
+
+    def __init__(self, *frames: DataFrame) -> None:
+        self._steps: list[list[DataFrame]] = [[]]
+        for df in frames:
+            self.add(df)
+
+    def add(self, df: DataFrame) -> None:
+        """Put ``df``, which has been computed, on the pile."""
+        for step in self._steps:
+            step.append(df)
+            if len(step) < self.FEW:
+                return
+            df = cut(reduce(DataFrame.unionByName, step))
+            step.clear()
+        self._steps.append([df])
+
+    def all(self) -> DataFrame:
+        """Everything on the pile, of which there has to be something."""
+        return reduce(DataFrame.unionByName, [df for step in reversed(self._steps) for df in step])

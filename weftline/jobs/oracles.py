@@ -157,8 +157,10 @@ ch(id, k) AS ((SELECT id, depth FROM dep WHERE depth > 0 ORDER BY depth DESC, id
     "g10_dependencies": _with(X2, _V, _D, _DEG, _CLO, "t AS (SELECT id FROM deg ORDER BY out_degree DESC, id LIMIT 20)", then="SELECT t.id AS start, d.src, d.dst FROM t JOIN d ON d.src = t.id OR (t.id, d.src) IN (SELECT src, dst FROM clo)"),
     "g11_removal_impact": _with(X2, _V, _D, _CLO, _REMOVED.format(where="WHERE id IN (SELECT src FROM e) AND id IN (SELECT dst FROM e)"), then="SELECT x AS id, savings - 1 AS orphaned_count, savings, 100.0::DOUBLE * savings / (SELECT count(*) FROM base) AS savings_pct FROM sav WHERE savings > 0"),
     "g11_removal_impact_cyclic": _with(X3A, _V, _D, _CLO, _REMOVED.format(where="WHERE id IN (SELECT src FROM e) AND id IN (SELECT dst FROM e)"), then="SELECT x AS id, savings - 1 AS orphaned_count, savings, 100.0::DOUBLE * savings / (SELECT count(*) FROM base) AS savings_pct FROM sav WHERE savings > 0"),
-    "g12_simulate_removal": _with(X2, _V, _D, _CLO, _REMOVED.format(where=""), "orph AS (SELECT x, b.id FROM cand JOIN base b ON b.id <> x WHERE (x = b.id OR x IN (SELECT src FROM clo WHERE dst = b.id)) AND (x, b.id) NOT IN (SELECT x, id FROM rr))", then="""SELECT sav.x AS removed_id, coalesce((SELECT string_agg(id::VARCHAR, ', ' ORDER BY id) FROM orph WHERE orph.x = sav.x), '') AS orphaned,
+    "g12_simulate_removal": _with(X2, _V, _D, _CLO, _REMOVED.format(where=""), then="""SELECT sav.x AS removed_id, greatest(savings - 1, 0) AS orphaned_count,
 (SELECT count(*) FROM e WHERE src = sav.x OR dst = sav.x) AS affected_edges, (SELECT count(*) FROM base) AS deps_before, (SELECT count(*) FROM base) - savings AS deps_after, savings, 100.0::DOUBLE * savings / (SELECT count(*) FROM base) AS savings_pct FROM sav"""),
+    "g12_orphans": _with(X2, _V, _D, _CLO, _REMOVED.format(where=""), then="""SELECT x AS removed_id, b.id FROM cand JOIN base b ON b.id <> x
+WHERE (x = b.id OR x IN (SELECT src FROM clo WHERE dst = b.id)) AND (x, b.id) NOT IN (SELECT x, id FROM rr)"""),
     "g13_rank_roots": _with(X2, _V, _D, _CLO, _TRANS, then="SELECT id, transitive_dep_count + 1 AS reach, row_number() OVER (ORDER BY transitive_dep_count DESC, id) AS rank, row_number() OVER (ORDER BY transitive_dep_count DESC, id) = 1 AS is_main FROM tr WHERE id NOT IN (SELECT dst FROM e)"),
     "g14_highlight": _with(X2, _V, _D, _PHASE, then="SELECT src, dst FROM d WHERE src IN (SELECT id FROM ph WHERE build_phase >= 8) OR dst IN (SELECT id FROM ph WHERE build_phase >= 8)"),
     "p0_relevant_subgraph": _routes("SELECT * FROM near"),

@@ -290,7 +290,13 @@ def g11_removal_impact_cyclic(spark, sf_dir):
 @query
 def g12_simulate_removal(spark, sf_dir):
     v, e = graphs.graph(spark, sf_dir, graphs.X2)
-    return impact.simulate_removal(v, e, v)
+    return impact.simulate_removal(v, e, v)[0]
+
+
+@query
+def g12_orphans(spark, sf_dir):
+    v, e = graphs.graph(spark, sf_dir, graphs.X2)
+    return impact.simulate_removal(v, e, v)[1]
 
 
 @query
@@ -369,7 +375,7 @@ def p10_annotate_paths(spark, sf_dir):
     inside = cut(near.select("src", "dst").distinct())
     shortest = cut(paths.shortest_paths(pairs, inside))
     found = paths.k_shortest_paths(pairs, inside, near=near).withColumnRenamed("rank", "path_no")
-    way = cut(paths.mandatory_waypoints(pairs, inside, shortest, near))
+    way = cut(paths.mandatory_waypoints(pairs, inside, near))
     return paths.annotate_paths(found, shortest, way, paths.min_vertex_cut(pairs, inside, near=near, waypoints=way))
 
 

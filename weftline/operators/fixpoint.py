@@ -10,13 +10,16 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from weftline.functions.lineage import cut, scratch_path, settle
+from weftline.functions.lineage import Pile, cut, scratch_path, settle
 from weftline.functions.numbers import numbered
 from weftline.operators.graph import ids_of
 
 #: Rounds after which what has been seen is put together.
 GATHER = 8
+#: What a node leads to is kept as rows rather than bits if it is no more than this, and while there is room: rows for each node and edge.
+FEW, ROOM = 1_024, 16
 
 
 def reverse(e: DataFrame) -> DataFrame:
@@ -37,14 +40,12 @@ def reach(e: DataFrame, starts: DataFrame, blocked: DataFrame | None = None) ->
     e = cut(e.select("src", "dst").distinct())
     bar = lambda df: df if blocked is None else df.join(blocked, ["key", "id"], "left_anti")
     new = cut(bar(starts.select("key", "id").distinct()))
-    seen = [new]
+    seen = Pile(new)
     while not new.isEmpty():
         next_ = new.join(e, new.id == e.src).select("key", F.col("dst").alias("id")).distinct()
-        new = cut(bar(next_).join(_union(seen), ["key", "id"], "left_anti"))
-        seen.append(new)
-        if len(seen) > GATHER:
-            seen = [cut(_union(seen))]
-    return _union(seen)
+        new = cut(bar(next_).join(seen.all(), ["key", "id"], "left_anti"))
+        seen.add(new)
+    return seen.all()
 
 
 def closure(e: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -53,45 +54,48 @@ def closure(e: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     return reach(e, ids.select(F.col("id").alias("key"), "id")).where("key <> id").select(F.col("key").alias("src"), F.col("id").alias("dst"))
 
 
-def topo_levels(v: DataFrame, e: DataFrame) -> DataFrame:
-    """``(id, level)`` in Kahn's order: the round in which all edges into a node are gone; null in and behind cycles."""
-    left, e, out, level = cut(v.select("id").distinct()), cut(e.select("src", "dst").distinct()), [], 0
-    while True:
-        ready = cut(left.join(e.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(level).alias("level")))
-        if ready.isEmpty():
-            break
-        out.append(ready)
-        left = cut(left.join(ready, "id", "left_anti"))
-        e = cut(e.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
-        level += 1
-    return _union([*out, left.select("id", F.lit(None).cast("int").alias("level"))])
-
+def peel(v: DataFrame, e: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """``(id, level)`` of the nodes that no cycle leads to, each the round in which the last edge into it is gone.
 
-def longest_levels(e: DataFrame, starts: DataFrame) -> DataFrame:
-    """``(id, level)``: the longest way in hops from any start; ``e`` has no cycle.
-
-    A node is in front as often as it has ways of different length; the last round counts.
+    A node that is taken off sends one to each node behind it, and is final itself in the one
+    round in which it has got as many as edges come in. So an edge is joined once in all, and
+    what a round writes are nodes that have got some, not the graph. With ``starts (id)`` a level
+    is the longest way from one of these, null where none leads.
     """
-    e = cut(e.select("src", "dst").distinct())
-    front, rounds, level = cut(starts.select("id").distinct()), [], 0
+    e = e.select("src", "dst").distinct()
+    need = e.groupBy("dst").agg(F.count("*").alias("need"))
+    e = settle(e.join(need, "dst").select("src", "dst", "need"), "peel-edges")
+    front = v.select("id").distinct().join(need.select(F.col("dst").alias("id")), "id", "left_anti")
+    if starts is None:
+        front = front.select("id", F.lit(0).alias("level"))
+    else:
+        front = front.join(starts.select("id", F.lit(0).alias("level")).distinct(), "id", "left").select("id", "level")
+    front = cut(front)
+    waiting = front.select("id", F.lit(0).cast("long").alias("got"), F.lit(0).cast("long").alias("need"), "level").limit(0)
+    done = Pile(front)
     while not front.isEmpty():
-        rounds.append(front.select("id", F.lit(level).alias("level")))
-        front = cut(front.join(e, front.id == e.src).select(F.col("dst").alias("id")).distinct())
-        level += 1
-        if len(rounds) > GATHER:
-            rounds = [cut(_union(rounds).groupBy("id").agg(F.max("level").alias("level")))]
-    empty = starts.select("id", F.lit(0).alias("level")).limit(0)
-    return _union(rounds or [empty]).groupBy("id").agg(F.max("level").alias("level"))
+        sent = front.join(e, front.id == e.src).select(F.col("dst").alias("id"), F.lit(1).cast("long").alias("got"), "need", (F.col("level") + 1).alias("level"))
+        now = cut(waiting.unionByName(sent).groupBy("id").agg(F.sum("got").alias("got"), F.max("need").alias("need"), F.max("level").alias("level")))
+        front, waiting = now.where("got = need").select("id", "level"), now.where("got < need")
+        done.add(front)
+    return done.all()
+
+
+def topo_levels(v: DataFrame, e: DataFrame) -> DataFrame:
+    """``(id, level)`` in Kahn's order: the round in which all edges into a node are gone; null in and behind cycles."""
+    return v.select("id").distinct().join(peel(v, e), "id", "left").select("id", "level")
 
 
 def _trim(e: DataFrame) -> DataFrame:
-    """The edges between nodes that have edges both in and out, until that holds for all."""
-    n = e.count()
-    while n:
-        e = cut(e.join(e.select(F.col("dst").alias("src")), "src", "left_semi").join(e.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"))
-        n, before = e.count(), n
-        if n == before:
+    """The edges between nodes that a cycle leads to and that lead to a cycle."""
+    e = cut(e.select("src", "dst"))
+    for turned in (False, True):
+        if e.isEmpty():
             break
+        # what an edge leads to from a node that stays stays too
+        end = "dst" if turned else "src"
+        gone = peel(ids_of(e), reverse(e) if turned else e)
+        e = cut(e.join(gone.select(F.col("id").alias(end)), end, "left_anti").select("src", "dst"))
     return e
 
 
@@ -131,10 +135,7 @@ def condense(e: DataFrame, parts: DataFrame) -> DataFrame:
 def build_phase(v: DataFrame, e: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """``(id, build_phase)``: 0 without dependencies, else one more than the highest of them; a component shares its phase."""
     parts = cut(parts if parts is not None else scc(v, e))
-    dag = cut(condense(e, parts))
-    nodes = parts.select(F.col("scc_id").alias("id")).distinct()
-    leaves = nodes.join(dag.select(F.col("src").alias("id")), "id", "left_anti")
-    level = longest_levels(reverse(dag), leaves).select(F.col("id").alias("scc_id"), F.col("level").alias("build_phase"))
+    level = peel(parts.select(F.col("scc_id").alias("id")), reverse(condense(e, parts))).select(F.col("id").alias("scc_id"), F.col("level").alias("build_phase"))
     return parts.join(level, "scc_id").select("id", "build_phase")
 
 
@@ -142,41 +143,78 @@ def depth(v: DataFrame, e: DataFrame, parts: DataFrame | None = None) -> DataFra
     """``(id, depth)``: the longest way from a node without incoming edges, over components; 0 where none leads."""
     parts = cut(parts if parts is not None else scc(v, e))
     roots = v.select("id").join(e.select(F.col("dst").alias("id")), "id", "left_anti")
-    level = longest_levels(condense(e, parts), roots).select(F.col("id").alias("scc_id"), "level")
-    return parts.join(level, "scc_id", "left").select("id", F.coalesce("level", F.lit(0)).alias("depth"))
+    level = peel(parts.select(F.col("scc_id").alias("id")), condense(e, parts), roots).select(F.col("id").alias("scc_id"), "level")
+    return parts.join(level, "scc_id").select("id", F.coalesce("level", F.lit(0)).alias("depth"))
 
 
-def transitive_dep_count(v: DataFrame, e: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+def short_reach(v: DataFrame, e: DataFrame, most: int = FEW, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
+    """``(key, id)`` of what each node leads to, itself included, for nodes with few of these; and ``(id)`` of all others.
+
+    Few are up to ``most``. A node is given up in the round in which it has more; to see that,
+    ``most`` edges of a node and ``most`` more nodes of a round are enough. When all rows together
+    are more than ``room`` for each node and edge, nodes that are not complete are given up.
+    """
+    e = e.select("src", "dst").where("src <> dst").distinct()
+    e = settle(e.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy("dst"))).where(F.col("r") <= most).select("src", "dst"), "short-edges")
+    step = cut(v.select(F.col("id").alias("key"), "id").distinct())
+    n = step.count()
+    seen, rows, space = Pile(step), n, room * (n + e.count())
+    over = lambda: seen.all().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key")
+    while n and rows <= space:
+        new = step.join(over(), "key", "left_anti").join(e, F.col("id") == F.col("src")).select("key", F.col("dst").alias("id")).distinct()
+        new = new.join(seen.all(), ["key", "id"], "left_anti")
+        step = cut(new.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy("id"))).where(F.col("r") <= most).select("key", "id"))
+        seen.add(step)
+        n = step.count()
+        rows += n
+    many = cut(over().unionByName(step.select("key")).distinct())
+    return seen.all().join(many, "key", "left_anti"), many.withColumnRenamed("key", "id")
+
+
+def transitive_dep_count(v: DataFrame, e: DataFrame, few: int = FEW) -> DataFrame:
     """``(id, transitive_dep_count)``: how many other nodes each one leads to, others of its own component included.
 
-    No pairs are made: a component holds what it leads to as bits, in blocks of 32,768 nodes
-    of which only those that have any are rows. Components are final phase by phase, each from
-    its own bits and those of its direct dependencies, which are put together before the shuffle
-    as far as they meet in a task. Numbers follow the phases, so what is close shares blocks.
+    A node that leads to ``few`` others at most has them as rows (:func:`short_reach`), which are
+    then smaller than bits. The components of the rest hold what they lead to as bits, in blocks
+    of 32,768 nodes of which only those that have any are rows. These are final phase by phase:
+    each from its own nodes, the rows of nodes next to it that lead to few, and the bits of the
+    components it points to, of which only the phases in question are read. Numbers follow the
+    phases, so what is close shares blocks.
     """
-    parts = cut(parts if parts is not None else scc(v, e))
-    dag = cut(condense(e, parts))
-    phases = cut(build_phase(v, e, parts))
-    place = numbered(parts.join(phases, "id").select("build_phase", "scc_id", "id"), "build_phase", "scc_id", "id")
+    e = cut(e.select("src", "dst").where("src <> dst").distinct())
+    short, many = short_reach(v, e, few)
+    short = settle(short, "short-reach")
+    counted = short.groupBy(F.col("key").alias("id")).agg((F.count("*") - 1).alias("transitive_dep_count"))
+    if many.isEmpty():
+        return counted
+    both = lambda df: df.join(many.withColumnRenamed("id", "src"), "src", "left_semi")
+    inner = cut(both(e).join(many.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    parts = cut(scc(many, inner))
+    phases = cut(build_phase(many, inner, parts))
+    named = cut(parts.join(phases, "id").select("id", "scc_id", "build_phase"))
+    place = settle(numbered(v.select("id").distinct().join(named, "id", "left").select("build_phase", "scc_id", "id"), "build_phase", "scc_id", "id").select("idx", "id"), "places")
+    beside = both(e).join(many.withColumnRenamed("id", "dst"), "dst", "left_anti").join(short, F.col("dst") == F.col("key")).select("src", F.col("id").alias("there"))
+    held = named.select("id", "scc_id", "build_phase").join(beside.unionByName(many.select(F.col("id").alias("src"), F.col("id").alias("there"))), F.col("id") == F.col("src")).select("build_phase", "scc_id", F.col("there").alias("id")).distinct()
     bit = F.col("idx") + 1
-    own = place.groupBy("build_phase", F.col("scc_id").alias("id"), F.bitmap_bucket_number(bit).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
-    own = settle(own, "own-bits")
-    level = phases.join(parts, "id").select(F.col("scc_id").alias("src"), "build_phase").distinct()
-    dag = cut(dag.join(level, "src"))
+    own = held.join(place, "id").groupBy("build_phase", F.col("scc_id").alias("id"), F.bitmap_bucket_number(bit).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    own = settle(own.repartition("build_phase", "id"), "own-bits")
+    level = lambda end: named.select(F.col("scc_id").alias(end), F.col("build_phase").alias(f"{end}_phase")).distinct()
+    dag = cut(condense(inner, parts).join(level("src"), "src").join(level("dst"), "dst"))
+    needs: dict[int, list[int]] = {}
+    for r in dag.select("src_phase", "dst_phase").distinct().collect():  # phases squared at most
+        needs.setdefault(r.src_phase, []).append(r.dst_phase)
     folder = scratch_path(v.sparkSession, "reach-bits")
-    shape = own.select("id", "block", "bits", "build_phase").schema
+    shape = own.select("id", "block", "bits").schema
     top = phases.agg(F.max("build_phase")).first()[0]
-    for p in range(0 if top is None else top + 1):
+    read = lambda ps: v.sparkSession.read.schema(shape).parquet(*(f"{folder}/{p}" for p in ps))
+    for p in range(top + 1):
         here = own.where(F.col("build_phase") == p).select("id", "block", "bits")
-        if p:
-            done = v.sparkSession.read.schema(shape).parquet(folder).withColumnRenamed("id", "dst")
-            gained = dag.where(F.col("build_phase") == p).select("src", "dst").join(done, "dst").select(F.col("src").alias("id"), "block", "bits")
+        if p in needs:
+            gained = dag.where(F.col("src_phase") == p).select("src", "dst").join(read(needs[p]).withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "block", "bits")
             here = here.unionByName(gained).groupBy("id", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
-        here.write.parquet(f"{folder}/build_phase={p}")
-    if top is None:
-        return v.select("id", F.lit(0).cast("long").alias("transitive_dep_count"))
-    counted = v.sparkSession.read.schema(shape).parquet(folder).groupBy(F.col("id").alias("scc_id")).agg(F.sum(F.bitmap_count("bits")).alias("n"))
-    return parts.join(counted, "scc_id").select("id", (F.col("n") - 1).alias("transitive_dep_count"))
+        here.write.parquet(f"{folder}/{p}")
+    total = read(range(top + 1)).groupBy(F.col("id").alias("scc_id")).agg(F.sum(F.bitmap_count("bits")).alias("n"))
+    return counted.unionByName(parts.join(total, "scc_id").select("id", (F.col("n") - 1).alias("transitive_dep_count")))
 
 
 def approx_transitive_dep_count(v: DataFrame, e: DataFrame, phases: DataFrame, lg_k: int = 12) -> DataFrame:
@@ -197,19 +235,23 @@ def approx_transitive_dep_count(v: DataFrame, e: DataFrame, phases: DataFrame, l
 
 
 def critical_chain(e: DataFrame, depths: DataFrame) -> DataFrame:
-    """``(position, id)`` of the longest chain down to the deepest node; ties go to the smallest id. Empty if nothing is deep."""
+    """``(position, id)`` of the longest chain down to the deepest node; ties go to the smallest id. Empty if nothing is deep.
+
+    Every node knows its best parent. Who knows a node 2^k steps up and takes that one's
+    knowledge knows 2^(k + 1), and the part of the chain that is known doubles with it, so a chain
+    of n nodes takes log n rounds.
+    """
     of = lambda end: depths.select(F.col("id").alias(end), F.col("depth").alias(f"{end}_depth"))
     steps = e.select("src", "dst").distinct().join(of("src"), "src").join(of("dst"), "dst").where("src_depth < dst_depth")
-    best = cut(steps.groupBy("dst").agg(F.min(F.struct((-F.col("src_depth")).alias("d"), "src")).alias("b")).select("dst", "b.src"))
-    now = cut(depths.where("depth > 0").orderBy(F.desc("depth"), "id").limit(1).select("id", F.col("depth").alias("left")))
-    parts, k = [], 0
-    while not now.isEmpty():
-        parts.append(now.select(F.lit(-k).alias("position"), "id"))
-        now = cut(now.join(best, now.id == best.dst).select(F.col("src").alias("id")))
-        k += 1
-    if not parts:
-        return depths.select(F.lit(0).alias("position"), "id").limit(0)
-    return _union(parts).select((F.col("position") + (k - 1)).alias("position"), "id")
+    up = cut(steps.groupBy("dst").agg(F.min(F.struct((-F.col("src_depth")).alias("d"), "src")).alias("b")).select(F.col("dst").alias("id"), F.col("b.src").alias("far")))
+    chain = cut(depths.where("depth > 0").orderBy(F.desc("depth"), "id").limit(1).select("id", F.lit(0).alias("off")))
+    known = 1
+    while not (more := cut(chain.join(up, "id").select(F.col("far").alias("id"), (F.col("off") + known).alias("off")))).isEmpty():
+        chain = cut(chain.unionByName(more))
+        up = cut(up.join(up.select(F.col("id").alias("far"), F.col("far").alias("further")), "far").select("id", F.col("further").alias("far")))
+        known *= 2
+    last = chain.agg(F.max("off").alias("last"))
+    return chain.crossJoin(F.broadcast(last)).select((F.col("last") - F.col("off")).alias("position"), "id")
 
 
 def reachable_from_roots(v: DataFrame, e: DataFrame, exclude=None) -> DataFrame:
@@ -229,8 +271,6 @@ def dependencies(e: DataFrame, starts: DataFrame, backward: bool = False) -> tup
 
 def rank_roots(v: DataFrame, e: DataFrame) -> DataFrame:
     """``(id, reach, rank, is_main)`` of the nodes without incoming edges, by how much they lead to."""
-    from pyspark.sql import Window as W
-
     roots = cut(v.select("id").join(e.select(F.col("dst").alias("id")), "id", "left_anti"))
     sizes = reach(e, roots.select(F.col("id").alias("key"), "id")).groupBy("key").agg(F.count("*").alias("reach")).select(F.col("key").alias("id"), "reach")
     # ranks over counts of equal reach, so that no single task sorts all roots

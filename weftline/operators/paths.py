@@ -6,20 +6,17 @@ smallest sequence of ids, so every result is determined.
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict, deque
 from itertools import count
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from weftline.functions.lineage import cut
+from weftline.functions.lineage import Pile, cut
 from weftline.operators.cuts import smallest_cuts
 from weftline.operators.fixpoint import _union, reach, reverse
-from weftline.operators.impact import dominators
+from weftline.operators.impact import dominator_paths
 
 
 def relevant_subgraph(pairs: DataFrame, e: DataFrame) -> DataFrame:
@@ -32,85 +29,46 @@ def relevant_subgraph(pairs: DataFrame, e: DataFrame) -> DataFrame:
     return left.join(nodes.select(F.col("key").alias("pair_id"), F.col("id").alias("dst")), ["pair_id", "dst"], "left_semi").select("pair_id", "src", "dst")
 
 
-def shortest_paths(pairs: DataFrame, e: DataFrame, nodes: DataFrame | None = None, blocked: DataFrame | None = None) -> DataFrame:
+def shortest_paths(pairs: DataFrame, e: DataFrame, nodes: DataFrame | None = None, blocked: DataFrame | None = None, barred: DataFrame | None = None, most: DataFrame | None = None) -> DataFrame:
     """``(pair_id, src, dst, reachable, path)``: the smallest sequence of ids among the shortest paths.
 
-    ``blocked (pair_id, id)`` are nodes that a pair may not pass (its target still counts). An
-    unknown end or no way gives an empty path; a pair of one known node gives that node.
+    ``blocked (pair_id, id)`` are nodes that a pair may not pass (its target still counts),
+    ``barred (pair_id, src, dst)`` edges that it may not use; ``most (pair_id, most)`` says how many
+    hops a pair may take, where it has a row. An unknown end or no way gives an empty path; a
+    pair of one known node gives that node.
     """
     known = cut(nodes.select("id").distinct() if nodes is not None else e.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
     e = cut(e.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
-    ends = cut(pairs.select("pair_id", "src", "dst").distinct().join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi").select("pair_id", "src", "dst"))
-    targets = ends.select("pair_id", "dst")
-    front = cut(ends.select("pair_id", F.col("src").alias("at"), F.array("src").alias("path")))
-    seen, done = [front.select("pair_id", "at")], []
-    while not front.isEmpty():
-        here = cut(front.join(targets, "pair_id").withColumn("there", F.col("at") == F.col("dst")))
-        done.append(here.where("there").select("pair_id", "path"))
-        on = here.where(~F.col("there")).join(e, "at").select("pair_id", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
-        if blocked is not None:
-            stop = on.join(blocked.select("pair_id", F.col("id").alias("at")), ["pair_id", "at"], "left_semi").join(targets.withColumnRenamed("dst", "at"), ["pair_id", "at"], "left_anti").select("pair_id", "at").distinct()
-            on = on.join(stop, ["pair_id", "at"], "left_anti")
+    ends = pairs.select("pair_id", "src", "dst").distinct().join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    ends = ends.join(most.select("pair_id", "most"), "pair_id", "left") if most is not None else ends.withColumn("most", F.lit(None).cast("int"))
+    front = cut(ends.select("pair_id", "dst", "most", F.col("src").alias("at"), F.array("src").alias("path")))
+    if blocked is not None:
+        targets = front.select("pair_id", F.col("dst").alias("at"))
+        blocked = cut(blocked.select("pair_id", F.col("id").alias("at")).distinct().join(targets, ["pair_id", "at"], "left_anti"))
+    seen, done = Pile(front.select("pair_id", "at")), Pile(front.where("at = dst").select("pair_id", "path"))
+    while not (left := front.where("at <> dst")).isEmpty():
         # a pair that has arrived goes no further
-        on = on.join(_union(done).select("pair_id"), "pair_id", "left_anti")
-        front = cut(on.groupBy("pair_id", "at").agg(F.min("path").alias("path")).join(_union(seen), ["pair_id", "at"], "left_anti"))
-        seen.append(front.select("pair_id", "at"))
-    got = _union(done) if done else None
+        on = left.join(done.all().select("pair_id"), "pair_id", "left_anti").join(e, "at").where(F.col("most").isNull() | (F.size("path") <= F.col("most")))
+        if barred is not None:
+            on = on.join(barred.select("pair_id", F.col("src").alias("at"), F.col("dst").alias("to")), ["pair_id", "at", "to"], "left_anti")
+        on = on.select("pair_id", "dst", "most", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
+        if blocked is not None:
+            on = on.join(blocked, ["pair_id", "at"], "left_anti")
+        front = cut(on.groupBy("pair_id", "dst", "most", "at").agg(F.min("path").alias("path")).join(seen.all(), ["pair_id", "at"], "left_anti"))
+        seen.add(front.select("pair_id", "at"))
+        done.add(front.where("at = dst").select("pair_id", "path"))
     empty = F.array().cast(T.ArrayType(pairs.schema["src"].dataType))
-    base = pairs.select("pair_id", "src", "dst")
-    if got is None:
-        return base.select("*", F.lit(False).alias("reachable"), empty.alias("path"))
-    return base.join(got, "pair_id", "left").select("pair_id", "src", "dst", F.col("path").isNotNull().alias("reachable"), F.coalesce("path", empty).alias("path"))
-
-
-def _yen(edges: dict, src, dst, k: int) -> list[list]:
-    """The ``k`` shortest loopless paths of one small graph, ties by sequence."""
-
-    def shortest(start, banned_nodes: set, banned_edges: set) -> list | None:
-        # layers from the target, then the smallest way down
-        back, level, row = defaultdict(list), {dst: 0}, deque([dst])
-        for a, bs in edges.items():
-            for b in bs:
-                if (a, b) not in banned_edges and a not in banned_nodes and b not in banned_nodes:
-                    back[b].append(a)
-        while row:
-            b = row.popleft()
-            for a in back[b]:
-                if a not in level:
-                    level[a] = level[b] + 1
-                    row.append(a)
-        if start not in level:
-            return None
-        path = [start]
-        while path[-1] != dst:
-            a = path[-1]
-            path.append(min(b for b in edges[a] if (a, b) not in banned_edges and level.get(b) == level[a] - 1))
-        return path
-
-    first = shortest(src, set(), set())
-    if first is None:
-        return []
-    found, heap, known = [], [(len(first), first)], {tuple(first)}
-    while heap and len(found) < k:
-        _, path = heapq.heappop(heap)
-        found.append(path)
-        for i in range(len(path) - 1):
-            used = {(p[i], p[i + 1]) for p in found if p[: i + 1] == path[: i + 1] and len(p) > i + 1}
-            tail = shortest(path[i], set(path[:i]), used)
-            if tail and tuple(path[:i] + tail) not in known:
-                known.add(tuple(path[:i] + tail))
-                heapq.heappush(heap, (i + len(tail), path[:i] + tail))
-    return found
-
-
-def k_shortest_paths(pairs: DataFrame, e: DataFrame, k: int = 30, max_edges: int = 200_000, near: DataFrame | None = None) -> DataFrame:
+    got = pairs.select("pair_id", "src", "dst").join(done.all(), "pair_id", "left")
+    return got.select("pair_id", "src", "dst", F.col("path").isNotNull().alias("reachable"), F.coalesce("path", empty).alias("path"))
+
+
+def k_shortest_paths(pairs: DataFrame, e: DataFrame, k: int = 30, near: DataFrame | None = None) -> DataFrame:
     """``(pair_id, rank, path, hops)``: up to ``k`` loopless paths of each pair, by hops, then by sequence.
 
     Where the relevant part has no cycle, only the ``k`` smallest ways of each length to each
     node are kept on the way: no other one can be part of an answer. Pairs with cycles are
-    solved one by one from their own relevant edges; a pair with more than ``max_edges`` of
-    these raises an error rather than giving a partial answer. ``near`` may hand in the result
-    of :func:`relevant_subgraph`.
+    solved by deviations (:func:`_by_deviations`). ``near`` may hand in the result of
+    :func:`relevant_subgraph`.
     """
     near = near if near is not None else cut(relevant_subgraph(pairs, e))
     cyclic = cut(_cyclic_pairs(near))
@@ -119,32 +77,57 @@ def k_shortest_paths(pairs: DataFrame, e: DataFrame, k: int = 30, max_edges: int
     targets = ends.select("pair_id", F.col("dst").alias("end"))
     known = near.select("pair_id").distinct()
     front = cut(ends.join(known, "pair_id", "left_semi").join(cyclic, "pair_id", "left_anti").select("pair_id", F.col("src").alias("at"), F.array("src").alias("path")))
-    done = [front.join(targets, "pair_id").where("at = end").select("pair_id", "path")]
+    done = Pile(front.join(targets, "pair_id").where("at = end").select("pair_id", "path"))
     while not front.isEmpty():
         on = front.join(plain, ["pair_id", "at"]).select("pair_id", F.col("to").alias("at"), F.concat("path", F.array("to")).alias("path"))
         best = W.partitionBy("pair_id", "at").orderBy("path")
         front = cut(on.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"))
-        done.append(front.join(targets, "pair_id").where("at = end").select("pair_id", "path"))
-    found = _union(done)
-    kind = pairs.schema["src"].dataType
-    shape = T.StructType([T.StructField("pair_id", pairs.schema["pair_id"].dataType), T.StructField("path", T.ArrayType(kind))])
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > max_edges:
-            raise ValueError(f"pair {group.pair_id.iloc[0]} has {len(group)} relevant edges")
-        edges = defaultdict(list)
-        for a, b in zip(group.src, group.dst, strict=True):
-            edges[a].append(b)
-        paths = _yen(edges, group.first_.iloc[0], group.last_.iloc[0], k)
-        return pd.DataFrame({"pair_id": [group.pair_id.iloc[0]] * len(paths), "path": paths})
-
+        done.add(front.join(targets, "pair_id").where("at = end").select("pair_id", "path"))
+    found = done.all()
     if not cyclic.isEmpty():
-        hard = near.join(cyclic, "pair_id").join(ends.select("pair_id", F.col("src").alias("first_"), F.col("dst").alias("last_")), "pair_id")
-        found = found.unionByName(hard.groupBy("pair_id").applyInPandas(solve, shape))
+        hard = cut(ends.join(cyclic, "pair_id", "left_semi"))
+        found = found.unionByName(_by_deviations(hard, near.join(cyclic, "pair_id", "left_semi").select("src", "dst").distinct(), k))
     ranked = found.withColumn("hops", F.size("path") - 1).withColumn("rank", F.row_number().over(W.partitionBy("pair_id").orderBy("hops", "path")))
     return ranked.where(F.col("rank") <= k).select("pair_id", "rank", "path", "hops")
 
 
+def _by_deviations(pairs: DataFrame, e: DataFrame, k: int) -> DataFrame:
+    """``(pair_id, path)``: the ``k`` smallest loopless paths of each pair, by hops, then by sequence.
+
+    A class of paths is a way they all begin with and the nodes they don't go to next; its smallest
+    path is one search. Taking that path splits the rest of the class by the place where a path
+    leaves it. In a round every pair takes its shortest paths so far, and the searches for all
+    classes that come of it, of all pairs, are one loop, in which no path may get longer than
+    the pair's k-th so far. Each round takes one path of a pair at least, so there are k at most.
+    """
+    e, kind = cut(e), pairs.schema["src"].dataType
+    first = shortest_paths(pairs, e).where("reachable")
+    open_ = cut(first.select("pair_id", "dst", F.array("src").alias("start"), F.array().cast(T.ArrayType(kind)).alias("barred"), "path", F.lit(False).alias("taken")))
+    taken = open_.limit(0)
+    order = W.partitionBy("pair_id").orderBy(F.size("path"), "path")
+    while not open_.isEmpty():
+        least = open_.groupBy("pair_id").agg(F.min(F.size("path")).alias("least"))
+        now = cut(open_.join(least, "pair_id").where(F.size("path") == F.col("least")).drop("least"))
+        rest = open_.join(least, "pair_id").where(F.size("path") > F.col("least")).drop("least")
+        taken = cut(taken.unionByName(now.withColumn("taken", F.lit(True))))
+        leaves = now.select("pair_id", "dst", "start", "barred", "path", F.explode(F.sequence(F.size("start"), F.size("path") - 1)).alias("n")).select(
+            "pair_id", "dst", F.slice("path", F.lit(1), F.col("n")).alias("start"),
+            F.concat(F.when(F.col("n") == F.size("start"), F.col("barred")).otherwise(F.array().cast(T.ArrayType(kind))), F.array(F.get("path", F.col("n")))).alias("barred"),
+        )
+        leaves = cut(leaves.withColumn("key", F.struct("pair_id", "start")))
+        # a pair that knows k paths needs no longer ones
+        kth = taken.unionByName(rest).withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("pair_id", (F.size("path") - 1).alias("kth"))
+        most = leaves.join(kth, "pair_id").select(F.col("key").alias("pair_id"), (F.col("kth") - F.size("start") + 1).alias("most"))
+        asked = leaves.select(F.col("key").alias("pair_id"), F.element_at("start", -1).alias("src"), "dst")
+        blocked = leaves.select(F.col("key").alias("pair_id"), F.explode(F.slice("start", F.lit(1), F.size("start") - 1)).alias("id"))
+        barred = leaves.select(F.col("key").alias("pair_id"), F.element_at("start", -1).alias("src"), F.explode("barred").alias("dst"))
+        got = shortest_paths(asked, e, blocked=blocked, barred=barred, most=most).where("reachable").select(F.col("pair_id").alias("key"), F.col("path").alias("tail"))
+        new = leaves.join(got, "key").select("pair_id", "dst", "start", "barred", F.concat(F.slice("start", F.lit(1), F.size("start") - 1), "tail").alias("path"), F.lit(False).alias("taken"))
+        ranked = taken.unionByName(rest).unionByName(new).withColumn("r", F.row_number().over(order)).where((F.col("r") <= k) & ~F.col("taken"))
+        open_ = cut(ranked.drop("r"))
+    return taken.select("pair_id", "path")
+
+
 def _cyclic_pairs(near: DataFrame) -> DataFrame:
     """``(pair_id)`` of pairs whose edges can't all be trimmed away from their sources."""
     left = cut(near)
@@ -203,19 +186,17 @@ def suffix_dedup(paths: DataFrame) -> DataFrame:
     return one.join(longer, ["pair_id", "path"], "left_anti")
 
 
-def mandatory_waypoints(pairs: DataFrame, e: DataFrame, shortest: DataFrame | None = None, near: DataFrame | None = None) -> DataFrame:
-    """``(pair_id, waypoints)``: inner nodes on every path, in order of the shortest one; exact, by dominators."""
-    shortest = cut((shortest if shortest is not None else shortest_paths(pairs, e)).select("pair_id", "dst", "path"))
+def mandatory_waypoints(pairs: DataFrame, e: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """``(pair_id, waypoints)``: inner nodes on every path, in their order; exact, by dominators."""
     near = near if near is not None else relevant_subgraph(pairs, e)
     # pairs are independent graphs: nodes carry their pair
     node = lambda c: F.struct("pair_id", F.col(c).alias("n"))
     edges = near.select(node("src").alias("src"), node("dst").alias("dst"))
-    doms = dominators(edges, pairs.select(F.lit(0).alias("key"), node("src").alias("id")))
-    at_end = doms.join(pairs.select(node("dst").alias("id")), "id", "left_semi").select("id.pair_id", F.col("dom.n").alias("n"))
-    places = shortest.select("pair_id", F.posexplode("path").alias("pos", "n"), F.size("path").alias("len")).where("pos > 0 and pos < len - 1")
-    kept = places.join(at_end, ["pair_id", "n"], "left_semi").groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("w"))
+    doms = dominator_paths(edges, pairs.select(F.lit(0).alias("key"), node("src").alias("id")))
+    at_end = doms.join(pairs.select(node("dst").alias("id")), "id", "left_semi").select("id.pair_id", F.transform("path", lambda p: p.n).alias("p"))
+    inner = at_end.select("pair_id", F.slice("p", F.lit(2), F.greatest(F.size("p") - 2, F.lit(0))).alias("w"))
     none = F.array().cast(T.ArrayType(pairs.schema["src"].dataType))
-    return pairs.select("pair_id").join(kept, "pair_id", "left").select("pair_id", F.coalesce("w.n", none).alias("waypoints"))
+    return pairs.select("pair_id").join(inner, "pair_id", "left").select("pair_id", F.coalesce("w", none).alias("waypoints"))
 
 
 def common_nodes(paths: DataFrame) -> DataFrame:
@@ -284,7 +265,7 @@ def path_report(pairs: DataFrame, e: DataFrame, k: int = 30, rounds: int | None
     one = F.struct(F.size("representative").alias("n"), "via", "representative", "paths")
     groups = group_by_divergence(essential, shortest).groupBy("pair_id").agg(F.count("*").alias("n_groups"), F.array_sort(F.collect_list(one)).alias("g"))
     groups = groups.select("pair_id", "n_groups", F.transform("g", lambda g: F.struct(g.via.alias("via"), g.representative.alias("representative"), g.paths.alias("paths"))).alias("path_groups"))
-    way = cut(mandatory_waypoints(pairs, inside, shortest, near))
+    way = cut(mandatory_waypoints(pairs, inside, near))
     least = min_vertex_cut(pairs, inside, near=near, waypoints=way)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     joined = shortest.join(sizes, "pair_id", "left").join(groups, "pair_id", "left").join(way, "pair_id", "left").join(least, "pair_id", "left")
