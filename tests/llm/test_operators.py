@@ -57,6 +57,42 @@ def test_quality_counts(spark, odd_texts):
     assert Counter((r.id, r.n_words, r.word_chars, r.n_repeat_words) for r in got) == want
 
 
+def test_quality_bounds_follow_the_source(spark):
+    """Two sources of one language: one with symbols in two of five documents, one with hardly any."""
+    rnd = random.Random(3)
+    rows = []
+    for k in range(600):
+        source, most = ("plain", 0), ("code", 2)
+        source, often = source if k % 2 else most
+        words = ["w%d" % rnd.randrange(4000) + "x" * rnd.randrange(4) for _ in range(120)]
+        n = rnd.randrange(25, 40) if often and k // 2 % 5 < often else 0
+        words[:n] = ["|"] * n
+        rnd.shuffle(words)
+        rows.append((k, " ".join(words), "en", source))
+    odd = [(1000, "plain"), (1001, "code")]
+    for i, source in odd:
+        words = ["v%d" % k for k in range(120)] + ["|"] * 40
+        rnd.shuffle(words)
+        rows.append((i, " ".join(words), "en", source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured = quality.measures(df)
+    bounds = {r.source: r for r in quality.thresholds(quality.sketches(measured)).where("level = 0").collect()}
+    rules = {name: slack for name, slack, _ in quality.Rules().slack}
+    assert bounds["code"].high["symbol_rate"] > 1000 and bounds["plain"].high["symbol_rate"] == rules["symbol_rate"]
+    assert all(b.high["word_length"] - b.low["word_length"] > 2 * rules["word_length"] for b in bounds.values())
+    kept = {r.id: r.kept for r in quality.quality(df).collect()}
+    assert kept.pop(1000) is False and kept.pop(1001) and all(kept.values())
+
+
+def test_quality_sketch_is_close():
+    for v in [*range(300), 1000, 4095, 4096, 123_456, 10**9]:
+        shift = max(v.bit_length() - 7, 0)
+        b = 64 * shift + (v >> shift)
+        back = max(b // 64 - 1, 0)
+        least = (b - 64 * back) << back
+        assert least <= v and (v - least) * 64 <= v and (v >= 128 or least == v)
+
+
 def test_line_dedup(spark, odd_texts):
     got = {r.id: r.removed for r in lines.removed_lines(docs(spark, odd_texts)).collect()}
     rows = sorted({(i is not None, i or 0, k, line) for i, t in odd_texts for k, line in enumerate((t or "").split("\n"))})

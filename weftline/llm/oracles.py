@@ -33,18 +33,17 @@ _SIDES = " OR ".join(f"(measure = '{n}' AND (v > high{' OR v < low' if both else
 
 OP1 = rf"""
 WITH {_BASE},
-each AS (SELECT r, lang, source, base_failed, measure, v, 16 * greatest(length(bin(v)) - 5, 0) + (v >> greatest(length(bin(v)) - 5, 0)) AS bin
+each AS (SELECT r, lang, source, base_failed, measure, v, 64 * greatest(length(bin(v)) - 7, 0) + (v >> greatest(length(bin(v)) - 7, 0)) AS bin
          FROM (SELECT r, lang, source, base_failed, unnest(['word_length', 'symbol_rate', 'dup_line_rate', 'repeat_rate']) AS measure,
                       unnest([word_length, symbol_rate, dup_line_rate, repeat_rate])::BIGINT AS v FROM b)),
 sk AS (SELECT l AS level, CASE WHEN l < 2 THEN lang END AS lang, CASE WHEN l = 0 THEN source END AS source, measure, bin, count(*) AS n
        FROM each, (VALUES (0), (1), (2)) AS s(l) WHERE NOT base_failed GROUP BY ALL),
 run AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM sk),
-q AS (SELECT level, lang, source, measure, max(total) AS n, min(CASE WHEN 100 * upto >= 25 * total THEN bin END) AS b25, min(CASE WHEN 100 * upto >= 50 * total THEN bin END) AS b50
+q AS (SELECT level, lang, source, measure, max(total) AS n, min(CASE WHEN 100 * upto >= 20 * total THEN bin END) AS b20, min(CASE WHEN 100 * upto >= 50 * total THEN bin END) AS b50, min(CASE WHEN 100 * upto >= 80 * total THEN bin END) AS b80
       FROM run GROUP BY ALL),
-qv AS (SELECT level, lang, source, measure, n, (b25 - 16 * greatest(b25 // 16 - 1, 0)) << greatest(b25 // 16 - 1, 0)::INT AS quarter,
-              (b50 - 16 * greatest(b50 // 16 - 1, 0)) << greatest(b50 // 16 - 1, 0)::INT AS median FROM q),
+qv AS (SELECT level, lang, source, measure, n, (b20 - 64 * greatest(b20 // 64 - 1, 0)) << greatest(b20 // 64 - 1, 0)::INT AS lower_, (b50 - 64 * greatest(b50 // 64 - 1, 0)) << greatest(b50 // 64 - 1, 0)::INT AS median, (b80 - 64 * greatest(b80 // 64 - 1, 0)) << greatest(b80 // 64 - 1, 0)::INT AS upper_ FROM q),
 bo AS (SELECT level, lang, source, measure, n, median - reach AS low, median + reach AS high
-       FROM (SELECT *, greatest({_RULES.spread} * (median - quarter), CASE measure {_SLACK} END) AS reach FROM qv)),
+       FROM (SELECT *, greatest({_RULES.spread} * (upper_ - lower_), CASE measure {_SLACK} END) AS reach FROM qv)),
 pick AS (SELECT each.*, CASE WHEN g.n >= {_RULES.least_group} THEN 0 WHEN l.n >= {_RULES.least_group} THEN 1 ELSE 2 END AS lvl,
                 g.low AS g_low, g.high AS g_high, l.low AS l_low, l.high AS l_high, e.low AS e_low, e.high AS e_high
          FROM each LEFT JOIN bo g ON g.level = 0 AND g.measure = each.measure AND g.lang IS NOT DISTINCT FROM each.lang AND g.source IS NOT DISTINCT FROM each.source

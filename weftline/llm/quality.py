@@ -1,10 +1,12 @@
 """Quality rules with thresholds that follow each language and source.
 
 Every document gets integer measures. Their distribution over each (language, source) is kept as a
-mergeable quantile sketch: counts in log-linear bins, 16 to a doubling, so that a quantile is exact
-below 32 and off by at most a sixteenth above. Sketches of small groups are too thin to judge by;
-those groups use the merged sketch of their language, or of everything. A document is rejected if a
-measure lies far outside the middle of its group.
+mergeable quantile sketch: counts in log-linear bins, 64 to a doubling, so that a quantile is exact
+below 128 and off by at most a 64th above. Sketches of small groups are too thin to judge by; those
+groups use the merged sketch of their language, or of everything. A document is rejected if a
+measure lies several times as far from the median of its group as the middle three fifths of the
+group are wide. What is usual in a source is so taken from the source: where two in five documents
+have many symbols, many symbols are kept.
 """
 
 from __future__ import annotations
@@ -24,18 +26,19 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rules:
-    """Fixed rules of the base, and how far from its group's median a measure may lie:
-    ``spread`` times the distance from the lower quartile to the median, ``slack`` at least."""
+    """Fixed rules of the base, and how far from its group's median a measure may lie: ``spread``
+    times the width of its middle three fifths. ``slack`` is a floor for groups in which a measure
+    hardly varies, as one that is zero in most documents."""
 
     least_words: int = 50
     most_repeated_percent: int = 50
     least_group: int = 200
     #: groups whose bounds may be broadcast; more of them are joined by a shuffle
     most_broadcast: int = 50_000
-    spread: int = 8
+    spread: int = 6
     #: measure: (slack, whether it may also be too low)
     slack: tuple[tuple[str, int, bool], ...] = (
-        ("word_length", 150, True),
+        ("word_length", 50, True),
         ("symbol_rate", 100, False),
         ("dup_line_rate", 350, False),
         ("repeat_rate", 350, False),
@@ -114,13 +117,13 @@ def _rates() -> dict[str, Column]:
 
 
 def _bin(v: Column) -> Column:
-    shift = F.greatest(F.length(F.bin(v)) - 5, F.lit(0))
-    return (16 * shift + F.call_function("shiftright", v, shift)).cast("int")
+    shift = F.greatest(F.length(F.bin(v)) - 7, F.lit(0))
+    return (64 * shift + F.call_function("shiftright", v, shift)).cast("int")
 
 
 def _least_of_bin(b: Column) -> Column:
-    shift = F.greatest(F.floor(b / 16) - 1, F.lit(0)).cast("int")
-    return F.call_function("shiftleft", (b - 16 * shift).cast("long"), shift)
+    shift = F.greatest(F.floor(b / 64) - 1, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", (b - 64 * shift).cast("long"), shift)
 
 
 def sketches(measured: DataFrame, rules: Rules | None = None) -> DataFrame:
@@ -146,9 +149,9 @@ def thresholds(sketched: DataFrame, rules: Rules | None = None) -> DataFrame:
     merged = sketched.groupBy(*key, "bin").agg(F.sum("n").alias("n"))
     run = merged.select(*key, "bin", F.sum("n").over(W.partitionBy(*key).orderBy("bin")).alias("upto"), F.sum("n").over(W.partitionBy(*key)).alias("all"))
     at = lambda percent: _least_of_bin(F.min(F.when(100 * F.col("upto") >= percent * F.col("all"), F.col("bin"))))
-    middle = run.groupBy(*key).agg(F.max("all").alias("n"), at(25).alias("quarter"), at(50).alias("median"))
+    middle = run.groupBy(*key).agg(F.max("all").alias("n"), at(20).alias("low"), at(50).alias("median"), at(80).alias("high"))
     slack = F.create_map(*(x for name, s, _ in rules.slack for x in (F.lit(name), F.lit(s).cast("long"))))
-    reach = F.greatest(rules.spread * (F.col("median") - F.col("quarter")), F.element_at(slack, F.col("measure")))
+    reach = F.greatest(rules.spread * (F.col("high") - F.col("low")), F.element_at(slack, F.col("measure")))
     return middle.groupBy("level", "lang", "source").agg(
         F.max("n").alias("n"),
         F.map_from_entries(F.collect_list(F.struct("measure", (F.col("median") - reach).alias("v")))).alias("low"),
