@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.functions.lineage import cut
 
-#: Graphs of which only local facts are asked take all rows. X2 and X3A are what the loops and closures run on: there the
-#: larger quantities alone make links, as otherwise most parts lead to most others.
+#: X1, X2_ALL, X3_ALL and X4 take all rows. X2 and X3A are for routes, removals and counts of sparse graphs, whose SQL lists
+#: ways or tries each node: there the larger quantities alone make links, as otherwise most parts lead to most others.
 X1 = """
 WITH li AS (SELECT l_orderkey, l_partkey, l_suppkey FROM lineitem)
 SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM li)
@@ -27,9 +27,9 @@ _LINKS = "SELECT greatest(a, b) AS src, least(a, b) AS dst FROM ({next}) t WHERE
 X2 = _LINKS.format(next=_NEXT.format(where=" WHERE l_quantity >= 40"))
 X2_ALL = _LINKS.format(next=_NEXT.format(where=""))
 _TURNS = "SELECT a AS src, b AS dst FROM ({next}) t WHERE b IS NOT NULL"
-#: The first has few and small components, the second has one that holds most nodes.
+#: The first has few and small components; in that of all rows one holds most nodes.
 X3A = _TURNS.format(next=_NEXT.format(where=" WHERE l_quantity >= 45"))
-X3B = _TURNS.format(next=_NEXT.format(where=" WHERE l_quantity >= 40"))
+X3_ALL = _TURNS.format(next=_NEXT.format(where=""))
 _DOT_LINES = """
 WITH e AS ({links}),
 lab AS (SELECT p_partkey AS k, CASE
@@ -40,7 +40,7 @@ lab AS (SELECT p_partkey AS k, CASE
 SELECT CASE WHEN s.k % 3 = 0 THEN chr(9) ELSE '  ' END || '"' || s.id || '" -> "' || d.id || '"' AS value
 FROM e JOIN lab s ON s.k = e.src JOIN lab d ON d.k = e.dst
 """
-X4, X4_SPARSE = _DOT_LINES.format(links=X2_ALL), _DOT_LINES.format(links=X2)
+X4 = _DOT_LINES.format(links=X2_ALL)
 #: Nodes with the most distinct dependencies, and those most depended on; every such pair.
 PAIRS = """
 WITH x AS (SELECT DISTINCT src, dst FROM ({x2}) g),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.functions.ids import DEFAULT_EXCLUDES, SOURCE_ENDINGS
-from weftline.jobs.graphs import PAIRS, X1, X2, X2_ALL, X3A, X3B, X4, X4_SPARSE
+from weftline.jobs.graphs import PAIRS, X1, X2, X2_ALL, X3_ALL, X3A, X4
 
 _V = "v AS (SELECT DISTINCT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e))"
 _D = "d AS (SELECT DISTINCT src, dst FROM e)"
@@ -120,7 +120,7 @@ SELECT id, id AS label, {_PACKAGE.format('id')} AS package FROM v""",
     "f4_short_label": f"""WITH {_DOT} SELECT id, regexp_replace(id, '^//', '') AS plain, {_SEARCH} AS search,
 CASE WHEN length({_SEARCH}) > 40 AND len(string_split({_SEARCH}, '/')) > 2 THEN '.../' || array_to_string(string_split({_SEARCH}, '/')[-2:], '/') ELSE {_SEARCH} END AS canvas,
 string_split(string_split(regexp_replace(id, '^//', ''), '/')[-1], ':')[-1] AS tag FROM n""",
-    "f5_filter_nodes": _with(X2, _M, then="""SELECT 'all' AS mode, id FROM m UNION ALL SELECT 'roots', id FROM m WHERE is_root UNION ALL SELECT 'leaves', id FROM m WHERE is_leaf
+    "f5_filter_nodes": _with(X1, _M, then="""SELECT 'all' AS mode, id FROM m UNION ALL SELECT 'roots', id FROM m WHERE is_root UNION ALL SELECT 'leaves', id FROM m WHERE is_leaf
 UNION ALL SELECT 'bridges', id FROM m WHERE is_bridge UNION ALL SELECT 'unique', id FROM m WHERE unique_parent IS NOT NULL"""),
     "f6_search_nodes": f"WITH {_DOT} SELECT id FROM n WHERE contains(lower(id), 'economy/brand1')",
     "f7_node_kind": f"""WITH {_DOT}, {_DEG}, {_ART} SELECT id,
@@ -133,36 +133,38 @@ CASE WHEN in_degree = 0 THEN 'root' WHEN out_degree = 0 THEN 'leaf' WHEN starts_
     "a4_bridge_edges": _with(X1, _V, _DEG, then="SELECT src, dst FROM e JOIN deg ON deg.id = dst WHERE in_degree = 1"),
     "a5_articulation_nodes": _with(X1, _V, _DEG, _ART, then="SELECT id FROM art"),
     "a6_package_stats": f"WITH {_DOT} SELECT n.package, count(DISTINCT n.id) AS node_count, coalesce((SELECT count(*) FROM e JOIN n s ON s.id = e.src WHERE s.package = n.package), 0) AS edge_count FROM n GROUP BY n.package",
-    "a7_overview": _with(X2, _M, _PT, then="""SELECT n_nodes, n_edges, greatest(0, n_nodes - 1) AS total_deps, n_phases, max_parallel, CASE WHEN max_parallel > 50 THEN 'good' WHEN max_parallel > 10 THEN 'ok' ELSE 'bad' END AS parallel_status,
+    "a7_overview": _with(X1, _M, _PT, then="""SELECT n_nodes, n_edges, greatest(0, n_nodes - 1) AS total_deps, n_phases, max_parallel, CASE WHEN max_parallel > 50 THEN 'good' WHEN max_parallel > 10 THEN 'ok' ELSE 'bad' END AS parallel_status,
 n_bottlenecks, CASE WHEN n_bottlenecks = 0 THEN 'good' ELSE 'bad' END AS bottleneck_status, chain_nodes, CASE WHEN chain_nodes < 20 THEN 'good' WHEN chain_nodes < 50 THEN 'ok' ELSE 'bad' END AS chain_status, n_bridge_edges
 FROM (SELECT (SELECT count(*) FROM v) AS n_nodes, (SELECT count(*) FROM e) AS n_edges, (SELECT count(*) FROM bn) AS n_phases, (SELECT max(n_nodes) FROM bn) AS max_parallel, (SELECT count(*) FROM bn WHERE is_bottleneck) AS n_bottlenecks,
 (SELECT CASE WHEN max(depth) > 0 THEN max(depth) + 1 ELSE 0 END::BIGINT FROM dep) AS chain_nodes, (SELECT count(*) FROM e JOIN deg ON deg.id = dst WHERE in_degree = 1) AS n_bridge_edges)"""),
-    "a8_heaviest": _with(X2, _V, _D, _CLO, _TRANS, then="SELECT id, transitive_dep_count, 100.0::DOUBLE * transitive_dep_count / greatest((SELECT max(transitive_dep_count) FROM tr), 1) AS pct FROM tr ORDER BY transitive_dep_count DESC, id LIMIT 20"),
+    "a8_heaviest": _with(X1, _V, _D, _CLO, _TRANS, then="SELECT id, transitive_dep_count, 100.0::DOUBLE * transitive_dep_count / greatest((SELECT max(transitive_dep_count) FROM tr), 1) AS pct FROM tr ORDER BY transitive_dep_count DESC, id LIMIT 20"),
     "a9_pulled_in_by": _with(X2_ALL, _V, _DEG, "t AS (SELECT id FROM deg ORDER BY in_degree DESC, id LIMIT 50)", then="SELECT t.id, coalesce(array_to_string((list(src ORDER BY src) FILTER (src IS NOT NULL))[1:3], ', '), '') AS parents, greatest(count(src) - 3, 0) AS more FROM t LEFT JOIN e ON e.dst = t.id GROUP BY t.id"),
-    "a10_phase_table": _with(X2, _V, _D, _PHASE, then="SELECT build_phase AS phase, count(*) OVER (PARTITION BY build_phase) AS n_nodes, id FROM ph"),
-    "a11_phase_bottlenecks": _with(X2, _V, _D, _PHASE, _PT, then="SELECT * FROM bn"),
-    "a12_phase_timeline": _with(X2, _V, _D, _PHASE, _PT, then="SELECT phase, n_nodes, 100.0::DOUBLE * n_nodes / max(n_nodes) OVER () AS bar_pct, count(*) OVER () AS n_phases, max(n_nodes) OVER () AS max_parallel, (count(*) FILTER (is_bottleneck) OVER ())::BIGINT AS n_bottlenecks FROM bn"),
-    "g1_scc": _with(X3A, _V, _D, _CLO, _SCC, then="SELECT * FROM scc"),
-    "g2_condense": _with(X3A, _V, _D, _CLO, _SCC, then="SELECT * FROM con"),
-    "g3_topo_levels": _with(X2, _V, _D, _DEPTH, then="SELECT id, depth AS level FROM dep"),
-    "g4_depth": _with(X2, _V, _D, _DEPTH, then="SELECT id, depth FROM dep"),
-    "g5_build_phase": _with(X3A, _V, _D, _CLO, _SCC, "cp(id, l) AS (SELECT DISTINCT scc_id, 0 FROM scc WHERE scc_id NOT IN (SELECT src FROM con) UNION SELECT con.src, l + 1 FROM cp JOIN con ON con.dst = cp.id)", then="SELECT scc.id, max(l)::INT AS build_phase FROM scc JOIN cp ON cp.id = scc_id GROUP BY scc.id"),
+    "a10_phase_table": _with(X1, _V, _D, _PHASE, then="SELECT build_phase AS phase, count(*) OVER (PARTITION BY build_phase) AS n_nodes, id FROM ph"),
+    "a11_phase_bottlenecks": _with(X1, _V, _D, _PHASE, _PT, then="SELECT * FROM bn"),
+    "a12_phase_timeline": _with(X1, _V, _D, _PHASE, _PT, then="SELECT phase, n_nodes, 100.0::DOUBLE * n_nodes / max(n_nodes) OVER () AS bar_pct, count(*) OVER () AS n_phases, max(n_nodes) OVER () AS max_parallel, (count(*) FILTER (is_bottleneck) OVER ())::BIGINT AS n_bottlenecks FROM bn"),
+    "g1_scc": _with(X3_ALL, _V, _D, _CLO, _SCC, then="SELECT * FROM scc"),
+    "g2_condense": _with(X3_ALL, _V, _D, _CLO, _SCC, then="SELECT * FROM con"),
+    "g3_topo_levels": _with(X1, _V, _D, _DEPTH, then="SELECT id, depth AS level FROM dep"),
+    "g4_depth": _with(X1, _V, _D, _DEPTH, then="SELECT id, depth FROM dep"),
+    "g5_build_phase": _with(X3_ALL, _V, _D, _CLO, _SCC, "cp(id, l) AS (SELECT DISTINCT scc_id, 0 FROM scc WHERE scc_id NOT IN (SELECT src FROM con) UNION SELECT con.src, l + 1 FROM cp JOIN con ON con.dst = cp.id)", then="SELECT scc.id, max(l)::INT AS build_phase FROM scc JOIN cp ON cp.id = scc_id GROUP BY scc.id"),
     "g6_transitive_dep_count": _with(X3A, _V, _D, _CLO, _TRANS, then="SELECT * FROM tr"),
-    "g1_scc_large": _with(X3B, _V, _D, _CLO, _SCC, then="SELECT * FROM scc"),
-    "g6_transitive_dep_count_large": _with(X3B, _V, _D, _CLO, _TRANS, then="SELECT * FROM tr"),
-    "g7_closure": _with(X2, _D, _CLO, then="SELECT * FROM clo WHERE src <> dst"),
-    "g8_critical_chain": _with(X2, _V, _D, _DEPTH, """par AS (SELECT d.dst, min(d.src) AS src FROM d JOIN dep a ON a.id = d.src JOIN dep b ON b.id = d.dst WHERE a.depth = b.depth - 1 GROUP BY d.dst),
+    "g1_scc_small": _with(X3A, _V, _D, _CLO, _SCC, then="SELECT * FROM scc"),
+    "g3_topo_levels_deep": _with(X2_ALL, _V, _D, _DEPTH, then="SELECT id, depth AS level FROM dep"),
+    "g6_transitive_dep_count_large": _with(X3_ALL, _V, _D, _CLO, _TRANS, then="SELECT * FROM tr"),
+    "g7_closure": _with(X1, _D, _CLO, then="SELECT * FROM clo WHERE src <> dst"),
+    "g8_critical_chain": _with(X1, _V, _D, _DEPTH, """par AS (SELECT d.dst, min(d.src) AS src FROM d JOIN dep a ON a.id = d.src JOIN dep b ON b.id = d.dst WHERE a.depth = b.depth - 1 GROUP BY d.dst),
 ch(id, k) AS ((SELECT id, depth FROM dep WHERE depth > 0 ORDER BY depth DESC, id LIMIT 1) UNION ALL SELECT par.src, k - 1 FROM ch JOIN par ON par.dst = ch.id)""", then="SELECT k::INT AS position, id FROM ch"),
-    "g9_reachable_from_roots": _with(X3A, _V, _D, _CLO, then="SELECT id FROM v WHERE id NOT IN (SELECT dst FROM e) UNION SELECT dst FROM clo WHERE src NOT IN (SELECT dst FROM e)"),
-    "g10_dependencies": _with(X2, _V, _D, _DEG, _CLO, "t AS (SELECT id FROM deg ORDER BY out_degree DESC, id LIMIT 20)", then="SELECT t.id AS start, d.src, d.dst FROM t JOIN d ON d.src = t.id OR (t.id, d.src) IN (SELECT src, dst FROM clo)"),
+    "g9_reachable_from_roots": _with(X3_ALL, _V, _D, _CLO, then="SELECT id FROM v WHERE id NOT IN (SELECT dst FROM e) UNION SELECT dst FROM clo WHERE src NOT IN (SELECT dst FROM e)"),
+    "g10_dependencies": _with(X1, _V, _D, _DEG, _CLO, "t AS (SELECT id FROM deg ORDER BY out_degree DESC, id LIMIT 20)", then="SELECT t.id AS start, d.src, d.dst FROM t JOIN d ON d.src = t.id OR (t.id, d.src) IN (SELECT src, dst FROM clo)"),
+    "g10_reverse_dependencies": _with(X1, _V, _D, _DEG, "t AS (SELECT id FROM deg WHERE out_degree > 0 ORDER BY in_degree DESC, id LIMIT 20)", "up(start, id) AS (SELECT id, id FROM t UNION SELECT up.start, d.src FROM up JOIN d ON d.dst = up.id)", then="SELECT up.start, d.src, d.dst FROM up JOIN d ON d.dst = up.id"),
     "g11_removal_impact": _with(X2, _V, _D, _CLO, _REMOVED.format(where="WHERE id IN (SELECT src FROM e) AND id IN (SELECT dst FROM e)"), then="SELECT x AS id, savings - 1 AS orphaned_count, savings, 100.0::DOUBLE * savings / (SELECT count(*) FROM base) AS savings_pct FROM sav WHERE savings > 0"),
     "g11_removal_impact_cyclic": _with(X3A, _V, _D, _CLO, _REMOVED.format(where="WHERE id IN (SELECT src FROM e) AND id IN (SELECT dst FROM e)"), then="SELECT x AS id, savings - 1 AS orphaned_count, savings, 100.0::DOUBLE * savings / (SELECT count(*) FROM base) AS savings_pct FROM sav WHERE savings > 0"),
     "g12_simulate_removal": _with(X2, _V, _D, _CLO, _REMOVED.format(where=""), then="""SELECT sav.x AS removed_id, greatest(savings - 1, 0) AS orphaned_count,
 (SELECT count(*) FROM e WHERE src = sav.x OR dst = sav.x) AS affected_edges, (SELECT count(*) FROM base) AS deps_before, (SELECT count(*) FROM base) - savings AS deps_after, savings, 100.0::DOUBLE * savings / (SELECT count(*) FROM base) AS savings_pct FROM sav"""),
     "g12_orphans": _with(X2, _V, _D, _CLO, _REMOVED.format(where=""), then="""SELECT x AS removed_id, b.id FROM cand JOIN base b ON b.id <> x
 WHERE (x = b.id OR x IN (SELECT src FROM clo WHERE dst = b.id)) AND (x, b.id) NOT IN (SELECT x, id FROM rr)"""),
-    "g13_rank_roots": _with(X2, _V, _D, _CLO, _TRANS, then="SELECT id, transitive_dep_count + 1 AS reach, row_number() OVER (ORDER BY transitive_dep_count DESC, id) AS rank, row_number() OVER (ORDER BY transitive_dep_count DESC, id) = 1 AS is_main FROM tr WHERE id NOT IN (SELECT dst FROM e)"),
-    "g14_highlight": _with(X2, _V, _D, _PHASE, then="SELECT src, dst FROM d WHERE src IN (SELECT id FROM ph WHERE build_phase >= 8) OR dst IN (SELECT id FROM ph WHERE build_phase >= 8)"),
+    "g13_rank_roots": _with(X1, _V, _D, _CLO, _TRANS, then="SELECT id, transitive_dep_count + 1 AS reach, row_number() OVER (ORDER BY transitive_dep_count DESC, id) AS rank, row_number() OVER (ORDER BY transitive_dep_count DESC, id) = 1 AS is_main FROM tr WHERE id NOT IN (SELECT dst FROM e)"),
+    "g14_highlight": _with(X1, _V, _D, _PHASE, then="SELECT src, dst FROM d WHERE src IN (SELECT id FROM ph WHERE build_phase >= 4) OR dst IN (SELECT id FROM ph WHERE build_phase >= 4)"),
     "p0_relevant_subgraph": _routes("SELECT * FROM near"),
     "p1_shortest_path": _routes(f"SELECT pair_id, src, dst, reachable, {_TEXT.format('path')} AS path FROM sp"),
     "p2_k_shortest_paths": _routes(f"SELECT pair_id, rank::INT AS rank, {_TEXT.format('path')} AS path, hops::INT AS hops FROM top"),
@@ -179,10 +181,11 @@ FROM sp JOIN way ON way.pair_id = sp.pair_id JOIN cut ON cut.pair_id = sp.pair_i
 CASE WHEN is_from THEN 'from' WHEN is_to THEN 'to' WHEN is_cut THEN 'cut' WHEN on_all THEN 'all' WHEN is_unique_part THEN 'unique' ELSE '' END AS tag
 FROM (SELECT t.pair_id, t.rank::INT AS path_no, (k - 1)::INT AS pos, t.path[k] AS id, k = 1 AS is_from, k = len(t.path) AS is_to, coalesce(list_contains(w, t.path[k]), false) AS on_all, coalesce(list_contains(c, t.path[k]), false) AS is_cut, NOT list_contains(sp.path, t.path[k]) AS is_unique_part
   FROM (SELECT *, unnest(range(1, len(path) + 1)) AS k FROM top) t JOIN sp ON sp.pair_id = t.pair_id JOIN way ON way.pair_id = t.pair_id JOIN cut ON cut.pair_id = t.pair_id)"""),
+    "p10_path_edges": _routes("SELECT DISTINCT pair_id, path[k] AS src, path[k + 1] AS dst FROM (SELECT *, unnest(range(1, len(path))) AS k FROM top)"),
     "p11_path_dag": _routes("""SELECT x.pair_id, x.id, coalesce(c.n, 0) AS n_children, count(*) AS path_count, coalesce(c.n, 0) > 1 AS is_branch, coalesce(p.n, 0) > 1 AS is_merge
 FROM (SELECT pair_id, unnest(path) AS id FROM full_) x LEFT JOIN (SELECT pair_id, src AS id, count(*) AS n FROM near GROUP BY 1, 2) c ON c.pair_id = x.pair_id AND c.id = x.id
 LEFT JOIN (SELECT pair_id, dst AS id, count(*) AS n FROM near GROUP BY 1, 2) p ON p.pair_id = x.pair_id AND p.id = x.id GROUP BY x.pair_id, x.id, c.n, p.n"""),
-    "q1_default_suggestions": _with(X2, _M, then="SELECT id, is_root, transitive_dep_count FROM m ORDER BY is_root DESC, transitive_dep_count DESC, id LIMIT 30"),
+    "q1_default_suggestions": _with(X1, _M, then="SELECT id, is_root, transitive_dep_count FROM m ORDER BY is_root DESC, transitive_dep_count DESC, id LIMIT 30"),
     "q4_merge_ranges": """WITH s AS (SELECT l_orderkey, l_partkey::INT % 40 AS s, l_partkey::INT % 40 + l_quantity::INT % 9 + 1 AS e FROM lineitem),
 o AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
 g AS (SELECT *, sum(CASE WHEN before >= s THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o),
@@ -195,12 +198,11 @@ _LAYOUT = f"""a AS (SELECT id, build_phase AS layer, {_PLACE.format('build_phase
 lay AS (SELECT 'phases' AS kind, id, layer, 1200.0::DOUBLE / (n + 1) * (i + 1) AS x, 800.0::DOUBLE - 800.0::DOUBLE / (most + 2) * (layer + 1) AS y FROM a
 UNION ALL SELECT 'hierarchical', id, layer, 1200.0::DOUBLE / (n + 1) * (i + 1), 800.0::DOUBLE / (most + 2) * (layer + 1) FROM b
 UNION ALL SELECT 'radial', id, layer, 600 + 800.0::DOUBLE / (2 * (most + 2)) * (layer + 1) * cos(2 * pi() * i / n), 400 + 800.0::DOUBLE / (2 * (most + 2)) * (layer + 1) * sin(2 * pi() * i / n) FROM b)"""
-ORACLES["l1_layered_layout"] = _with(X2, _M, _LAYOUT, then="SELECT kind, id, layer, round(x, 6) AS x, round(y, 6) AS y FROM lay")
-ORACLES["l2_layer_bounds"] = _with(X2, _M, _LAYOUT, then="""SELECT layer, count(*) AS n, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y, round((SELECT min(x) FROM lay WHERE kind = 'phases'), 6) AS all_min_x, round((SELECT max(x) FROM lay WHERE kind = 'phases'), 6) AS all_max_x,
+ORACLES["l1_layered_layout"] = _with(X1, _M, _LAYOUT, then="SELECT kind, id, layer, round(x, 6) AS x, round(y, 6) AS y FROM lay")
+ORACLES["l2_layer_bounds"] = _with(X1, _M, _LAYOUT, then="""SELECT layer, count(*) AS n, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y, round((SELECT min(x) FROM lay WHERE kind = 'phases'), 6) AS all_min_x, round((SELECT max(x) FROM lay WHERE kind = 'phases'), 6) AS all_max_x,
 round((SELECT min(y) FROM lay WHERE kind = 'phases'), 6) AS all_min_y, round((SELECT max(y) FROM lay WHERE kind = 'phases'), 6) AS all_max_y FROM lay WHERE kind = 'phases' GROUP BY layer""")
 
 # scores: words are taken one after the other; a state is where to go on, what counts so far and the ranges as text
-_SPARSE = _LINES.replace(X4, X4_SPARSE)
 _SCORES = rf"""{_V}, n AS (SELECT id, {_PACKAGE.format('id')} AS package FROM v), {_D}, {_DEG}, {_CLO}, {_TRANS},
 lab AS (SELECT id, in_degree, transitive_dep_count, lower({_SEARCH}) AS label, regexp_extract_all(lower({_SEARCH}), '[^/\-_:.@]+') AS parts FROM deg JOIN tr USING (id)),
 placed AS (SELECT *, list_filter(range(1, length(label) + 1), lambda i: NOT contains('/-_:.@', label[i]) AND (i = 1 OR contains('/-_:.@', label[i - 1]))) AS begins FROM lab),
@@ -217,5 +219,13 @@ sc AS (SELECT query, st.id, score + CASE WHEN starts = len(words) THEN 30 ELSE 0
     + list_sum(list_transform(words, lambda t: CASE WHEN starts_with(parts[-1], t) THEN 25 WHEN contains(parts[-1], t) THEN 10 ELSE 0 END))
     + least(10, 0.5::DOUBLE * in_degree) + least(5, 0.01::DOUBLE * transitive_dep_count) + CASE WHEN in_degree = 0 THEN 8 ELSE 0 END AS score, '[' || ranges || ']' AS ranges
   FROM st JOIN w USING (query) JOIN placed ON placed.id = st.id WHERE k = len(words))""".replace("{{", "{").replace("}}", "}")
-ORACLES["q2_score_match"] = f"WITH RECURSIVE {_SPARSE}, {_SCORES} SELECT query, id, score, ranges FROM sc"
-ORACLES["q3_search_topk"] = f"WITH RECURSIVE {_SPARSE}, {_SCORES} SELECT query, rank, id, score, ranges FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank FROM sc) WHERE rank <= 30"
+ORACLES["q2_score_match"] = f"WITH RECURSIVE {_LINES}, {_SCORES} SELECT query, id, score, ranges FROM sc"
+ORACLES["q3_search_topk"] = f"WITH RECURSIVE {_LINES}, {_SCORES} SELECT query, rank, id, score, ranges FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id)::INT AS rank FROM sc) WHERE rank <= 30"
+
+ORACLES["g14_highlight_kinds"] = _with(X2, _ROUTES, _V, _DEG, _REMOVED.format(where=""), """x AS (SELECT x FROM sav ORDER BY savings DESC, x LIMIT 1),
+gone AS (SELECT x AS id FROM x UNION SELECT b.id FROM x JOIN base b ON b.id <> x.x WHERE (x.x = b.id OR x.x IN (SELECT src FROM clo WHERE dst = b.id)) AND (x.x, b.id) NOT IN (SELECT x, id FROM rr)),
+he AS (SELECT DISTINCT 'bridges' AS kind, src, dst FROM e JOIN deg ON deg.id = dst WHERE in_degree = 1
+  UNION ALL SELECT 'removal', src, dst FROM d WHERE src IN (SELECT id FROM gone) OR dst IN (SELECT id FROM gone)
+  UNION ALL SELECT DISTINCT 'path', path[k], path[k + 1] FROM (SELECT *, unnest(range(1, len(path))) AS k FROM sp)),
+hn AS (SELECT DISTINCT kind, id FROM (SELECT kind, src AS id FROM he WHERE kind <> 'removal' UNION ALL SELECT kind, dst FROM he WHERE kind <> 'removal' UNION ALL SELECT 'removal', id FROM gone))""",
+    then="SELECT * FROM he UNION ALL SELECT kind, id, NULL FROM hn")

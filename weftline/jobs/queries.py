@@ -39,7 +39,7 @@ def _dot(spark: SparkSession, sf_dir: str, lines: str = graphs.X4) -> g.Graph:
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(metrics.node_metrics(*graphs.graph(spark, sf_dir, graphs.X2)))
+    return cut(metrics.node_metrics(*graphs.graph(spark, sf_dir, graphs.X1)))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +47,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.phase_table(fixpoint.build_phase(*graphs.graph(spark, sf_dir, graphs.X2)))
+    return metrics.phase_table(fixpoint.build_phase(*graphs.graph(spark, sf_dir, graphs.X1)))
 
 
 @query
@@ -174,7 +174,7 @@ def a6_package_stats(spark, sf_dir):
 
 @query
 def a7_overview(spark, sf_dir):
-    v, e = graphs.graph(spark, sf_dir, graphs.X2)
+    v, e = graphs.graph(spark, sf_dir, graphs.X1)
     parts = cut(fixpoint.scc(v, e))
     m = cut(fixpoint.depth(v, e, parts).join(fixpoint.build_phase(v, e, parts), "id"))
     return metrics.overview(e, m, metrics.phase_bottlenecks(metrics.phase_table(m)), g.bridge_edges(e))
@@ -182,7 +182,7 @@ def a7_overview(spark, sf_dir):
 
 @query
 def a8_heaviest(spark, sf_dir):
-    return metrics.heaviest(fixpoint.transitive_dep_count(*graphs.graph(spark, sf_dir, graphs.X2)))
+    return metrics.heaviest(fixpoint.transitive_dep_count(*graphs.graph(spark, sf_dir, graphs.X1)))
 
 
 @query
@@ -193,7 +193,7 @@ def a9_pulled_in_by(spark, sf_dir):
 
 @query
 def a10_phase_table(spark, sf_dir):
-    phases = fixpoint.build_phase(*graphs.graph(spark, sf_dir, graphs.X2))
+    phases = fixpoint.build_phase(*graphs.graph(spark, sf_dir, graphs.X1))
     return metrics.phase_table(cut(phases), with_nodes=True)
 
 
@@ -209,28 +209,28 @@ def a12_phase_timeline(spark, sf_dir):
 
 @query
 def g1_scc(spark, sf_dir):
-    return fixpoint.scc(*graphs.graph(spark, sf_dir, graphs.X3A))
+    return fixpoint.scc(*graphs.graph(spark, sf_dir, graphs.X3_ALL))
 
 
 @query
 def g2_condense(spark, sf_dir):
-    v, e = graphs.graph(spark, sf_dir, graphs.X3A)
+    v, e = graphs.graph(spark, sf_dir, graphs.X3_ALL)
     return fixpoint.condense(e, fixpoint.scc(v, e))
 
 
 @query
 def g3_topo_levels(spark, sf_dir):
-    return fixpoint.topo_levels(*graphs.graph(spark, sf_dir, graphs.X2))
+    return fixpoint.topo_levels(*graphs.graph(spark, sf_dir, graphs.X1))
 
 
 @query
 def g4_depth(spark, sf_dir):
-    return fixpoint.depth(*graphs.graph(spark, sf_dir, graphs.X2))
+    return fixpoint.depth(*graphs.graph(spark, sf_dir, graphs.X1))
 
 
 @query
 def g5_build_phase(spark, sf_dir):
-    return fixpoint.build_phase(*graphs.graph(spark, sf_dir, graphs.X3A))
+    return fixpoint.build_phase(*graphs.graph(spark, sf_dir, graphs.X3_ALL))
 
 
 @query
@@ -239,13 +239,18 @@ def g6_transitive_dep_count(spark, sf_dir):
 
 
 @query
-def g1_scc_large(spark, sf_dir):
-    return fixpoint.scc(*graphs.graph(spark, sf_dir, graphs.X3B))
+def g1_scc_small(spark, sf_dir):
+    return fixpoint.scc(*graphs.graph(spark, sf_dir, graphs.X3A))
+
+
+@query
+def g3_topo_levels_deep(spark, sf_dir):
+    return fixpoint.topo_levels(*graphs.graph(spark, sf_dir, graphs.X2_ALL))
 
 
 @query
 def g6_transitive_dep_count_large(spark, sf_dir):
-    return fixpoint.transitive_dep_count(*graphs.graph(spark, sf_dir, graphs.X3B))
+    return fixpoint.transitive_dep_count(*graphs.graph(spark, sf_dir, graphs.X3_ALL))
 
 
 @query
@@ -256,27 +261,34 @@ def g6_approx_dep_count(spark, sf_dir):
 
 @query
 def g7_closure(spark, sf_dir):
-    return fixpoint.closure(graphs.table(spark, sf_dir, graphs.X2))
+    return fixpoint.closure(graphs.table(spark, sf_dir, graphs.X1))
 
 
 @query
 def g8_critical_chain(spark, sf_dir):
-    v, e = graphs.graph(spark, sf_dir, graphs.X2)
+    v, e = graphs.graph(spark, sf_dir, graphs.X1)
     return fixpoint.critical_chain(e, cut(fixpoint.depth(v, e)))
 
 
 @query
 def g9_reachable_from_roots(spark, sf_dir):
-    return fixpoint.reachable_from_roots(*graphs.graph(spark, sf_dir, graphs.X3A))
+    return fixpoint.reachable_from_roots(*graphs.graph(spark, sf_dir, graphs.X3_ALL))
 
 
 @query
 def g10_dependencies(spark, sf_dir):
-    v, e = graphs.graph(spark, sf_dir, graphs.X2)
+    v, e = graphs.graph(spark, sf_dir, graphs.X1)
     top = cut(metrics.sort_nodes(g.degrees(v, e), "out_degree", 20))
     return fixpoint.dependencies(e, top)[1]
 
 
+@query
+def g10_reverse_dependencies(spark, sf_dir):
+    v, e = graphs.graph(spark, sf_dir, graphs.X1)
+    top = cut(metrics.sort_nodes(g.degrees(v, e).where("out_degree > 0"), "in_degree", 20))
+    return fixpoint.dependencies(e, top, backward=True)[1]
+
+
 @query
 def g11_removal_impact(spark, sf_dir):
     return impact.removal_impact(*graphs.graph(spark, sf_dir, graphs.X2))
@@ -301,16 +313,32 @@ def g12_orphans(spark, sf_dir):
 
 @query
 def g13_rank_roots(spark, sf_dir):
-    return fixpoint.rank_roots(*graphs.graph(spark, sf_dir, graphs.X2))
+    return fixpoint.rank_roots(*graphs.graph(spark, sf_dir, graphs.X1))
 
 
 @query
 def g14_highlight(spark, sf_dir):
-    v, e = graphs.graph(spark, sf_dir, graphs.X2)
-    top = fixpoint.build_phase(v, e).where("build_phase >= 8")
+    v, e = graphs.graph(spark, sf_dir, graphs.X1)
+    top = fixpoint.build_phase(v, e).where("build_phase >= 4")
     return impact.highlight(e, nodes=cut(top))[1]
 
 
+@query
+def g14_highlight_kinds(spark, sf_dir):
+    pairs, e = _pairs(spark, sf_dir)
+    v = cut(g.ids_of(e))
+    figures, orphans = impact.simulate_removal(v, e, v)
+    most = cut(figures.orderBy(F.desc("savings"), "removed_id").limit(1).select(F.col("removed_id").alias("id")))
+    gone = cut(orphans.join(most.withColumnRenamed("id", "removed_id"), "removed_id", "left_semi").select("id").unionByName(most))
+    steps = paths.path_edges(paths.shortest_paths(pairs, e)).select("src", "dst")
+    kinds = {"bridges": impact.highlight(e, edges=g.bridge_edges(e)), "removal": impact.highlight(e, nodes=gone), "path": impact.highlight(e, edges=steps)}
+    out = None
+    for kind, (nodes, edges) in kinds.items():
+        part = edges.select(F.lit(kind).alias("kind"), "src", "dst").unionByName(nodes.select(F.lit(kind).alias("kind"), F.col("id").alias("src"), F.lit(None).cast(nodes.schema["id"].dataType).alias("dst")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def p0_relevant_subgraph(spark, sf_dir):
     return paths.relevant_subgraph(*_pairs(spark, sf_dir))
@@ -379,6 +407,12 @@ def p10_annotate_paths(spark, sf_dir):
     return paths.annotate_paths(found, shortest, way, paths.min_vertex_cut(pairs, inside, near=near, waypoints=way))
 
 
+@query
+def p10_path_edges(spark, sf_dir):
+    pairs, e = _pairs(spark, sf_dir)
+    return paths.path_edges(paths.k_shortest_paths(pairs, e))
+
+
 @query
 def p11_path_dag(spark, sf_dir):
     return paths.path_dag(*_pairs(spark, sf_dir)).withColumn("path_count", F.col("path_count").cast("long"))
@@ -390,7 +424,7 @@ def q1_default_suggestions(spark, sf_dir):
 
 
 def _asked(spark, sf_dir):
-    graph = _dot(spark, sf_dir, graphs.X4_SPARSE)
+    graph = _dot(spark, sf_dir)
     v, e = cut(graph.nodes), cut(graph.edges)
     m = g.node_flags(v, e).join(fixpoint.transitive_dep_count(v, e), "id")
     # the queries are package names that occur in the table
@@ -402,7 +436,7 @@ def _asked(spark, sf_dir):
 def q2_score_match(spark, sf_dir):
     asked, m = _asked(spark, sf_dir)
     # as many as there are names of packages
-    return search.all_hits(search.worded(asked), m).withColumn("ranges", F.to_json("ranges"))
+    return search.all_hits(cut(search.worded(asked)), m).withColumn("ranges", F.to_json("ranges"))
 
 
 @query
@@ -414,9 +448,8 @@ def q3_search_topk(spark, sf_dir):
 def q4_merge_ranges(spark, sf_dir):
     spans = graphs.table(spark, sf_dir, "SELECT l_orderkey, l_linenumber, l_quantity, l_partkey FROM lineitem")
     start = F.col("l_partkey").cast("int") % 40
-    one = F.struct(start.alias("s"), (start + F.col("l_quantity").cast("int") % 9 + 1).alias("e"))
-    per = spans.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("r"))
-    merged = per.select("l_orderkey", search.merge_ranges("r").alias("m"))
+    ranges = spans.select("l_orderkey", start.alias("s"), (start + F.col("l_quantity").cast("int") % 9 + 1).alias("e"))
+    merged = search.merge_ranges(ranges, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("m"))
     return merged.select("l_orderkey", F.array_join(F.transform("m", lambda r: F.concat_ws("-", r.s.cast("string"), r.e.cast("string"))), ",").alias("merged"))
 
 
