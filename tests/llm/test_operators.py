@@ -10,8 +10,9 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontam, lines, pieces, pii, quality, simhash, suffixes, urls, warc
+from weftline.llm import chat, decontam, lines, pieces, pii, quality, simhash, suffixes, text, urls, warc
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 COLUMNS = "doc_id long, text string, lang string, source string, id string, k long, text2 string"
@@ -57,6 +58,33 @@ def test_quality_counts(spark, odd_texts):
     assert Counter((r.id, r.n_words, r.word_chars, r.n_repeat_words) for r in got) == want
 
 
+def test_running_totals(spark):
+    rnd = random.Random(2)
+    rows = [(k, [rnd.randrange(50) for _ in range(n)]) for k, n in enumerate((0, 1, 2, 63, 64, 65, 128, 129, 1000))]
+    got = spark.createDataFrame(rows, "k long, v array<int>").select("k", text.running(F.col("v"), F.lit(0), lambda a, x: a + x).alias("r")).collect()
+    assert {r.k: r.r for r in got} == {k: [sum(v[:i]) for i in range(len(v))] for k, v in rows}
+
+
+def test_pii_with_many_spans(spark, monkeypatch):
+    """Tokens next to, inside and across many spans: halving gives what holding each against each gives."""
+    rnd = random.Random(4)
+    kinds = ["a%d@b.de", "+49 (30) 123 456%02d", "10.2.3.%d", "4111 1111 1111 1111", "token9value%dmore", "12345678%d", "word", "t%d.5.6.7.8.9", "+4930123456%02d@c.org"]
+    texts = ["".join((k % rnd.randrange(90) if "%" in k else k) + rnd.choice([" ", " ", " ", "", ","]) for k in rnd.choices(kinds, k=n)) for n in (0, 5, 60, 400)]
+    found = pii.entities(docs(spark, enumerate(texts))).cache()
+    told = []
+    for most in (10**6, -1):
+        monkeypatch.setattr(pii, "MANY_SPANS", most)
+        told.append(sorted((r.id, r.start, r.end, r.instance, str(r.kind), r.based) for r in pii.mentions(found).collect()))
+    assert told[0] == told[1] and sum(not r[-1] for r in told[0]) > 50
+
+
+def test_pii_of_a_very_long_text(spark):
+    whole = " ".join(f"a{k}@b.de" if k % 7 == 0 else f"n{k}x{k % 13}" for k in range(200_000))
+    got = pii.personal_data(docs(spark, [(1, whole), (2, "a0@b.de")])).orderBy("id").collect()
+    assert [len(r.base) for r in got] == [28_572, 1]
+    assert all(whole[s.start : s.end].endswith("@b.de") and (s.start == 0 or whole[s.start - 1] == " ") for s in got[0].base)
+
+
 def test_quality_bounds_follow_the_source(spark):
     """Two sources of one language: one with symbols in two of five documents, one with hardly any."""
     rnd = random.Random(3)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.lineage import cut, settle
-from weftline.llm.text import BLANKS, let, whole
+from weftline.llm.text import BLANKS, let, running, whole
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of what has no base pattern; its seeds are tokens of this form.
@@ -76,19 +76,18 @@ def _places(text: Column, pattern: str) -> Column:
     """``(start, end, found, before, after)`` of every match, in code points; the last two are up to 64 of what stands between it and its neighbours."""
 
     def build(pieces: Column) -> Column:
-        def walk(found: Column) -> Column:
-            def step(state: Column, k: Column) -> Column:
-                gap, hit = F.get(pieces, k), F.get(found, k)
-                start = state.at + F.length(gap)
-                end = start + F.length(hit)
+        def placed(found: Column) -> Column:
+            lengths = F.transform(found, lambda hit, k: F.length(hit) + F.length(F.get(pieces, k)))
+
+            def one(hit: Column, k: Column, at: Column) -> Column:
+                gap = F.get(pieces, k)
+                start = F.get(at, k) + F.length(gap)
                 near = F.substring(gap, F.greatest(F.length(gap) - 63, F.lit(1)), F.lit(64))
-                one = F.struct(start.alias("start"), end.alias("end"), hit.alias("found"), near.alias("before"), F.substring(F.get(pieces, k + 1), 1, 64).alias("after"))
-                return F.struct(end.alias("at"), F.concat(state.out, F.array(one)).alias("out"))
+                return F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("found"), near.alias("before"), F.substring(F.get(pieces, k + 1), 1, 64).alias("after"))
 
-            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string,before:string,after:string>>").alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda s: s.out)
+            return let(let(lengths, lambda n: running(n, F.lit(0), lambda a, x: a + x)), lambda at: F.transform(found, lambda hit, k: one(hit, k, at)))
 
-        return let(F.regexp_extract_all(text, F.lit(pattern), 0), walk)
+        return let(F.regexp_extract_all(text, F.lit(pattern), 0), placed)
 
     none = F.array().cast("array<struct<start:int,end:int,found:string,before:string,after:string>>")
     return let(F.split(text, pattern), lambda pieces: F.when(F.size(pieces) == 1, none).otherwise(build(pieces)))
@@ -130,13 +129,38 @@ def _cues(before: Column, after: Column) -> Column:
     return F.array(left, right)
 
 
+def _apart(tokens: Column, spans: Column) -> Column:
+    """The tokens that meet no span, by halving: spans are sorted by start, and of those that start before a token ends, the furthest end tells."""
+
+    def free(x: Column) -> Column:
+        def meets(t: Column) -> Column:
+            end = t.start + F.length(t.found)
+            half = lambda s: F.floor((s.low + s.high) / 2).cast("int")
+            step = lambda s, _: F.when(s.low < s.high, F.when(F.get(spans, half(s)).start < end, F.struct((half(s) + 1).alias("low"), s.high.alias("high"))).otherwise(F.struct(s.low.alias("low"), half(s).alias("high")))).otherwise(s)
+            before = F.aggregate(x.halvings, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), step, lambda s: s.low)
+            # what lies before the first k spans is at k
+            return F.get(x.ends, before) > t.start
+
+        return F.filter(tokens, lambda t: ~meets(t))
+
+    # one more element, so that there is an end before every place
+    ends = running(F.concat(F.transform(spans, lambda s: s.end), F.array(F.lit(0))), F.lit(0), lambda a, e: F.greatest(a, e))
+    return let(F.struct(ends.alias("ends"), F.sequence(F.lit(0), F.length(F.bin(F.size(spans).cast("long")))).alias("halvings")), free)
+
+
+#: Spans of a text up to which each token is held against each span.
+MANY_SPANS = 32
+
+
 def mentions(found: DataFrame, rules: Bootstrap | None = None) -> DataFrame:
     """``(id, mark, cues, instance, kind, based, start, end)``: base spans are ``based``; other tokens have a kind if they are seeds, else null."""
     rules = rules or Bootstrap()
     fields = lambda x, kind, based, end: F.struct(_cues(x.before, x.after).alias("cues"), x.found.alias("instance"), kind.alias("kind"), F.lit(based).alias("based"), x.start.alias("start"), end.alias("end"))
     seeds = F.transform("spans", lambda s: fields(s, s.kind, True, s.end))
     trimmed = F.transform("tokens", lambda t: F.struct(t.start.alias("start"), t.before.alias("before"), t.after.alias("after"), F.regexp_replace(t.found, r"[^A-Za-z0-9]+$", "").alias("found")))
-    free = F.filter(trimmed, lambda t: (F.length(t.found) >= rules.least_length) & ~F.exists("spans", lambda s: (s.start < t.start + F.length(t.found)) & (t.start < s.end)))
+    long = F.filter(trimmed, lambda t: F.length(t.found) >= rules.least_length)
+    free = F.filter(long, lambda t: ~F.exists("spans", lambda s: (s.start < t.start + F.length(t.found)) & (t.start < s.end)))
+    free = F.when(F.size("spans") <= MANY_SPANS, free).otherwise(_apart(long, F.col("spans")))
     others = F.transform(free, lambda t: fields(t, F.when(t.found.rlike(SECRET_SEED), F.lit(SECRET)), False, t.start + F.length(t.found)))
     return found.select("id", "mark", F.explode(F.concat(seeds, others)).alias("m")).select("id", "mark", "m.*")
 
