@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from weftline.functions.ids import DEFAULT_EXCLUDES, SOURCE_ENDINGS
-from weftline.jobs.graphs import PAIRS, X1, X2, X2_ALL, X3_ALL, X3A, X4
+from weftline.jobs.graphs import PAIRS, X1, X2, X2_ALL, X3_ALL, X3A, X4, X5
 
 _V = "v AS (SELECT DISTINCT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e))"
 _D = "d AS (SELECT DISTINCT src, dst FROM e)"
@@ -142,19 +142,19 @@ FROM (SELECT (SELECT count(*) FROM v) AS n_nodes, (SELECT count(*) FROM e) AS n_
     "a10_phase_table": _with(X1, _V, _D, _PHASE, then="SELECT build_phase AS phase, count(*) OVER (PARTITION BY build_phase) AS n_nodes, id FROM ph"),
     "a11_phase_bottlenecks": _with(X1, _V, _D, _PHASE, _PT, then="SELECT * FROM bn"),
     "a12_phase_timeline": _with(X1, _V, _D, _PHASE, _PT, then="SELECT phase, n_nodes, 100.0::DOUBLE * n_nodes / max(n_nodes) OVER () AS bar_pct, count(*) OVER () AS n_phases, max(n_nodes) OVER () AS max_parallel, (count(*) FILTER (is_bottleneck) OVER ())::BIGINT AS n_bottlenecks FROM bn"),
-    "g1_scc": _with(X3_ALL, _V, _D, _CLO, _SCC, then="SELECT * FROM scc"),
-    "g2_condense": _with(X3_ALL, _V, _D, _CLO, _SCC, then="SELECT * FROM con"),
+    "g1_scc": _with(X5, _V, _D, _CLO, _SCC, then="SELECT * FROM scc"),
+    "g2_condense": _with(X5, _V, _D, _CLO, _SCC, then="SELECT * FROM con"),
     "g3_topo_levels": _with(X1, _V, _D, _DEPTH, then="SELECT id, depth AS level FROM dep"),
     "g4_depth": _with(X1, _V, _D, _DEPTH, then="SELECT id, depth FROM dep"),
-    "g5_build_phase": _with(X3_ALL, _V, _D, _CLO, _SCC, "cp(id, l) AS (SELECT DISTINCT scc_id, 0 FROM scc WHERE scc_id NOT IN (SELECT src FROM con) UNION SELECT con.src, l + 1 FROM cp JOIN con ON con.dst = cp.id)", then="SELECT scc.id, max(l)::INT AS build_phase FROM scc JOIN cp ON cp.id = scc_id GROUP BY scc.id"),
-    "g6_transitive_dep_count": _with(X3A, _V, _D, _CLO, _TRANS, then="SELECT * FROM tr"),
-    "g1_scc_small": _with(X3A, _V, _D, _CLO, _SCC, then="SELECT * FROM scc"),
+    "g5_build_phase": _with(X5, _V, _D, _CLO, _SCC, "cp(id, l) AS (SELECT DISTINCT scc_id, 0 FROM scc WHERE scc_id NOT IN (SELECT src FROM con) UNION SELECT con.src, l + 1 FROM cp JOIN con ON con.dst = cp.id)", then="SELECT scc.id, max(l)::INT AS build_phase FROM scc JOIN cp ON cp.id = scc_id GROUP BY scc.id"),
+    "g6_transitive_dep_count": _with(X5, _V, _D, _CLO, _TRANS, then="SELECT * FROM tr"),
+    "g1_scc_large": _with(X3_ALL, _V, _D, _CLO, _SCC, then="SELECT * FROM scc"),
     "g3_topo_levels_deep": _with(X2_ALL, _V, _D, _DEPTH, then="SELECT id, depth AS level FROM dep"),
     "g6_transitive_dep_count_large": _with(X3_ALL, _V, _D, _CLO, _TRANS, then="SELECT * FROM tr"),
     "g7_closure": _with(X1, _D, _CLO, then="SELECT * FROM clo WHERE src <> dst"),
     "g8_critical_chain": _with(X1, _V, _D, _DEPTH, """par AS (SELECT d.dst, min(d.src) AS src FROM d JOIN dep a ON a.id = d.src JOIN dep b ON b.id = d.dst WHERE a.depth = b.depth - 1 GROUP BY d.dst),
 ch(id, k) AS ((SELECT id, depth FROM dep WHERE depth > 0 ORDER BY depth DESC, id LIMIT 1) UNION ALL SELECT par.src, k - 1 FROM ch JOIN par ON par.dst = ch.id)""", then="SELECT k::INT AS position, id FROM ch"),
-    "g9_reachable_from_roots": _with(X3_ALL, _V, _D, _CLO, then="SELECT id FROM v WHERE id NOT IN (SELECT dst FROM e) UNION SELECT dst FROM clo WHERE src NOT IN (SELECT dst FROM e)"),
+    "g9_reachable_from_roots": _with(X5, _V, _D, _CLO, then="SELECT id FROM v WHERE id NOT IN (SELECT dst FROM e) UNION SELECT dst FROM clo WHERE src NOT IN (SELECT dst FROM e)"),
     "g10_dependencies": _with(X1, _V, _D, _DEG, _CLO, "t AS (SELECT id FROM deg ORDER BY out_degree DESC, id LIMIT 20)", then="SELECT t.id AS start, d.src, d.dst FROM t JOIN d ON d.src = t.id OR (t.id, d.src) IN (SELECT src, dst FROM clo)"),
     "g10_reverse_dependencies": _with(X1, _V, _D, _DEG, "t AS (SELECT id FROM deg WHERE out_degree > 0 ORDER BY in_degree DESC, id LIMIT 20)", "up(start, id) AS (SELECT id, id FROM t UNION SELECT up.start, d.src FROM up JOIN d ON d.dst = up.id)", then="SELECT up.start, d.src, d.dst FROM up JOIN d ON d.dst = up.id"),
     "g11_removal_impact": _with(X2, _V, _D, _CLO, _REMOVED.format(where="WHERE id IN (SELECT src FROM e) AND id IN (SELECT dst FROM e)"), then="SELECT x AS id, savings - 1 AS orphaned_count, savings, 100.0::DOUBLE * savings / (SELECT count(*) FROM base) AS savings_pct FROM sav WHERE savings > 0"),

@@ -209,12 +209,12 @@ def a12_phase_timeline(spark, sf_dir):
 
 @query
 def g1_scc(spark, sf_dir):
-    return fixpoint.scc(*graphs.graph(spark, sf_dir, graphs.X3_ALL))
+    return fixpoint.scc(*graphs.graph(spark, sf_dir, graphs.X5))
 
 
 @query
 def g2_condense(spark, sf_dir):
-    v, e = graphs.graph(spark, sf_dir, graphs.X3_ALL)
+    v, e = graphs.graph(spark, sf_dir, graphs.X5)
     return fixpoint.condense(e, fixpoint.scc(v, e))
 
 
@@ -230,17 +230,17 @@ def g4_depth(spark, sf_dir):
 
 @query
 def g5_build_phase(spark, sf_dir):
-    return fixpoint.build_phase(*graphs.graph(spark, sf_dir, graphs.X3_ALL))
+    return fixpoint.build_phase(*graphs.graph(spark, sf_dir, graphs.X5))
 
 
 @query
 def g6_transitive_dep_count(spark, sf_dir):
-    return fixpoint.transitive_dep_count(*graphs.graph(spark, sf_dir, graphs.X3A))
+    return fixpoint.transitive_dep_count(*graphs.graph(spark, sf_dir, graphs.X5))
 
 
 @query
-def g1_scc_small(spark, sf_dir):
-    return fixpoint.scc(*graphs.graph(spark, sf_dir, graphs.X3A))
+def g1_scc_large(spark, sf_dir):
+    return fixpoint.scc(*graphs.graph(spark, sf_dir, graphs.X3_ALL))
 
 
 @query
@@ -272,7 +272,7 @@ def g8_critical_chain(spark, sf_dir):
 
 @query
 def g9_reachable_from_roots(spark, sf_dir):
-    return fixpoint.reachable_from_roots(*graphs.graph(spark, sf_dir, graphs.X3_ALL))
+    return fixpoint.reachable_from_roots(*graphs.graph(spark, sf_dir, graphs.X5))
 
 
 @query
