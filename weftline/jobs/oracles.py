@@ -182,7 +182,7 @@ CASE WHEN is_from THEN 'from' WHEN is_to THEN 'to' WHEN is_cut THEN 'cut' WHEN o
 FROM (SELECT t.pair_id, t.rank::INT AS path_no, (k - 1)::INT AS pos, t.path[k] AS id, k = 1 AS is_from, k = len(t.path) AS is_to, coalesce(list_contains(w, t.path[k]), false) AS on_all, coalesce(list_contains(c, t.path[k]), false) AS is_cut, NOT list_contains(sp.path, t.path[k]) AS is_unique_part
   FROM (SELECT *, unnest(range(1, len(path) + 1)) AS k FROM top) t JOIN sp ON sp.pair_id = t.pair_id JOIN way ON way.pair_id = t.pair_id JOIN cut ON cut.pair_id = t.pair_id)"""),
     "p10_path_edges": _routes("SELECT DISTINCT pair_id, path[k] AS src, path[k + 1] AS dst FROM (SELECT *, unnest(range(1, len(path))) AS k FROM top)"),
-    "p11_path_dag": _routes("""SELECT x.pair_id, x.id, coalesce(c.n, 0) AS n_children, count(*) AS path_count, coalesce(c.n, 0) > 1 AS is_branch, coalesce(p.n, 0) > 1 AS is_merge
+    "p11_path_dag": _routes("""SELECT x.pair_id, x.id, coalesce(c.n, 0) AS n_children, count(*) AS path_count, coalesce(c.n, 0) > 1 AS is_branch, coalesce(p.n, 0) > 1 AS is_merge, false AS cyclic
 FROM (SELECT pair_id, unnest(path) AS id FROM full_) x LEFT JOIN (SELECT pair_id, src AS id, count(*) AS n FROM near GROUP BY 1, 2) c ON c.pair_id = x.pair_id AND c.id = x.id
 LEFT JOIN (SELECT pair_id, dst AS id, count(*) AS n FROM near GROUP BY 1, 2) p ON p.pair_id = x.pair_id AND p.id = x.id GROUP BY x.pair_id, x.id, c.n, p.n"""),
     "q1_default_suggestions": _with(X1, _M, then="SELECT id, is_root, transitive_dep_count FROM m ORDER BY is_root DESC, transitive_dep_count DESC, id LIMIT 30"),

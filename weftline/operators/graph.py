@@ -73,12 +73,12 @@ def package_stats(v: DataFrame, e: DataFrame) -> DataFrame:
 def pulled_in_by(top: DataFrame, e: DataFrame, shown: int = 3) -> DataFrame:
     """``(id, parents, more)`` of the ids in ``top``: the first parents by id, parallel edges repeated, and how many more.
 
-    Parents are ranked, not collected, so a hub with many edges costs a sort.
+    Each task keeps the first few parents it sees and a count, so a hub is a few rows of each task.
     """
     from pyspark.sql import Window as W
 
     near = e.join(top.select(F.col("id").alias("dst")), "dst", "left_semi")
-    ranked = near.withColumn("k", F.row_number().over(W.partitionBy("dst").orderBy("src"))).withColumn("n", F.count("*").over(W.partitionBy("dst")))
-    got = ranked.where(F.col("k") <= shown).groupBy("dst").agg(F.sort_array(F.collect_list("src")).alias("parents"), F.max("n").alias("n"))
-    joined = top.select("id").join(got.withColumnRenamed("dst", "id"), "id", "left")
+    first = near.withColumn("k", F.row_number().over(W.partitionBy("dst").orderBy("src"))).where(F.col("k") <= shown).groupBy("dst").agg(F.sort_array(F.collect_list("src")).alias("parents"))
+    counted = near.groupBy("dst").agg(F.count("*").alias("n"))
+    joined = top.select("id").join(first.join(counted, "dst").withColumnRenamed("dst", "id"), "id", "left")
     return joined.select("id", F.concat_ws(", ", F.col("parents").cast("array<string>")).alias("parents"), F.greatest(F.coalesce("n", F.lit(0)) - shown, F.lit(0)).cast("long").alias("more"))

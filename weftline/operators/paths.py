@@ -295,29 +295,75 @@ def path_edges(paths: DataFrame) -> DataFrame:
     return paths.where(F.size("path") > 1).select("pair_id", F.explode(steps).alias("s")).select("pair_id", F.col("s.src").alias("src"), F.col("s.dst").alias("dst")).where("dst is not null").distinct()
 
 
+#: Large counts are arrays of digits to this base, lowest first: products and sums of these fit a long.
+BASE = 10**6
+
+
+def _carried(digits: Column) -> Column:
+    """Digits of any size brought below the base again."""
+    none = F.array().cast("array<bigint>")
+
+    def step(s: Column, d: Column) -> Column:
+        total = s.rest + d
+        low = F.pmod(total, F.lit(BASE))
+        return F.struct(F.concat(s.out, F.array(low)).alias("out"), F.call_function("div", total - low, F.lit(BASE)).alias("rest"))
+
+    # what is left over the last digit is three more at most: a long has 19 places
+    padded = F.concat(digits, F.array(*(F.lit(0).cast("bigint") for _ in range(3))))
+    out = F.aggregate(padded, F.struct(none.alias("out"), F.lit(0).cast("bigint").alias("rest")), step, lambda s: s.out)
+    used = lambda d: F.array_max(F.transform(d, lambda x, i: F.when(x > 0, i + 1).otherwise(0)))
+    return F.element_at(F.transform(F.array(out), lambda d: F.slice(d, F.lit(1), F.greatest(used(d), F.lit(1)))), 1)
+
+
+def _times(a: str, b: str) -> Column:
+    """The product of two such numbers."""
+    a_, b_ = F.col(a), F.col(b)
+    at = lambda k: F.aggregate(F.sequence(F.greatest(k - F.size(b_) + 1, F.lit(0)), F.least(k, F.size(a_) - 1)), F.lit(0).cast("bigint"), lambda n, i: n + F.get(a_, i) * F.get(b_, k - i))
+    return _carried(F.transform(F.sequence(F.lit(0), F.size(a_) + F.size(b_) - 2), at))
+
+
+def _digits(number: Column) -> Column:
+    """Such a number as text."""
+    spelled = F.array_join(F.transform(F.reverse(number), lambda d: F.lpad(d.cast("string"), 6, "0")), "")
+    return F.regexp_replace(spelled, "^0+(?=.)", "")
+
+
 def path_dag(pairs: DataFrame, e: DataFrame) -> DataFrame:
-    """``(pair_id, id, n_children, path_count, is_branch, is_merge)`` of the relevant nodes; only for pairs without cycles.
+    """``(pair_id, id, n_children, path_count, is_branch, is_merge, cyclic)`` of the relevant nodes.
 
-    The number of paths through a node is that of ways to it times that of ways from it, as
-    exact 38-digit numbers.
+    The number of paths through a node is that of ways to it times that of ways from it, exact
+    whatever its size, as text. It is null for a pair with cycles, which ``cyclic`` says: there
+    ways don't multiply to paths.
     """
-    near = cut(relevant_subgraph(pairs, e))
-    near = cut(near.join(_cyclic_pairs(near), "pair_id", "left_anti"))
-    one = F.lit(1).cast("decimal(38,0)")
+    all_ = cut(relevant_subgraph(pairs, e))
+    cyclic = cut(_cyclic_pairs(all_))
+    near = cut(all_.join(cyclic, "pair_id", "left_anti"))
+
+    def summed(df: DataFrame) -> DataFrame:
+        each = df.select("pair_id", "id", F.posexplode("n").alias("k", "d")).groupBy("pair_id", "id", "k").agg(F.sum("d").alias("d"))
+        whole = each.groupBy("pair_id", "id").agg(F.array_sort(F.collect_list(F.struct("k", "d"))).getField("d").alias("n"))
+        return whole.select("pair_id", "id", _carried(F.col("n")).alias("n"))
 
     def ways(edges: DataFrame, start: DataFrame, name: str) -> DataFrame:
-        front, all_ = cut(start.select("pair_id", "id", one.alias("n"))), []
+        front, found = cut(start.select("pair_id", "id", F.array(F.lit(1).cast("bigint")).alias("n"))), Pile()
+        found.add(front)
         while not front.isEmpty():
-            all_.append(front)
             moved = front.join(edges, (front.pair_id == edges.pair_id) & (front.id == edges.src)).select(front.pair_id, F.col("dst").alias("id"), "n")
-            front = cut(moved.groupBy("pair_id", "id").agg(F.sum("n").cast("decimal(38,0)").alias("n")))
-        return _union(all_ or [front]).groupBy("pair_id", "id").agg(F.sum("n").cast("decimal(38,0)").alias(name))
+            front = cut(summed(moved))
+            found.add(front)
+        return summed(found.all()).withColumnRenamed("n", name)
 
     known = near.select("pair_id").distinct()
     start = lambda c: pairs.join(known, "pair_id", "left_semi").select("pair_id", F.col(c).alias("id"))
     to, from_ = ways(near, start("src"), "to"), ways(near.select("pair_id", F.col("dst").alias("src"), F.col("src").alias("dst")), start("dst"), "from")
-    children = near.groupBy("pair_id", F.col("src").alias("id")).agg(F.count("*").alias("n_children"))
-    parents = near.groupBy("pair_id", F.col("dst").alias("id")).agg(F.count("*").alias("n_parents"))
+    nodes = all_.select("pair_id", F.explode(F.array("src", "dst")).alias("id")).distinct().join(cyclic.withColumn("cyclic", F.lit(True)), "pair_id", "left")
+    children = all_.groupBy("pair_id", F.col("src").alias("id")).agg(F.count("*").alias("n_children"))
+    parents = all_.groupBy("pair_id", F.col("dst").alias("id")).agg(F.count("*").alias("n_parents"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    joined = to.join(from_, ["pair_id", "id"]).join(children, ["pair_id", "id"], "left").join(parents, ["pair_id", "id"], "left")
-    return joined.select("pair_id", "id", zero("n_children").alias("n_children"), (F.col("to") * F.col("from")).cast("decimal(38,0)").alias("path_count"), (zero("n_children") > 1).alias("is_branch"), (zero("n_parents") > 1).alias("is_merge"))
+    joined = nodes
+    for more in (to, from_, children, parents):
+        joined = joined.join(more, ["pair_id", "id"], "left")
+    return joined.select(
+        "pair_id", "id", zero("n_children").alias("n_children"), F.when(F.col("to").isNotNull() & F.col("from").isNotNull(), _digits(_times("to", "from"))).alias("path_count"),
+        (zero("n_children") > 1).alias("is_branch"), (zero("n_parents") > 1).alias("is_merge"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
+    )
