@@ -270,9 +270,12 @@ def dependencies(e: DataFrame, starts: DataFrame, backward: bool = False) -> tup
 
 
 def rank_roots(v: DataFrame, e: DataFrame) -> DataFrame:
-    """``(id, reach, rank, is_main)`` of the nodes without incoming edges, by how much they lead to."""
-    roots = cut(v.select("id").join(e.select(F.col("dst").alias("id")), "id", "left_anti"))
-    sizes = reach(e, roots.select(F.col("id").alias("key"), "id")).groupBy("key").agg(F.count("*").alias("reach")).select(F.col("key").alias("id"), "reach")
+    """``(id, reach, rank, is_main)`` of the nodes without incoming edges, by how much they lead to; ties by id.
+
+    What they lead to is counted, not listed.
+    """
+    roots = v.select("id").join(e.select(F.col("dst").alias("id")), "id", "left_anti")
+    sizes = cut(transitive_dep_count(v, e).join(roots, "id", "left_semi").select("id", (F.col("transitive_dep_count") + 1).alias("reach")))
     # ranks over counts of equal reach, so that no single task sorts all roots
     per = sizes.groupBy("reach").agg(F.count("*").alias("n"))
     above = per.select("reach", (F.sum("n").over(W.orderBy(F.desc("reach"))) - F.col("n")).alias("above"))
