@@ -30,8 +30,9 @@ _TURNS = "SELECT a AS src, b AS dst FROM ({next}) t WHERE b IS NOT NULL"
 #: The first has few and small components; in that of all rows one holds most nodes.
 X3A = _TURNS.format(next=_NEXT.format(where=" WHERE l_quantity >= 45"))
 X3_ALL = _TURNS.format(next=_NEXT.format(where=""))
-#: All rows as well, but parts in different quantities are different nodes: as many edges as nodes, so components of all sizes.
-X5 = _TURNS.format(next=_NEXT.format(where="").replace("l_partkey AS a", "l_partkey * 64 + CAST(l_quantity AS BIGINT) AS a").replace("lead(l_partkey)", "lead(l_partkey * 64 + CAST(l_quantity AS BIGINT))"))
+#: All rows as well, but a part is a node for each quantity and place in an order: somewhat fewer edges than nodes, so few and small components.
+_PLACED = "l_partkey * 256 + CAST(l_quantity AS BIGINT) * 4 + l_linenumber % 3"
+X5 = _TURNS.format(next=_NEXT.format(where="").replace("l_partkey AS a", f"{_PLACED} AS a").replace("lead(l_partkey)", f"lead({_PLACED})"))
 _DOT_LINES = """
 WITH e AS ({links}),
 lab AS (SELECT p_partkey AS k, CASE
