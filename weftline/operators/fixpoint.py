@@ -86,26 +86,26 @@ def topo_levels(v: DataFrame, e: DataFrame) -> DataFrame:
     return v.select("id").distinct().join(peel(v, e), "id", "left").select("id", "level")
 
 
-def _trim(e: DataFrame) -> DataFrame:
-    """The edges between nodes that a cycle leads to and that lead to a cycle."""
+def _trim(e: DataFrame, peeled: DataFrame | None = None) -> DataFrame:
+    """The edges between nodes that a cycle leads to and that lead to a cycle; ``peeled`` may hand in what :func:`peel` takes off."""
     e = cut(e.select("src", "dst"))
     for turned in (False, True):
         if e.isEmpty():
             break
         # what an edge leads to from a node that stays stays too
         end = "dst" if turned else "src"
-        gone = peel(ids_of(e), reverse(e) if turned else e)
+        gone = peeled if peeled is not None and not turned else peel(ids_of(e), reverse(e) if turned else e)
         e = cut(e.join(gone.select(F.col("id").alias(end)), end, "left_anti").select("src", "dst"))
     return e
 
 
-def scc(v: DataFrame, e: DataFrame) -> DataFrame:
+def scc(v: DataFrame, e: DataFrame, peeled: DataFrame | None = None) -> DataFrame:
     """``(id, scc_id, scc_size)``: strongly connected components named by their smallest member.
 
-    What lies on no cycle is trimmed first. Then the smallest id is passed on as a colour; what
+    What lies on no cycle is trimmed first; ``peeled`` may hand in the result of :func:`peel`. Then the smallest id is passed on as a colour; what
     reaches a colour's own node within the colour is its component. Those go, and so on.
     """
-    core, found = _trim(cut(e.select("src", "dst").distinct())), []
+    core, found = _trim(cut(e.select("src", "dst").distinct()), peeled), []
     while not core.isEmpty():
         colour, moved = cut(ids_of(core).select("id", F.col("id").alias("colour"))), True
         while moved:
@@ -189,8 +189,14 @@ def transitive_dep_count(v: DataFrame, e: DataFrame, few: int = FEW) -> DataFram
         return counted
     both = lambda df: df.join(many.withColumnRenamed("id", "src"), "src", "left_semi")
     inner = cut(both(e).join(many.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    parts = cut(scc(many, inner))
-    phases = cut(build_phase(many, inner, parts))
+    levels = cut(peel(many, inner))
+    if levels.count() == many.count():
+        # no cycle, so the levels do as phases the other way round
+        last = levels.agg(F.max("level")).first()[0]
+        parts, phases = many.select("id", F.col("id").alias("scc_id")), levels.select("id", (F.lit(last) - F.col("level")).alias("build_phase"))
+    else:
+        parts = cut(scc(many, inner, levels))
+        phases = cut(build_phase(many, inner, parts))
     named = cut(parts.join(phases, "id").select("id", "scc_id", "build_phase"))
     place = settle(numbered(v.select("id").distinct().join(named, "id", "left").select("build_phase", "scc_id", "id"), "build_phase", "scc_id", "id").select("idx", "id"), "places")
     beside = both(e).join(many.withColumnRenamed("id", "dst"), "dst", "left_anti").join(short, F.col("dst") == F.col("key")).select("src", F.col("id").alias("there"))
