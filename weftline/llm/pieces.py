@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 SPACE = "▁"
 _NEVER = 1 << 60
 #: Entries that a worker keeps of compared pairs, and twice of encoded segments.
-_KEEP = 200_000
+_KEEP = 300_000
 
 
 @dataclass
