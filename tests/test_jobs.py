@@ -27,3 +27,7 @@ def test_heaviest_counts_links_and_orders(spark, folder):
     found = {r.id: r.transitive_dep_count for r in QUERIES["a8_heaviest"](spark, folder).collect()}
     assert (found["l9"], found["l7"], found["l4"]) == (5, 3, 0)
     assert (found["c1"], found["o2"]) == (11, 5)
+
+
+def test_critical_chain_of_all_links(spark, folder):
+    assert [r.id for r in QUERIES["g8_critical_chain"](spark, folder).orderBy("position").collect()] == [9, 7, 5, 3, 1]
