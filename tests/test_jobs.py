@@ -31,3 +31,9 @@ def test_heaviest_counts_links_and_orders(spark, folder):
 
 def test_critical_chain_of_all_links(spark, folder):
     assert [r.id for r in QUERIES["g8_critical_chain"](spark, folder).orderBy("position").collect()] == [9, 7, 5, 3, 1]
+
+
+def test_dependencies_over_all_links(spark, folder):
+    found = [tuple(r) for r in QUERIES["g10_dependencies"](spark, folder).collect()]
+    chain = [(9, 7), (7, 5), (5, 3), (3, 1)]
+    assert sorted(found) == sorted([(9, 9, 4)] + [(s, a, b) for s in (9, 7, 5, 3) for a, b in chain if a <= s])
