@@ -37,3 +37,8 @@ def test_dependencies_over_all_links(spark, folder):
     found = [tuple(r) for r in QUERIES["g10_dependencies"](spark, folder).collect()]
     chain = [(9, 7), (7, 5), (5, 3), (3, 1)]
     assert sorted(found) == sorted([(9, 9, 4)] + [(s, a, b) for s in (9, 7, 5, 3) for a, b in chain if a <= s])
+
+
+def test_removals_name_their_orphans(spark, folder):
+    found = {r.removed_id: (r.orphaned, r.orphaned_count, r.affected_edges) for r in QUERIES["g12_simulate_removal"](spark, folder).collect()}
+    assert found == {9: ("1, 3, 4, 5, 7", 5, 2), 7: ("1, 3, 5", 3, 2), 5: ("1, 3", 2, 2), 3: ("1", 1, 2), 1: ("", 0, 1), 4: ("", 0, 1)}
