@@ -42,3 +42,8 @@ def test_dependencies_over_all_links(spark, folder):
 def test_removals_name_their_orphans(spark, folder):
     found = {r.removed_id: (r.orphaned, r.orphaned_count, r.affected_edges) for r in QUERIES["g12_simulate_removal"](spark, folder).collect()}
     assert found == {9: ("1, 3, 4, 5, 7", 5, 2), 7: ("1, 3, 5", 3, 2), 5: ("1, 3", 2, 2), 3: ("1", 1, 2), 1: ("", 0, 1), 4: ("", 0, 1)}
+
+
+def test_roots_of_links_and_orders_are_ranked(spark, folder):
+    found = [(r.rank, r.id, r.reach, r.is_main) for r in QUERIES["g13_rank_roots"](spark, folder).orderBy("rank").collect()]
+    assert found == [(1, "c1", 12, True), (2, "l9", 6, False)]
