@@ -27,7 +27,7 @@ from weftline.llm.text import whole
 LENGTH, GRAM = 400, 32
 #: Words of a passage: over 50.
 PASSAGE = 51
-#: Contexts of one anchor that go to one shard; a shard is sorted when it holds so many bytes; shards of one
+#: Contexts of one anchor that go to one shard, and bytes that a shard holds; shards of so many contexts of one
 #: anchor that one task merges.
 SPLIT, SHARD_BYTES, TASK_SHARDS = 4096, 1 << 20, 16
 _CHUNK = 1 << 20
@@ -225,8 +225,8 @@ def repeated(parts: list[bytes], length: int = LENGTH) -> tuple[list[np.ndarray]
     sizes = np.array([len(p) for p in parts], np.int64)
     starts = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(parts), np.uint8)
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    inside = np.arange(len(data)) - starts[owner]
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
+    inside = (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.int32)
     order, _ = suffix_array(data, length)
     order = order[(inside <= sizes[owner] - length)[order]]
     shared = common_prefixes(data, order, np.arange(1, len(order)), length) >= length
@@ -344,9 +344,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _many(w: np.ndarray) -> np.ndarray:
-    """Which rows of the sorted pairs occur more than once, by binary search."""
-    pairs = np.ascontiguousarray(w).view([("x", np.int64), ("y", np.int64)]).ravel()
-    return np.searchsorted(pairs, pairs, "right") - np.searchsorted(pairs, pairs, "left") > 1
+    """Which rows of the sorted pairs occur more than once."""
+    same = (w[1:, 0] == w[:-1, 0]) & (w[1:, 1] == w[:-1, 1])
+    return np.concatenate((same, [False])) | np.concatenate(([False], same))
 
 
 def _sort_shards(length: int, split: int, shard_bytes: int):
@@ -355,30 +355,47 @@ def _sort_shards(length: int, split: int, shard_bytes: int):
         starts = np.concatenate(([0], np.cumsum([len(g[5]) for g in shard])))[owner] + at
         return np.stack([_rolling(data, length, b)[starts].view(np.int64) for b in _BASES], axis=1)
 
-    def settle_group(group: list[tuple]) -> list[tuple]:
+    def cuts(group: list[tuple]) -> list[int]:
+        """Where the shards of one anchor begin."""
+        begin, size = [0], 0
+        for k, g in enumerate(group):
+            if k > begin[-1] and (k - begin[-1] == split or size + len(g[5]) > shard_bytes):
+                begin.append(k)
+                size = 0
+            size += len(g[5])
+        return begin
+
+    def settle_group(group: list[tuple]) -> Iterator[pa.RecordBatch]:
         """Found ranges of each context. If the contexts of one anchor fill several shards, the sorted windows of
         these are merged; if they fill several tasks, their windows are given as well."""
         masks, own, at, sums = [], [], [], []
-        several = len(group) > split and group[0][:2] == group[-1][:2]
-        for k in range(0, len(group), split if several else len(group)):
-            shard = group[k : k + split] if several else group
+        begin = cuts(group) if group[0][:2] == group[-1][:2] else [0]
+        several, dealt = len(begin) > 1, np.array([g[2] for g in group])
+        for k, end in zip(begin, [*begin[1:], len(group)], strict=True):
+            shard = group[k:end]
             found, owner, place, first = repeated([g[5] for g in shard], length)
             masks += [m.copy() for m in found]
-            if several or any(g[2] for g in shard):
-                pick = first if several else first & np.array([g[2] for g in shard])[owner]
-                own.append(owner[pick] + k)
-                at.append(place[pick])
+            if several or dealt[k:end].any():
+                pick = first if several else first & dealt[k:end][owner]
+                own.append((owner[pick] + k).astype(np.int32))
+                at.append(place[pick].astype(np.int32))
                 sums.append(windows(shard, owner[pick], place[pick]))
-        rows = []
         if sums:
             o, p, w = np.concatenate(own), np.concatenate(at), np.concatenate(sums)
+            own, at, sums = [], [], []
             if several:
                 order = np.lexsort((w[:, 1], w[:, 0]))
                 o, p, w = o[order], p[order], w[order]
                 for c, q in zip(o[many := _many(w)].tolist(), p[many].tolist(), strict=True):
                     masks[c][q] = True
-            rows = [(group[c][3], group[c][4], None, x, y, q) for c, q, (x, y) in zip(o.tolist(), p.tolist(), w.tolist(), strict=True) if group[c][2]]
-        return [(g[3], g[4], [{"a": a, "b": b} for a, b in ranges(m, length)], None, None, None) for g, m in zip(group, masks, strict=True) if m.any()] + rows
+        yield _batch(_FOUND, [(g[3], g[4], [{"a": a, "b": b} for a, b in ranges(m, length)], None, None, None) for g, m in zip(group, masks, strict=True) if m.any()])
+        if dealt.any():
+            c1, c2 = (np.array([g[k] for g in group], np.int64) for k in (3, 4))
+            for k in range(0, len(o), _CHUNK):
+                c, pair, q = o[k : k + _CHUNK], w[k : k + _CHUNK], p[k : k + _CHUNK]
+                keep = dealt[c]
+                c, pair, q = c[keep], pair[keep], q[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(c1[c]), pa.array(c2[c]), pa.nulls(len(c), _FOUND.field("ranges").type), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(q)], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, size, start = [], 0, 0  # start: where the contexts of the last anchor begin
@@ -386,10 +403,10 @@ def _sort_shards(length: int, split: int, shard_bytes: int):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and row[:2] != group[-1][:2]:
                     if size >= shard_bytes or len(group) - start > split:
-                        # a large anchor stands alone
-                        for part in (group[:start], group[start:]) if len(group) - start > split else (group,):
+                        # the anchors before fill no more than a shard; the last may fill several
+                        for part in (group[:start], group[start:]):
                             if part:
-                                yield _batch(_FOUND, settle_group(part))
+                                yield from settle_group(part)
                         group, size = [], 0
                     start = len(group)
                 if not group or row[:5] != group[-1][:5]:
@@ -397,7 +414,7 @@ def _sort_shards(length: int, split: int, shard_bytes: int):
                     size += len(row[5])
         for part in (group[:start], group[start:]):
             if part:
-                yield _batch(_FOUND, settle_group(part))
+                yield from settle_group(part)
 
     return run
 
@@ -434,8 +451,8 @@ def removed_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     """``(t1, t2, spans)`` for each distinct text of which bytes go: runs ``(a, b)`` of its UTF-8 bytes, in no order and unmerged.
 
     Texts are named by two hashes. ``split`` and ``shard_bytes`` bound a shard: contexts of one
-    anchor are dealt to a further shard for each ``split`` of them, and to a further task for each
-    ``task_shards`` shards.
+    anchor are dealt to a further shard for each ``split`` of them or ``shard_bytes`` bytes, and to a further
+    task for each ``split * task_shards`` of them.
     """
     texts = docs.select(whole(text_col).alias("text"))
     every = texts.select(*_hashes(F.col("text")), "text").where(F.octet_length("text") >= length).mapInArrow(_occurrences(length), "t1 bigint, t2 bigint, s int, e int, key bigint, c1 bigint, c2 bigint, n bigint")
