@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 
+from weftline.functions.lineage import shared_dir
 from weftline.llm import suffixes
 
 
@@ -29,3 +31,14 @@ def test_shards_of_one_anchor_are_bounded_by_bytes(monkeypatch, dealt):
     assert bool(named) == dealt
     if dealt:
         assert {found[0] for found in places.values() if len(found) == 1} <= named
+
+
+def test_tables_of_all_places_are_removed(spark):
+    text = " ".join(map(str, range(300)))
+    docs = spark.createDataFrame([(1, text), (2, "x " + text), (3, "other")], "doc_id long, text string")
+    shared_dir(spark)  # the first call makes a folder, in which Spark takes one
+    folder = Path("/" + shared_dir(spark).removeprefix("file:").lstrip("/"))
+    before = set(folder.glob("occurrences-*")) | set(folder.glob("word-runs-*"))
+    found = {r["id"]: (r["n_bytes"], len(r["kept"]), r["passage"]) for r in suffixes.without_repeats(docs, words=suffixes.PASSAGE).collect()}
+    assert found == {1: (len(text), 0, True), 2: (len(text) + 2, 2, True), 3: (5, 5, False)}
+    assert set(folder.glob("occurrences-*")) | set(folder.glob("word-runs-*")) == before

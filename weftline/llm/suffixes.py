@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.lineage import cut, settle
+from weftline.functions.lineage import cut, noting, release, settle
 from weftline.llm.text import whole
 
 LENGTH, GRAM = 400, 32
@@ -456,10 +456,12 @@ def removed_spans(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     """
     texts = docs.select(whole(text_col).alias("text"))
     every = texts.select(*_hashes(F.col("text")), "text").where(F.octet_length("text") >= length).mapInArrow(_occurrences(length), "t1 bigint, t2 bigint, s int, e int, key bigint, c1 bigint, c2 bigint, n bigint")
-    every = settle(every, "occurrences")
+    with noting() as used:
+        every = settle(every, "occurrences")
     # added up before the shuffle, so a frequent anchor is one row of each task; the join is split where one is hot
     again = every.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1").select("key")
     places = settle(every.join(again, "key", "left_semi"), "places")
+    release(docs.sparkSession, used)
     first = [F.first(c).alias(c) for c in ("t1", "t2", "s", "e")]
     kinds = settle(places.groupBy("key", "c1", "c2").agg(F.sum("n").alias("n"), *first), "contexts")
     whole_ones = kinds.where("n > 1").select("c1", "c2", F.array(F.struct(F.lit(0).alias("a"), (F.col("e") - F.col("s")).alias("b"))).alias("ranges"))
@@ -487,13 +489,15 @@ def in_passages(docs: DataFrame, text_col: str = "text", words: int = PASSAGE) -
     """
     texts = docs.select(whole(text_col).alias("text"))
     named = texts.select(*_hashes(F.col("text")), "text").where(F.octet_length("text") >= 2 * words - 1)
-    runs = settle(named.mapInArrow(_word_runs(words), "key bigint, c bigint, t bigint"), "word-runs")
+    with noting() as used:
+        runs = settle(named.mapInArrow(_word_runs(words), "key bigint, c bigint, t bigint"), "word-runs")
     differ = lambda df, *by: df.groupBy(*by).agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select(*by)
     shared = settle(runs.join(differ(runs, "key"), "key", "left_semi"), "shared-runs")
     sure = shared.join(differ(shared, "key", "c"), ["key", "c"], "left_semi").select("t").distinct()
     copies = named.groupBy("t1", "t2").agg(F.count("*").alias("copies"))
     long = runs.select("t").distinct()
     sure = cut(sure.unionByName(copies.where("copies > 1").select(F.col("t1").alias("t")).join(long, "t", "left_semi")).distinct())
+    release(docs.sparkSession, used)
     open_ = shared.join(sure, "t", "left_anti").select("key").distinct()
     asked = shared.join(open_, "key", "left_semi").groupBy("t").agg(F.collect_set("key").alias("keys"))
     windows = cut(named.select(F.col("t1").alias("t"), "text").join(asked, "t").select("t", "text", "keys").mapInArrow(_word_windows(words), "w bigint, t bigint").distinct())
