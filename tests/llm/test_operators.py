@@ -134,6 +134,39 @@ def test_line_dedup(spark, odd_texts):
     assert left.columns == docs(spark, odd_texts).columns and left.count() == len(odd_texts)
 
 
+def test_words_of_lines_are_numbers(spark, monkeypatch):
+    monkeypatch.setattr(lines, "_CELL_BITS", 4)
+    line = "b\ta  a\x0bc\x0cb\rd "
+    table = spark.createDataFrame([(line, list(range(16)))], "line string, levels array<tinyint>")
+    own = table.select(lines._hashed_set(F.col("line")).alias("s"), "levels")
+    got = own.select("s", lines._rarest_first(F.col("s"), F.col("levels")).alias("o"))
+    got = got.select("*", *(lines._parities(F.col("o"), half).alias(f"bits{half}") for half in (0, 1)))
+    # null among the numbers would mean that they are sorted one object at a time
+    assert not got.schema["s"].dataType.containsNull and not got.schema["o"].dataType.containsNull
+    row = got.first()
+    hashes = [r.h for r in spark.createDataFrame([(w,) for w in "bacd"], "w string").select(F.xxhash64("w").alias("h")).collect()]
+    assert list(row.s) == hashes
+    assert list(row.o) == sorted((h & 15) << 56 | h & (1 << 56) - 1 for h in hashes)
+    bits = 0
+    for w in row.o:
+        bits ^= 1 << (w & 127)
+    assert (row.bits0 & (1 << 64) - 1, row.bits1 & (1 << 64) - 1) == (bits & (1 << 64) - 1, bits >> 64)
+
+
+def test_lines_with_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(lines, "_OFTEN", 3)
+    rnd, texts = random.Random(8), []
+    for i in range(60):
+        texts.append((i, "\n".join(rnd.choice((" ", "\t", "\x0b ", " \r")).join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 12))) for _ in range(3))))
+    got = {r.id: list(r.removed) for r in lines.removed_lines(docs(spark, texts), least_words=1).collect()}
+    sets = [(i, k, set(line.split())) for i, text in texts for k, line in enumerate(text.split("\n"))]
+    want = {i: [] for i, _ in texts}
+    for at, (i, k, words) in enumerate(sets):
+        if any(5 * len(words & w) >= 4 * len(words | w) for _, _, w in sets[:at]):
+            want[i].append(k)
+    assert got == want and sum(map(len, want.values())) > 30
+
+
 def test_simhash_components(spark, odd_texts):
     got = simhash.near_duplicates(docs(spark, odd_texts), shingle=4).collect()
     assert len(got) == len(odd_texts)

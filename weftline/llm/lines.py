@@ -30,10 +30,15 @@ def _cell(h: Column) -> Column:
 
 
 def _tokens(line: Column) -> Column:
-    """Words of a line with empty ones between them; cheaper than a pattern or a character map."""
-    for blank in BLANKS[1:]:
-        line = F.replace(line, F.lit(blank), F.lit(" "))
-    return F.split(line, " ")
+    """Words of a line, which has no line feed, with empty ones between them; cheaper than a pattern or a character map.
+
+    Few lines have other blanks than spaces, and to look for these takes less than to replace them.
+    """
+    others = BLANKS.replace(" ", "").replace("\n", "")
+    odd, spaced = F.lit(False), line
+    for blank in others:
+        odd, spaced = odd | F.contains(line, F.lit(blank)), F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.split(F.when(odd, spaced).otherwise(line), " ")
 
 
 def _dense(cells: Column, width: int) -> Column:
@@ -72,26 +77,29 @@ def _level(table: Column, h: Column) -> Column:
 
 def _set(line: Column) -> Column:
     """The set of words of a line."""
-    return F.array_distinct(F.filter(_tokens(line), lambda t: t != ""))
+    return F.array_remove(F.array_distinct(_tokens(line)), F.lit(""))
 
 
 def _hashed_set(line: Column) -> Column:
     """The set of words of a line as 64-bit hashes, in order of place."""
-    return F.array_remove(F.array_distinct(F.transform(_tokens(line), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
+    return F.array_distinct(F.array_remove(F.transform(_tokens(line), lambda t: F.xxhash64(t)), F.xxhash64(F.lit(""))))
 
 
 def _rarest_first(hashes: Column, levels: Column) -> Column:
     """Hashed words in order of doublings of their count, then of the hash."""
     mask = (1 << _HASH_BITS) - 1
-    ranked = lambda h: F.call_function("shiftleft", F.get(levels, _cell(h)).cast("long"), F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(mask))
+    # never null, so that the numbers are sorted as such
+    level = lambda h: F.coalesce(levels[h.bitwiseAND((1 << _CELL_BITS) - 1)], F.lit(0).cast("byte"))
+    ranked = lambda h: F.call_function("shiftleft", level(h).cast("long"), F.lit(_HASH_BITS)).bitwiseOR(h.bitwiseAND(mask))
     return F.sort_array(F.transform(hashes, ranked))
 
 
 def _parities(words: Column, half: int) -> Column:
     """64 of the 128 parities of a set of hashed words: two sets differ in at least as many words as their parities in bits."""
-    mine = lambda w: F.call_function("shiftright", w, F.lit(6)).bitwiseAND(1) == half
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))
-    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: F.when(mine(w), bits.bitwiseXOR(bit(w))).otherwise(bits))
+    # a fold is evaluated step by step, so its one step is to look up the bit
+    bits_of = [1 << k if k < 63 else -(1 << 63) for k in range(64)]
+    bit = F.array(*(F.lit(b).cast("long") for b in ([*bits_of, *[0] * 64] if half == 0 else [*[0] * 64, *bits_of])))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda bits, w: bits.bitwiseXOR(bit[w.bitwiseAND(127)]))
 
 
 def _packed(n: Column, at: Column, settled: Column) -> Column:
@@ -149,14 +157,16 @@ def _classes(texts: DataFrame, keyed: DataFrame, similarity: tuple[int, int], le
     words of its prefix that occur twice or more; ``skipped`` ones that do not came before.
     """
     p, q = similarity
-    words = texts.select(F.explode(_tokens(F.col("text"))).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("h"))
+    words = keyed.select(F.explode(_tokens(F.col("line"))).alias("t")).where("t <> ''").select(F.xxhash64("t").alias("h"))
     # a subquery may not be written inside a function over arrays, so the table is named in a column first; it
-    # is used once, and so are the words, for the two projections to become one and the column to vanish
+    # is used once, for the two projections to become one and the column to vanish. The set of words is used twice,
+    # so it stays a projection of its own, of compiled code: what stands inside a function over arrays is interpreted
     enough = F.ltrim("line", F.lit(BLANKS)) != ""
     if least_words > 1:
         enough = enough & (F.size(F.filter(_tokens(F.col("line")), lambda t: t != "")) >= least_words)
-    sets = keyed.where(enough).select("k", "id", "line_no", F.xxhash64(F.lit(1), "line").alias("check"), _hashed_set(F.col("line")).alias("s")).withColumn("table", _levels(words).scalar())
-    ordered = sets.select("k", "id", "line_no", "check", _rarest_first(F.col("s"), F.col("table")).alias("o")).withColumn("n", F.size("o"))
+    sets = keyed.where(enough).select("k", "id", "line_no", F.xxhash64(F.lit(1), "line").alias("check"), _hashed_set(F.col("line")).alias("s"))
+    sets = sets.withColumn("n", F.size("s")).withColumn("table", _levels(words).scalar())
+    ordered = sets.select("k", "id", "line_no", "check", "n", _rarest_first(F.col("s"), F.col("table")).alias("o"))
     reach = F.col("n") - F.ceil(F.col("n") * p / q).cast("int") + 1
     # a word that occurs once leads to no other line; these come first in a line
     shared = F.filter(F.slice("o", F.lit(1), reach), lambda w: F.call_function("shiftright", w, F.lit(_HASH_BITS)) > 1)
@@ -192,11 +202,14 @@ def _similar(classes: DataFrame, keyed: DataFrame, similarity: tuple[int, int])
         spread = of.select("*", settled.alias("settled"), F.posexplode(words).alias("i", "token"))
         return spread.withColumn("p", _packed(F.col("n"), F.col("skipped") + F.col("i"), F.col("settled")))
 
-    often = F.filter("prefix", lambda w: F.call_function("shiftright", w, F.lit(_HASH_BITS)) >= _OFTEN)
-    among = places(classes.withColumn("skipped", F.col("skipped") + F.size("prefix") - F.size(often)), often, F.lit(False))
+    occurs_often = lambda w: F.call_function("shiftright", w, F.lit(_HASH_BITS)) >= _OFTEN
+    often = F.filter("prefix", occurs_often)
+    # the last word of a prefix is its most frequent one
+    among = places(classes.where(occurs_often(F.try_element_at("prefix", F.lit(-1)))).withColumn("skipped", F.col("skipped") + F.size("prefix") - F.size(often)), often, F.lit(False))
     heads = among.groupBy("token").agg(F.min(F.struct("id", "line_no", "k", "p", "bits0", "bits1")).alias("head"), F.count("*").alias("together")).where("together > 1")
     with_head = among.select("token", "k", "p", "bits0", "bits1").join(heads, "token").where((F.col("k") != F.col("head.k")) & _may_match(F.col("p"), F.col("head.p"), [(F.col(b), F.col(f"head.{b}")) for b in ("bits0", "bits1")], similarity))
-    settled = cut(later_of(with_head.select(F.col("k").alias("x"), F.col("head.k").alias("y"))))
+    # written with a size that Spark knows, so that few of them don't make all classes move
+    settled = settle(later_of(with_head.select(F.col("k").alias("x"), F.col("head.k").alias("y"))), "settled-lines")
 
     marked = classes.select("k", "n", "skipped", "bits0", "bits1", "prefix").join(settled.withColumn("gone", F.lit(True)), "k", "left")
     every = places(marked, F.col("prefix"), F.coalesce("gone", F.lit(False))).select("token", "k", "p", "bits0", "bits1")
