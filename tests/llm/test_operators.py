@@ -153,6 +153,20 @@ def test_words_of_lines_are_numbers(spark, monkeypatch):
     assert (row.bits0 & (1 << 64) - 1, row.bits1 & (1 << 64) - 1) == (bits & (1 << 64) - 1, bits >> 64)
 
 
+def test_table_of_counts(spark, monkeypatch):
+    # a task that collects into 128 groups begins to sort them
+    assert 1 << (lines._CELL_BITS - lines._ROW_BITS) < 128
+    monkeypatch.setattr(lines, "_CELL_BITS", 6)
+    monkeypatch.setattr(lines, "_ROW_BITS", 4)
+    # the first and the last cell of a row, a row of one cell, one without any, and hashes beyond the cells
+    counts = {0: 3, 1: 1, 15: 70, 37: 2, 48: 1, 63: 8}
+    hashes = spark.createDataFrame([(c + 64 * k,) for c, n in counts.items() for k in range(-1, n - 1)], "h long")
+    got = lines._levels(hashes)
+    # asked of each word of each line, so a look-up should not have to check
+    assert not got.schema["table"].dataType.containsNull
+    assert list(got.first().table) == [counts.get(c, 0).bit_length() for c in range(64)]
+
+
 def test_lines_with_frequent_words(spark, monkeypatch):
     monkeypatch.setattr(lines, "_OFTEN", 3)
     rnd, texts = random.Random(8), []

@@ -19,7 +19,10 @@ from weftline.llm.text import BLANKS, let, unused, whole
 #: Similarity of 0.8 as a fraction.
 SIMILARITY = (4, 5)
 #: Words are counted in 2^22 cells; a cell is one byte of a table of 4 MB, however many words there are.
-_CELL_BITS, _ROW_BITS = 22, 12
+#: It is put together from 64 rows: Spark sorts what it collects once a task has 128 groups.
+_CELL_BITS, _ROW_BITS = 22, 16
+#: Bits of what is said of a cell.
+_LEVEL_BITS = 6
 _HASH_BITS = 56
 #: Doublings from which the lines that share a word are first held against the earliest of them. A word below occurs under 1,024 times.
 _OFTEN = 11
@@ -41,32 +44,34 @@ def _tokens(line: Column) -> Column:
     return F.split(F.when(odd, spaced).otherwise(line), " ")
 
 
-def _dense(cells: Column, width: int) -> Column:
-    """Text of the pairs ``(at, s)`` in order, each ``s`` of ``width`` at its place and blanks between them."""
+def _dense(parts: Column, at, width: int, size: int) -> Column:
+    """Text of ``size`` places of ``width``: the pieces ``(place, text)`` that ``at`` reads from the elements of ``parts``, which are in order, and blanks between them."""
     blank = lambda n: F.repeat(F.lit(" "), n * width)
-    size = 1 << (_CELL_BITS - _ROW_BITS if width > 1 else _ROW_BITS)
 
     def fill(a: Column) -> Column:
-        parts = F.transform(a, lambda e, k: F.concat(blank(e.at - F.coalesce(F.get(a, k - 1).at, F.lit(-1)) - 1), e.s))
-        return F.concat(F.array_join(parts, ""), blank(size - 1 - F.coalesce(F.try_element_at(a, F.lit(-1)).at, F.lit(-1))))
+        after = lambda e: F.coalesce(at(e)[0] + 1, F.lit(0))
+        filled = F.transform(a, lambda e, k: F.concat(blank(at(e)[0] - after(F.get(a, k - 1))), at(e)[1]))
+        return F.concat(F.array_join(filled, ""), blank(size - after(F.try_element_at(a, F.lit(-1)))))
 
-    return let(F.array_sort(cells), fill)
+    return let(F.sort_array(parts), fill)
 
 
 def _tally(hashes: DataFrame) -> DataFrame:
     """One row: a table with a byte for each cell, 32 plus the doublings in how many of ``hashes (h)`` fall into it."""
     counted = hashes.groupBy(_cell(F.col("h")).alias("cell")).agg(F.count("*").alias("n"))
-    level = F.char(F.lit(32) + F.least(F.length(F.bin("n")), F.lit(60)))
-    cells = counted.select(F.call_function("shiftright", "cell", F.lit(_ROW_BITS)).alias("row"), F.struct(F.col("cell").bitwiseAND((1 << _ROW_BITS) - 1).alias("at"), level.alias("s")).alias("c"))
-    rows = cells.groupBy("row").agg(_dense(F.collect_list("c"), 1).alias("s"))
-    whole_table = rows.agg(_dense(F.collect_list(F.struct(F.col("row").alias("at"), "s")), 1 << _ROW_BITS).alias("s"))
+    # place and level in one number, which is collected and sorted faster than a pair
+    place = F.call_function("shiftleft", F.col("cell").bitwiseAND((1 << _ROW_BITS) - 1), F.lit(_LEVEL_BITS))
+    cells = counted.select(F.call_function("shiftright", "cell", F.lit(_ROW_BITS)).alias("row"), place.bitwiseOR(F.least(F.length(F.bin("n")), F.lit(60))).alias("c"))
+    of_cell = lambda c: (F.call_function("shiftright", c, F.lit(_LEVEL_BITS)), F.char(F.lit(32) + c.bitwiseAND((1 << _LEVEL_BITS) - 1)))
+    rows = cells.groupBy("row").agg(_dense(F.collect_list("c"), of_cell, 1, 1 << _ROW_BITS).alias("s"))
+    whole_table = rows.agg(_dense(F.collect_list(F.struct("row", "s")), lambda r: (r.row, r.s), 1 << _ROW_BITS, 1 << (_CELL_BITS - _ROW_BITS)).alias("s"))
     return cut(whole_table.select(F.encode("s", "UTF-8").alias("table")))
 
 
 def _levels(hashes: DataFrame) -> DataFrame:
     """One row: the table of :func:`_tally` as an array of small numbers, which is read faster and takes the same 4 MB or so."""
-    # a row hands out a copy of its bytes each time it is asked, a variable does not
-    level = lambda t: F.transform(F.sequence(F.lit(0), F.lit((1 << _CELL_BITS) - 1)), lambda i: (F.ascii(F.substring(t, i + 1, F.lit(1)).cast("string")) - 32).cast("byte"))
+    # a row hands out a copy of its bytes each time it is asked, a variable does not; no element is null, so a look-up need not ask
+    level = lambda t: F.transform(F.sequence(F.lit(0), F.lit((1 << _CELL_BITS) - 1)), lambda i: F.coalesce((F.ascii(F.substring(t, i + 1, F.lit(1)).cast("string")) - 32).cast("byte"), F.lit(0).cast("byte")))
     return cut(_tally(hashes).select(let(F.col("table"), level).alias("table")))
 
 
@@ -75,11 +80,6 @@ def _level(table: Column, h: Column) -> Column:
     return F.ascii(F.substring(table, _cell(h) + 1, F.lit(1)).cast("string")) - 32
 
 
-def _set(line: Column) -> Column:
-    """The set of words of a line."""
-    return F.array_remove(F.array_distinct(_tokens(line)), F.lit(""))
-
-
 def _hashed_set(line: Column) -> Column:
     """The set of words of a line as 64-bit hashes, in order of place."""
     return F.array_distinct(F.array_remove(F.transform(_tokens(line), lambda t: F.xxhash64(t)), F.xxhash64(F.lit(""))))
@@ -192,7 +192,7 @@ def _similar(classes: DataFrame, keyed: DataFrame, similarity: tuple[int, int])
         pairs = cut(pairs.distinct())
         listed = _tally(pairs.select(F.explode(F.array("x", "y")).alias("h")).distinct()).scalar()
         near = keyed.where(_level(listed, F.col("k")) > 0).groupBy("k").agg(F.min(F.struct("id", "line_no", "line")).alias("f"))
-        sets = near.select("k", F.struct("f.id", "f.line_no").alias("place"), _set(F.col("f.line")).alias("s"))
+        sets = near.select("k", F.struct("f.id", "f.line_no").alias("place"), _hashed_set(F.col("f.line")).alias("s"))
         x, y = (sets.select(F.col("k").alias(c), F.col("place").alias(f"at_{c}"), F.col("s").alias(f"s_{c}")) for c in "xy")
         both = pairs.join(x, "x").join(y, "y")
         alike = both.where((p + q) * F.size(F.array_intersect("s_x", "s_y")) >= p * (F.size("s_x") + F.size("s_y")))
