@@ -302,3 +302,8 @@ def test_parents_of_a_hub(spark):
     e = spark.createDataFrame([(k, 1) for k in range(500, 100, -1)] + [(101, 1), (7, 2)], "src long, dst long")
     got = {r.id: (r.parents, r.more) for r in g.pulled_in_by(spark.createDataFrame([(1,), (2,), (3,)], "id long"), e).collect()}
     assert got == {1: ("101, 101, 102", 398), 2: ("7", 0), 3: ("", 0)}
+
+
+def test_equal_ranges_are_merged(spark):
+    ranges = spark.createDataFrame([(1, 17, 25)] * 3 + [(1, 24, 28), (1, 30, 31), (1, 30, 31), (2, 5, 6), (2, 5, 6)], "key long, s int, e int")
+    assert rows(search.merge_ranges(ranges.repartition(3), "key"), "key", "s", "e") == {(1, 17, 28), (1, 30, 31), (2, 5, 6)}
