@@ -47,3 +47,9 @@ def test_removals_name_their_orphans(spark, folder):
 def test_roots_of_links_and_orders_are_ranked(spark, folder):
     found = [(r.rank, r.id, r.reach, r.is_main) for r in QUERIES["g13_rank_roots"](spark, folder).orderBy("rank").collect()]
     assert found == [(1, "c1", 12, True), (2, "l9", 6, False)]
+
+
+def test_dependencies_over_orders_too(spark, folder):
+    found = {tuple(r) for r in QUERIES["g10_dependencies_orders"](spark, folder).collect()}
+    assert {("c1", "c1", "o1"), ("c1", "o2", "p4"), ("c1", "p9", "s1"), ("c1", "n0", "r0"), ("o1", "o1", "p1"), ("o1", "s1", "n0")} <= found
+    assert ("o2", "o2", "p7") not in found and all(r[0][0] in "copsnr" for r in found)
