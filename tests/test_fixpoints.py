@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_graph import frames, reached, rows, simple_paths
@@ -114,3 +115,61 @@ def test_pile_keeps_everything(spark):
     for k in range(70):
         pile.add(spark.createDataFrame([(k,)], "k long"))
     assert sorted(r.k for r in pile.all().collect()) == list(range(70)) and len(pile._steps) == 3
+
+
+def test_counts_of_deep_and_shallow_parts(spark, monkeypatch):
+    # a deep part, a deep one with a cycle, a cycle by itself and shallow parts side by side
+    rnd = random.Random(7)
+    deep = {(a, a - 1) for a in range(1, 60)} | {tuple(sorted((rnd.randrange(60), rnd.randrange(60)), reverse=True)) for _ in range(90)}
+    turned = {(200 + a, 199 + a) for a in range(1, 40)} | {(205, 230), (300, 220)}
+    shallow = {(400 + a, 500 + a % 5) for a in range(30)} | {(500 + a, 600) for a in range(5)}
+    edges = sorted(deep | turned | shallow | {(700, 701), (701, 700), (701, 702)})
+    v, e = frames(spark, edges, alone=[9000])
+    want = {(x, len(reached(edges, [x])) - 1) for x in {x for p in edges for x in p} | {9000}}
+    assert rows(fixpoint.transitive_dep_count(v, e), "id", "transitive_dep_count") == want
+    # parts too large for a group
+    monkeypatch.setattr(fixpoint, "LOCAL_NODES", 10)
+    assert rows(fixpoint.transitive_dep_count(v, e), "id", "transitive_dep_count") == want
+
+
+@pytest.mark.parametrize("columns", [64, 128, 8192])
+def test_counts_by_columns(columns):
+    rnd = random.Random(8)
+    edges = sorted({(max(a, b), min(a, b)) for a, b in ((rnd.randrange(300), rnd.randrange(300)) for _ in range(900)) if a != b})
+    src, dst = (np.array(side) for side in zip(*edges, strict=True))
+    ids = sorted({x for p in edges for x in p})
+    parts = [fixpoint._column_counts(c, src, dst, columns) for c in range(-(-len(ids) // columns))]
+    assert all(part[0].tolist() == ids for part in parts)
+    assert sum(part[1] for part in parts).tolist() == [len(reached(edges, [x])) for x in ids]
+    assert fixpoint._column_counts(0, np.array([1, 2, 3]), np.array([2, 3, 2]), columns)[1] is None
+
+
+def test_closure_by_packed_rows(spark):
+    rnd = random.Random(9)
+    edges = [(f"{'abcd'[k]}{rnd.randrange(200)}", f"{'abcd'[k + 1]}{rnd.randrange(200)}") for k in range(3) for _ in range(300)] + [("a1", "d1"), ("a1", "d1")]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    want = {(x, y) for x in {x for p in edges for x in p} for y in reached(edges, [x]) if x != y}
+    found = [tuple(r) for r in fixpoint.closure(e).collect()]
+    assert len(found) == len(want) and set(found) == want
+    # on a cycle as before
+    assert rows(fixpoint.closure(e.unionByName(spark.createDataFrame([("z", "y"), ("y", "z"), ("z", "z")], e.schema)).where("src >= 'y'")), "src", "dst") == {("z", "y"), ("y", "z")}
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_dependencies_of_many_starts(spark, backward):
+    edges = [x for own in many_graphs(10, 20, 12) for x in own]
+    starts = sorted({x for p in edges for x in p})[:150]
+    _, e = frames(spark, edges)
+    turned = [(b, a) for a, b in edges] if backward else edges
+    got = {s: reached(turned, [s]) for s in starts}
+    nodes, links = fixpoint.dependencies(e, spark.createDataFrame([(s,) for s in starts], "id long"), backward)
+    assert sorted(tuple(r) for r in nodes.select("start", "id").collect()) == sorted((s, x) for s in starts for x in got[s])
+    assert sorted(tuple(r) for r in links.select("start", "src", "dst").collect()) == sorted((s, a, b) for s in starts for a, b in set(edges) if (b if backward else a) in got[s])
+
+
+def test_layers_with_and_without_cycles(spark):
+    for more in ([], [(4, 1)]):
+        v, e = frames(spark, [(0, 1), (1, 2), (2, 4), (0, 4), (4, 5), (6, 5), *more], alone=[9])
+        depths, phases, acyclic = fixpoint.layers(v, e)
+        assert acyclic is not bool(more)
+        assert rows(depths, "id", "depth") == rows(fixpoint.depth(v, e), "id", "depth") and rows(phases, "id", "build_phase") == rows(fixpoint.build_phase(v, e), "id", "build_phase")
