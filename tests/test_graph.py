@@ -307,3 +307,13 @@ def test_parents_of_a_hub(spark):
 def test_equal_ranges_are_merged(spark):
     ranges = spark.createDataFrame([(1, 17, 25)] * 3 + [(1, 24, 28), (1, 30, 31), (1, 30, 31), (2, 5, 6), (2, 5, 6)], "key long, s int, e int")
     assert rows(search.merge_ranges(ranges.repartition(3), "key"), "key", "s", "e") == {(1, 17, 28), (1, 30, 31), (2, 5, 6)}
+
+
+def test_documents_share_few_ids(spark, tmp_path):
+    # 40 sources with 25 targets of their own each: an id is in a document or two, and nothing else stays behind
+    edges = [(f"//s:{k}", f"//t:{25 * k + j}") for k in range(40) for j in range(25)]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    compact.write_json(g.Graph(g.build_nodes(e), e), str(tmp_path / "ordered"), document_size=100)
+    kept = [len(r.ids) for r in spark.read.json(str(tmp_path / "ordered")).collect()]
+    assert len(kept) >= 20 and sum(kept) < 1_200 and max(kept) <= 110
+    assert rows(compact.read_json(spark, str(tmp_path / "ordered")).edges, "src", "dst") == set(edges)
